@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, exact, mixing, sharding
+from kestrel.llm import chat, exact, mixing, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,40 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    "op5_substring_dedup",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+), g AS (
+  SELECT *, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM w
+), s AS (
+  SELECT doc_id, word, pos,
+    (len(win) = 20 AND row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1)::INT AS repeats
+  FROM g
+), c AS (
+  SELECT *, max(repeats) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM s
+), k AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
+)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_documents(spark, sf_dir), 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_documents(spark, sf_dir), shingle=3, seed=42, most=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @_query(
     "op7_exact_dedup",
     r"""
