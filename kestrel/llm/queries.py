@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, exact, mixing, sharding, simhash, substring
+from kestrel.llm import bpe, chat, exact, mixing, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -173,3 +173,21 @@ FROM x
 )
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir), (5, 2, 1), most_repeats=3, share=1.0)
+
+
+@_query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe_digests(bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+
+
+def bpe_digests(encoded: DataFrame, ranks: bytes) -> DataFrame:
+    """Digests of encoded texts and of what their ids decode to."""
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
