@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, exact, mixing, sharding, simhash, substring
+from kestrel.llm import bpe, chat, exact, lm, mixing, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,23 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = lm.train(docs.where(~lm.held_out()))
+    out = lm.score(docs, model)
+    return out.select(
+        "doc_id",
+        lm.held_out().alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 @_query(
     "op5_substring_dedup",
     r"""
