@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, exact, lm, mixing, sharding, simhash, substring
+from kestrel.llm import bpe, chat, exact, lm, media, mixing, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,23 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op4_media")
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.store_texts(_documents(spark, sf_dir)))
+    spans = F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"], c["last_frame"]))
+    means = F.transform("clips", lambda c: F.format_number(c["mean_luma"], 2))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("right(payload, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat_ws("/", "rate", "scale"), F.concat_ws(",", spans), F.concat_ws(" ", means)).alias("feature"),
+    )
+
+
 @_query(
     "op5_substring_dedup",
     r"""
