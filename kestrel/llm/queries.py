@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, exact, lm, media, mixing, sharding, simhash, substring
+from kestrel.llm import bpe, chat, exact, lm, media, mixing, quality, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -170,6 +170,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
+@_query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.score(docs, model, columns=["doc_id"])
+    return out.select("doc_id", *quality.SCORES, quality.good().alias("keep"))
+
+
 @_query(
     "op9_mixing",
     r"""
