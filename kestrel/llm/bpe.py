@@ -20,7 +20,7 @@ NONE = np.int32(2**31 - 1)
 #: Matrices have at most so many cells; pieces of more bytes than LONG are merged with a heap instead.
 CELLS = 1 << 20
 LONG = 1024
-#: Pieces remembered by a task.
+#: Pieces remembered by a worker, about 50 MB.
 CACHED = 200_000
 
 
@@ -69,15 +69,21 @@ class PairTable:
         return out.reshape(left.shape)
 
 
+def read_tokens(rank_file: bytes) -> list[bytes]:
+    """Tokens by rank of a rank file (lines of base64 token and rank; ranks are ids)."""
+    pairs = [line.split() for line in rank_file.splitlines() if line.strip()]
+    out = [b""] * (max(int(rank) for _, rank in pairs) + 1)
+    for token, rank in pairs:
+        out[int(rank)] = base64.b64decode(token)
+    return out
+
+
 class Vocabulary:
-    """Tokens of a rank file (lines of base64 token and rank; ranks are ids)."""
+    """The merges of a rank file."""
 
     def __init__(self, rank_file: bytes):
-        pairs = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.tokens = read_tokens(rank_file)
+        self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         merges = [
             (self.ranks[token[:k]], self.ranks[token[k:]], rank)
@@ -120,8 +126,8 @@ class Vocabulary:
             best = ranks[np.arange(len(row)), at]
             over = best == NONE
             if over.any():
-                for k in np.flatnonzero(over):
-                    done[row[k]] = tuple(ids[k, : lens[k]].tolist())
+                for k, x, n in zip(row[over].tolist(), ids[over].tolist(), lens[over].tolist(), strict=True):
+                    done[k] = tuple(x[:n])
                 live = ~over
                 row, ids, ranks, lens, at, best = row[live], ids[live], ranks[live], lens[live], at[live], best[live]
                 if not len(row):
@@ -178,30 +184,43 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """Ids of pieces of text, remembered."""
+    """Ids of pieces of text. When half of CACHED are new, those not met since the last time are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def learn(self, lists: list[list[str]]) -> None:
-        if len(self) > CACHED:
+        if len(self) > CACHED // 2:
+            self.older = dict(self)
             self.clear()
-        new = list(set().union(*lists).difference(self))
+        new = set().union(*lists).difference(self)
+        again = new.intersection(self.older)
+        self.update((p, self.older[p]) for p in again)
+        new = list(new - again)
         self.update(zip(new, self.vocabulary.encode([p.encode() for p in new]), strict=True))
 
 
-_loaded: dict[bytes, Vocabulary] = {}
+_loaded: dict[bytes, Pieces] = {}
+_tokens: dict[bytes, list[bytes]] = {}
 
 
-def _vocabulary(rank_file: bytes) -> Vocabulary:
-    """One parsed vocabulary per worker process."""
+def _pieces(rank_file: bytes) -> Pieces:
+    """One parsed vocabulary per worker process, with the pieces that its tasks have met."""
     if rank_file not in _loaded:
         _loaded.clear()
-        _loaded[rank_file] = Vocabulary(rank_file)
+        _loaded[rank_file] = Pieces(Vocabulary(rank_file))
     return _loaded[rank_file]
 
 
+def _token_list(rank_file: bytes) -> list[bytes]:
+    """Tokens by id, of a worker that only decodes."""
+    if rank_file not in _tokens:
+        _tokens.clear()
+        _tokens[rank_file] = read_tokens(rank_file)
+    return _tokens[rank_file]
+
+
 def _some(rows: Iterator[tuple], most: int = 1 << 21) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     size = 0
@@ -235,7 +254,7 @@ def encode(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = Pieces(_vocabulary(held.value)), regex.compile(pattern).findall
+        known, find = _pieces(held.value), regex.compile(pattern).findall
         for batch in batches:
             done = 0
             for rows in _some(rows_of(iter([batch]))):
@@ -258,11 +277,13 @@ def decode(encoded: DataFrame, ranks: bytes, *, id_col: str = "doc_id") -> DataF
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(held.value).tokens.__getitem__
+        token = _token_list(held.value).__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                out = [b"".join(map(token, ids)) for ids in part.column(1).to_pylist()]
+                ends = (part.column(1).offsets.to_numpy() - part.column(1).offsets[0].as_py()).tolist()
+                flat = part.column(1).flatten().to_numpy().tolist()
+                out = [b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
