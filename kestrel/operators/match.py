@@ -10,6 +10,24 @@ from kestrel.dims import LURE_WORDS, SUSPICIOUS_TLDS, Brand
 from kestrel.functions import distance, unicode
 
 
+#: What is known of the nearest brand, as columns near_ord and so on.
+NEAR = ("ord", "distance", "similarity", "visual", "swapped")
+
+
+def nearest_columns() -> dict[str, Column]:
+    return {k: F.col(f"near_{k}") for k in NEAR}
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns added or replaced by values computed once.
+
+    A row of one struct is unpacked by a generator, which the optimizer doesn't fold into what reads the columns: long
+    chains of conditions would otherwise be copied into every condition that uses them.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def first_of(brands: list[Brand], test) -> Column:
     """The place of the first brand that passes, else null; a chain of built-in conditions."""
     tests = [(k, test(b)) for k, b in enumerate(brands)]
@@ -82,24 +100,24 @@ def with_glyphs(df: DataFrame, table: dict[str, str] | None = None) -> DataFrame
 
 
 def match_brands(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
-    """Hosts with glyphs plus the places of brands by each test, tld_suspicious, lures, nearest and homoglyph flags."""
+    """Hosts with glyphs plus the places of brands by each test, tld_suspicious, lures, near_* columns and homoglyph flags."""
     brands = brands if brands is not None else dims.brands()
     skeleton, subs = F.col("skeleton"), F.col("sub_skeletons")
-    out = (
-        df.withColumn("nearest", distance.nearest_brand(skeleton, brands))
-        .withColumn("official", official_brand(brands))
-        .withColumn("exact_core", first_of(brands, lambda b: F.col("sld") == b.core))
-        .withColumn("skeleton_core", first_of(brands, lambda b: skeleton == b.core))
-        .withColumn("embedded", embedded_brand(brands, skeleton))
-        .withColumn("token", token_brand(brands, skeleton, F.col("sld")))
-        .withColumn("in_subdomain", sub_brand(brands, subs))
-        .withColumn("tld_suspicious", suspicious_tld(F.col("last_label")))
-        .withColumn("lures", lures(skeleton, subs))
-        .withColumn("ops", compared_cells(brands, skeleton))
+    near = df.withColumn("__n", distance.nearest_brand(skeleton, brands))
+    near = near.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__n.{k}").alias(f"near_{k}") for k in NEAR])
+    out = settle(
+        near,
+        official=official_brand(brands),
+        exact_core=first_of(brands, lambda b: F.col("sld") == b.core),
+        skeleton_core=first_of(brands, lambda b: skeleton == b.core),
+        embedded=embedded_brand(brands, skeleton),
+        token=token_brand(brands, skeleton, F.col("sld")),
+        in_subdomain=sub_brand(brands, subs),
+        tld_suspicious=suspicious_tld(F.col("last_label")),
+        lures=lures(skeleton, subs),
+        ops=compared_cells(brands, skeleton),
     )
     close = (
-        F.col("skeleton_core").isNotNull() | F.col("embedded").isNotNull() | (F.col("nearest.similarity") >= 0.85)
-    )
-    return out.withColumn("proximate", close).withColumn(
-        "homoglyph", F.col("mixed") | ((F.size("folds") > 0) & F.col("proximate"))
+        F.col("skeleton_core").isNotNull() | F.col("embedded").isNotNull() | (F.col("near_similarity") >= 0.85)
     )
+    return settle(out, proximate=close, homoglyph=F.col("mixed") | ((F.size("folds") > 0) & close))

@@ -10,7 +10,7 @@ from kestrel import dims
 from kestrel.dims import LEARNED, Brand
 from kestrel.functions import distance, unicode
 from kestrel.functions.hosts import level_of, round_half_up, similarity
-from kestrel.operators.match import attribute, match_brands, with_glyphs
+from kestrel.operators.match import attribute, match_brands, nearest_columns, settle, with_glyphs
 from kestrel.operators.parse import parse_hosts
 
 VERDICT = (
@@ -35,7 +35,7 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
     lured = F.size("lures") > 0
     bad_tld, hidden = F.col("tld_suspicious"), F.col("homoglyph")
     free = F.col("official").isNull()
-    near = F.col("nearest")
+    near = nearest_columns()
     near_core = attribute(near["ord"], [b.core for b in brands] or [""])
 
     # which test ends the search, and whether it stands
@@ -66,16 +66,10 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
         .when(F.col("arm") == "token", F.col("token"))
         .when(F.col("arm") == "nearest", near["ord"])
     )
-    out = df.withColumn("arm", arm).withColumn("stands", F.coalesce(stands, F.lit(False))).withColumn("__pinned", pinned)
+    out = settle(settle(df, arm=arm), stands=F.coalesce(stands, F.lit(False)))
     sub = F.col("in_subdomain").isNotNull() & free
-    out = out.withColumn(
-        "impersonated",
-        F.coalesce(
-            "__pinned",
-            F.when(sub, F.col("in_subdomain")),
-            F.when(hidden & (near["similarity"] >= 0.7) & (near["ord"] >= 0), near["ord"]),
-        ),
-    )
+    attached = F.when(hidden & (near["similarity"] >= 0.7) & (near["ord"] >= 0), near["ord"])
+    out = settle(out, impersonated=F.coalesce(pinned, F.when(sub, F.col("in_subdomain")), attached))
     named = F.col("impersonated").isNotNull()
     took = lambda a: F.col("stands") & (F.col("arm") == a)
     seen = F.array_join(F.transform("folds", lambda f: F.concat_ws("", f["orig"], F.lit("="), f["canon"])), " ")
@@ -97,9 +91,9 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
             _signal(lured & named, "Urgency / lure keywords", F.array_join("lures", ", "), F.lit(0.15)),
         )
     )
-    out = out.withColumn("signals", signals)
+    out = settle(out, signals=signals)
     risk = F.aggregate("signals", F.lit(0.0), lambda total, s: total + s["weight"])
-    out = out.withColumn("score", round_half_up(F.least(F.lit(1.0), risk) * 100).cast("int"))
+    out = settle(out, score=round_half_up(F.least(F.lit(1.0), risk) * 100).cast("int"))
     raw = level_of(F.col("score"))
     disguised = hidden & named
     level = (
@@ -116,13 +110,13 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
     official = F.array(
         F.struct(F.lit("Official domain").alias("label"), of("official", domain).alias("detail"), F.lit(0.0).alias("weight"))
     )
-    return (
-        out.withColumn("level", F.when(ours, "safe").otherwise(level))
-        .withColumn("score", F.when(ours, 2).when(disguised, F.greatest("score", F.lit(80))).otherwise(F.col("score")))
-        .withColumn("signals", F.when(ours, official).when(F.size("signals") == 0, default).otherwise(F.col("signals")))
-        .withColumn("impersonated", F.when(ours, F.col("official")).otherwise(F.col("impersonated")))
-        .withColumn("is_official", ours)
-        .drop("__pinned")
+    return settle(
+        out,
+        level=F.when(ours, "safe").otherwise(level),
+        score=F.when(ours, 2).when(disguised, F.greatest("score", F.lit(80))).otherwise(F.col("score")),
+        signals=F.when(ours, official).when(F.size("signals") == 0, default).otherwise(F.col("signals")),
+        impersonated=F.when(ours, F.col("official")).otherwise(F.col("impersonated")),
+        is_official=ours,
     )
 
 
@@ -130,11 +124,10 @@ def verdicts(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
     """Judged hosts plus brand (core), similarity, distance and trace, in the verdict's columns."""
     brands = brands if brands is not None else dims.brands()
     core = attribute(F.col("impersonated"), [b.core for b in brands] or [""])
-    shown = df.withColumn("brand", core).withColumn(
-        "__a", distance.align(F.when(~F.col("is_official"), F.col("skeleton")), F.when(~F.col("is_official"), F.col("brand")))
-    )
+    shown = settle(df, brand=core, __core=F.when(~F.col("is_official"), core))
+    shown = shown.withColumn("__a", distance.align(F.col("skeleton"), F.col("__core")))
     none = F.array().cast(distance.OPS)
-    near = F.col("nearest")
+    near = nearest_columns()
     kept = [c for c in df.columns if c not in VERDICT]
     return shown.select(
         *[F.col(f"`{c}`") for c in kept],
