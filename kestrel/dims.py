@@ -217,9 +217,8 @@ def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(
         F.substring_index(F.substring_index("value", "===END ICANN DOMAINS===", 1), "===BEGIN ICANN DOMAINS===", -1).alias("v")
     )
-    rules = lines.select(F.trim(F.explode(F.split("v", "\n"))).alias("rule")).where(
-        (F.col("rule") != "") & ~F.col("rule").startswith("//")
-    )
+    rules = lines.select(F.explode(F.split("v", "\n")).alias("rule")).select(F.trim("rule").alias("rule"))
+    rules = rules.where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
     return classify_rules(rules)
 
 
