@@ -38,7 +38,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe_digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe_digests(docs, ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -20,7 +20,7 @@ NONE = np.int32(2**31 - 1)
 #: Matrices have at most so many cells; pieces of more bytes than LONG are merged with a heap instead.
 CELLS = 1 << 20
 LONG = 1024
-#: Pieces remembered by a worker, about 50 MB.
+#: Pieces remembered by a task, about 50 MB.
 CACHED = 200_000
 
 
@@ -201,26 +201,6 @@ class Pieces(dict):
         self.update(zip(new, self.vocabulary.encode([p.encode() for p in new]), strict=True))
 
 
-_loaded: dict[bytes, Pieces] = {}
-_tokens: dict[bytes, list[bytes]] = {}
-
-
-def _pieces(rank_file: bytes) -> Pieces:
-    """One parsed vocabulary per worker process, with the pieces that its tasks have met."""
-    if rank_file not in _loaded:
-        _loaded.clear()
-        _loaded[rank_file] = Pieces(Vocabulary(rank_file))
-    return _loaded[rank_file]
-
-
-def _token_list(rank_file: bytes) -> list[bytes]:
-    """Tokens by id, of a worker that only decodes."""
-    if rank_file not in _tokens:
-        _tokens.clear()
-        _tokens[rank_file] = read_tokens(rank_file)
-    return _tokens[rank_file]
-
-
 def _some(rows: Iterator[tuple], most: int = 1 << 21) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     size = 0
@@ -242,19 +222,21 @@ def read_ranks(spark, path: str) -> bytes:
 
 
 def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: bytes, pattern: str, *, round_trip: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id_col, ids array<int>): the tokens of each text, each match of `pattern` encoded by itself.
 
-    `ranks` is a rank file's content; it is broadcast, as its size is that of the vocabulary. No special tokens. A null
-    or empty text has no tokens. Rows may repeat, and ids may be null. An empty table gives no rows. Other columns are
-    not read. Needs every single byte in the vocabulary.
+    With round_trip a further column decoded (binary) holds the bytes that the ids stand for, by the same rule as
+    decode() but without another pass. `ranks` is a rank file's content; it is broadcast, as its size is that of the
+    vocabulary. No special tokens. A null or empty text has no tokens. Rows may repeat, and ids may be null. An
+    empty table gives no rows. Other columns are not read. Needs every single byte in the vocabulary.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = _pieces(held.value), regex.compile(pattern).findall
+        vocabulary = Vocabulary(held.value)
+        known, find = Pieces(vocabulary), regex.compile(pattern).findall
         for batch in batches:
             done = 0
             for rows in _some(rows_of(iter([batch]))):
@@ -263,12 +245,21 @@ def encode(
                 each = [list(itertools.chain.from_iterable(map(known.__getitem__, x))) for x in lists]
                 ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
                 flat = np.fromiter(itertools.chain.from_iterable(each), np.int32, ends[-1])
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(rows)), ids], ["id", "ids"])
+                columns = [batch.column(0).slice(done, len(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if round_trip:
+                    columns.append(_bytes_of(flat, ends, vocabulary.tokens))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 done += len(rows)
 
+    names = ["id", "ids", "decoded"] if round_trip else ["id", "ids"]
+    schema = f"id {kind}, ids array<int>" + ", decoded binary" * round_trip
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _bytes_of(flat: np.ndarray, ends: np.ndarray, tokens: list[bytes]) -> pa.Array:
+    ids, at = flat.tolist(), (ends - ends[0]).tolist()
+    return pa.array([b"".join(map(tokens.__getitem__, ids[a:b])) for a, b in itertools.pairwise(at)], pa.binary())
 
 
 def decode(encoded: DataFrame, ranks: bytes, *, id_col: str = "doc_id") -> DataFrame:
@@ -277,14 +268,13 @@ def decode(encoded: DataFrame, ranks: bytes, *, id_col: str = "doc_id") -> DataF
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _token_list(held.value).__getitem__
+        tokens = read_tokens(held.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                ends = (part.column(1).offsets.to_numpy() - part.column(1).offsets[0].as_py()).tolist()
-                flat = part.column(1).flatten().to_numpy().tolist()
-                out = [b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["id", "ids", "decoded"])
+                ids = part.column(1)
+                out = _bytes_of(ids.flatten().to_numpy(), ids.offsets.to_numpy(), tokens)
+                yield pa.RecordBatch.from_arrays([*part.columns, out], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Places that names of languages and sources are hashed to.
 NAMES = 64
 #: Token hashes remembered by a task.
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 100_000
 
 
 def tokens(text: str) -> set[str]:
@@ -239,13 +239,12 @@ def co_train(
     return QualityModel(views[0], views[1], logistic(scores, y[held]), prior, added)
 
 
-_hashes = TokenHashes()
-
-
-def featurise(texts: list[str], langs: list, sources: list, n_chars: list) -> tuple[Rows, Rows]:
+def featurise(
+    texts: list[str], langs: list, sources: list, n_chars: list, hashes: TokenHashes | None = None
+) -> tuple[Rows, Rows]:
     """Rows of the text view and of the page view."""
     places, sizes, shapes, names, measures = [], [], [], [], []
-    hashes = _hashes
+    hashes = TokenHashes() if hashes is None else hashes
     for text, lang, source, n in zip(texts, langs, sources, n_chars, strict=True):
         h = sorted(hashes.of(tokens(text)))
         places += h
@@ -264,9 +263,10 @@ _SAMPLE = "id long, label double, places binary, shape binary, names binary, mea
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of sampled documents, packed."""
+    hashes = TokenHashes()
     for batch in batches:
         ids, labels, *columns = (c.to_pylist() for c in batch.columns)
-        rows = [featurise(*([x] for x in r)) for r in zip(*columns, strict=True)]
+        rows = [featurise(*([x] for x in r), hashes) for r in zip(*columns, strict=True)]
         packed = [
             [t.places.astype(np.uint32).tobytes() for t, _ in rows],
             [t.dense.tobytes() for t, _ in rows],
@@ -364,10 +364,11 @@ def score(
     schema += (", " if kept else "") + ", ".join(f"{s} double" for s in SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                rows = featurise(*(part.column(first + j).to_pylist() for j in range(4)))
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows = featurise(*(part.column(first + j).to_pylist() for j in range(4)), hashes)
                 scores = held.value.score(*rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *map(pa.array, scores)], names)
 

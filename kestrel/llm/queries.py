@@ -222,12 +222,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe_digests(bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return bpe_digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
-def bpe_digests(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """Digests of encoded texts and of what their ids decode to."""
-    return bpe.decode(encoded, ranks).select(
+def bpe_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """Digests of texts' ids and of what the ids decode to."""
+    return bpe.encode(docs, ranks, pattern, round_trip=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

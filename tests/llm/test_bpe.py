@@ -23,7 +23,10 @@ def library(ranks):
 def test_documents_against_the_library(spark, made, ranks, library):
     read = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert read == ranks
-    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(made, read, public_tokenizers.PATTERN), read).collect()}
+    encoded = bpe.encode(made, read, public_tokenizers.PATTERN, round_trip=True)
+    got = {r["doc_id"]: r for r in encoded.collect()}
+    again = bpe.decode(encoded.select("doc_id", "ids").repartition(2), read).collect()
+    assert {r["doc_id"]: r["decoded"] for r in again} == {k: r["decoded"] for k, r in got.items()}
     for row in made.collect():
         text = row["text"] or ""
         assert got[row["doc_id"]]["ids"] == library.encode_ordinary(text)
