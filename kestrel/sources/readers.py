@@ -63,21 +63,22 @@ def brand_cores(df: DataFrame, column: str = "brand") -> DataFrame:
 def read_confusables(spark: SparkSession, path: str, rounds: int = 12) -> DataFrame:
     """(ch, target): single characters that look like one ASCII letter or digit, from a UTS #39 file.
 
-    Lines are `SOURCE ; TARGET ... ; type # ...` in code points. Chains are followed by joining the table with itself
-    until nothing changes.
+    Lines are `SOURCE ; TARGET ... ; type # ...` in code points. Chains are followed for up to `rounds` steps.
     """
     bare = F.regexp_replace(F.substring_index("value", "#", 1), "﻿", "")
     parts = spark.read.text(path).select(F.split(bare, ";").alias("p")).where(F.size("p") >= 3)
-    spelt = lambda k: F.array_join(F.transform(F.split(F.trim(F.col("p")[k]), r"\s+"), lambda x: F.char(F.conv(x, 16, 10).cast("long"))), "")
+    spelt = lambda k: F.array_join(F.transform(F.split(F.trim(F.col("p")[k]), r"\s+"), lambda x: F.decode(F.unhex(F.lpad(x, 8, "0")), "UTF-32")), "")
     return chase(parts.select(spelt(0).alias("ch"), spelt(1).alias("target")), rounds)
 
 
 def chase(table: DataFrame, rounds: int = 12) -> DataFrame:
-    """(ch, target) with targets replaced by their own targets until they are final."""
+    """(ch, target) with targets replaced by their own targets, step by step; each step is one lookup in the table."""
     table = table.where(F.length("ch") == 1).dropDuplicates(["ch"])
+    step = F.broadcast(table.select(F.col("ch").alias("__ch"), F.col("target").alias("__next")))  # a few thousand rows
     for _ in range(rounds):
-        step = table.alias("a").join(table.alias("b"), F.col("a.target") == F.col("b.ch"), "left")
-        table = step.select("a.ch", F.coalesce(F.when(F.col("b.target") != F.col("a.ch"), F.col("b.target")), F.col("a.target")).alias("target"))
+        table = table.join(step, (F.col("target") == F.col("__ch")) & (F.col("__next") != F.col("ch")), "left").select(
+            "ch", F.coalesce("__next", "target").alias("target")
+        )
     final = table.select("ch", F.lower("target").alias("target"))
     return final.where(F.col("target").rlike("^[a-z0-9]$") & (F.col("target") != F.lower("ch")))
 
