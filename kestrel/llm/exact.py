@@ -70,9 +70,9 @@ def build_index(
     entries = keep(keyed.select("id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-entries")
     directory = build_directory(chains.select("key", F.lit(1).cast("long").alias("n")), capacity)
     depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # MOST_DEPTH + 1 at most
-    slots = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in sorted(depths)])
+    slots = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in sorted(depths) or [0]])
     probes = chains.withColumn("slot", F.explode(slots)).select("*", "slot.depth", "slot.bucket").drop("slot")
-    owned = probes.join(directory.select("depth", "bucket"), ["depth", "bucket"], "left_semi") if depths else probes
+    owned = probes.join(directory.select("depth", "bucket"), ["depth", "bucket"], "left_semi")
     chain = F.row_number().over(Window.partitionBy("key").orderBy("sha"))
     index = owned.withColumn("chain", chain).repartitionByRange("key").sortWithinPartitions("key", "chain")
     return entries, keep(index, "exact-index")

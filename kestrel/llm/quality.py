@@ -89,7 +89,7 @@ class Rows:
     dense: np.ndarray
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+        return np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(self.ends, prepend=0))
 
     def take(self, rows: np.ndarray) -> Rows:
         begin = np.concatenate([[0], self.ends[:-1]])
@@ -253,9 +253,9 @@ def featurise(
         at, m = metadata(text.encode(), lang, source, n)
         names += at
         measures.append(m)
-    text_rows = Rows(np.array(places, np.int64), np.cumsum(sizes, dtype=np.int64), np.array(shapes).reshape(-1, SHAPES))
+    text_rows = Rows(np.array(places, np.uint32), np.cumsum(sizes, dtype=np.int64), np.array(shapes).reshape(-1, SHAPES))
     ends = np.arange(1, len(texts) + 1, dtype=np.int64) * 2
-    return text_rows, Rows(np.array(names, np.int64), ends, np.array(measures).reshape(-1, MEASURES))
+    return text_rows, Rows(np.array(names, np.uint32), ends, np.array(measures).reshape(-1, MEASURES))
 
 
 _SAMPLE = "id long, label double, places binary, shape binary, names binary, measures binary"
@@ -268,7 +268,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, *columns = (c.to_pylist() for c in batch.columns)
         rows = [featurise(*([x] for x in r), hashes) for r in zip(*columns, strict=True)]
         packed = [
-            [t.places.astype(np.uint32).tobytes() for t, _ in rows],
+            [t.places.tobytes() for t, _ in rows],
             [t.dense.tobytes() for t, _ in rows],
             [p.places.tobytes() for _, p in rows],
             [p.dense.tobytes() for _, p in rows],
@@ -285,8 +285,8 @@ def _rows(sampled: list) -> tuple[Rows, Rows]:
         return np.concatenate(got or [np.zeros(0, dtype)]), np.cumsum([len(g) for g in got], dtype=np.int64)
 
     places, ends = flat("places", np.uint32)
-    text = Rows(places.astype(np.int64), ends, flat("shape", float)[0].reshape(-1, SHAPES))
-    names, ends = flat("names", np.int64)
+    text = Rows(places, ends, flat("shape", float)[0].reshape(-1, SHAPES))
+    names, ends = flat("names", np.uint32)
     return text, Rows(names, ends, flat("measures", float)[0].reshape(-1, MEASURES))
 
 
