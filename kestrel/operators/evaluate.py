@@ -40,23 +40,45 @@ def by_family(df: DataFrame, hits: dict[str, Column], family: str = "family") ->
     ).withColumn(family, F.coalesce(family, F.lit("ALL")))
 
 
-def exact_quantiles(df: DataFrame, column: str, at: list[float], buckets: int = 200) -> DataFrame:
+def in_ranges(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """df plus part: the range of a numeric column, by cuts at its approximate quantiles.
+
+    The part is a plain function of the value, so a running sum over everything becomes one inside each part after the
+    totals of the parts before, and no task has to sort all rows. Equal values share a part.
+    """
+    wanted = [k / buckets for k in range(1, buckets)]
+    cuts = sorted(set(df.agg(F.percentile_approx(column, wanted, 100 * buckets).alias("c")).first()["c"] or []))
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(column) < cuts[mid], search(low, mid)).otherwise(search(mid + 1, high))
+
+    return df.withColumn("part", search(0, len(cuts)))
+
+
+def _before(parts: DataFrame, descending: bool, **sums: str) -> DataFrame:
+    """Totals of the parts before each part; a row per part."""
+    w = Window.orderBy(F.desc("part") if descending else F.asc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    return F.broadcast(totals.select("part", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums]))
+
+
+def exact_quantiles(df: DataFrame, column: str, at: list[float], buckets: int = 64) -> DataFrame:
     """(p, value): the value at place min(n - 1, floor(p n)) of the sorted column, counted from 0.
 
-    Values are dealt into ranges at approximate quantiles; only the ranges that hold a wanted place are sorted.
+    Only the ranges of values that hold a wanted place are sorted. Nulls are left out.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    cuts = values.agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 10_000).alias("c"), F.count(F.lit(1)).alias("n")).first()
-    spark, n = df.sparkSession, cuts["n"]
+    dealt = in_ranges(values, "v", buckets).withColumn("one", F.lit(1))
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    held = sizes.join(_before(dealt, False, start="one"), "part")
+    spark, n = df.sparkSession, values.count()
     if not n:
         return spark.createDataFrame([], "p double, value double")
-    edges = sorted(set(cuts["c"]))
-    part = sum((F.when(F.col("v") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    dealt = values.withColumn("part", part)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
     wanted = spark.createDataFrame([(p, min(n - 1, int(p * n))) for p in at], "p double, place long")
-    holds = wanted.join(F.broadcast(starts), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("m")))
+    holds = wanted.join(F.broadcast(held), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("m")))
     ranked = dealt.join(F.broadcast(holds.select("part", "start").distinct()), "part").withColumn(
         "place", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
     )
@@ -66,9 +88,10 @@ def exact_quantiles(df: DataFrame, column: str, at: list[float], buckets: int =
 def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """auc by the rank sum of positives, ties at their mean rank. Aggregated to scores first, so ties cost one row."""
     groups = df.select(F.col(score).alias("s"), positive.cast("long").alias("y")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
-    upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = groups.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn(
-        "rank", F.col("before") + (F.col("n") + 1) / 2
+    dealt = in_ranges(groups, "s")
+    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.join(_before(dealt, False, start="n"), "part").withColumn(
+        "rank", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2
     )
     sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     p, q = F.col("p"), F.col("q")
@@ -77,9 +100,14 @@ def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, positive: Column, order: str) -> DataFrame:
     """ap: mean precision at each positive, by score from high to low, ties in the order of a column."""
-    walk = Window.orderBy(F.desc("s"), "o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(F.col(score).alias("s"), F.col(order).alias("o"), positive.cast("long").alias("y"))
-    seen = rows.withColumn("tp", F.sum("y").over(walk)).withColumn("k", F.count(F.lit(1)).over(walk))
+    rows = df.select(F.col(score).alias("s"), F.col(order).alias("o"), positive.cast("long").alias("y"), F.lit(1).alias("one"))
+    dealt = in_ranges(rows, "s")
+    walk = Window.partitionBy("part").orderBy(F.desc("s"), "o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = (
+        dealt.join(_before(dealt, True, tp_before="y", k_before="one"), "part")
+        .withColumn("tp", F.col("tp_before") + F.sum("y").over(walk))
+        .withColumn("k", F.col("k_before") + F.count(F.lit(1)).over(walk))
+    )
     return seen.where("y = 1").agg(F.coalesce(F.avg(F.col("tp") / F.col("k")), F.lit(0.0)).alias("ap"))
 
 
@@ -120,24 +148,41 @@ def block_threshold(df: DataFrame, score: str, positive: Column, warn: float) ->
     return df.agg(F.least(F.lit(0.995), F.greatest(F.lit(warn + 0.02), worst + 0.001)).alias("block"))
 
 
+def shuffled_rank(df: DataFrame, by: str, key: str, seed: str = "", digits: int = 2) -> DataFrame:
+    """df plus rank (from 1) in each stratum's order of the key's MD5, and of, the stratum's size.
+
+    MD5 is uniform, so its first digits cut every stratum into balanced slices that are ranked apart; the sizes of the
+    slices before are added. A stratum may hold most rows.
+    """
+    turn = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    rows = df.withColumn("__turn", turn).withColumn("__slice", F.substring("__turn", 1, digits)).withColumn("__by", F.col(by))
+    sizes = rows.groupBy("__by", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__by")
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(
+        F.col("__by").alias("__ob"), F.col("__slice").alias("__os"), before.alias("__before"), F.sum("__n").over(w).alias("of")
+    )
+    placed = rows.join(offsets, F.col("__by").eqNullSafe(F.col("__ob")) & (F.col("__slice") == F.col("__os")))
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__by", "__slice").orderBy("__turn", key))
+    return placed.withColumn("rank", rank).select(*[F.col(f"`{c}`") for c in df.columns], "rank", "of")
+
+
 def stratified_split(df: DataFrame, by: str, key: str, share: float = 0.7, seed: str = "") -> DataFrame:
     """df plus train: the first floor(share * n) of each stratum in the order of the key's MD5; sizes are exact."""
-    turn = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    w = Window.partitionBy(by)
-    rank = F.row_number().over(w.orderBy(turn, key))
-    return df.withColumn("train", rank <= F.floor(F.lit(share) * F.count(F.lit(1)).over(w)))
+    ranked = shuffled_rank(df, by, key, seed)
+    return ranked.withColumn("train", F.col("rank") <= F.floor(F.lit(share) * F.col("of"))).drop("rank", "of")
 
 
 def folds(df: DataFrame, by: str, key: str, k: int = 5, seed: str = "") -> DataFrame:
     """df plus fold: place in the stratum's shuffled order, modulo k."""
-    turn = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(by).orderBy(turn, key)) - 1) % k)
+    return shuffled_rank(df, by, key, seed).withColumn("fold", (F.col("rank") - 1) % k).drop("rank", "of")
 
 
 def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return ranked.where("__k = 1").drop("__k")
+    """The first row of each key, by an aggregate that combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    least = df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("__x"))
+    return least.select(*keys, "__x.*").select(*df.columns)
 
 
 def signal_tally(verdicts: DataFrame) -> DataFrame:

@@ -542,10 +542,8 @@ def g7(spark, sf_dir):
 
 @query("G8_seeded_order", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7' || c_custkey), c_custkey) AS place FROM customer")
 def g8(spark, sf_dir):
-    from pyspark.sql import Window
-
-    turn = F.md5(F.concat(F.lit("7"), F.col("c_custkey").cast("string")).cast("binary"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(turn, "c_custkey")).cast("long").alias("place"))
+    ranked = ev.shuffled_rank(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", "7")
+    return ranked.select("c_custkey", F.col("rank").alias("place"))
 
 
 # ---- samples -------------------------------------------------------------------------------------------------------
