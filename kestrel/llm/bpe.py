@@ -20,8 +20,8 @@ NONE = np.int32(2**31 - 1)
 #: Matrices have at most so many cells; pieces of more bytes than LONG are merged with a heap instead.
 CELLS = 1 << 20
 LONG = 1024
-#: Pieces remembered by a task, about 50 MB.
-CACHED = 200_000
+#: Pieces remembered by a task, about 70 MB.
+CACHED = 300_000
 
 
 class PairTable:
@@ -201,6 +201,17 @@ class Pieces(dict):
         self.update(zip(new, self.vocabulary.encode([p.encode() for p in new]), strict=True))
 
 
+_loaded: dict[bytes, Vocabulary] = {}
+
+
+def _vocabulary(rank_file: bytes) -> Vocabulary:
+    """One parsed vocabulary per worker process, about 25 MB."""
+    if rank_file not in _loaded:
+        _loaded.clear()
+        _loaded[rank_file] = Vocabulary(rank_file)
+    return _loaded[rank_file]
+
+
 def _some(rows: Iterator[tuple], most: int = 1 << 21) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     size = 0
@@ -235,7 +246,8 @@ def encode(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(held.value)
+        vocabulary = _vocabulary(held.value)
+        token = vocabulary.tokens.__getitem__
         known, find = Pieces(vocabulary), regex.compile(pattern).findall
         for batch in batches:
             done = 0
@@ -247,7 +259,7 @@ def encode(
                 flat = np.fromiter(itertools.chain.from_iterable(each), np.int32, ends[-1])
                 columns = [batch.column(0).slice(done, len(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if round_trip:
-                    columns.append(_bytes_of(flat, ends, vocabulary.tokens))
+                    columns.append(pa.array([b"".join(map(token, ids)) for ids in each], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
                 done += len(rows)
 
@@ -257,23 +269,19 @@ def encode(
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _bytes_of(flat: np.ndarray, ends: np.ndarray, tokens: list[bytes]) -> pa.Array:
-    ids, at = flat.tolist(), (ends - ends[0]).tolist()
-    return pa.array([b"".join(map(tokens.__getitem__, ids[a:b])) for a, b in itertools.pairwise(at)], pa.binary())
-
-
 def decode(encoded: DataFrame, ranks: bytes, *, id_col: str = "doc_id") -> DataFrame:
     """encoded with a further column decoded (binary): the bytes that the ids stand for."""
     held = encoded.sparkSession.sparkContext.broadcast(ranks)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = read_tokens(held.value)
+        token = read_tokens(held.value).__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                ids = part.column(1)
-                out = _bytes_of(ids.flatten().to_numpy(), ids.offsets.to_numpy(), tokens)
+                ids, ends = part.column(1).flatten().to_numpy().tolist(), part.column(1).offsets.to_numpy()
+                cuts = itertools.pairwise((ends - ends[0]).tolist())
+                out = pa.array([b"".join(map(token, ids[a:b])) for a, b in cuts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
