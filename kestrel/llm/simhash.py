@@ -17,6 +17,8 @@ from kestrel.llm.words import LOWER, rows_of
 
 #: Shingles whose bits are counted at once.
 BLOCK = 65536
+#: Tasks that the fingerprints of one component are spread over.
+SALTS = 32
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -148,10 +150,13 @@ def near_duplicates(
     """
     marked = keep(fingerprints(docs, shingle, seed, id_col=id_col, text_col=text_col), "simhash")
     distinct = keep(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), most=most)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(firsts, "root").select("fp", "component_id")
+    roots = keep(components(links(distinct.select("fp"), most=most)), "simhash-roots")
+    firsts = roots.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # a component may hold a large share of all fingerprints: its row is copied for SALTS tasks
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    linked = mine.join(salted, ["root", "salt"]).select(F.col("node").alias("fp"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
