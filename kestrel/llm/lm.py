@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -157,7 +158,7 @@ def _store(path: str, name: str, array: np.ndarray) -> None:
     """Write an array's file; a repeated task writes the same file again and the last move wins."""
     fs, inside = _local(path)
     fs.create_dir(inside, recursive=True)
-    part = f"{inside}/.{name}.{os.getpid()}"
+    part = f"{inside}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         np.lib.format.write_array(out, array, allow_pickle=False)
     fs.move(part, f"{inside}/{name}.npy")
@@ -172,7 +173,7 @@ def _mapped(model: Model, name: str) -> np.ndarray:
             own = os.path.join(tempfile.gettempdir(), "kestrel-" + hashlib.md5(model.path.encode()).hexdigest())
             os.makedirs(own, exist_ok=True)
             if not os.path.exists(copy := f"{own}/{name}.npy"):
-                part = f"{copy}.{os.getpid()}"
+                part = f"{copy}.{uuid.uuid4().hex}"
                 with fs.open_input_stream(file) as src, open(part, "wb") as dst:
                     while piece := src.read(1 << 22):
                         dst.write(piece)
