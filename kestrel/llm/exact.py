@@ -49,33 +49,44 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
+def route(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """Rows (key, ...) with the depth and bucket that the directory gives their key."""
+    depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # MOST_DEPTH + 1 at most
+    slots = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in sorted(depths) or [0]])
+    probes = rows.withColumn("slot", F.explode(slots)).select("*", "slot.depth", "slot.bucket").drop("slot")
+    # a row per bucket, so the directory is smaller than the keys by the capacity
+    return probes.join(F.broadcast(directory.select("depth", "bucket")), ["depth", "bucket"], "left_semi")
+
+
+def hashed(norm: Column) -> Column:
+    """The 64-bit key of a normalised text."""
+    return F.xxhash64(norm)
+
+
 def build_index(
     docs: DataFrame, *, capacity: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """(entries, index) over the normalised texts of docs.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, directory, index) over the normalised texts of docs.
 
-    entries: one row per document: id, key (64-bit hash of the normalised text), sha (its SHA-256). index: one row per
-    different text: bucket, depth, key, chain (place among the texts of one key), sha, keep_id, group_size,
-    written to the shared folder, files holding ranges of buckets.
+    entries: one row per document: id, key (64-bit hash of the normalised text), sha (its SHA-256). directory: the
+    buckets that build_directory makes of the different keys. index: one row per different text: bucket, depth, key,
+    chain (place among the texts of one key), sha, keep_id, group_size, written to the shared folder, files holding
+    ranges of buckets.
 
-    Copies are combined before the shuffle, comparing whole texts, so neither a large group nor two texts of one hash
-    value can mix or pile up in a task.
+    The directory gives each text its bucket before any text is compared. A bucket's texts are chained per key by
+    comparing whole texts, which sets keep_id and group_size. Copies are combined before the shuffle, so neither
+    a large group nor two texts of one hash value can mix or pile up in a task.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("norm"))
-    keyed = rows.select("id", F.xxhash64("norm").alias("key"), "norm")
-    groups = keyed.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chains = keep(
-        groups.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "exact-texts"
-    )
-    entries = keep(keyed.select("id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-entries")
-    directory = build_directory(chains.select("key", F.lit(1).cast("long").alias("n")), capacity)
-    depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # MOST_DEPTH + 1 at most
-    slots = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in sorted(depths) or [0]])
-    probes = chains.withColumn("slot", F.explode(slots)).select("*", "slot.depth", "slot.bucket").drop("slot")
-    owned = probes.join(directory.select("depth", "bucket"), ["depth", "bucket"], "left_semi")
-    chain = F.row_number().over(Window.partitionBy("key").orderBy("sha"))
-    index = owned.withColumn("chain", chain).repartitionByRange("key").sortWithinPartitions("key", "chain")
-    return entries, keep(index, "exact-index")
+    keyed = rows.select("id", hashed(F.col("norm")).alias("key"), "norm")
+    sha = F.unhex(F.sha2("norm", 256)).alias("sha")
+    entries = keep(keyed.select("id", "key", sha), "exact-entries")
+    directory = build_directory(entries.select("key").distinct().withColumn("n", F.lit(1).cast("long")), capacity)
+    owned = route(keyed, directory).groupBy("depth", "bucket", "key", "norm")
+    texts = owned.agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    chain = F.row_number().over(Window.partitionBy("depth", "bucket", "key").orderBy("sha"))
+    index = texts.select("depth", "bucket", "key", sha, "keep_id", "group_size").withColumn("chain", chain)
+    return entries, directory, keep(index.repartitionByRange("key").sortWithinPartitions("key", "chain"), "exact-index")
 
 
 def exact_duplicates(
@@ -87,11 +98,11 @@ def exact_duplicates(
     counts as empty. Of rows that repeat an id and a text one is kept. Null ids are ignored for keep_id unless the
     group has no other. An empty table gives no rows. Other columns are not read.
     """
-    entries, index = build_index(docs, capacity=capacity, id_col=id_col, text_col=text_col)
+    entries, directory, index = build_index(docs, capacity=capacity, id_col=id_col, text_col=text_col)
     ties = Window.partitionBy("key", "sha", "id").orderBy(F.lit(1))
-    # a key's chain tells texts of one hash value apart
-    found = entries.withColumn("tie", F.row_number().over(ties)).join(
-        index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"]
+    # the bucket is looked up; in it, a key's chain tells texts of one hash value apart
+    found = route(entries.withColumn("tie", F.row_number().over(ties)), directory).join(
+        index.select("depth", "bucket", "key", "sha", "keep_id", "group_size"), ["depth", "bucket", "key", "sha"]
     )
     return found.select(
         F.col("id").alias(id_col),

@@ -97,3 +97,27 @@ def test_repeated_rows_keep_one(spark, nothing):
         [(1, True), (1, False), (2, False), (None, True), (None, False), (3, True), (4, False)]
     )
     assert exact.exact_duplicates(nothing).collect() == []
+
+
+def test_buckets_decide_copies(made, monkeypatch):
+    written, build = [], exact.build_directory
+
+    def late(keys, capacity):
+        assert not any({"keep_id", "group_size"} & set(c) for c in written)  # nothing is decided before the directory
+        buckets = build(keys, capacity)
+        return buckets.where(F.col("bucket") % 2 == 0)
+
+    store = exact.keep
+    monkeypatch.setattr(exact, "keep", lambda df, name: (written.append(df.columns), store(df, name))[1])
+    whole = {r["doc_id"] for r in exact.exact_duplicates(made, capacity=4).collect()}
+    written.clear()
+    monkeypatch.setattr(exact, "build_directory", late)
+    assert 0 < exact.exact_duplicates(made, capacity=4).count() < len(whole)
+
+
+def test_texts_of_one_hash_value_are_chained(made, monkeypatch):
+    want = Counter(map(tuple, exact.exact_duplicates(made, capacity=4).collect()))
+    monkeypatch.setattr(exact, "hashed", lambda norm: F.shiftleft((F.length(norm) % 3).cast("long"), 62))
+    _, _, index = exact.build_index(made, capacity=4)
+    assert max(r["chain"] for r in index.collect()) > 10
+    assert Counter(map(tuple, exact.exact_duplicates(made, capacity=4).collect())) == want
