@@ -1,5 +1,6 @@
 """A corpus pipeline: quality, exact copies, near copies, mixing, tokens.
 
+Ids may repeat or be null: stages that decide about rows number them first and hand decisions back by number.
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. Rows keep the columns of
 documents until the last stage, which gives one row per document of the mix (as often as the mix takes it).
 """
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.llm import bpe, exact, mixing, quality, simhash
 from kestrel.llm.queries import bpe_digests
-from kestrel.llm.shared import keep
+from kestrel.llm.shared import ROW, keep, numbered
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +23,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of each group of equal texts."""
-    return exact.first_copies(docs, exact.exact_duplicates(docs))
+    rows = numbered(docs, "exact-rows")
+    return exact.first_copies(rows, exact.exact_duplicates(rows), by=ROW).drop(ROW)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest id."""
-    return simhash.one_of_each(docs, simhash.near_duplicates(docs))
+    rows = numbered(docs, "simhash-rows")
+    return simhash.one_of_each(rows, simhash.near_duplicates(rows), by=ROW).drop(ROW)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to weights 5, 2, 1 takes them."""
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    rows = numbered(docs, "mix-rows")
+    return mixing.mixed_documents(rows, mixing.mix_sources(rows), by=ROW).drop(ROW)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

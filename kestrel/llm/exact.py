@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import SPACE, keep, text_or_empty
+from kestrel.llm.shared import ROW, SPACE, chosen, keep, text_or_empty
 
 MOST_DEPTH = 48
 
@@ -68,8 +68,8 @@ def build_index(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, directory, index) over the normalised texts of docs.
 
-    entries: one row per document: id, key (64-bit hash of the normalised text), sha (its SHA-256). directory: the
-    buckets that build_directory makes of the different keys. index: one row per different text: bucket, depth, key,
+    entries: one row per document: id, key (64-bit hash of the normalised text), sha (its SHA-256), ROW (that of docs
+    where they are numbered, else a number of its own). directory: the buckets that build_directory makes of the different keys. index: one row per different text: bucket, depth, key,
     chain (place among the texts of one key), sha, keep_id, group_size, written to the shared folder, files holding
     ranges of buckets.
 
@@ -77,12 +77,13 @@ def build_index(
     comparing whole texts, which sets keep_id and group_size. Copies are combined before the shuffle, so neither
     a large group nor two texts of one hash value can mix or pile up in a task.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("norm"))
-    keyed = rows.select("id", hashed(F.col("norm")).alias("key"), "norm")
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("norm"), row.alias(ROW))
+    keyed = rows.select("id", hashed(F.col("norm")).alias("key"), "norm", ROW)
     sha = F.unhex(F.sha2("norm", 256)).alias("sha")
-    entries = keep(keyed.select("id", "key", sha), "exact-entries")
+    entries = keep(keyed.select("id", "key", sha, ROW), "exact-entries")
     directory = build_directory(entries.select("key").distinct().withColumn("n", F.lit(1).cast("long")), capacity)
-    owned = route(keyed, directory).groupBy("depth", "bucket", "key", "norm")
+    owned = route(keyed.drop(ROW), directory).groupBy("depth", "bucket", "key", "norm")
     texts = owned.agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     chain = F.row_number().over(Window.partitionBy("depth", "bucket", "key").orderBy("sha"))
     index = texts.select("depth", "bucket", "key", sha, "keep_id", "group_size").withColumn("chain", chain)
@@ -96,10 +97,11 @@ def exact_duplicates(
 
     Returns, per document, id_col, keep_id (the smallest id of its group), group_size, kept, text_sha256. A null text
     counts as empty. Of rows that repeat an id and a text one is kept. Null ids are ignored for keep_id unless the
-    group has no other. An empty table gives no rows. Other columns are not read.
+    group has no other. An empty table gives no rows. Of other columns only ROW is read, and returned, where docs are
+    numbered.
     """
     entries, directory, index = build_index(docs, capacity=capacity, id_col=id_col, text_col=text_col)
-    ties = Window.partitionBy("key", "sha", "id").orderBy(F.lit(1))
+    ties = Window.partitionBy("key", "sha", "id").orderBy(ROW)
     # the bucket is looked up; in it, a key's chain tells texts of one hash value apart
     found = route(entries.withColumn("tie", F.row_number().over(ties)), directory).join(
         index.select("depth", "bucket", "key", "sha", "keep_id", "group_size"), ["depth", "bucket", "key", "sha"]
@@ -110,10 +112,13 @@ def exact_duplicates(
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *[c for c in docs.columns if c == ROW],
     )
 
 
-def first_copies(docs: DataFrame, marks: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The documents that exact_duplicates keeps. Columns are those of docs; ids must be unique."""
-    kept = marks.where("kept").select(F.col(id_col).alias("__id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+def first_copies(docs: DataFrame, marks: DataFrame, *, by: str = "doc_id") -> DataFrame:
+    """The documents that exact_duplicates keeps. Columns are those of docs.
+
+    `by` tells rows apart: ROW of numbered documents, or an id that never repeats.
+    """
+    return chosen(docs, marks.where("kept"), by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import WORD, keep, text_or_empty
+from kestrel.llm.shared import ROW, WORD, keep, text_or_empty
 
 
 def source_targets(
@@ -77,16 +77,18 @@ def mix_sources(
     Returns id_col, source_col, size, source_size, target, taken.
 
     A null text counts as empty and a document of no words is taken 0 times. A null source is a source of its own,
-    the last. Documents with equal ids are ordered by size; rows equal in id and size are interchangeable. An empty
-    table gives no rows. Other columns are not read.
+    the last. Documents with equal ids are ordered by size; rows equal in id and size by ROW, or as it comes. An empty
+    table gives no rows. Of other columns only ROW is read, and returned, where docs are numbered.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    row = [c for c in docs.columns if c == ROW]
     rows = keep(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text_or_empty(text_col)).alias("size"),
             key.alias("key"),
+            *row,
         ),
         "mix-sizes",
     )
@@ -103,7 +105,7 @@ def mix_sources(
         .select("o.source", "o.slice", "o.before", "t.source_size", "t.target")
     )
     offsets = keep(offsets, "mix-offsets")
-    walk = Window.partitionBy("r.source", "r.slice").orderBy("r.key", "r.id", "r.size")
+    walk = Window.partitionBy("r.source", "r.slice").orderBy("r.key", "r.id", "r.size", *row)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return (
         rows.alias("r")
@@ -122,20 +124,22 @@ def mix_sources(
             F.col("source_size").cast("long").alias("source_size"),
             "target",
             (F.col("epochs") * F.col("r.size") + F.col("part")).cast("long").alias("taken"),
+            *row,
         )
     )
 
 
-def mixed_documents(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def mixed_documents(docs: DataFrame, mix: DataFrame, *, by: str = "doc_id") -> DataFrame:
     """The documents of a mix, each as often as it is taken; one cut in part counts as taken whole.
 
-    Ids must be unique in docs. Documents that the mix doesn't take are left out. Columns are those of docs.
+    Documents that the mix doesn't take are left out. Columns are those of docs. `by` tells rows apart: ROW of numbered
+    documents, or an id that never repeats.
     """
     take = mix.where(F.col("taken") > 0).select(
-        F.col(id_col).alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies")
+        F.col(by).alias("__by"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies")
     )
     return (
-        docs.join(take, F.col(id_col).eqNullSafe(F.col("__id")))
+        docs.join(take, F.col(by).eqNullSafe(F.col("__by")))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -38,6 +38,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of numbered().
+ROW = "__row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df plus ROW, a number of each row, written once: rows that repeat, or have no id, can be told apart by it."""
+    return keep(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def chosen(docs: DataFrame, marks: DataFrame, by: str) -> DataFrame:
+    """The rows of docs whose value of `by` marks have, null as a value."""
+    wanted = marks.select(F.col(by).alias("__by"))
+    return docs.join(wanted, F.col(by).eqNullSafe(F.col("__by")), "left_semi")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

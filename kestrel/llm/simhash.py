@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.graph import components
-from kestrel.llm.shared import keep, text_or_empty
+from kestrel.llm.shared import ROW, chosen, keep, text_or_empty
 from kestrel.llm.words import LOWER, rows_of
 
 #: Shingles whose bits are counted at once.
@@ -38,16 +38,22 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(text, shingle, seed) for _, text in rows_of(iter([batch]))]
+        prints = [fingerprint(text, shingle, seed) for _, text in rows_of(iter([batch.select(["id", "text"])]))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "fp"]
+            [batch["id"], batch[ROW], pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", ROW, "fp"]
         )
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the SimHash of each document as a signed 64-bit number. A null text counts as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), "id long, fp long")
+    """(id, ROW, fp): the SimHash of each document as a signed 64-bit number. A null text counts as empty.
+
+    ROW is that of docs where they are numbered, else a number of its own.
+    """
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"), row.alias(ROW)
+    )
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), f"id long, {ROW} long, fp long")
 
 
 def _half(k: int):
@@ -143,24 +149,35 @@ def near_duplicates(
 ) -> DataFrame:
     """The group of near-duplicates of every document.
 
-    Returns id_col, fp (signed 64-bit SimHash), component_id (the smallest id that links reach, its own included).
+    Returns id_col, fp (signed 64-bit SimHash), component_id (the smallest id that links reach, its own included),
+    kept (true for one row of the group, of those with that id).
     Documents of equal fingerprints are linked; texts without words have fingerprint 0 and are linked like any
     other. Shorter texts than a shingle are one shingle. Null ids are passed over for component_id unless the group
-    has no other. Rows may repeat. An empty table gives no rows. Other columns are not read.
+    has no other. Rows may repeat. An empty table gives no rows. Of other columns only ROW is read, and returned, where docs
+    are numbered.
     """
     marked = keep(fingerprints(docs, shingle, seed, id_col=id_col, text_col=text_col), "simhash")
-    distinct = keep(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", ROW)  # null ids come last
+    distinct = keep(marked.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
     roots = keep(components(links(distinct.select("fp"), most=most)), "simhash-roots")
-    firsts = roots.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    firsts = roots.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("stands"))
     # a component may hold a large share of all fingerprints: its row is copied for SALTS tasks
     salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mine = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    linked = mine.join(salted, ["root", "salt"]).select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    linked = mine.join(salted, ["root", "salt"]).select(F.col("node").alias("fp"), "stands")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("stands", "first").alias("stands"))
+    return marked.join(named, "fp").select(
+        F.col("id").alias(id_col),
+        "fp",
+        F.col("stands.id").alias("component_id"),
+        (F.col(ROW) == F.col(f"stands.{ROW}")).alias("kept"),
+        *[c for c in docs.columns if c == ROW],
+    )
+
 
+def one_of_each(docs: DataFrame, groups: DataFrame, *, by: str = "doc_id") -> DataFrame:
+    """The documents that stand for their groups. Columns are those of docs.
 
-def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stand for their groups. Columns are those of docs; ids must be unique."""
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    `by` tells rows apart: ROW of numbered documents, or an id that never repeats.
+    """
+    return chosen(docs, groups.where("kept"), by)

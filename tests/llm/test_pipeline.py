@@ -85,3 +85,29 @@ def test_pipeline_against_brute_force(spark, sf_dir):
                     hashlib.sha256(t.encode()).hexdigest()) for d, t, _ in mixed)
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert Counter(map(tuple, got.collect())) == want
+
+
+ODD = [
+    (1, "red green blue", "en", "a", 14), (1, "red green blue", "en", "a", 14), (1, "one two three four five", "en", "a", 23),
+    (None, "red green blue", "en", "b", 14), (None, "grey skies over the sea", "en", "a", 23), (None, "grey skies over the sea", "en", "b", 23),
+    (None, None, "en", "a", 0), (2, "one two three four five", "en", "b", 23), (3, "", "en", "b", 0),
+]
+
+
+def test_stages_on_repeated_rows_and_null_ids(spark, sf_dir):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    rows = lambda df: Counter((r["doc_id"], r["text"] or "") for r in df.collect())
+    given = rows(docs)
+    good = rows(stages[0](spark, docs, sf_dir))
+    assert all(n == given[row] for row, n in good.items())  # equal rows fare alike
+    one = Counter([(1, "red green blue"), (1, "one two three four five"), (None, "grey skies over the sea"), (3, "")])
+    assert rows(stages[1](spark, docs, sf_dir)) == one
+    assert rows(stages[2](spark, docs, sf_dir)) == one
+    mix = mixing.mix_sources(docs).collect()
+    want = Counter()
+    for r in mix:
+        want[r["doc_id"], r["size"]] += -(-r["taken"] // r["size"]) if r["taken"] else 0
+    got = Counter((r["doc_id"], len((r["text"] or "").split())) for r in stages[3](spark, docs, sf_dir).collect())
+    assert got == +want
+    assert stages[4](spark, docs, sf_dir).count() == len(ODD)
