@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,9 +49,8 @@ def content_shape(text: str) -> list[float]:
     words = text.split()
     if not words:
         return [0.0, 0.0, 0.0]
-    different = set(words)
-    top = max(map(words.count, list(different)[:50])) if len(different) <= 50 else 0
-    return [len(different) / len(words), top / len(words), np.log1p(len(words) / len(different))]
+    counts = Counter(words)
+    return [len(counts) / len(words), max(counts.values()) / len(words), np.log1p(len(words) / len(counts))]
 
 
 def metadata(raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> tuple[list[int], list[float]]:

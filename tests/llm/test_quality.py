@@ -59,3 +59,9 @@ def test_odd_rows(spark, made, nothing):
     empty = quality.train(nothing, labels.limit(0))
     assert quality.score(nothing, empty).collect() == []
     assert {r["quality_score"] for r in quality.score(made, empty).collect()} == {1.0}
+
+
+def test_most_frequent_word_of_any_text():
+    for others in (10, 51, 400):
+        text = " ".join(["buy"] * 600 + [f"w{k}" for k in range(others)])
+        assert quality.content_shape(text)[1] == pytest.approx(600 / (600 + others))
