@@ -104,7 +104,7 @@ def extract_features(
     # a label may hold several cores; a longer one than the label itself can't be, so one other core suffices
     others = [F.when(F.col("skeleton").contains(b.core) & (F.col("sld") != b.core), F.lit(b.core)) for b in brands if len(b.core) >= 4]
     matched = matched.withColumn("embedded_core", F.coalesce(*others)).withColumn("host_name", F.col("host"))
-    return matched.select(*[F.col(f"`{c}`") for c in df.columns], *feature_columns(bigrams))
+    return matched.select(*[F.col(f"`{c}`") for c in df.columns], *feature_columns(bigrams if bigrams is not None else dims.bigram_grid()))
 
 
 def predict(features: DataFrame, weights: list[tuple[str, float, float, float]] | None = None, bias: float = MODEL_BIAS,

@@ -802,7 +802,7 @@ def t11(spark, sf_dir):
 def t12(spark, sf_dir):
     h = derived_hosts(spark, sf_dir).select("host").distinct()
     ruled = rules.analyze(h, "host").select("host", F.col("verdict.level").alias("rules_level"))
-    ml = ft.predict(ft.extract_features(h, "host")).select("host", F.col("level").alias("ml_level"))
+    ml = ft.predict(ft.extract_features(h, "host", dims.bigram_grid())).select("host", F.col("level").alias("ml_level"))
     return ruled.join(ml, "host").groupBy("rules_level", "ml_level").agg(F.count(F.lit(1)).alias("n"))
 
 

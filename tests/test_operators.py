@@ -143,3 +143,17 @@ def test_readers_and_sinks(spark, tmp_path):
     for rows in ([("a", 1)], [("a", 2), ("b", 1)]):
         readers.upsert_state(spark.createDataFrame(rows, "k string, v2 int"), f"{tmp_path}/state", ["k"])
     assert {tuple(r) for r in readers.read_state(spark, f"{tmp_path}/state")[0].collect()} == {("a", 2), ("b", 1)}
+
+
+def test_full_tables(spark):
+    suffixes = dims.public_suffixes()
+    kinds = [sum(r.startswith(k) for r in suffixes) for k in ("*.", "!")]
+    assert (len(suffixes), kinds) == (6933, [16, 8])
+    assert dims.suffix_rules(spark).agg(F.sum(F.col("is_exact").cast("int")), F.sum(F.col("is_wild").cast("int"))).first() == (6909, 16)
+    assert len(dims.confusables()) == 1629 and len(dims.bigram_grid()) == 39 * 39
+    assert unicode.fold("gøøgłe", dims.confusables()) == "google" and unicode.fold("đŧ", dims.confusables()) == "dt"
+    df = spark.createDataFrame([("paypal.com.hk",), ("gøøgle.com",)], "input string")
+    got = {r["input"]: r["verdict"] for r in rules.analyze(df, "input").collect()}
+    assert (got["gøøgle.com"]["level"], got["gøøgle.com"]["score"], got["paypal.com.hk"]["level"]) == ("dangerous", 85, "safe")
+    f = {r["input"]: r["ngramImprob"] for r in features.extract_features(spark.createDataFrame([("paypal.com",), ("paypa1.com",)], "input string")).collect()}
+    assert f == pytest.approx({"paypal.com": 2.737257, "paypa1.com": 3.237157}, abs=1e-6)
