@@ -1,12 +1,10 @@
-"""Interpolated modified Kneser-Ney bigrams: counted in Spark, kept as sorted hash arrays, mapped by workers."""
+"""Interpolated modified Kneser-Ney n-grams: counted in Spark, kept as sorted hash arrays, mapped by workers."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,18 +13,26 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import keep, parts, shared_path, text_bytes, text_or_empty
-from kestrel.llm.words import LOWER, WordHashes, chunks, mix, rows_of, split_by, squeeze, unsqueeze
+from kestrel.llm.shared import dealt, keep, shared_path, text_bytes, text_or_empty
+from kestrel.llm.words import LOWER, Lanes, WordHashes, by_lane, chunks, mix, rows_of, squeeze, unsqueeze
 
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 #: Hashes of the marks before and after each text. No word hash is set aside for them: a word would have to hit
 #: one of two 64-bit numbers.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: A word that makes more than 1/HOT of all tokens has its followers spread over all buckets.
+#: A word that makes more than 1/HOT of all tokens is hot; followers of contexts of hot words are spread over all lanes.
 HOT = 1000
+#: Files that a task keeps mapped at once.
+MOST_MAPPED = 900
 
-_WORDS = "bucket int, n int, data binary"
-_SENT = "kind int, bucket int, n int, runs int, data binary"
+_FACTS = "lane int, sub int, n int, data binary"
+_GRAMS = "lane int, sub int, n int, runs int, data binary"
+_CLASSES = "types long, n1 long, n2 long, n3 long, n4 long"
+_SENT = f"kind int, {_GRAMS}, {_CLASSES}"
+#: What is known of a word: its count, words before it, followers seen once, twice, more often, and how often it has one.
+WORD_FACTS = 6
+#: What is known of a context of several words: the last four of these.
+CONTEXT_FACTS = 4
 
 
 @dataclass
@@ -34,17 +40,17 @@ class Model:
     """Where a model's arrays lie, and its totals. Bounded: the arrays stay in their files."""
 
     path: str
-    buckets: int
+    order: int
+    lanes: Lanes
     hot: list[int]
     tokens: int = 0
     distinct: int = 0
-    bigrams: int = 0
-    texts: int = 0
-    pair_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
-    word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    #: Level (number of words) -> different n-grams, and the discounts of counts 1, 2 and 3 or more.
+    types: dict[int, int] = field(default_factory=dict)
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
     word_left: float = 1.0
     base_add: float = 0.1
-    files: dict = field(default_factory=dict, repr=False, compare=False)
+    mapped: OrderedDict = field(default_factory=OrderedDict, repr=False, compare=False)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -56,39 +62,54 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.0), k)) for k, d in enumerate(raw, 1))
 
 
-def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+def gram_key(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of n-grams, given as one array of word hashes for each place; of single words the word's own."""
+    key = words[0]
+    for w in words[1:]:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w)
+    return key
 
 
-def _word_bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+def _gram_place(words: list[np.ndarray], hot: np.ndarray, lanes: Lanes) -> np.ndarray:
+    """Where an n-gram is counted: with the others of its context, but spread where all of the context is hot."""
+    context = gram_key(words[:-1])
+    spread = np.logical_and.reduce([np.isin(w, hot) for w in words[:-1]])
+    return lanes.place(mix(np.where(spread, context ^ mix(words[-1]), context)))
 
 
-def _pair_bucket(left: np.ndarray, right: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    spread = np.where(np.isin(left, hot), left ^ mix(right), left)
-    return _word_bucket(mix(spread), n)
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
-    """Chunks of texts: their other columns, hashes of all words with BEGIN and END, and where each text begins."""
+def _texts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Chunks of texts: their other columns, hashes of all words after order - 1 BEGIN and before END, and each text's start."""
     known = WordHashes()
+    before = [BEGIN] * (order - 1)
 
     def hashed() -> Iterator[tuple[tuple, np.ndarray]]:
         for *values, text in rows_of(batches):
             out = known.of(text.translate(LOWER).split())
-            yield tuple(values), np.concatenate([[BEGIN], out, [END]])
+            yield tuple(values), np.concatenate([before, out, [END]])
 
     for values, arrays in chunks(hashed(), CHUNK_WORDS):
         lens = np.array([len(a) for a in arrays])
         yield values, np.concatenate(arrays), np.cumsum(lens) - lens
 
 
-def _sum_by(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, sorted, and the sums of their counts."""
+def _tokens(h: np.ndarray, begin: np.ndarray, order: int) -> np.ndarray:
+    """Places of the tokens: all but the BEGIN marks."""
+    token = np.ones(len(h), bool)
+    for k in range(order - 1):
+        token[begin + k] = False
+    return np.flatnonzero(token)
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, the sums of their columns of values, and a place of each key."""
     o = np.argsort(keys)
-    keys = keys[o]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], *(np.add.reduceat(c[o], at) if len(at) else c[:0] for c in counts)
+    at = _firsts(keys[o])
+    return keys[o][at], np.add.reduceat(values[:, o], at, axis=1) if len(at) else values[:, :0], o[at]
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -99,184 +120,307 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     )
 
 
-def _plain(table: pa.Table, *columns: str) -> Iterator[tuple]:
-    return rows_of(iter(table.select(list(columns)).to_batches()), 64)
+def _pack_facts(key: np.ndarray, facts: np.ndarray, lanes: Lanes, fine: bool = False) -> list[tuple]:
+    """Rows of _FACTS."""
+    split = lanes.split(lanes.place(key), fine)
+    return [(lane, sub, len(x), squeeze(key[x], facts[:, x].reshape(-1))) for lane, sub, x in split]
+
 
+def _unpack_facts(rows: Iterable[tuple], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and summed facts of rows (n, data)."""
+    got = [unsqueeze(data, ("<u8", n), ("<i8", n * width)) for n, data in rows]
+    facts = np.concatenate([f.reshape(width, -1) for _, f in got], axis=1)
+    return _sum_by(np.concatenate([k for k, _ in got]), facts)[:2]
 
-def _count_words(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    for _, h, begin in _texts(batches):
-        words = np.delete(h, begin)
-        keys, counts = np.unique(words, return_counts=True)
-        by, cut = split_by(_word_bucket(keys, n_buckets), n_buckets)
-        rows = []
-        for b in range(n_buckets):
-            x = by[cut[b] : cut[b + 1]]
-            if len(x):
-                rows.append((b, len(x), squeeze(keys[x], counts[x].astype(np.int64))))
-        yield _batch(rows, _WORDS)
 
+def _split_facts(batches: Iterator[pa.RecordBatch], width: int, lanes: Lanes) -> Iterator[pa.RecordBatch]:
+    """Packed facts of lanes to packed facts of subs, a bounded number at a time."""
+    held, size = [], 0
+    for *_, n, data in rows_of(batches, 64):
+        held.append((n, data))
+        size += n
+        if size >= CHUNK_WORDS:
+            yield _batch(_pack_facts(*_unpack_facts(held, width), lanes, True), _FACTS)
+            held, size = [], 0
+    if held:
+        yield _batch(_pack_facts(*_unpack_facts(held, width), lanes, True), _FACTS)
 
-def _add_words(table: pa.Table) -> pa.Table:
-    got = [unsqueeze(data, ("<u8", n), ("<i8", n)) for n, data in _plain(table, "n", "data")]
-    keys, counts = _sum_by(*(np.concatenate(x) for x in zip(*got, strict=True)))
-    bucket = table["bucket"][0].as_py()
-    return pa.Table.from_batches([_batch([(bucket, len(keys), int(counts.sum()), squeeze(keys, counts))],
-                                         "bucket int, n int, tokens long, data binary")])
+
+def _pack_grams(words: list[np.ndarray], counts: np.ndarray, hot: np.ndarray, lanes: Lanes, fine: bool = False) -> list[tuple]:
+    """Rows of _GRAMS: contexts once for each run of them, last words, counts."""
+    context = gram_key(words[:-1])
+    o = np.argsort(context, kind="stable")
+    context, counts, words = context[o], counts[o], [w[o] for w in words]
+    rows = []
+    for lane, sub, x in lanes.split(_gram_place(words, hot, lanes), fine):
+        runs = _firsts(context[x])
+        lens = np.diff(np.append(runs, len(x)))
+        data = squeeze(*[w[x][runs] for w in words[:-1]], lens, words[-1][x], counts[x])
+        rows.append((lane, sub, len(x), len(runs), data))
+    return rows
+
+
+def _unpack_grams(rows: Iterable[tuple], level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Keys, words and summed counts of rows (n, runs, data)."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(level + 1)]
+    for n, runs, data in rows:
+        kinds = [("<u8", runs)] * (level - 1) + [("<i8", runs), ("<u8", n), ("<i8", n)]
+        *contexts, lens, last, counts = unsqueeze(data, *kinds)
+        for column, x in zip(columns, [*(np.repeat(c, lens) for c in contexts), last, counts], strict=True):
+            column.append(x)
+    *words, counts = map(np.concatenate, columns)
+    key, total, at = _sum_by(gram_key(words), counts[None, :])
+    return key, [w[at] for w in words], total[0]
+
+
+def _split_grams(batches: Iterator[pa.RecordBatch], level: int, hot: np.ndarray, lanes: Lanes) -> Iterator[pa.RecordBatch]:
+    """Packed n-grams of lanes to packed n-grams of subs, a bounded number at a time."""
+    held, size = [], 0
+    for *_, n, runs, data in rows_of(batches, 64):
+        held.append((n, runs, data))
+        size += n
+        if size >= CHUNK_WORDS:
+            _, words, counts = _unpack_grams(held, level)
+            yield _batch(_pack_grams(words, counts, hot, lanes, True), _GRAMS)
+            held, size = [], 0
+    if held:
+        _, words, counts = _unpack_grams(held, level)
+        yield _batch(_pack_grams(words, counts, hot, lanes, True), _GRAMS)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], lanes: Lanes) -> Iterator[pa.RecordBatch]:
+    for _, h, begin in _texts(batches, 2):
+        keys, counts = np.unique(h[_tokens(h, begin, 2)], return_counts=True)
+        facts = np.zeros((WORD_FACTS, len(keys)), np.int64)
+        facts[0] = counts
+        yield _batch(_pack_facts(keys, facts, lanes), _FACTS)
+
+
+def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a lane with their counts added up."""
+    for lane, subs in by_lane(batches):
+        for sub, rows in subs:
+            key, facts = _unpack_facts(rows, WORD_FACTS)
+            row = (lane, sub, len(key), squeeze(key, facts.reshape(-1)), int(facts[0].sum()))
+            yield _batch([row], f"{_FACTS}, tokens long")
 
 
 def _hot_words(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for n, data in rows_of(batches, 64):
-        keys, counts = unsqueeze(data, ("<u8", n), ("<i8", n))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > least].view(np.int64))], ["h"])
+        keys, facts = _unpack_facts([(n, data)], WORD_FACTS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[facts[0] > least].view(np.int64))], ["h"])
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    for _, h, begin in _texts(batches):
-        at = np.delete(np.arange(len(h) - 1), begin[1:] - 1)  # no pair across texts
-        key = pair_key(h[at], h[at + 1])
+def _count_grams(batches: Iterator[pa.RecordBatch], order: int, hot: np.ndarray, lanes: Lanes) -> Iterator[pa.RecordBatch]:
+    for _, h, begin in _texts(batches, order):
+        at = _tokens(h, begin, order)
+        key = gram_key([h[at - k] for k in range(order - 1, -1, -1)])
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        left, right = h[at[first]], h[at[first] + 1]
-        o = np.argsort(left, kind="stable")
-        left, right, counts = left[o], right[o], counts[o].astype(np.int64)
-        by, cut = split_by(_pair_bucket(left, right, hot, n_buckets), n_buckets)
-        rows = []
-        for b in range(n_buckets):
-            x = by[cut[b] : cut[b + 1]]
-            if len(x):
-                runs = np.flatnonzero(np.concatenate([[True], left[x][1:] != left[x][:-1]]))
-                lens = np.diff(np.append(runs, len(x)))
-                rows.append((0, b, len(x), len(runs), squeeze(left[x][runs], lens, right[x], counts[x])))
-        yield _batch(rows, _SENT)
-
-
-def _local(path: str) -> tuple[pa.fs.FileSystem, str]:
-    fs, inside = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return fs, inside
-
-
-def _store(path: str, name: str, array: np.ndarray) -> None:
-    """Write an array's file; a repeated task writes the same file again and the last move wins."""
-    fs, inside = _local(path)
-    fs.create_dir(inside, recursive=True)
-    part = f"{inside}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        np.lib.format.write_array(out, array, allow_pickle=False)
-    fs.move(part, f"{inside}/{name}.npy")
-
-
-def _mapped(model: Model, name: str) -> np.ndarray:
-    """A file's array, memory-mapped; of a store that isn't mounted, a copy in the worker's own folder is mapped."""
-    if name not in model.files:
-        fs, inside = _local(model.path)
-        file = f"{inside}/{name}.npy"
-        if not isinstance(fs, pa.fs.LocalFileSystem):
-            own = os.path.join(tempfile.gettempdir(), "kestrel-" + hashlib.md5(model.path.encode()).hexdigest())
-            os.makedirs(own, exist_ok=True)
-            if not os.path.exists(copy := f"{own}/{name}.npy"):
-                part = f"{copy}.{uuid.uuid4().hex}"
-                with fs.open_input_stream(file) as src, open(part, "wb") as dst:
-                    while piece := src.read(1 << 22):
-                        dst.write(piece)
-                os.replace(part, copy)
-            file = copy
-        try:
-            model.files[name] = np.load(file, mmap_mode="r")
-        except FileNotFoundError:  # a bucket that got nothing
-            model.files[name] = None
-    return model.files[name]
-
-
-def _least(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-
-
-def _own_pairs(table: pa.Table, path: str, n_buckets: int) -> pa.Table:
-    """Add up a bucket's pairs; keep them as arrays; pass on what the words need of them."""
-    lefts, rights, counted = [], [], []
-    for n, runs, data in _plain(table, "n", "runs", "data"):
-        left, lens, right, counts = unsqueeze(data, ("<u8", runs), ("<i8", runs), ("<u8", n), ("<i8", n))
-        lefts.append(np.repeat(left, lens))
-        rights.append(right)
-        counted.append(counts)
-    left, right, counts = map(np.concatenate, (lefts, rights, counted))
-    key = pair_key(left, right)
-    o = np.argsort(key)
-    at = np.flatnonzero(np.concatenate([[True], key[o][1:] != key[o][:-1]]))
-    counts = np.add.reduceat(counts[o], at)
-    key, left, right = key[o][at], left[o][at], right[o][at]
-    bucket = table["bucket"][0].as_py()
-    over = np.flatnonzero(counts > 254)
-    _store(path, f"pairs-{bucket}", key)
-    _store(path, f"counts-{bucket}", np.minimum(counts, 255).astype(np.uint8))
-    _store(path, f"large-{bucket}", np.stack([over, counts[over]]) if len(over) else np.zeros((2, 0), np.int64))
+        words = [h[at[first] - k] for k in range(order - 1, -1, -1)]
+        yield _batch(_pack_grams(words, counts.astype(np.int64), hot, lanes), _GRAMS)
 
-    rows = []
-    one = np.ones(len(key), np.int64)
-    seen, followers1, followers2, followers3 = _sum_by(left, *(x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2)))
-    before, comes_after = _sum_by(right, one)
-    # kind 1: word, followers seen once, twice, more often; kind 2: word, words before it
-    for kind, keys, columns in ((1, seen, (followers1, followers2, followers3)), (2, before, (comes_after,))):
-        by, cut = split_by(_word_bucket(keys, n_buckets), n_buckets)
-        for b in range(n_buckets):
-            x = by[cut[b] : cut[b + 1]]
-            if len(x):
-                rows.append((kind, b, len(x), 0, squeeze(keys[x], *(c[x] for c in columns))))
-    classes = np.array([len(key), *((counts == k).sum() for k in (1, 2, 3, 4))], np.int64)
-    rows.append((3, 0, 5, 0, classes.tobytes()))
-    return pa.Table.from_batches([_batch(rows, _SENT)])
-
-
-def _own_words(table: pa.Table, path: str) -> pa.Table:
-    """Bring together what is known of a bucket's words and keep it as arrays."""
-    keys, columns = [], []
-    for kind, n, data in _plain(table, "kind", "n", "data"):
-        width = {0: 1, 1: 3, 2: 1}[kind]
-        h, *got = unsqueeze(data, ("<u8", n), *[("<i8", n)] * width)
-        full = np.zeros((5, n), np.int64)
-        full[{0: slice(0, 1), 1: slice(1, 4), 2: slice(4, 5)}[kind]] = got
-        keys.append(h)
-        columns.append(full)
-    key, *sums = _sum_by(np.concatenate(keys), *np.concatenate(columns, axis=1))
-    bucket = table["bucket"][0].as_py()
-    _store(path, f"words-{bucket}", key)
-    for name, x in zip(("word_counts", "once", "twice", "more", "before"), sums, strict=True):
-        _store(path, f"{name}-{bucket}", _least(x))
-    before = sums[4]
-    seen = [int((before == k).sum()) for k in (1, 2, 3, 4)]
-    out = (len(key), *seen, int((before > 2).sum()))
-    return pa.Table.from_batches([_batch([out], _WORD_CLASSES)])
-
-
-_WORD_CLASSES = "n long, n1 long, n2 long, n3 long, n4 long, more long"
-
-
-def train(docs: DataFrame, *, text_col: str = "text", bucket_bytes: int = 8 << 20, base_add: float = 0.1) -> Model:
-    """Count a bigram model over all texts of docs and leave it as arrays in the shared folder.
-
-    Words are lower-cased (A-Z); each text is BEGIN, its words, END. Tasks count words and pairs of their own chunks
-    and send them packed to buckets of hashes; owners add them up and write sorted arrays of 64-bit hashes with their
-    counts. Followers of a word that makes over 1/1000 of all tokens are spread over the buckets. What the
-    driver holds are totals, counts of counts and those fewer than 1,000 words.
-
-    bucket_bytes of text make a bucket and bound a task's memory. A null text is empty. An empty table gives a model
-    that knows no words. Two words or pairs of equal 64-bit hashes count as one.
+
+def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+class Writer:
+    """Writes a table of a lane: its keys, sorted in each sub, what is known of them, and where subs begin.
+
+    Keys go out as they come, the rest when the lane is done. A repeated task writes the same file and the last move wins.
     """
+
+    def __init__(self, path: str, name: str, subs: int, width: int) -> None:
+        self.fs, inside = _store(path)
+        self.fs.create_dir(inside, recursive=True)
+        self.name, self.width = f"{inside}/{name}", width
+        self.part = f"{inside}/.{name}.{uuid.uuid4().hex}"
+        self.starts = np.zeros(subs + 1, np.int64)
+        self.large: list[np.ndarray] = []
+        self.n = 0
+        self.keys, self.values = (self.fs.open_output_stream(f"{self.part}{x}") for x in ("", "v"))
+
+    def add(self, sub: int, keys: np.ndarray, facts: np.ndarray) -> None:
+        """Of several facts all are kept; single counts as a byte, with those above 254 apart."""
+        self.starts[sub + 1] = len(keys)
+        self.keys.write(keys.tobytes())
+        if self.width == 1:
+            over = np.flatnonzero(facts[0] > 254)
+            self.large.append(np.stack([self.n + over, facts[0][over]]))
+            self.values.write(np.minimum(facts[0], 255).astype(np.uint8).tobytes())
+        else:
+            self.values.write(np.ascontiguousarray(facts.T).tobytes())
+        self.n += len(keys)
+
+    def close(self) -> None:
+        self.values.close()
+        with self.fs.open_input_stream(f"{self.part}v") as src:
+            while piece := src.read(1 << 22):
+                self.keys.write(piece)
+        if self.width == 1:
+            self.keys.write(bytes(-self.n % 8))
+        large = np.concatenate([np.zeros((2, 0), np.int64), *self.large], axis=1)
+        self.keys.write(large.tobytes() + np.cumsum(self.starts).tobytes())
+        self.keys.write(np.array([large.shape[1], len(self.starts)], np.int64).tobytes())
+        self.keys.close()
+        self.fs.delete_file(f"{self.part}v")
+        self.fs.move(self.part, self.name)
+
+
+class Table:
+    """A lane's table, memory-mapped."""
+
+    def __init__(self, raw: np.ndarray, width: int) -> None:
+        n_large, n_starts = raw[-16:].view(np.int64).tolist()
+        end = len(raw) - 16
+        self.starts = raw[end - 8 * n_starts : end].view(np.int64)
+        end -= 8 * n_starts
+        self.large = raw[end - 16 * n_large : end].view(np.int64).reshape(2, -1)
+        n = int(self.starts[-1])
+        self.keys = raw[: 8 * n].view(np.uint64)
+        self.values = raw[8 * n : 9 * n] if width == 1 else raw[8 * n : 8 * n * (1 + width)].view(np.int64).reshape(n, width)
+
+    def search(self, keys: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys (sorted in each sub) are there, and their places."""
+        if len(self.starts) == 2:
+            low = np.searchsorted(self.keys, keys)
+        else:  # all at once, each in its own sub
+            low, high = self.starts[sub], self.starts[sub + 1]
+            while (live := low < high).any():
+                mid = (low + high) >> 1
+                less = self.keys[np.minimum(mid, len(self.keys) - 1)] < keys
+                low, high = np.where(live & less, mid + 1, low), np.where(live & ~less, mid, high)
+        hit = np.zeros(len(keys), bool)
+        inside = low < len(self.keys)
+        hit[inside] = self.keys[low[inside]] == keys[inside]
+        return np.flatnonzero(hit), low[hit]
+
+    def facts(self, place: np.ndarray) -> np.ndarray:
+        if self.values.ndim == 2:
+            return self.values[place].T
+        got = self.values[place].astype(np.int64)
+        cut = got == 255
+        got[cut] = self.large[1][np.searchsorted(self.large[0], place[cut])]
+        return got[None, :]
+
+
+def _table(model: Model, name: str, width: int) -> Table | None:
+    """A lane's table; None if it got nothing. At most MOST_MAPPED stay mapped, those used last.
+
+    Of a store that isn't mounted the lane's file is read instead, and only a few are kept.
+    """
+    if name in model.mapped:
+        model.mapped.move_to_end(name)
+        return model.mapped[name]
+    fs, inside = _store(model.path)
+    mounted = isinstance(fs, pa.fs.LocalFileSystem)
+    try:
+        if mounted:
+            raw = np.memmap(f"{inside}/{name}", np.uint8, "r")
+        else:
+            with fs.open_input_file(f"{inside}/{name}") as src:
+                raw = np.frombuffer(src.read(), np.uint8)
+        table = Table(raw.view(np.ndarray), width)
+    except FileNotFoundError:
+        table = None
+    model.mapped[name] = table
+    while len(model.mapped) > (MOST_MAPPED if mounted else 4):
+        model.mapped.popitem(last=False)
+    return table
+
+
+def _find(model: Model, name: str, place: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+    """The facts of sorted keys, dealt by place; zeros for unknown ones. Visits only lanes that occur."""
+    out = np.zeros((width, len(keys)), np.int64)
+    for lane, _, x in model.lanes.split(place, False):
+        table = _table(model, f"{name}-{lane}", width)
+        if table is not None:
+            hit, at = table.search(keys[x], place[x] % model.lanes.subs)
+            out[:, x[hit]] = table.facts(at)
+    return out
+
+
+def _own_grams(batches: Iterator[pa.RecordBatch], path: str, level: int, lanes: Lanes, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Add up a lane's n-grams, keep them as arrays, and pass on what shorter ones need of them.
+
+    Kind 1: contexts with their followers seen once, twice, more often, and all occurrences of followers. Kind 2: n-grams
+    less their first word, counted once for each different first word. Kind 3: counts of counts.
+    """
+    none = (None,) * 5
+    for lane, subs in by_lane(batches):
+        out = Writer(path, f"grams{level}-{lane}", lanes.subs, 1)
+        for sub, rows in subs:
+            key, words, counts = _unpack_grams(rows, level)
+            out.add(sub, key, counts[None, :])
+            followers = np.stack([counts == 1, counts == 2, counts > 2, counts]).astype(np.int64)
+            context, followers, _ = _sum_by(gram_key(words[:-1]), followers)
+            if level == 2:
+                followers = np.concatenate([np.zeros((2, len(context)), np.int64), followers])
+            made = [(1, lane_, sub_, n, 0, data, *none) for lane_, sub_, n, data in _pack_facts(context, followers, lanes)]
+            shorter, before, at = _sum_by(gram_key(words[1:]), np.ones((1, len(key)), np.int64))
+            if level == 2:
+                facts = np.zeros((WORD_FACTS, len(shorter)), np.int64)
+                facts[1] = before[0]
+                made += [(2, lane_, sub_, n, 0, data, *none) for lane_, sub_, n, data in _pack_facts(shorter, facts, lanes)]
+            else:
+                made += [(2, *row, *none) for row in _pack_grams([w[at] for w in words[1:]], before[0], hot, lanes)]
+            classes = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+            yield _batch([*made, (3, 0, 0, 0, 0, None, len(key), *classes)], _SENT)
+        out.close()
+
+
+def _own_facts(batches: Iterator[pa.RecordBatch], path: str, name: str, width: int, subs: int) -> Iterator[pa.RecordBatch]:
+    """Bring together what is known of a lane's words or contexts and keep it as arrays."""
+    for lane, some in by_lane(batches):
+        out = Writer(path, f"{name}-{lane}", subs, width)
+        for sub, rows in some:
+            key, facts = _unpack_facts(rows, width)
+            out.add(sub, key, facts)
+            before = facts[1]
+            row = (len(key), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before > 2).sum()))
+            yield _batch([row], f"{_CLASSES}, more long")
+        out.close()
+
+
+def train(
+    docs: DataFrame,
+    *,
+    order: int = 2,
+    text_col: str = "text",
+    bucket_bytes: int = 8 << 20,
+    most_lanes: int = 4096,
+    base_add: float = 0.1,
+) -> Model:
+    """Count a model of n-grams of up to `order` (2 or more) words over all texts of docs, left in the shared folder.
+
+    Words are lower-cased (A-Z); each text is order - 1 marks BEGIN, its words, END. Tasks count words and n-grams of
+    their own chunks and send them packed to lanes of hashes, at most most_lanes; a lane's owner takes its rows in
+    order of subs, of bucket_bytes of text each, so its memory is bounded, adds them up and writes sorted arrays of
+    64-bit hashes with their counts, one file for a lane and table. Shorter n-grams count in how many different longer ones
+    they end (modified Kneser-Ney), level by level. Followers of contexts that consist of words of over 1/1000 of
+    all tokens are spread over the lanes. What the driver holds are totals, counts of counts and those fewer
+    than 1,000 words. Work and what is sent grow in proportion to the texts.
+
+    A null text is empty. An empty table gives a model that knows no words. Two words or n-grams of equal 64-bit hashes
+    count as one.
+    """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
-    n = parts(text_bytes(docs, text_col), bucket_bytes)
+    lanes = Lanes.of(text_bytes(docs, text_col), bucket_bytes, most_lanes)
+    several = lanes.subs > 1
     texts = docs.select(text_or_empty(text_col).cast("binary").alias("text"))
-    model = Model(shared_path(spark, "lm"), n, [], base_add=base_add)
+    model = Model(shared_path(spark, "lm"), order, lanes, [], base_add=base_add)
     path = model.path
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count_words(batches, n)
+        return _count_words(batches, lanes)
 
-    def add_words(table: pa.Table) -> pa.Table:
-        return _add_words(table)
+    def split_facts(width: int):
+        return (lambda batches: _split_facts(batches, width, lanes)) if several else None
 
-    words = texts.mapInArrow(count_words, _WORDS).groupBy("bucket").applyInArrow(
-        add_words, "bucket int, n int, tokens long, data binary"
-    )
-    words = keep(words, "lm-words")
+    counted = dealt(texts.mapInArrow(count_words, _FACTS), split_facts(WORD_FACTS))
+    words = keep(counted.mapInArrow(_own_counts, f"{_FACTS}, tokens long"), "lm-words")
     totals = words.agg(F.sum("n").alias("distinct"), F.sum("tokens").alias("tokens")).first()
     model.distinct, model.tokens = totals["distinct"] or 0, totals["tokens"] or 0
     least = model.tokens / HOT
@@ -288,98 +432,99 @@ def train(docs: DataFrame, *, text_col: str = "text", bucket_bytes: int = 8 << 2
     model.hot.append(int(BEGIN.view(np.int64)))
     hot = np.array(model.hot, np.int64).view(np.uint64)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count_pairs(batches, hot, n)
-
-    def own_pairs(table: pa.Table) -> pa.Table:
-        return _own_pairs(table, path, n)
-
-    def own_words(table: pa.Table) -> pa.Table:
-        return _own_words(table, path)
-
-    sent = keep(texts.mapInArrow(count_pairs, _SENT).groupBy("bucket").applyInArrow(own_pairs, _SENT), "lm-pairs")
-    classes = [np.frombuffer(r["data"], np.int64) for r in sent.where("kind = 3").select("data").collect()]  # n rows
-    total, *seen = np.sum(classes, axis=0).tolist() if classes else (0, 0, 0, 0, 0)
-    model.bigrams, model.pair_discounts = total, discounts(*seen)
-    own = words.select(F.lit(0).alias("kind"), "bucket", "n", F.lit(0).alias("runs"), "data")
-    every = own.unionByName(sent.where("kind in (1, 2)"))
-    known = every.groupBy("bucket").applyInArrow(own_words, _WORD_CLASSES)
-    k = known.agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4", "more")]).first()
-    if k["n"]:
-        model.word_discounts = d = discounts(k["n1"], k["n2"], k["n3"], k["n4"])
-        model.word_left = (d[0] * k["n1"] + d[1] * k["n2"] + d[2] * k["more"]) / total
-    model.texts = docs.count()
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_grams(batches, order, hot, lanes)
+
+    def own_grams(level: int):
+        return lambda batches: _own_grams(batches, path, level, lanes, hot)
+
+    def split_grams(level: int):
+        return (lambda batches: _split_grams(batches, level, hot, lanes)) if several else None
+
+    def own_facts(name: str, width: int):
+        return lambda batches: _own_facts(batches, path, name, width, lanes.subs)
+
+    classes = [F.sum(c).alias(c) for c in ("types", "n1", "n2", "n3", "n4")]
+    facts = ["lane", "sub", "n", "data"]
+    grams = texts.mapInArrow(count_grams, _GRAMS)
+    for level in range(order, 1, -1):
+        sent = keep(dealt(grams, split_grams(level)).mapInArrow(own_grams(level), _SENT), f"lm-grams{level}")
+        seen = sent.where("kind = 3").agg(*classes).first()
+        model.types[level] = seen["types"] or 0
+        model.discounts[level] = discounts(*(seen[k] or 0 for k in ("n1", "n2", "n3", "n4")))
+        if level > 2:
+            contexts = dealt(sent.where("kind = 1").select(*facts), split_facts(CONTEXT_FACTS))
+            contexts.mapInArrow(own_facts(f"contexts{level}", CONTEXT_FACTS), f"{_CLASSES}, more long").agg(*classes).first()
+            grams = sent.where("kind = 2").select("lane", "sub", "n", "runs", "data")
+    every = words.select(*facts).unionByName(sent.where("kind in (1, 2)").select(*facts))
+    known = dealt(every, split_facts(WORD_FACTS)).mapInArrow(own_facts("words", WORD_FACTS), f"{_CLASSES}, more long")
+    k = known.agg(*classes, F.sum("more").alias("more")).first()
+    model.discounts[1] = d = discounts(*(k[c] or 0 for c in ("n1", "n2", "n3", "n4")))
+    if model.types[2]:
+        model.word_left = (d[0] * k["n1"] + d[1] * k["n2"] + d[2] * k["more"]) / model.types[2]
     return model
 
 
-def _look_up(model: Model, bucket: np.ndarray, keys: np.ndarray, index: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of sorted keys, by bucket: the bucket, which keys are known, and their places in the bucket's arrays."""
-    by, cut = split_by(bucket, model.buckets)
-    for b in range(model.buckets):
-        x = by[cut[b] : cut[b + 1]]
-        held = _mapped(model, f"{index}-{b}") if len(x) else None
-        if held is None or not len(held):
-            continue
-        place = np.minimum(np.searchsorted(held, keys[x]), len(held) - 1)
-        hit = held[place] == keys[x]
-        yield b, x[hit], place[hit]
+def _off(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
+    return np.select([counts == 0, counts == 1, counts == 2], [0.0, by[0], by[1]], by[2])
 
 
 def _score(model: Model, h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per text of a chunk: tokens, known tokens, base score and model score."""
     words, back = np.unique(h, return_inverse=True)
-    facts = np.zeros((5, len(words)), np.int64)
-    for b, x, place in _look_up(model, _word_bucket(words, model.buckets), words, "words"):
-        for k, name in enumerate(("word_counts", "once", "twice", "more", "before")):
-            facts[k, x] = _mapped(model, f"{name}-{b}")[place]
-    count, once, twice, more, before = facts
-    d1, d2, d3 = model.word_discounts
-    off = np.select([before == 0, before == 1, before == 2], [0.0, d1, d2], d3)
+    count, before, *follow = _find(model, "words", model.lanes.place(words), words, WORD_FACTS)
     even = 1 / (model.distinct + 1)
-    unigram = (before - off) / max(model.bigrams, 1) + model.word_left * even
-    total = np.where(words == BEGIN, model.texts, count).astype(float)  # how often it has a follower
-    total[words == END] = 0
-    d1, d2, d3 = model.pair_discounts
-    left_over = np.divide(d1 * once + d2 * twice + d3 * more, total, out=np.ones(len(words)), where=total > 0)
-
-    at = np.delete(np.arange(len(h)), begin)  # tokens: all but BEGIN
-    left, right = back[at - 1], back[at]
-    key, first, again = np.unique(pair_key(h[at - 1], h[at]), return_index=True, return_inverse=True)
-    pairs = np.zeros(len(key), np.int64)
+    unigram = (before - _off(before, model.discounts[1])) / max(model.types[2], 1) + model.word_left * even
     hot = np.array(model.hot, np.int64).view(np.uint64)
-    bucket = _pair_bucket(words[left[first]], words[right[first]], hot, model.buckets)
-    for b, x, place in _look_up(model, bucket, key, "pairs"):
-        got = _mapped(model, f"counts-{b}")[place].astype(np.int64)
-        where, large = _mapped(model, f"large-{b}")
-        cut = got == 255
-        got[cut] = large[np.searchsorted(where, place[cut])]
-        pairs[x] = got
-    pairs = pairs[again]
-    off = np.select([pairs == 0, pairs == 1, pairs == 2], [0.0, d1, d2], d3)
-    seen = total[left]
-    bigram = np.divide(pairs - off, seen, out=np.zeros(len(at)), where=seen > 0) + left_over[left] * unigram[right]
-    c = count[right]
+    at = _tokens(h, begin, model.order)
+    p = unigram[back[at]]
+    for level in range(2, model.order + 1):
+        d = model.discounts[level]
+        spelt = [h[at - k] for k in range(level - 1, -1, -1)]
+        if level == 2:
+            once, twice, more, total = (x[back[at - 1]] for x in follow)
+        else:
+            key, again = np.unique(gram_key(spelt[:-1]), return_inverse=True)
+            found = _find(model, f"contexts{level}", model.lanes.place(key), key, CONTEXT_FACTS)
+            once, twice, more, total = found[:, again]
+        key, first, again = np.unique(gram_key(spelt), return_index=True, return_inverse=True)
+        place = _gram_place([w[first] for w in spelt], hot, model.lanes)
+        seen = _find(model, f"grams{level}", place, key, 1)[0][again]
+        known = total > 0
+        own = np.divide(seen - _off(seen, d), total, out=np.zeros(len(at)), where=known)
+        left = np.divide(d[0] * once + d[1] * twice + d[2] * more, total, out=np.ones(len(at)), where=known)
+        p = own + left * p
+    c = count[back[at]]
     base = np.log10((c + model.base_add) / (model.tokens + model.base_add * (model.distinct + 1)))
-    cut = begin - np.arange(len(begin))
+    cut = begin - np.arange(len(begin)) * (model.order - 1)
     add = np.add.reduceat
-    return np.diff(np.append(cut, len(at))), add((c > 0).astype(np.int64), cut), add(base, cut), add(np.log10(bigram), cut)
+    return np.diff(np.append(cut, len(at))), add((c > 0).astype(np.int64), cut), add(base, cut), add(np.log10(p), cut)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text: id_col, n_tokens (words and one END), n_known (seen in training), base_score, score, perplexity.
 
     base_score is the sum of log10((c + a) / (N + a (V + 1))) over the tokens, a = model.base_add. score is the log10
-    probability of the text under the bigram model: a pair's discounted share of its first word, plus what the
-    discounts left over times the second word's share of distinct pairs, which itself is discounted towards
-    1 / (V + 1). perplexity is 10 ** (-score / n_tokens). A null or empty text is one END. Rows may repeat, ids may
-    be null. An empty table gives no rows.
+    probability of the text under the model: an n-gram's discounted share of its context, plus what the discounts left
+    over times the probability given a word less of context, down to the word's share of different pairs, which itself is
+    discounted towards 1 / (V + 1). perplexity is 10 ** (-score / n_tokens).
+
+    Tasks map the model's files and look up the sorted hashes of a chunk of texts lane by lane. A null or empty text is
+    one END. Ids may be null, repeat and be of any type. An empty table gives no rows. Other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    field_ = docs.select(F.col(id_col).alias("id")).schema[0]
+    kind = field_.dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values, h, begin in _texts(batches):
-            ids = pa.array([v[0] for v in values], arrow)
+        types: list[pa.DataType] = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                types[:] = [batch.schema.field(0).type]
+                yield batch
+
+        for values, h, begin in _texts(seen(), model.order):
+            ids = pa.array([v[0] for v in values], types[0])
             yield pa.RecordBatch.from_arrays(
                 [ids, *map(pa.array, _score(model, h, begin))], ["id", "n_tokens", "n_known", "base_score", "score"]
             )

@@ -16,10 +16,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a new folder of its own; on a cluster it is an error.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="kestrel-")
@@ -28,7 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/kestrel/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/kestrel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete all tables and models that this session's operators wrote to the shared folder.
+
+    Results that weren't written elsewhere can't be read afterwards. Says whether there was anything.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kestrel/{context.applicationId}")
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +68,14 @@ def chosen(docs: DataFrame, marks: DataFrame, by: str) -> DataFrame:
     return docs.join(wanted, F.col(by).eqNullSafe(F.col("__by")), "left_semi")
 
 
+def dealt(rows: DataFrame, again=None) -> DataFrame:
+    """Rows (lane, sub, ...): those of a lane in one task, in the order of subs. `again` splits lanes into subs first."""
+    out = rows.repartition("lane")
+    if again is not None:
+        out = out.mapInArrow(again, rows.schema)
+    return out.sortWithinPartitions("lane", "sub")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import parts, text_bytes, text_or_empty
-from kestrel.llm.words import WordHashes, chunks, rows_of, split_by, squeeze, unsqueeze
+from kestrel.llm.shared import dealt, text_bytes, text_or_empty
+from kestrel.llm.words import Lanes, WordHashes, by_lane, chunks, mix, rows_of, squeeze, unsqueeze
 
 CHUNK_WORDS = 1_500_000
 #: Odd bases of the two polynomial hashes; odd numbers have inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(2**63)
 
-_BLOB = "bucket int, runs int, n int, hashes binary, places binary"
-_FLAGS = "doc_bucket int, runs int, n int, places binary"
+_WINDOWS = "lane int, sub int, runs int, n int, hashes binary, places binary"
+#: The rows of a document lane: flags (kind 0, places of repeats) come before texts (kind 1).
+_ROWS = "lane int, sub int, kind int, runs int, n int, places binary, id long, text binary"
 _OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
 
 
@@ -35,16 +35,17 @@ def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
     return (sums[width:] - sums[: n - width + 1]) * np.multiply.accumulate(down)[: n - width + 1]
 
 
-def _doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
+def _doc_place(ids: np.ndarray, docs: Lanes) -> np.ndarray:
+    """lane * subs + sub of documents."""
     u = ids.view(np.uint64)
     folded = ((u ^ (u >> np.uint64(15)) ^ (u >> np.uint64(31))) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-    return folded % n
+    return folded % docs.lanes * docs.subs + folded // docs.lanes % docs.subs
 
 
-def _doc_bucket_column(n: int):
-    return F.expr(
-        f"cast(((id ^ shiftrightunsigned(id, 15) ^ shiftrightunsigned(id, 31)) & 2147483647L) % {n} as int)"
-    )
+def _doc_columns(docs: Lanes):
+    folded = "((id ^ shiftrightunsigned(id, 15) ^ shiftrightunsigned(id, 31)) & 2147483647L)"
+    lane = F.expr(f"cast({folded} % {docs.lanes} as int)").alias("lane")
+    return lane, F.expr(f"cast({folded} div {docs.lanes} % {docs.subs} as int)").alias("sub")
 
 
 def _pack(ids: np.ndarray, pos: np.ndarray) -> tuple[int, int, bytes]:
@@ -64,15 +65,16 @@ def _unpack(runs: int, n: int, places: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, lens), total - np.repeat(total[at] - steps[at], lens)
 
 
-def _blobs(rows: list[tuple]) -> pa.RecordBatch:
-    names, kinds = ("bucket", "runs", "n", "hashes", "places"), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], list(names)
+        [pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [name for name, _ in fields]
     )
 
 
-def _send(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows of a task's documents: first ones of each hash go to the hash's bucket, later ones are known repeats."""
+def _send(batches: Iterator[pa.RecordBatch], width: int, lanes: Lanes) -> Iterator[pa.RecordBatch]:
+    """Windows of a task's documents: first ones of each hash go to the hash's lane, later ones are known repeats."""
     known = WordHashes()
     rows = (((doc,), known.of(text.split())) for doc, text in rows_of(batches))
     for values, arrays in chunks(rows, CHUNK_WORDS):
@@ -97,119 +99,167 @@ def _send(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iter
         later = o[~new & ((wid[o] != wid[lead]) | (pos[o] != pos[lead]))]
         first = np.sort(o[new])
         out: list[tuple] = []
-        bucket = ((other[first] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
-        by, cut = split_by(bucket, n_buckets)
-        for b in range(n_buckets):
-            if cut[b] < cut[b + 1]:
-                x = first[by[cut[b] : cut[b + 1]]]
-                runs, n, places = _pack(wid[x], pos[x])
-                out.append((b, runs, n, w[x].tobytes(), places))
+        for lane, x in ((lane, first[x]) for lane, _, x in lanes.split(lanes.place(mix(other[first])), False)):
+            runs, n, places = _pack(wid[x], pos[x])
+            out.append((lane, 0, runs, n, w[x].tobytes(), places))
         if len(later):
             later = np.sort(later)
             runs, n, places = _pack(wid[later], pos[later])
-            out.append((int(bucket[0]), runs, n, None, places))
-        yield _blobs(out)
-
-
-def _own(table: pa.Table, n_docs: int) -> pa.Table:
-    """All windows of a bucket: every one but the first of its hash is a repeat."""
-    hashes, ids, poss, done = [], [], [], []
-    for row in table.select(["runs", "n", "hashes", "places"]).to_batches():
-        for runs, n, h, places in rows_of(iter([row])):
-            found = _unpack(runs, n, places)
-            if h is None:
-                done.append(found)
-            else:
-                hashes.append(np.frombuffer(h, np.uint64))
-                ids.append(found[0])
-                poss.append(found[1])
-    if hashes:
-        w, i, p = np.concatenate(hashes), np.concatenate(ids), np.concatenate(poss)
-        o = np.argsort(w)
-        same = w[o][1:] == w[o][:-1]
-        several = o[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        o = several[np.lexsort((p[several], i[several], w[several]))]
-        new = np.concatenate([[True], w[o][1:] != w[o][:-1]]) if len(o) else np.zeros(0, bool)
-        lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
-        later = o[~new & ((i[o] != i[lead]) | (p[o] != p[lead]))]
-        done.append((i[later], p[later]))
-    i, p = (np.concatenate(x) for x in zip(*done, strict=True))
+            out.append((out[0][0], 0, runs, n, None, places))
+        yield _batch(out, _WINDOWS)
+
+
+def _split_windows(batches: Iterator[pa.RecordBatch], lanes: Lanes) -> Iterator[pa.RecordBatch]:
+    """Packed windows of lanes to packed windows of subs, by bits of the hash that no lane depends on."""
+    for lane, sub, runs, n, hashes, places in rows_of(batches, 16):
+        if hashes is None:
+            yield _batch([(lane, sub, runs, n, hashes, places)], _WINDOWS)
+            continue
+        w, (ids, pos) = np.frombuffer(hashes, np.uint64), _unpack(runs, n, places)
+        one = Lanes(1, lanes.subs)
+        rows = [(lane, s, *_pack(ids[x], pos[x]), x) for _, s, x in one.split(one.place(mix(w)), True)]
+        yield _batch([(a, s, r, m, w[x].tobytes(), p) for a, s, r, m, p, x in rows], _WINDOWS)
+
+
+def _own(batches: Iterator[pa.RecordBatch], docs: Lanes) -> Iterator[pa.RecordBatch]:
+    """All windows of a sub: every one but the first of its hash is a repeat, and goes to its document's lane."""
+    for _, subs in by_lane(batches):
+        for _, rows in subs:
+            done, held = [], []
+            for runs, n, h, places in rows:
+                found = _unpack(runs, n, places)
+                done.append(found) if h is None else held.append((np.frombuffer(h, np.uint64), *found))
+            if held:
+                w, i, p = map(np.concatenate, zip(*held, strict=True))
+                o = np.argsort(w)
+                same = w[o][1:] == w[o][:-1]
+                several = o[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+                o = several[np.lexsort((p[several], i[several], w[several]))]
+                new = np.concatenate([[True], w[o][1:] != w[o][:-1]]) if len(o) else np.zeros(0, bool)
+                lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+                later = o[~new & ((i[o] != i[lead]) | (p[o] != p[lead]))]
+                done.append((i[later], p[later]))
+            yield _batch(_flags(done, docs, False), _ROWS)
+
+
+def _flags(found: list[tuple[np.ndarray, np.ndarray]], docs: Lanes, fine: bool) -> list[tuple]:
+    """Rows of _ROWS, kind 0, of places (ids, positions)."""
+    i, p = (np.concatenate(x) for x in zip(*found, strict=True))
     o = np.lexsort((p, i))
     i, p = i[o], p[o]
-    by, cut = split_by(_doc_bucket(i, n_docs), n_docs)
-    rows = [
-        (b, *_pack(i[x], p[x]))
-        for b in range(n_docs)
-        if cut[b] < cut[b + 1] and len(x := by[cut[b] : cut[b + 1]])
-    ]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table(
-        [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
-        names=["doc_bucket", "runs", "n", "places"],
-    )
+    return [(lane, sub, 0, *_pack(i[x], p[x]), None, None) for lane, sub, x in docs.split(_doc_place(i, docs), fine)]
+
 
+def _split_flags(batches: Iterator[pa.RecordBatch], docs: Lanes) -> Iterator[pa.RecordBatch]:
+    """Flags of lanes to flags of subs, a bounded number at a time."""
+    held, size = [], 0
+    for _, _, _, runs, n, places, *_ in rows_of(batches, 64):
+        held.append(_unpack(runs, n, places))
+        size += n
+        if size >= CHUNK_WORDS:
+            yield _batch(_flags(held, docs, True), _ROWS)
+            held, size = [], 0
+    if held:
+        yield _batch(_flags(held, docs, True), _ROWS)
 
-def _remove(docs: pa.Table, flags: pa.Table, width: int) -> pa.Table:
-    """Texts of a bucket without the words that repeated windows cover."""
-    found = [_unpack(*row) for row in rows_of(iter(flags.select(["runs", "n", "places"]).to_batches()))]
-    ids, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    o = np.argsort(ids, kind="stable")
-    ids, pos = ids[o], pos[o]
+
+def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Texts of a lane without the words that repeated windows cover; a sub's flags come before its texts."""
     out: list[tuple] = []
-    for doc, text in rows_of(iter(docs.select(["id", "text"]).to_batches())):
-        words = text.split()
-        mine = pos[np.searchsorted(ids, doc) : np.searchsorted(ids, doc, "right")]
-        mine = mine[mine + width <= len(words)]
-        if not len(mine):
-            out.append((doc, len(words), 0, [], b" ".join(words)))
-            continue
-        step = np.bincount(mine, minlength=len(words) + 1) - np.bincount(mine + width, minlength=len(words) + 1)
-        gone = np.cumsum(step)[:-1] > 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-        spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        kept = b" ".join(itertools.compress(words, (~gone).tolist()))
-        out.append((doc, len(words), int(gone.sum()), spans, kept))
+    size = 0
+    for _, subs in by_lane(batches):
+        ids = pos = np.zeros(0, np.int64)
+        for _, rows in subs:
+            found: list[tuple[np.ndarray, np.ndarray]] | None = []
+            for kind, runs, n, places, doc, text in rows:
+                if kind == 0:
+                    found.append(_unpack(runs, n, places))
+                    continue
+                if found is not None:
+                    ids, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+                    o = np.argsort(ids, kind="stable")
+                    ids, pos, found = ids[o], pos[o], None
+                out.append((doc, *_without(text, pos[np.searchsorted(ids, doc) : np.searchsorted(ids, doc, "right")], width)))
+                size += len(text)
+                if size > 8 << 20 or len(out) >= 5000:
+                    yield _texts(out)
+                    out, size = [], 0
+    if out:
+        yield _texts(out)
+
+
+def _without(text: bytes, repeats: np.ndarray, width: int) -> tuple[int, int, list[dict], bytes]:
+    """n_words, n_removed, spans and what is left of a text whose windows at some places are repeats."""
+    words = text.split()
+    repeats = repeats[repeats + width <= len(words)]
+    if not len(repeats):
+        return len(words), 0, [], b" ".join(words)
+    step = np.bincount(repeats, minlength=len(words) + 1) - np.bincount(repeats + width, minlength=len(words) + 1)
+    gone = np.cumsum(step)[:-1] > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return len(words), int(gone.sum()), spans, b" ".join(itertools.compress(words, (~gone).tolist()))
+
+
+def _texts(out: list[tuple]) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary())
-    return pa.table(
-        [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
-        names=["doc_id", "n_words", "n_removed", "spans", "kept"],
-    )
+    names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
 
 def remove_repeats(
-    docs: DataFrame, width: int = 20, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20
+    docs: DataFrame,
+    width: int = 20,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket_bytes: int = 8 << 20,
+    most_lanes: int = 4096,
 ) -> DataFrame:
     """Remove each word that a window of `width` words covers whose words also start earlier.
 
     Earlier means in a smaller id, or in the same document at an earlier word. Each task hashes all windows of its
-    documents by a Rabin-Karp polynomial and sends the first window of each hash to the hash's bucket, packed;
-    copies inside a task are settled there. A bucket's owner keeps the first window of a hash and sends the places of
-    the others to their documents, where they merge into maximal removal intervals. Two windows are equal when two
-    independent polynomial hashes agree: 64 bits of one and the bucket number of the other, so that the bits grow with
-    the corpus. bucket_bytes of text make a bucket; it bounds a task's memory.
+    documents by a Rabin-Karp polynomial and sends the first window of each hash to the hash's lane, packed; copies
+    inside a task are settled there. A lane's owner takes its windows in order of subs, keeps the first window of a hash
+    and sends the places of the others to the lanes of their documents, where they merge into maximal removal intervals.
+    Two windows are equal when two independent polynomial hashes agree: 64 bits of one and the lane number of the other;
+    words aren't compared again. There are at most most_lanes lanes, with as many subs of bucket_bytes of text each as
+    the texts need, so what a chunk sends and what an owner holds are bounded at any size.
 
     Returns id_col long, n_words, n_removed, spans (intervals of word places, end excluded), kept_text (remaining words
     joined by one space). A null or empty text has no words. A null id sorts first. Rows that repeat an id are the
     same document: equal texts get equal results and never remove each other. Texts of fewer than `width` words stay
     whole. An empty table gives no rows. Other columns are not read.
     """
-    n = parts(text_bytes(docs, text_col), bucket_bytes)
+    lanes = Lanes.of(text_bytes(docs, text_col), bucket_bytes, most_lanes)
+    several = lanes.subs > 1
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         text_or_empty(text_col).cast("binary").alias("text"),
     )
 
-    def own(table: pa.Table) -> pa.Table:
-        return _own(table, n)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _send(batches, width, lanes)
+
+    def split_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _split_windows(batches, lanes)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _own(batches, lanes)
+
+    def split_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _split_flags(batches, lanes)
 
-    def remove(texts: pa.Table, flags: pa.Table) -> pa.Table:
-        return _remove(texts, flags, width)
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _remove(batches, width)
 
-    blobs = rows.mapInArrow(partial(_send, width=width, n_buckets=n), _BLOB)
-    flags = blobs.groupBy("bucket").applyInArrow(own, _FLAGS)
-    texts = rows.withColumn("doc_bucket", _doc_bucket_column(n))
-    out = texts.groupBy("doc_bucket").cogroup(flags.groupBy("doc_bucket")).applyInArrow(remove, _OUT)
+    flags = dealt(rows.mapInArrow(send, _WINDOWS), split_windows if several else None).mapInArrow(own, _ROWS)
+    if several:
+        flags = flags.repartition("lane").mapInArrow(split_flags, _ROWS)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("runs", "int"), ("n", "int"), ("places", "binary"))]
+    texts = rows.select(*_doc_columns(lanes), F.lit(1).alias("kind"), *none, "id", "text")
+    out = flags.unionByName(texts).repartition("lane").sortWithinPartitions("lane", "sub", "kind").mapInArrow(remove, _OUT)
     return out.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias(id_col),
         "n_words",

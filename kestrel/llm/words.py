@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +82,48 @@ def unsqueeze(data: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def split_by(bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket, and where each bucket begins and ends in it."""
-    order = np.argsort(bucket.astype(np.uint16 if n_buckets <= 65536 else np.uint32), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+def present(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value that occurs, in order, and where it occurs."""
+    if not len(place):
+        return
+    order = np.argsort(place.astype(np.uint16) if place.max() < 65536 else place, kind="stable")
+    by = place[order]
+    cuts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
+        yield int(by[a]), order[a:b]
+
+
+@dataclass(frozen=True)
+class Lanes:
+    """How hashes are dealt out: by ranges, `lanes` that tasks send to, each of `subs` that an owner holds at once.
+
+    The number of lanes is bounded, so what a chunk sends is; subs grow with the data, so that one fits in memory.
+    """
+
+    lanes: int
+    subs: int
+
+    @classmethod
+    def of(cls, total: int, each: int, most: int = 4096) -> Lanes:
+        n = max(1, -(-total // each))
+        lanes = min(n, most)
+        return cls(lanes, -(-n // lanes))
+
+    def place(self, u: np.ndarray) -> np.ndarray:
+        """lane * subs + sub of uniform 64-bit hashes, rising with the hash."""
+        return (((u >> np.uint64(32)) * np.uint64(self.lanes * self.subs)) >> np.uint64(32)).astype(np.int64)
+
+    def split(self, place: np.ndarray, fine: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(lane, sub, where) of those that occur; of lanes only, sub 0, unless fine."""
+        if fine:
+            for p, x in present(place):
+                yield p // self.subs, p % self.subs, x
+        else:
+            for lane, x in present(place // self.subs):
+                yield lane, 0, x
+
+
+def by_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, Iterator[tuple]]]]]:
+    """Of rows (lane, sub, ...) in that order: each lane, and inside it each sub with its rows' other values, one by one."""
+    for lane, rows in itertools.groupby(rows_of(batches, 64), key=lambda r: r[0]):
+        yield lane, ((sub, (r[2:] for r in some)) for sub, some in itertools.groupby(rows, key=lambda r: r[1]))

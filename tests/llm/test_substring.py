@@ -26,8 +26,8 @@ def spans_cover(row):
 
 def test_against_brute_force(made):
     want = brute([(r["doc_id"], r["text"]) for r in made.collect()], 20)
-    for bucket_bytes in (8 << 20, 1000):
-        got = remove_repeats(made, 20, bucket_bytes=bucket_bytes).collect()
+    for bucket_bytes, most_lanes in ((8 << 20, 4096), (1000, 4096), (300, 3)):
+        got = remove_repeats(made, 20, bucket_bytes=bucket_bytes, most_lanes=most_lanes).collect()
         assert all(map(spans_cover, got))
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
     assert sum(n for _, n, _ in want.values()) > 1000
@@ -46,5 +46,17 @@ def test_repeated_rows_keep_each_other(spark):
     assert got == [(False, 1, 40), (False, 1, 40), (False, 2, 40), (True, 0, 0)]
 
 
+def test_a_text_longer_than_a_chunk(spark, monkeypatch):
+    from kestrel.llm import substring
+
+    monkeypatch.setattr(substring, "CHUNK_WORDS", 30)
+    texts = {1: " ".join(f"t{k % 70}" for k in range(400)), 2: " ".join(f"t{k}" for k in range(50)), 3: "x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    want = brute(texts.items(), 20)
+    for most_lanes in (4096, 2):
+        got = remove_repeats(docs, 20, bucket_bytes=200, most_lanes=most_lanes).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
+
+
 def test_empty_table(nothing):
     assert remove_repeats(nothing).collect() == []
