@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import text_or_empty
+from kestrel.llm.shared import keep, text_or_empty
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -54,7 +54,7 @@ def content_shape(text: str) -> list[float]:
 
 
 def metadata(raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> tuple[list[int], list[float]]:
-    """What the metadata view sees: hashed names of language and source, and the page's measures."""
+    """What the metadata view sees: hashed names of language and source, length, lines and classes of characters; no words."""
     n = max(1, len(raw))
     left = lambda drop: (len(raw) - len(raw.translate(None, drop))) / n
     names = [xxhash.xxh32_intdigest(f"{kind}={name}") % NAMES for kind, name in (("lang", lang), ("source", source))]
@@ -98,9 +98,47 @@ class Rows:
         return Rows(np.concatenate(parts) if parts else self.places[:0], ends, self.dense[rows])
 
 
+@dataclass
+class Evidence:
+    """What all documents that the other view was sure of say: log-odds of features, and Gaussians of the measures.
+
+    Sure good ones stand against sure bad ones; where the other view was sure of one class only, against all documents.
+    """
+
+    keys: np.ndarray
+    odds: np.ndarray
+    mean: np.ndarray
+    variance: np.ndarray
+    #: Documents that it comes from.
+    taught: int = 0
+
+    @classmethod
+    def none(cls, measures: int) -> Evidence:
+        return cls(np.zeros(0, np.uint32), np.zeros(0), np.zeros((2, measures)), np.ones((2, measures)))
+
+    def of(self, rows: Rows, most: float = 30.0) -> np.ndarray:
+        """Two columns: naive Bayes log-odds of a row's features and of its measures, cut at +-most."""
+        if not self.taught:
+            return np.zeros((len(rows.ends), 2))
+        at, hit = _places_in(self.keys, rows.places)
+        named = np.bincount(rows.row_of()[hit], self.odds[at[hit]], minlength=len(rows.ends))
+        bad, good = (
+            -0.5 * ((rows.dense - self.mean[k]) ** 2 / self.variance[k] + np.log(self.variance[k])).sum(1) for k in (0, 1)
+        )
+        return np.clip(np.column_stack([named, good - bad]), -most, most)
+
+
+def _places_in(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where places stand among sorted keys, and which are there."""
+    if not len(keys):
+        return np.zeros(len(places), np.int64), np.zeros(len(places), bool)
+    at = np.minimum(np.searchsorted(keys, places), len(keys) - 1)
+    return at, keys[at] == places
+
+
 @dataclass
 class View:
-    """A logistic model over hashed features and measures, with its calibration."""
+    """A logistic model over hashed features, measures and evidence, with its calibration."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -108,15 +146,15 @@ class View:
     dense_scale: np.ndarray
     dense_weights: np.ndarray
     bias: float
+    evidence: Evidence
     slope: float = 1.0
     shift: float = 0.0
 
     def raw(self, rows: Rows) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, rows.places), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == rows.places if len(self.keys) else np.zeros(len(rows.places), bool)
-        gain = np.where(hit, self.weights[at], 0.0) if len(self.keys) else np.zeros(len(rows.places))
-        sparse = np.bincount(rows.row_of(), gain, minlength=len(rows.ends))
-        return sparse + ((rows.dense - self.dense_mean) / self.dense_scale) @ self.dense_weights + self.bias
+        at, hit = _places_in(self.keys, rows.places)
+        sparse = np.bincount(rows.row_of()[hit], self.weights[at[hit]], minlength=len(rows.ends))
+        dense = np.column_stack([rows.dense, self.evidence.of(rows)])
+        return sparse + ((dense - self.dense_mean) / self.dense_scale) @ self.dense_weights + self.bias
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.slope * self.raw(rows) + self.shift
@@ -138,14 +176,16 @@ def choose(rows: Rows, y: np.ndarray, most: int, least_rows: int, least_chi: flo
     return np.sort(keys[best[chi[best] >= least_chi]])
 
 
-def fit_view(rows: Rows, y: np.ndarray, *, most: int, least_rows: int, rounds: int = 200, penalty: float = 1e-4) -> View:
+def fit_view(
+    rows: Rows, y: np.ndarray, evidence: Evidence, *, most: int, least_rows: int, rounds: int = 200, penalty: float = 1e-4
+) -> View:
     """Fit by full-batch Adam on log loss, with the classes weighed alike at the square root of their imbalance."""
     keys = choose(rows, y, most, least_rows)
-    at = np.minimum(np.searchsorted(keys, rows.places), max(0, len(keys) - 1))
-    hit = keys[at] == rows.places if len(keys) else np.zeros(len(rows.places), bool)
+    at, hit = _places_in(keys, rows.places)
     at, row = at[hit], rows.row_of()[hit]
-    mean, scale = rows.dense.mean(0), rows.dense.std(0) + 1e-6
-    dense = (rows.dense - mean) / scale
+    dense = np.column_stack([rows.dense, evidence.of(rows)])
+    mean, scale = dense.mean(0), dense.std(0) + 1e-6
+    dense = (dense - mean) / scale
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, np.sqrt((1 - p) / p), np.sqrt(p / (1 - p)))
     weight /= weight.sum()
@@ -159,7 +199,7 @@ def fit_view(rows: Rows, y: np.ndarray, *, most: int, least_rows: int, rounds: i
         grad[:-1] += penalty * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return View(keys, w[:k], mean, scale, w[k:-1], float(w[-1]))
+    return View(keys, w[:k], mean, scale, w[k:-1], float(w[-1]), evidence)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, penalty: float = 1e-3) -> np.ndarray:
@@ -182,6 +222,7 @@ class QualityModel:
     page: View | None
     combine: np.ndarray
     prior: float = 1.0
+    #: How many documents taught the text view and the page view, in each round.
     added: list[tuple[int, int]] = field(default_factory=list)
 
     def score(self, text: Rows, page: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,50 +234,23 @@ class QualityModel:
         return sigmoid(a * self.combine[0] + b * self.combine[1] + self.combine[2]), sigmoid(a), sigmoid(b)
 
 
-def co_train(
-    text: Rows, page: Rows, y: np.ndarray, pool_text: Rows, pool_page: Rows, *, rounds: int = 3, sure: float = 0.98,
-    per_round: int = 400, features: int = 4096, least_rows: int = 4, calibrate_every: int = 4,
-) -> QualityModel:
-    """Co-train two views on labelled rows and an unlabelled pool.
-
-    Every calibrate_every-th labelled row is kept out of both views; their scores are calibrated on those rows (Platt)
-    and so is the combination. In each round both views are fitted, and of the pool's rows that a view is
-    `sure` of, up to per_round of each class go to the other view's training rows with that label.
-    """
+def fit_views(
+    text: Rows, page: Rows, y: np.ndarray, evidence: tuple[Evidence, Evidence], *, features: int, least_rows: int, calibrate_every: int
+) -> QualityModel:
+    """Both views fitted on labelled rows, calibrated and combined on every calibrate_every-th of them, kept out of the fit."""
     prior = float(y.mean()) if len(y) else 1.0
     part = np.arange(len(y)) % calibrate_every == 0
-    classes = [np.unique(y[part]), np.unique(y[~part])]
-    if min(map(len, classes)) < 2:
+    if min(len(np.unique(y[part])), len(np.unique(y[~part]))) < 2:
         return QualityModel(None, None, np.zeros(3), prior)
     rest, held = np.flatnonzero(~part), np.flatnonzero(part)
-    held_text, held_page = text.take(held), page.take(held)
-    taught: list[dict[int, float]] = [{}, {}]  # of the text view, of the page view: pool row -> label
-    added = []
-    views: list[View] = []
-    for turn in range(rounds + 1):
-        views = []
-        for rows, pool, labels, most in ((text, pool_text, taught[0], features), (page, pool_page, taught[1], NAMES)):
-            more = np.array(sorted(labels), np.int64)
-            own, extra = rows.take(rest), pool.take(more)
-            both = Rows(
-                np.concatenate([own.places, extra.places]),
-                np.concatenate([own.ends, extra.ends + (own.ends[-1] if len(own.ends) else 0)]),
-                np.concatenate([own.dense, extra.dense]),
-            )
-            target = np.concatenate([y[rest], [labels[k] for k in more]])
-            views.append(fit_view(both, target, most=most, least_rows=least_rows))
-        for view, rows in zip(views, (held_text, held_page), strict=True):
-            view.slope, view.shift = logistic(view.raw(rows)[:, None], y[held])
-        if turn == rounds or not len(pool_text.ends):
-            break
-        for view, pool, labels in ((views[0], pool_text, taught[1]), (views[1], pool_page, taught[0])):
-            p = sigmoid(view.logit(pool))
-            for label, confident in ((1.0, p), (0.0, 1 - p)):
-                best = [k for k in np.argsort(-confident, kind="stable") if confident[k] >= sure and k not in labels]
-                labels.update((int(k), label) for k in best[:per_round])
-        added.append((len(taught[0]), len(taught[1])))
-    scores = np.column_stack([view.logit(rows) for view, rows in zip(views, (held_text, held_page), strict=True)])
-    return QualityModel(views[0], views[1], logistic(scores, y[held]), prior, added)
+    views, scores = [], []
+    for rows, told, most in ((text, evidence[0], features), (page, evidence[1], NAMES)):
+        view = fit_view(rows.take(rest), y[rest], told, most=most, least_rows=least_rows)
+        kept = rows.take(held)
+        view.slope, view.shift = logistic(view.raw(kept)[:, None], y[held])
+        views.append(view)
+        scores.append(view.logit(kept))
+    return QualityModel(*views, logistic(np.column_stack(scores), y[held]), prior)
 
 
 def featurise(
@@ -258,36 +272,119 @@ def featurise(
     return text_rows, Rows(np.array(names, np.uint32), ends, np.array(measures).reshape(-1, MEASURES))
 
 
-_SAMPLE = "id long, label double, places binary, shape binary, names binary, measures binary"
+_SAMPLE = "id long, label double, n int, places binary, ends binary, shape binary, names binary, measures binary"
+_TAUGHT = "view int, key long, good double, bad double, every double"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of sampled documents, packed."""
+def _pack(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Features of documents (id, label, text, lang, source, n_chars), packed; at_once of them make a row, which has the first's id."""
     hashes = TokenHashes()
+    schema = [pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 5]
     for batch in batches:
-        ids, labels, *columns = (c.to_pylist() for c in batch.columns)
-        rows = [featurise(*([x] for x in r), hashes) for r in zip(*columns, strict=True)]
-        packed = [
-            [t.places.tobytes() for t, _ in rows],
-            [t.dense.tobytes() for t, _ in rows],
-            [p.places.tobytes() for _, p in rows],
-            [p.dense.tobytes() for _, p in rows],
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(labels, pa.float64()), *(pa.array(x, pa.binary()) for x in packed)],
-            ["id", "label", "places", "shape", "names", "measures"],
-        )
+        for k in range(0, batch.num_rows, at_once):
+            ids, labels, *columns = (c.to_pylist() for c in batch.slice(k, at_once).columns)
+            text, page = featurise(*columns, hashes)
+            arrays = (text.places, text.ends, text.dense.astype(np.float32), page.places, page.dense.astype(np.float32))
+            row = (ids[0], labels[0], len(ids), *(x.tobytes() for x in arrays))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema, strict=True)], _names(_SAMPLE))
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _rows(packed: list[tuple]) -> tuple[Rows, Rows]:
+    """Rows of both views from packed ones (n, places, ends, shape, names, measures)."""
+    n, places, ends, shape, names, measures = zip(*packed, strict=True) if packed else ((),) * 6
+    flat = lambda some, dtype: np.concatenate([np.frombuffer(x, dtype) for x in some] or [np.zeros(0, dtype)])
+    sizes = [np.diff(np.frombuffer(x, np.int64), prepend=0) for x in ends]
+    text_ends = np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]), dtype=np.int64)
+    text = Rows(flat(places, np.uint32), text_ends, flat(shape, np.float32).astype(float).reshape(-1, SHAPES))
+    page_ends = np.arange(1, sum(n) + 1, dtype=np.int64) * 2
+    return text, Rows(flat(names, np.uint32), page_ends, flat(measures, np.float32).astype(float).reshape(-1, MEASURES))
+
 
+#: Keys of _TAUGHT below 0: documents, and sums and squares of each measure.
+DOCUMENTS = -1
 
-def _rows(sampled: list) -> tuple[Rows, Rows]:
-    def flat(name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
-        got = [np.frombuffer(r[name], dtype) for r in sampled]
-        return np.concatenate(got or [np.zeros(0, dtype)]), np.cumsum([len(g) for g in got], dtype=np.int64)
 
-    places, ends = flat("places", np.uint32)
-    text = Rows(places, ends, flat("shape", float)[0].reshape(-1, SHAPES))
-    names, ends = flat("names", np.uint32)
-    return text, Rows(names, ends, flat("measures", float)[0].reshape(-1, MEASURES))
+def _measure_keys(n: int) -> np.ndarray:
+    return -2 - np.arange(2 * n)
+
+
+def _teach(batches: Iterator[pa.RecordBatch], model: QualityModel, sure: float, most_places: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Of packed documents that a view is sure of, what the other view learns: features and measures by class, summed."""
+    held, size = [], 0
+
+    def learned() -> pa.RecordBatch:
+        text, page = _rows(held)
+        p = [sigmoid(model.text.logit(text)), sigmoid(model.page.logit(page))]
+        out = []
+        for view, (rows, taught_by) in enumerate(((text, p[1]), (page, p[0]))):
+            classes = taught_by >= sure, taught_by <= 1 - sure, np.ones(len(taught_by), bool)
+            row = rows.row_of()
+            keys, back = np.unique(rows.places, return_inverse=True)
+            sums = [np.bincount(back, c[row], minlength=len(keys)) for c in classes]
+            dense = [np.concatenate([rows.dense[c].sum(0), (rows.dense[c] ** 2).sum(0)]) for c in classes]
+            all_keys = np.concatenate([keys.astype(np.int64), [DOCUMENTS], _measure_keys(rows.dense.shape[1])])
+            columns = [np.concatenate([s, [c.sum()], d]) for s, c, d in zip(sums, classes, dense, strict=True)]
+            out.append((np.full(len(all_keys), view, np.int32), all_keys, *columns))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], _names(_TAUGHT))
+
+    for batch in batches:
+        for row in zip(*(batch.column(name).to_pylist() for name in _names(_SAMPLE)[2:]), strict=True):
+            held.append(row)
+            size += len(row[1]) // 4
+            if size >= most_places:
+                yield learned()
+                held, size = [], 0
+    if held:
+        yield learned()
+
+
+def teach(pool: DataFrame, model: QualityModel, sure: float) -> DataFrame:
+    """What both views learn from all packed documents of pool: view (0 text, 1 page), key, good, bad, every.
+
+    A document that the text view is sure of counts, by the class it is sure of, for the page view's features, and the
+    other way round; every counts all. Counts are summed in tasks, then by key.
+    """
+    held = pool.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of features
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _teach(batches, held.value, sure)
+
+    return pool.mapInArrow(run, _TAUGHT).groupBy("view", "key").agg(
+        *[F.sum(c).alias(c) for c in ("good", "bad", "every")]
+    )
+
+
+def gather(taught: DataFrame, most: tuple[int, int], least_rows: int, least_chi: float = 10.0) -> tuple[Evidence, Evidence]:
+    """Evidence from what teach() gave: the features that part the classes best, up to `most` for each view.
+
+    Chi-square of presence, as in choose(); the best are found by a distributed top-k.
+    """
+    totals = {(r["view"], r["key"]): r for r in taught.where("key < 0").collect()}  # 1 + 2 per measure and view
+    out = []
+    for view, (limit, measures) in enumerate(zip(most, (SHAPES, MEASURES), strict=True)):
+        docs = totals.get((view, DOCUMENTS))
+        if docs is None or not (docs["good"] or docs["bad"]):
+            out.append(Evidence.none(measures))
+            continue
+        of = [name if docs[name] else "every" for name in ("bad", "good")]
+        bad, good = (docs[name] for name in of)
+        b, g = (F.col(name) for name in of)
+        n, p, seen = good + bad, good / (good + bad), g + b
+        chi = (g - seen * p) ** 2 / F.greatest(seen * p * (1 - p) * (1 - seen / n), F.lit(1e-9))
+        best = taught.where((F.col("view") == view) & (F.col("key") >= 0) & (seen >= least_rows)).withColumn("chi", chi)
+        rows = best.where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "key").limit(limit).collect()
+        rows.sort(key=lambda r: r["key"])
+        bads, goods = (np.array([r[name] for r in rows], float) for name in of)
+        odds = np.log((goods + 1) / (good + 2)) - np.log((bads + 1) / (bad + 2))
+        sums = np.array([[totals[view, int(k)][name] for k in _measure_keys(measures)] for name in of]).reshape(2, 2, measures)
+        mean, squares = (sums[:, k] / np.array([[bad], [good]]) for k in (0, 1))
+        keys = np.array([r["key"] for r in rows], np.uint32)
+        out.append(Evidence(keys, odds, mean, np.maximum(squares - mean**2, 1e-4), int(docs["good"] + docs["bad"])))
+    return out[0], out[1]
 
 
 def _inputs(id_col: str, text_col: str) -> list[Column]:
@@ -305,17 +402,26 @@ def train(
     labels: DataFrame,
     *,
     most_labelled: int = 12_000,
-    most_pool: int = 6_000,
     rounds: int = 3,
+    sure: float = 0.98,
+    features: int = 4096,
+    least_rows: int = 4,
+    calibrate_every: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> QualityModel:
-    """Co-train on the documents that labels (doc_id, quality 0/1, toxic 0/1) names.
-
-    Good means quality 1 and not toxic. Only fitting is bounded: by hash order of the ids, at most most_labelled
-    labelled documents and most_pool unlabelled ones give packed features to the driver. A label without quality is left
-    out, one without toxic counts as not toxic; of several labels of an id the worst counts. Where labels show fewer
-    than two classes, the model gives every document the share of good ones (1 without labels).
+    """Co-train on the documents that labels (doc_id, quality 0/1, toxic 0/1) names and on all others.
+
+    Good means quality 1 and not toxic. In each round both views are fitted on labelled rows and score every unlabelled
+    document in Spark; what the documents that a view is `sure` of say, counted over all of them, becomes
+    evidence (naive Bayes log-odds) that the other view is fitted with in the next round. After the last round
+    both views are fitted once more.
+
+    Only the labelled rows of the fit are bounded: by hash order of the ids, at most most_labelled documents give packed
+    features to the driver. Unlabelled documents are packed to a table once, all of them. A label without quality
+    is left out, one without toxic counts as not toxic; of several labels of an id the worst counts, and of several
+    documents of a labelled id the least text. Documents without an id are unlabelled. Where labels show fewer than two
+    classes, the model gives every document the share of good ones (1 without labels).
     """
     named = (
         labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic")
@@ -325,18 +431,28 @@ def train(
         .select("id", ((F.col("quality") > 0) & (F.col("toxic") == 0)).cast("double").alias("label"))
     )
     rows = docs.select(*_inputs(id_col, text_col))
-    ids = rows.select("id").where(F.col("id").isNotNull())
-    in_turn = [F.xxhash64("id"), "id"]
-    told = named.join(ids.distinct(), "id", "left_semi").orderBy(*in_turn).limit(most_labelled)
-    other = ids.join(named, "id", "left_anti").distinct().orderBy(*in_turn).limit(most_pool)
-    sample = told.unionByName(other.withColumn("label", F.lit(None).cast("double")))
-    chosen = rows.join(F.broadcast(sample), "id")  # most_labelled + most_pool rows of two numbers
-    once = chosen.groupBy("id").agg(F.min(F.struct("label", "text", "lang", "source", "n_chars")).alias("x"))
-    found = once.select("id", "x.*").mapInArrow(_pack, _SAMPLE).collect()
+    ids = rows.select("id").where(F.col("id").isNotNull()).distinct()
+    told = named.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+    columns = ["text", "lang", "source", "n_chars"]
+    once = rows.join(F.broadcast(told), "id").groupBy("id").agg(F.min(F.struct("label", *columns)).alias("x"))  # most_labelled
+    found = once.select("id", "x.*").mapInArrow(lambda batches: _pack(batches, 1), _SAMPLE).collect()
     found.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))
-    known, pool = [r for r in found if r["label"] is not None], [r for r in found if r["label"] is None]
-    y = np.array([r["label"] for r in known])
-    return co_train(*_rows(known), y, *_rows(pool), rounds=rounds)
+    text, page = _rows([tuple(r)[2:] for r in found])
+    y = np.array([r["label"] for r in found])
+    del found
+    how = dict(features=features, least_rows=least_rows, calibrate_every=calibrate_every)
+    model = fit_views(text, page, y, (Evidence.none(SHAPES), Evidence.none(MEASURES)), **how)
+    if model.text is None or not rounds:
+        return model
+    others = rows.join(named, "id", "left_anti").select("id", F.lit(None).cast("double").alias("label"), *columns)
+    pool = keep(others.mapInArrow(lambda batches: _pack(batches, 256), _SAMPLE), "quality-pool")
+    added = []
+    for _ in range(rounds):
+        told_views = gather(keep(teach(pool, model, sure), "quality-taught"), (features, NAMES), least_rows)
+        added.append(tuple(e.taught for e in told_views))
+        model = fit_views(text, page, y, told_views, **how)
+    model.added = added
+    return model
 
 
 SCORES = ("quality_score", "text_score", "page_score")
