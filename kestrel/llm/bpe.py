@@ -237,6 +237,9 @@ def encode(
 ) -> DataFrame:
     """(id_col, ids array<int>): the tokens of each text, each match of `pattern` encoded by itself.
 
+    Pieces of up to LONG bytes are merged in length-bucketed matrices. For longer ones, whose matrices would cost the square
+    of their length, a heap over one piece at a time does the same merges exactly.
+
     With round_trip a further column decoded (binary) holds the bytes that the ids stand for, by the same rule as
     decode() but without another pass. `ranks` is a rank file's content; it is broadcast, as its size is that of the
     vocabulary. No special tokens. A null or empty text has no tokens. Rows may repeat, and ids may be null. An

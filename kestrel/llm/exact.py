@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import ROW, SPACE, chosen, keep, text_or_empty
-
-MOST_DEPTH = 48
+from kestrel.llm.shared import ROW, SPACE, chosen, hand_back, keep, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -24,8 +22,8 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
     """The directory of an extendible-hash index over rows (key long, n long: entries under the key).
 
     It starts with one bucket of depth 0. In each round the directory doubles: keys of overfull buckets look at one
-    bit more, all other buckets are closed as they are. A bucket of one key can't be split, however many entries chain
-    there. Returns the buckets: depth int, bucket long (the first depth bits), n long.
+    bit more, all other buckets are closed as they are; keys that are still open are written each round. A bucket of one
+    key can't be split, however many entries chain there, and 64 bits tell any two keys apart. Returns the buckets: depth int, bucket long (the first depth bits), n long.
     """
     open_keys = keys.groupBy("key").agg(F.sum("n").alias("n"))
     closed: list[DataFrame] = []
@@ -36,12 +34,12 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
             F.sum("n").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")
         )
         buckets = keep(buckets, f"directory-{depth}")
-        over = (F.col("n") > capacity) & (F.col("low") != F.col("high")) & F.lit(depth < MOST_DEPTH)
+        over = (F.col("n") > capacity) & (F.col("low") != F.col("high"))
         closed.append(buckets.where(~over).select("depth", "bucket", "n"))
         overfull = buckets.where(over).select("bucket")
         if overfull.isEmpty():
             break
-        open_keys = at.join(overfull, "bucket", "left_semi").select("key", "n")
+        open_keys = keep(at.join(overfull, "bucket", "left_semi").select("key", "n"), f"directory-keys-{depth}")
         depth += 1
     out = closed[0]
     for part in closed[1:]:
@@ -51,7 +49,7 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
 
 def route(rows: DataFrame, directory: DataFrame) -> DataFrame:
     """Rows (key, ...) with the depth and bucket that the directory gives their key."""
-    depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # MOST_DEPTH + 1 at most
+    depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # 65 at most
     slots = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in sorted(depths) or [0]])
     probes = rows.withColumn("slot", F.explode(slots)).select("*", "slot.depth", "slot.bucket").drop("slot")
     # a row per bucket, so the directory is smaller than the keys by the capacity
@@ -69,9 +67,9 @@ def build_index(
     """(entries, directory, index) over the normalised texts of docs.
 
     entries: one row per document: id, key (64-bit hash of the normalised text), sha (its SHA-256), ROW (that of docs
-    where they are numbered, else a number of its own). directory: the buckets that build_directory makes of the different keys. index: one row per different text: bucket, depth, key,
-    chain (place among the texts of one key), sha, keep_id, group_size, written to the shared folder, files holding
-    ranges of buckets.
+    where they are numbered, else a number of its own). directory: the buckets that build_directory makes of the different
+    keys. index: one row per different text: bucket, depth, key, chain (place among the texts of one key), sha, keep_id,
+    group_size, written to the shared folder, files holding ranges of buckets.
 
     The directory gives each text its bucket before any text is compared. A bucket's texts are chained per key by
     comparing whole texts, which sets keep_id and group_size. Copies are combined before the shuffle, so neither
@@ -103,8 +101,11 @@ def exact_duplicates(
     entries, directory, index = build_index(docs, capacity=capacity, id_col=id_col, text_col=text_col)
     ties = Window.partitionBy("key", "sha", "id").orderBy(ROW)
     # the bucket is looked up; in it, a key's chain tells texts of one hash value apart
-    found = route(entries.withColumn("tie", F.row_number().over(ties)), directory).join(
-        index.select("depth", "bucket", "key", "sha", "keep_id", "group_size"), ["depth", "bucket", "key", "sha"]
+    found = hand_back(
+        route(entries.withColumn("tie", F.row_number().over(ties)), directory),
+        index.select("depth", "bucket", "key", "sha", "keep_id", "group_size"),
+        ["depth", "bucket", "key", "sha"],
+        ROW,
     )
     return found.select(
         F.col("id").alias(id_col),

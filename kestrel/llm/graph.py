@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.shared import keep
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 
     Alternating large-star and small-star rounds hang every node on the smallest neighbour it knows; each round is
-    written to the shared folder. Rounds go on until a round changes nothing (about the logarithm of the longest
-    path). Self loops and repeats do no harm; null ends are left out; an empty table gives no rows.
+    written to the shared folder. Rounds go on until one changes nothing, however many that takes (about the logarithm
+    of the longest path). Self loops and repeats do no harm; null ends are left out; an empty table gives no rows.
     """
     pairs = keep(
         edges.where(F.col("a") != F.col("b"))
@@ -23,10 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    seen = _signature(pairs)
-    for _ in range(MOST_ROUNDS):
-        if not seen[0]:
-            break
+    seen, now = None, _signature(pairs)
+    while now[0] and now != seen:
+        seen = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -36,9 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _signature(pairs)
-        if now == seen:
-            break
-        seen = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

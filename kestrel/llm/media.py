@@ -172,11 +172,16 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def read_media(stored: DataFrame) -> DataFrame:
     """stored with rate, scale, n_frames, payload and clips, read from its binary column media.
 
-    payload is null for files that pack_bytes didn't write. For a null or broken file all of them are null.
+    payload is null for files that pack_bytes didn't write. For a null or broken file all of them are null. Columns of
+    stored that have these names, in whatever case, are replaced. Rows may repeat; an empty table gives no rows.
     """
+    made = ("rate", "scale", "n_frames", "payload", "clips")
+    kept = [c for c in stored.columns if c.lower() not in made]
+    place = [c.lower() for c in kept].index("media")
+    # plain names inside: those of stored may repeat each other in Arrow
+    stored = stored.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])
     names = stored.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    place = names.index("media")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clip = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()),
@@ -186,10 +191,11 @@ def read_media(stored: DataFrame) -> DataFrame:
             read = [_read(data) for data in part.column(place).to_pylist()]
             more = [pa.array([r[k] for r in read], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, *more], [*names, "rate", "scale", "n_frames", "payload", "clips"]
+                [*part.columns, *more], [*names, *made]
             )
 
-    return stored.mapInArrow(run, f"{kinds}, rate int, scale int, n_frames int, payload binary, clips array<{_CLIP}>")
+    read = stored.mapInArrow(run, f"{kinds}, rate int, scale int, n_frames int, payload binary, clips array<{_CLIP}>")
+    return read.toDF(*kept, *made)
 
 
 def _read(data: bytes | None) -> tuple:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import ROW, WORD, keep, text_or_empty
+from kestrel.llm.shared import ROW, WORD, fresh, keep, running, text_or_empty
 
 
 def source_targets(
@@ -20,36 +20,32 @@ def source_targets(
 
     Returns source, source_size, weight, target double. An empty table gives no rows; sources of size 0 get 0.
     """
-    w = F.get(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(_code_points()) - 1, F.lit(len(weights))))
-    rows = sizes.withColumn("weight", w).withColumn("cap", F.col("source_size") * most_repeats)
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "weight", F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    sizes = sizes.withColumn("one", F.lit(1).cast("long"))
+    # UTF-8 bytes compare as code points do
+    named = running(sizes, [F.col("source").asc_nulls_last()], ["one"], "mix-places")
+    w = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("before_one"), F.lit(len(weights))))
+    rows = named.withColumn("weight", w).withColumn("cap", F.col("source_size") * most_repeats)
+    rows = rows.withColumn("rate", F.col("cap") / F.col("weight")).drop("one", "before_one")
+    filled = running(rows, [F.col("rate"), F.col("weight"), F.col("source").asc_nulls_last()], ["cap", "weight"], "mix-fill")
+    all_ = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget, weight = (all_["size"] or 0) * share, all_["weight"] or 0
     rows = (
-        rows.withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
         # the level that would hold if exactly the sources before this one were full
-        .withColumn("level", (F.col("budget") - F.col("cap_before")) / F.col("weight_left"))
+        filled.withColumn("level", (F.lit(float(budget)) - F.col("before_cap")) / (F.lit(weight) - F.col("before_weight")))
         .withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
     )
-    level = F.min(F.when(~F.col("full"), F.struct("cap_before", "level"))).over(everything)["level"]
-    return rows.withColumn("open_level", level).select(
+    least = rows.agg(F.min(F.when(~F.col("full"), F.struct("before_cap", "level")))["level"].alias("level")).first()["level"]
+    return rows.select(
         "source",
         "source_size",
         "weight",
         F.when(F.col("full"), F.col("cap").cast("double"))
-        .otherwise(F.col("open_level") * F.col("weight"))
+        .otherwise(F.lit(least).cast("double") * F.col("weight"))
         .cast("double")
         .alias("target"),
     )
 
 
-def _code_points() -> Window:
-    """UTF-8 bytes compare as code points do."""
-    return Window.orderBy(F.col("source").asc_nulls_last())
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -135,11 +131,10 @@ def mixed_documents(docs: DataFrame, mix: DataFrame, *, by: str = "doc_id") -> D
     Documents that the mix doesn't take are left out. Columns are those of docs. `by` tells rows apart: ROW of numbered
     documents, or an id that never repeats.
     """
+    key, copies = fresh(docs, by), fresh(docs, "copies")
     take = mix.where(F.col("taken") > 0).select(
-        F.col(by).alias("__by"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies")
-    )
-    return (
-        docs.join(take, F.col(by).eqNullSafe(F.col("__by")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col(by).alias(key), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(copies)
     )
+    found = docs.join(take, F.col(by).eqNullSafe(F.col(key)))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(fresh(found, "copy"))
+    return found.select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -37,7 +37,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@_query("op1_sharding")
+_SHARDS_SQL = """
+WITH crcs AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), b AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), d AS (
+  SELECT doc_id, octet_length(raw)::BIGINT + 16 AS size, xor(4294967295, list_reduce(
+    list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295))::BIGINT AS text_crc32 FROM b, crcs
+), p AS (
+  SELECT *, (sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::HUGEINT AS start,
+    (sum(size) OVER ())::HUGEINT AS total FROM d
+), s AS (
+  SELECT *, ((2 * start + size) * 40 // (2 * total))::INT AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+
+@_query("op1_sharding", _SHARDS_SQL)
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.assign_shards(_documents(spark, sf_dir), 40)
     return shards.select(
@@ -73,9 +93,7 @@ FROM e GROUP BY conv_id
 @_query("op2_chat_format", _CONVERSATIONS_SQL)
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
-    )
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0, 'user', '{said}'), (-1L, 1, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     read = chat.parse_conversations(chat.format_conversations(turns.unionByName(more)))
     spelt = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import keep, text_or_empty
+from kestrel.llm.shared import keep, running, text_or_empty
 
 
 def assign_shards(
@@ -35,26 +35,17 @@ def assign_shards(
         (F.octet_length(text).cast("long") + F.lit(row_overhead)).alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
     )
-    ranges = rows.repartitionByRange("id", "text_crc32", "size").withColumn("part", F.spark_partition_id())
-    dealt = keep(ranges, "shard-sizes")  # numbered once, then read twice
-
-    totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = totals.select(
-        "part",
-        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"),
-    )
-    inside = Window.partitionBy("part").orderBy("id", "text_crc32", "size")
-    placed = (
-        dealt.join(F.broadcast(offsets), "part")  # a row per partition
-        .withColumn("rank", F.col("rows_before") + F.row_number().over(inside) - 1)
-        .withColumn("end", F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("start_byte", F.col("end") - F.col("size"))
-        .withColumn("middle", (F.col("start_byte") + F.col("end")).cast("decimal(38,0)") * n_shards)
-        .withColumn("shard", F.floor(F.col("middle") / (F.col("all_bytes").cast("decimal(19,0)") * 2)).cast("int"))
-        .select("id", "size", "text_crc32", "shard", "rank", "start_byte")
+    rows = rows.withColumn("one", F.lit(1).cast("long"))
+    dealt = running(rows, [F.col(c) for c in ("id", "text_crc32", "size")], ["size", "one"], "shard-sizes")
+    all_bytes = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
+    middle = (F.col("before_size") * 2 + F.col("size")).cast("decimal(38,0)") * n_shards
+    placed = dealt.select(
+        "id",
+        "size",
+        "text_crc32",
+        F.floor(middle / F.lit(max(all_bytes, 1) * 2).cast("decimal(19,0)")).cast("int").alias("shard"),
+        F.col("before_one").alias("rank"),
+        F.col("before_size").alias("start_byte"),
     )
     placed = keep(placed, "shard-places")
     first = placed.groupBy("shard").agg(F.min("rank").alias("first_rank"))
@@ -66,4 +57,3 @@ def assign_shards(
         (F.col("rank") - F.col("first_rank")).alias("slot"),
         "start_byte",
     )
-

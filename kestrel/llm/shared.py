@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six ASCII characters, in every operator.
@@ -54,7 +54,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 #: The column of numbered().
-ROW = "__row"
+ROW = "__kestrel_row"
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -64,8 +64,50 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 def chosen(docs: DataFrame, marks: DataFrame, by: str) -> DataFrame:
     """The rows of docs whose value of `by` marks have, null as a value."""
-    wanted = marks.select(F.col(by).alias("__by"))
-    return docs.join(wanted, F.col(by).eqNullSafe(F.col("__by")), "left_semi")
+    name = fresh(docs, by)
+    wanted = marks.select(F.col(by).alias(name))
+    return docs.join(wanted, F.col(by).eqNullSafe(F.col(name)), "left_semi")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Tasks that rows of one group are spread over when they get what their group came to.
+SALTS = 32
+
+
+def hand_back(rows: DataFrame, groups: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """rows with the other columns of groups (one row for each of keys), where a group may hold a large share of the rows.
+
+    Rows are salted by their number `row`. A group's row is copied to those salts only that its rows have, found by an
+    aggregate that combines before the shuffle, so a small group costs one row and a large one SALTS.
+    """
+    salted = rows.withColumn("__kestrel_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+    spread = salted.groupBy(*keys, "__kestrel_salt").agg(F.lit(1).alias("__kestrel_one")).drop("__kestrel_one")
+    return salted.join(spread.join(groups, keys), [*keys, "__kestrel_salt"]).drop("__kestrel_salt")
+
+
+def running(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """df plus before_X for X of sums: the sum of X over the rows before, in an order without ties that matter.
+
+    Rows are range-partitioned and written once; totals of the partitions give offsets, and running sums go on inside.
+    """
+    part = "__kestrel_part"
+    dealt_ = keep(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), name)
+    totals = dealt_.groupBy(part).agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = totals.select(part, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__kestrel_{c}") for c in sums])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt_.join(F.broadcast(offsets), part)
+    out = placed.withColumns(
+        {f"before_{c}": F.col(f"__kestrel_{c}") + F.sum(c).over(inside) - F.col(c) for c in sums}
+    )
+    return out.drop(part, *[f"__kestrel_{c}" for c in sums])
 
 
 def dealt(rows: DataFrame, again=None) -> DataFrame:

@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.graph import components
-from kestrel.llm.shared import ROW, chosen, keep, text_or_empty
+from kestrel.llm.shared import ROW, SALTS, chosen, hand_back, keep, text_or_empty
 from kestrel.llm.words import LOWER, rows_of
 
 #: Shingles whose bits are counted at once.
 BLOCK = 65536
-#: Tasks that the fingerprints of one component are spread over.
-SALTS = 32
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -166,7 +164,7 @@ def near_duplicates(
     mine = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     linked = mine.join(salted, ["root", "salt"]).select(F.col("node").alias("fp"), "stands")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("stands", "first").alias("stands"))
-    return marked.join(named, "fp").select(
+    return hand_back(marked, named, ["fp"], ROW).select(
         F.col("id").alias(id_col),
         "fp",
         F.col("stands.id").alias("component_id"),
