@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.shared import dealt, text_bytes, text_or_empty
 from kestrel.llm.words import Lanes, WordHashes, by_lane, chunks, mix, rows_of, squeeze, unsqueeze
 
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 800_000
 #: Odd bases of the two polynomial hashes; odd numbers have inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(2**63)
