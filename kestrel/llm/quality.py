@@ -273,7 +273,6 @@ def featurise(
 
 
 _SAMPLE = "id long, label double, n int, places binary, ends binary, shape binary, names binary, measures binary"
-_TAUGHT = "view int, key long, good double, bad double, every double"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
@@ -304,7 +303,7 @@ def _rows(packed: list[tuple]) -> tuple[Rows, Rows]:
     return text, Rows(flat(names, np.uint32), page_ends, flat(measures, np.float32).astype(float).reshape(-1, MEASURES))
 
 
-#: Keys of _TAUGHT below 0: documents, and sums and squares of each measure.
+#: Keys below 0: documents, and sums and squares of each measure.
 DOCUMENTS = -1
 
 
@@ -312,54 +311,69 @@ def _measure_keys(n: int) -> np.ndarray:
     return -2 - np.arange(2 * n)
 
 
-def _teach(batches: Iterator[pa.RecordBatch], model: QualityModel, sure: float, most_places: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Of packed documents that a view is sure of, what the other view learns: features and measures by class, summed."""
+def _summed(batches: Iterator[pa.RecordBatch], classes, names: list[str], most_places: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Features and measures of packed documents, summed by class, a bounded number of documents at a time.
+
+    classes(text, page) gives, for each view, which rows belong to each of the classes `names`.
+    """
     held, size = [], 0
 
-    def learned() -> pa.RecordBatch:
-        text, page = _rows(held)
-        p = [sigmoid(model.text.logit(text)), sigmoid(model.page.logit(page))]
+    def sums() -> pa.RecordBatch:
+        views = _rows(held)
         out = []
-        for view, (rows, taught_by) in enumerate(((text, p[1]), (page, p[0]))):
-            classes = taught_by >= sure, taught_by <= 1 - sure, np.ones(len(taught_by), bool)
+        for view, (rows, found) in enumerate(zip(views, classes(*views), strict=True)):
             row = rows.row_of()
             keys, back = np.unique(rows.places, return_inverse=True)
-            sums = [np.bincount(back, c[row], minlength=len(keys)) for c in classes]
-            dense = [np.concatenate([rows.dense[c].sum(0), (rows.dense[c] ** 2).sum(0)]) for c in classes]
-            all_keys = np.concatenate([keys.astype(np.int64), [DOCUMENTS], _measure_keys(rows.dense.shape[1])])
-            columns = [np.concatenate([s, [c.sum()], d]) for s, c, d in zip(sums, classes, dense, strict=True)]
+            counts = [np.bincount(back, c[row], minlength=len(keys)) for c in found]
+            seen = np.sum(counts, axis=0) > 0
+            dense = [np.concatenate([rows.dense[c].sum(0), (rows.dense[c] ** 2).sum(0)]) for c in found]
+            all_keys = np.concatenate([keys[seen].astype(np.int64), [DOCUMENTS], _measure_keys(rows.dense.shape[1])])
+            columns = [np.concatenate([x[seen], [c.sum()], d]) for x, c, d in zip(counts, found, dense, strict=True)]
             out.append((np.full(len(all_keys), view, np.int32), all_keys, *columns))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], _names(_TAUGHT))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["view", "key", *names])
 
     for batch in batches:
         for row in zip(*(batch.column(name).to_pylist() for name in _names(_SAMPLE)[2:]), strict=True):
             held.append(row)
             size += len(row[1]) // 4
             if size >= most_places:
-                yield learned()
+                yield sums()
                 held, size = [], 0
     if held:
-        yield learned()
+        yield sums()
+
 
+def document_counts(pool: DataFrame) -> DataFrame:
+    """view (0 text, 1 page), key, every: in how many packed documents of pool a feature is, and sums of the measures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(batches, lambda *views: [(np.ones(len(v.ends), bool),) for v in views], ["every"])
 
-def teach(pool: DataFrame, model: QualityModel, sure: float) -> DataFrame:
-    """What both views learn from all packed documents of pool: view (0 text, 1 page), key, good, bad, every.
+    return pool.mapInArrow(run, "view int, key long, every double").groupBy("view", "key").agg(F.sum("every").alias("every"))
+
+
+def teach(pool: DataFrame, counts: DataFrame, model: QualityModel, sure: float) -> DataFrame:
+    """What both views learn from all packed documents of pool: counts (of document_counts) plus good and bad.
 
     A document that the text view is sure of counts, by the class it is sure of, for the page view's features, and the
-    other way round; every counts all. Counts are summed in tasks, then by key.
+    other way round. Counts are summed in tasks, then by key.
     """
     held = pool.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _teach(batches, held.value, sure)
+        def classes(text: Rows, page: Rows) -> list:
+            p = [sigmoid(held.value.page.logit(page)), sigmoid(held.value.text.logit(text))]
+            return [(x >= sure, x <= 1 - sure) for x in p]
 
-    return pool.mapInArrow(run, _TAUGHT).groupBy("view", "key").agg(
-        *[F.sum(c).alias(c) for c in ("good", "bad", "every")]
-    )
+        return _summed(batches, classes, ["good", "bad"])
+
+    learned = pool.mapInArrow(run, "view int, key long, good double, bad double").groupBy("view", "key")
+    sums = learned.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return counts.join(sums, ["view", "key"], "left").fillna(0.0, ["good", "bad"])
 
 
 def gather(taught: DataFrame, most: tuple[int, int], least_rows: int, least_chi: float = 10.0) -> tuple[Evidence, Evidence]:
-    """Evidence from what teach() gave: the features that part the classes best, up to `most` for each view.
+    """Evidence from what teach() gave (view, key, every, good, bad): the features that part the classes best, up to `most` for each view.
 
     Chi-square of presence, as in choose(); the best are found by a distributed top-k.
     """
@@ -410,18 +424,19 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> QualityModel:
-    """Co-train on the documents that labels (doc_id, quality 0/1, toxic 0/1) names and on all others.
+    """Co-train on the documents that labels (doc_id, quality 0/1, toxic 0/1) names and on all documents.
 
-    Good means quality 1 and not toxic. In each round both views are fitted on labelled rows and score every unlabelled
-    document in Spark; what the documents that a view is `sure` of say, counted over all of them, becomes
+    Good means quality 1 and not toxic. In each round both views are fitted on labelled rows and score every document in
+    Spark, labels left aside; what the documents that a view is `sure` of say, counted over all of them, becomes
     evidence (naive Bayes log-odds) that the other view is fitted with in the next round. After the last round
-    both views are fitted once more.
+    both views are fitted once more. Labelled documents count by what the views think of them, like any other, so
+    that what a view is fitted on and what it scores are alike.
 
     Only the labelled rows of the fit are bounded: by hash order of the ids, at most most_labelled documents give packed
-    features to the driver. Unlabelled documents are packed to a table once, all of them. A label without quality
-    is left out, one without toxic counts as not toxic; of several labels of an id the worst counts, and of several
-    documents of a labelled id the least text. Documents without an id are unlabelled. Where labels show fewer than two
-    classes, the model gives every document the share of good ones (1 without labels).
+    features to the driver. All documents are packed to a table once. A label without quality is left out, one without
+    toxic counts as not toxic; of several labels of an id the worst counts, and of several documents of a labelled id the
+    least text. Where labels show fewer than two classes, the model gives every document the share of good ones (1
+    without labels).
     """
     named = (
         labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic")
@@ -444,11 +459,12 @@ def train(
     model = fit_views(text, page, y, (Evidence.none(SHAPES), Evidence.none(MEASURES)), **how)
     if model.text is None or not rounds:
         return model
-    others = rows.join(named, "id", "left_anti").select("id", F.lit(None).cast("double").alias("label"), *columns)
-    pool = keep(others.mapInArrow(lambda batches: _pack(batches, 256), _SAMPLE), "quality-pool")
+    everyone = rows.select("id", F.lit(None).cast("double").alias("label"), *columns)
+    pool = keep(everyone.mapInArrow(lambda batches: _pack(batches, 256), _SAMPLE), "quality-pool")
+    counts = keep(document_counts(pool), "quality-counts")
     added = []
     for _ in range(rounds):
-        told_views = gather(keep(teach(pool, model, sure), "quality-taught"), (features, NAMES), least_rows)
+        told_views = gather(keep(teach(pool, counts, model, sure), "quality-taught"), (features, NAMES), least_rows)
         added.append(tuple(e.taught for e in told_views))
         model = fit_views(text, page, y, told_views, **how)
     model.added = added
