@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,143 +12,258 @@ from kestrel.dims import KEYBOARD_COST, OTHER_COST, VISUAL_COST, Brand, substitu
 
 OPS = "array<struct<type:string,a:string,b:string,kind:string>>"
 NEAREST = "struct<ord:int,distance:double,similarity:double,visual:boolean,swapped:boolean>"
+OPS_ARROW = pa.list_(pa.struct([(c, pa.string()) for c in ("type", "a", "b", "kind")]))
 ALIGNED = f"struct<distance:double,trace:{OPS}>"
 
 
-def _cost_table() -> np.ndarray:
-    table = np.full((129, 129), OTHER_COST)
-    np.fill_diagonal(table, 0.0)
-    for pair, kind in substitution_kinds().items():
-        table[ord(pair[0]), ord(pair[1])] = VISUAL_COST if kind == "visual" else KEYBOARD_COST
-    return table
+_KINDS = substitution_kinds()
+#: Costs are whole numbers of 1/SCALE.
+SCALE = 20
+TYPES = np.array(["transpose", "match", "sub", "del", "ins"])
+KINDS = np.array(["different", "visual", "keyboard", "same"])
+SWAP, PAIR, GONE, MORE = range(4)
+#: Word-core cells filled at once.
+CELLS = 100_000
 
 
-_COSTS = _cost_table()
-_KINDS = substitution_kinds()
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Cost and kind (place in KINDS) of putting one character for another; place 128 stands for any beyond ASCII."""
+    cost, kind = np.full((129, 129), OTHER_COST), np.zeros((129, 129), np.uint8)
+    for (p, q), name in _KINDS.items():
+        cost[ord(p), ord(q)] = VISUAL_COST if name == "visual" else KEYBOARD_COST
+        kind[ord(p), ord(q)] = 1 if name == "visual" else 2
+    return cost, kind
 
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(words), width), np.int64)
-    for k, w in enumerate(words):
-        out[k, : len(w)] = list(map(ord, w))
-    return out
+_COST, _KIND = _tables()
+
+
+def _spell(words: list[str], width: int) -> np.ndarray:
+    """Code points in rows, padded with 0."""
+    text = "".join(w.ljust(width, "\0") for w in words)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width).astype(np.int64)
+
+
+def _by_length(words: list[str], most: int) -> list[np.ndarray]:
+    """Places of words in runs of equal length, of at most `most` words."""
+    lens = np.array([len(w) for w in words])
+    order = np.argsort(lens, kind="stable")
+    cuts = np.flatnonzero(np.diff(lens[order], prepend=-1)).tolist()
+    return [order[k : min(k + most, end)] for at, end in zip(cuts, [*cuts[1:], len(order)], strict=True) for k in range(at, end, most)]
 
 
-def tables(a: list[str], b: list[str]) -> np.ndarray:
-    """All DP tables of the pairs a x b: shape (len(a), len(b), longest a + 1, longest b + 1).
+class Aligned:
+    """Weighted optimal-string-alignment tables of pairs (a, b), the a of one length, one cell of all pairs at a time.
 
     Cell i, j is the distance of the first i and j characters: insertions and deletions cost 1, substitutions by
-    likeness, a swap of neighbours 1. Every step fills one cell of all pairs.
+    likeness, a swap of neighbours 1. `op` is the last of the cheapest edits to it: a swap comes first, then a pair, a
+    deletion, an insertion; visual and swapped say what is among the edits.
     """
-    n, m = max(map(len, a), default=0), max(map(len, b), default=0)
-    x, y = _codes(a, n), _codes(b, m)
-    d = np.zeros((len(a), len(b), n + 1, m + 1))
-    d[:, :, :, 0] = np.arange(n + 1)
-    d[:, :, 0, :] = np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            p, q = x[:, i - 1][:, None], y[:, j - 1][None, :]
-            sub = np.where(p == q, 0.0, _COSTS[np.minimum(p, 128), np.minimum(q, 128)])
-            sub = np.where((p != q) & ((p > 127) | (q > 127)), OTHER_COST, sub)
-            best = np.minimum(np.minimum(d[:, :, i - 1, j] + 1, d[:, :, i, j - 1] + 1), d[:, :, i - 1, j - 1] + sub)
-            if i > 1 and j > 1:
-                swap = (p == y[:, j - 2][None, :]) & (x[:, i - 2][:, None] == q) & (p != q)
-                best = np.where(swap, np.minimum(best, d[:, :, i - 2, j - 2] + 1), best)
-            d[:, :, i, j] = best
-    return d
-
-
-def kind_of(a: str, b: str) -> str:
-    return "same" if a == b else _KINDS.get(a + b, "different")
-
-
-def trace(a: str, b: str, d: np.ndarray) -> list[dict]:
-    """The cheapest edits from a to b, read back from a pair's table; swaps first, then pairs, deletions, insertions."""
-    i, j, out = len(a), len(b), []
-    while i or j:
-        p, q = a[i - 1 : i] or None, b[j - 1 : j] or None
-        step = None
-        if i > 1 and j > 1 and p != q and p == b[j - 2] and a[i - 2] == q and d[i, j] == d[i - 2, j - 2] + 1:
-            step = ("transpose", a[i - 2 : i], b[j - 2 : j], None, 2, 2)
-        elif i and j:
-            kind = kind_of(p, q)
-            cost = {"same": 0.0, "visual": VISUAL_COST, "keyboard": KEYBOARD_COST}.get(kind, OTHER_COST)
-            if d[i, j] == d[i - 1, j - 1] + cost:
-                step = ("match" if p == q else "sub", p, q, kind, 1, 1)
-        if step is None:
-            gone = i and d[i, j] == d[i - 1, j] + 1
-            step = ("del", p, None, None, 1, 0) if gone else ("ins", None, q, None, 0, 1)
-        out.append(dict(zip(("type", "a", "b", "kind"), step, strict=False)))
-        i, j = i - step[4], j - step[5]
-    return out[::-1]
-
-
-def _by_length(words: list[str], cells: int = 2_000_000) -> list[np.ndarray]:
-    """Indices of words in runs of similar length whose tables stay small."""
-    order = np.argsort([len(w) for w in words], kind="stable")
-    runs, k = [], 0
-    while k < len(order):
-        step = max(1, cells // (30 * 14 * (len(words[order[min(k + 500, len(order) - 1)]]) + 1)))
-        runs.append(order[k : k + step])
-        k += step
-    return runs
-
-
-def nearest(words: list[str], cores: list[str]) -> pd.DataFrame:
-    """The most similar core of each word: its index, distance, similarity, and how the edits look.
-
-    The first of equally similar cores wins; index -1 where no core has anything in common.
+
+    def __init__(self, a: list[str], b: list[str]) -> None:
+        self.n, m = len(a[0]), max(map(len, b))
+        self.last = np.array([len(w) for w in b])
+        self.x, self.y = x, y = _spell(a, self.n), _spell(b, m)
+        p, q = np.minimum(x, 128)[:, :, None], np.minimum(y, 128)[:, None, :]
+        same = x[:, :, None] == y[:, None, :]
+        self.kind = np.where(same, 3, _KIND[p, q])
+        cost = np.where(same, 0.0, _COST[p, q])
+        shape = (self.n + 1, m + 1, len(a))
+        d, self.op = np.zeros(shape), np.full(shape, MORE, np.uint8)
+        visual, swapped = np.zeros(shape, bool), np.zeros(shape, bool)
+        d[:, 0] = np.arange(self.n + 1)[:, None]
+        d[0] = np.arange(m + 1)[:, None]
+        self.op[1:, 0] = GONE
+        for i in range(1, self.n + 1):
+            for j in range(1, m + 1):
+                up, left, pair = d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + cost[:, i - 1, j - 1]
+                best = np.minimum(np.minimum(up, left), pair)
+                swaps = None
+                if i > 1 and j > 1:
+                    swaps = same[:, i - 1, j - 2] & same[:, i - 2, j - 1] & ~same[:, i - 1, j - 1]
+                    if swaps.any():
+                        best = np.where(swaps, np.minimum(best, d[i - 2, j - 2] + 1), best)
+                        swaps &= best == d[i - 2, j - 2] + 1
+                    else:
+                        swaps = None
+                paired, gone = best == pair, best == up
+                op = np.where(paired, PAIR, np.where(gone, GONE, MORE))
+                v = np.where(paired, visual[i - 1, j - 1] | (self.kind[:, i - 1, j - 1] == 1), np.where(gone, visual[i - 1, j], visual[i, j - 1]))
+                s = np.where(paired, swapped[i - 1, j - 1], np.where(gone, swapped[i - 1, j], swapped[i, j - 1]))
+                if swaps is not None:
+                    op, v, s = np.where(swaps, SWAP, op), np.where(swaps, visual[i - 2, j - 2], v), s | swaps
+                d[i, j], self.op[i, j], visual[i, j], swapped[i, j] = best, op, v, s
+        rows = np.arange(len(a))
+        self.distance, self.visual, self.swapped = (t[self.n, self.last, rows] for t in (d, visual, swapped))
+
+    def edits(self) -> tuple[np.ndarray, ...]:
+        """Of all edits, first to last for each pair: pair, type, code points of a and of b (two columns), kind (-1: none)."""
+        i, j = np.full(len(self.last), self.n), self.last.copy()
+        found = []
+        step = 0
+        while (live := np.flatnonzero(i + j)).size:
+            at, to = i[live], j[live]
+            op = self.op[at, to, live]
+            a, b = np.zeros((len(live), 2), np.uint32), np.zeros((len(live), 2), np.uint32)
+            kind = np.full(len(live), -1)
+            for k in (0, 1):  # a swap has two characters on each side
+                x = (op == SWAP) if k else (op != MORE)
+                y = (op == SWAP) if k else (op != GONE)
+                back = (op == SWAP).astype(np.int64) - k
+                a[x, k] = self.x[live[x], at[x] - 1 - back[x]]
+                b[y, k] = self.y[live[y], to[y] - 1 - back[y]]
+            pair = op == PAIR
+            kind[pair] = self.kind[live[pair], at[pair] - 1, to[pair] - 1]
+            place = np.select([op == SWAP, pair & (kind == 3), pair, op == GONE], [0, 1, 2, 3], 4)
+            found.append((live, np.full(len(live), -step), place, a, b, kind))
+            i[live] = at - np.select([op == SWAP, op == MORE], [2, 0], 1)
+            j[live] = to - np.select([op == SWAP, op == GONE], [2, 0], 1)
+            step += 1
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros((0, 2), np.uint32), np.zeros((0, 2), np.uint32), none
+        live, turn, place, a, b, kind = (np.concatenate(c) for c in zip(*found, strict=True))
+        o = np.lexsort((turn, live))
+        return live[o], place[o], a[o], b[o], kind[o]
+
+
+def _whole_costs(words: np.ndarray, cores: list[str]) -> np.ndarray:
+    """Distances, in 1/SCALE, of words of one length (code points in rows) to all cores: exact, whole rows of cells at once."""
+    width = max(map(len, cores))
+    spelt = _spell(cores, width).T  # (width, cores)
+    letters, x = np.unique(words, return_inverse=True)
+    x = x.reshape(words.shape)
+    low = np.minimum(letters, 128)
+    cost = np.rint(_COST[low[None, :, None], np.minimum(spelt, 128)[:, None, :]] * SCALE).astype(np.int32)
+    same = letters[None, :, None] == spelt[:, None, :]
+    cost[same] = 0
+    steps = np.arange(width + 1, dtype=np.int32)[:, None, None] * SCALE
+    before = None
+    row = np.broadcast_to(steps, (width + 1, len(words), len(cores))).copy()
+    for i in range(words.shape[1]):
+        new = row + SCALE
+        np.minimum(new[1:], row[:-1] + cost[:, x[:, i]], out=new[1:])
+        if i and width > 1:
+            swaps = same[:-1, x[:, i]] & same[1:, x[:, i - 1]]
+            if swaps.any():
+                new[2:] = np.where(swaps, np.minimum(new[2:], before[:-2] + SCALE), new[2:])
+        # an insertion after any cell of the row
+        new -= steps
+        np.minimum.accumulate(new, axis=0, out=new)
+        new += steps
+        before, row = row, new
+    return row[[len(c) for c in cores], :, np.arange(len(cores))].T
+
+
+def nearest(words: list[str], cores: list[str]) -> dict[str, np.ndarray]:
+    """The most similar core of each word: its index (ord), distance, similarity, and how the edits look.
+
+    The first of equally similar cores wins; index -1 (and distance NaN) where no core has anything in common.
     """
-    size = np.array([max(1, len(c)) for c in cores])
-    out: list[tuple] = [()] * len(words)
-    for run in _by_length(words):
+    sizes = np.array([max(1, len(c)) for c in cores])
+    out = {
+        "ord": np.full(len(words), -1), "distance": np.full(len(words), np.nan), "similarity": np.zeros(len(words)),
+        "visual": np.zeros(len(words), bool), "swapped": np.zeros(len(words), bool),
+    }
+    if not cores:
+        return out
+    for run in _by_length(words, max(1, CELLS // (len(cores) * (int(sizes.max()) + 1)))):
         some = [words[k] for k in run]
-        d = tables(some, cores)
-        lens = np.array([len(w) for w in some])
-        at = d[np.arange(len(some))[:, None], np.arange(len(cores))[None, :], lens[:, None], [len(c) for c in cores]]
-        sim = np.maximum(0.0, 1 - at / np.maximum(lens[:, None], size[None, :]))
-        best = sim.argmax(1)
-        for k, w, row, c in zip(run, some, range(len(some)), best.tolist(), strict=True):
-            if sim[row, c] <= 0:
-                out[k] = (-1, None, 0.0, False, False)
-                continue
-            edits = trace(w, cores[c], d[row, c]) if at[row, c] > 0 else []
-            kinds, types = {e["kind"] for e in edits}, {e["type"] for e in edits}
-            out[k] = (c, float(at[row, c]), float(sim[row, c]), "visual" in kinds, "transpose" in types)
-    return pd.DataFrame(out, columns=["ord", "distance", "similarity", "visual", "swapped"])
+        n = len(some[0])
+        if not n:
+            continue
+        likely = 1 - _whole_costs(_spell(some, n), cores) / SCALE / np.maximum(n, sizes)
+        # whole numbers leave ties as they are: those are settled by the same sums as single pairs have
+        row, core = np.nonzero((likely >= likely.max(1)[:, None] - 1e-9) & (likely > 0))
+        if not len(row):
+            continue
+        pairs = Aligned([some[r] for r in row], [cores[c] for c in core])
+        sim = np.maximum(0.0, 1 - pairs.distance / np.maximum(n, sizes[core]))
+        o = np.lexsort((core, -sim, row))
+        first = o[np.flatnonzero(np.diff(row[o], prepend=-1))]
+        at = run[row[first]]
+        for name, x in zip(out, (core, pairs.distance, sim, pairs.visual, pairs.swapped), strict=True):
+            out[name][at] = x[first]
+    return out
+
+
+def _struct(found: dict[str, np.ndarray], places: np.ndarray, back: np.ndarray) -> pa.Array:
+    columns = [pa.array(np.append(places, -1)[found["ord"]][back], pa.int32()), pa.array(found["distance"][back], from_pandas=True)]
+    columns += [pa.array(found[k][back]) for k in ("similarity", "visual", "swapped")]
+    return pa.StructArray.from_arrays(columns, ["ord", "distance", "similarity", "visual", "swapped"])
 
 
 def nearest_brand(label: Column, brands: list[Brand]) -> Column:
     """struct(ord, distance, similarity, visual, swapped): the brand, by place in the list, nearest to a label."""
     held = [(k, b.core) for k, b in enumerate(brands) if len(b.core) >= 4]
-    places, cores = np.array([k for k, _ in held] + [-1]), [c for _, c in held]
+    places, cores = np.array([k for k, _ in held], np.int64), [c for _, c in held]
 
-    @F.pandas_udf(NEAREST)
-    def run(s: pd.Series) -> pd.DataFrame:
-        names, back = np.unique(s.fillna("").to_numpy(dtype=object), return_inverse=True)
-        found = nearest(list(names), cores)
-        found["ord"] = places[found["ord"]]
-        return found.iloc[back].reset_index(drop=True)
+    @F.arrow_udf(NEAREST)
+    def run(s: pa.Array) -> pa.Array:
+        names = s.fill_null("").dictionary_encode()
+        return _struct(nearest(names.dictionary.to_pylist(), cores), places, names.indices.to_numpy())
 
     return run(label)
 
 
+def nearest_learned(label: Column, cores: Column) -> Column:
+    """The same struct for cores that each row has itself (array of strings): ord is the place in the row's array."""
+
+    @F.arrow_udf(NEAREST)
+    def run(s: pa.Array, lists: pa.Array) -> pa.Array:
+        rows: dict[tuple, list[int]] = {}
+        for k, some in enumerate(lists.to_pylist()):
+            rows.setdefault(tuple(some or ()), []).append(k)
+        labels = s.fill_null("").to_pylist()
+        parts = []
+        for some, at in rows.items():
+            held = [(k, c) for k, c in enumerate(some) if len(c) >= 4]
+            found = nearest([labels[k] for k in at], [c for _, c in held])
+            parts.append(_struct(found, np.array([k for k, _ in held], np.int64), np.arange(len(at))))
+        back = np.argsort(np.concatenate([np.array(at) for at in rows.values()]))
+        return pa.concat_arrays(parts).take(pa.array(back))
+
+    return run(label, cores)
+
+
+def _texts(codes: np.ndarray) -> pa.Array:
+    """Strings of one or two code points; null for none."""
+    text = pa.array(np.ascontiguousarray(codes).view("<U2").ravel())
+    return pc.if_else(pa.array(codes[:, 0] > 0), text, pa.scalar(None, pa.string()))
+
+
+def alignments(a: list[str], b: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Distances of pairs and their edits as an Arrow list array."""
+    distance = np.zeros(len(a))
+    parts = []
+    for run in _by_length(a, 2000):
+        pairs = Aligned([a[k] for k in run], [b[k] for k in run])
+        distance[run] = pairs.distance
+        at, *edits = pairs.edits()
+        parts.append((run[at], *edits))
+    if not parts:
+        return distance, pa.array([], OPS_ARROW)
+    at, place, x, y, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
+    o = np.argsort(at, kind="stable")
+    kinds = pc.if_else(pa.array(kind[o] >= 0), pa.array(KINDS[kind[o]]), pa.scalar(None, pa.string()))
+    ops = pa.StructArray.from_arrays([pa.array(TYPES[place[o]]), _texts(x[o]), _texts(y[o]), kinds], ["type", "a", "b", "kind"])
+    ends = np.cumsum(np.bincount(at, minlength=len(a)))
+    return distance, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), ops)
+
+
 def align(a: Column, b: Column) -> Column:
-    """struct(distance, trace) of two strings; null if either is."""
-
-    @F.pandas_udf(ALIGNED)
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        known: dict[tuple[str, str], tuple] = {}
-        rows = []
-        for p, q in zip(x, y, strict=True):
-            if not isinstance(p, str) or not isinstance(q, str):
-                rows.append((None, None))
-                continue
-            if (p, q) not in known:
-                d = tables([p], [q])[0, 0]
-                known[p, q] = (float(d[len(p), len(q)]), trace(p, q, d))
-            rows.append(known[p, q])
-        return pd.DataFrame(rows, columns=["distance", "trace"])
+    """struct(distance, trace) of two strings; null if either is. Different pairs of a batch are aligned once."""
+
+    @F.arrow_udf(ALIGNED)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        known = pc.and_(x.is_valid(), y.is_valid())
+        both = pa.table({"x": x.filter(known), "y": y.filter(known)})
+        different = both.group_by(["x", "y"], use_threads=False).aggregate([])
+        distance, edits = alignments(different["x"].to_pylist(), different["y"].to_pylist())
+        place = {pair: k for k, pair in enumerate(zip(different["x"].to_pylist(), different["y"].to_pylist(), strict=True))}
+        at = iter([place[pair] for pair in zip(both["x"].to_pylist(), both["y"].to_pylist(), strict=True)])
+        back = pa.array([next(at) if k else None for k in known.to_pylist()], pa.int64())
+        return pa.StructArray.from_arrays([pa.array(distance).take(back), edits.take(back)], ["distance", "trace"])
 
     return run(a, b)
 

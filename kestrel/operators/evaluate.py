@@ -197,26 +197,49 @@ def complexity(spark: SparkSession, brand_length: int = 14) -> DataFrame:
     return spark.range(4, 25).select(F.col("id").cast("int").alias("n"), (F.col("id") * brand_length).cast("int").alias("ops"))
 
 
-def out_of_fold(df: DataFrame, names: list[str], k: int = 5, rounds: int = 100) -> DataFrame:
-    """df (with y and fold) plus probability, each row scored by the model of the other folds."""
-    from kestrel.operators.features import predict, train_logistic
+def out_of_fold(df: DataFrame, names: list[str], k: int = 5, rounds: int = 300, used: list[str] | None = None) -> DataFrame:
+    """df (with y and fold) plus probability, each row scored by the model of the other folds.
+
+    The k models are trained in the same passes. Of names only `used` ones, where given, are features.
+    """
+    from kestrel.operators.features import probability, train_models
+
+    fits, _ = train_models(df, names, leave_out="fold", groups=list(range(k)), used=[used] * k if used else None, rounds=rounds)
+    return df.withColumn("probability", F.coalesce(*[F.when(F.col("fold") == f, probability(*fit)) for f, fit in enumerate(fits)]))
 
-    out = None
-    for f in range(k):
-        weights, bias = train_logistic(df.where(F.col("fold") != f), names, rounds=rounds)
-        part = predict(df.where(F.col("fold") == f), weights, bias)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def ablation(df: DataFrame, names: list[str], sets: dict[str, list[str]], k: int = 5, rounds: int = 300, places: int = 6) -> DataFrame:
+    """(features, auc) of out-of-fold probabilities with each of several sets of features; all models in the same passes.
 
-def leave_one_out(df: DataFrame, names: list[str], group: str = "brand", threshold: float = 0.5, rounds: int = 100) -> DataFrame:
-    """(group, n, recall): positives of each group scored by a model that never saw the group."""
-    from kestrel.operators.features import predict, train_logistic
+    Probabilities are rounded to `places` before they are ranked.
+    """
+    from kestrel.operators.features import probability, train_models
 
+    fits, _ = train_models(
+        df, names, leave_out="fold", groups=list(range(k)) * len(sets), used=[u for u in sets.values() for _ in range(k)], rounds=rounds
+    )
     out = None
-    for g in sorted(r[group] for r in df.where("y = 1").select(group).distinct().collect()):  # brands
-        weights, bias = train_logistic(df.where(~F.col(group).eqNullSafe(g)), names, rounds=rounds)
-        held = predict(df.where((F.col(group) == g) & (F.col("y") == 1)), weights, bias)
-        part = held.agg(F.lit(g).alias(group), F.count(F.lit(1)).alias("n"), F.avg((F.col("probability") >= threshold).cast("double")).alias("recall"))
+    for j, name in enumerate(sets):
+        mine = F.coalesce(*[F.when(F.col("fold") == f, probability(*fits[j * k + f])) for f in range(k)])
+        scored = df.select("y", F.round(mine, places).alias("p"))
+        part = roc_auc(scored, "p", F.col("y") == 1).select(F.lit(name).alias("features"), F.round("auc", places).alias("auc"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def leave_one_out(
+    df: DataFrame, names: list[str], group: str = "brand", threshold: float | None = None, rounds: int = 400
+) -> DataFrame:
+    """(group, n, warn, recall): positives of each group scored by a model that never saw the group.
+
+    The threshold warn is each model's best F1 on its own rows, unless one is given. All models are trained in the same
+    passes; their number is that of the groups.
+    """
+    from kestrel.operators.features import probability, train_models
+
+    held = sorted(r[group] for r in df.where("y = 1").select(group).distinct().collect())  # brands
+    fits, best = train_models(df, names, leave_out=group, groups=held, rounds=rounds, grid=threshold_grid(0.05, 0.95))
+    mine = lambda values: F.coalesce(*[F.when(F.col(group) == g, v) for g, v in zip(held, values, strict=True)])
+    warn = mine([F.lit(float(t)) for t in best]) if threshold is None else F.lit(threshold)
+    scored = df.where("y = 1").select(group, warn.alias("warn"), mine([probability(*fit) for fit in fits]).alias("p"))
+    return scored.groupBy(group, "warn").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") >= F.col("warn")).cast("double")).alias("recall"))

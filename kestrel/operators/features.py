@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,27 +137,133 @@ def standardiser(df: DataFrame, names: list[str]) -> list[tuple[str, float, floa
     return [(n, row[f"m{k}"] or 0.0, row[f"s{k}"] or 1.0) for k, n in enumerate(names)]
 
 
-def train_logistic(df: DataFrame, names: list[str], label: str = "y", *, rounds: int = 300, rate: float = 0.5,
-                   penalty: float = 1e-4) -> tuple[list[tuple[str, float, float, float]], float]:
-    """Class-weighted logistic regression by full-batch gradient descent.
+#: So many partial sums go straight to the driver; those of more tasks are added up first.
+FEW_TASKS = 256
+
+
+def summed(rows: DataFrame, values, shape: tuple[int, int], tasks: int) -> np.ndarray:
+    """Sums over rows (x array, y, group) of what values(x, y, group) gives for each batch: an array of that shape.
+
+    Batches are summed in their tasks, which are `tasks` in number, then by place in the array, whose size the models fix.
+    """
+    few = tasks <= FEW_TASKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            total += values(x, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+        if few:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "part"])
+
+    out = np.zeros(shape)
+    if few:
+        for r in rows.mapInArrow(run, "part binary").collect():
+            out += np.frombuffer(r["part"]).reshape(shape)
+    else:
+        parts = rows.mapInArrow(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("total"))
+        for r in parts.collect():
+            out.ravel()[r["place"]] = r["total"]
+    return out
+
+
+Fitted = tuple[list[tuple[str, float, float, float]], float]
+
+
+def train_models(
+    df: DataFrame,
+    names: list[str],
+    label: str = "y",
+    *,
+    leave_out: str | None = None,
+    groups: list | None = None,
+    used: list[list[str]] | None = None,
+    rounds: int = 300,
+    rate: float = 0.5,
+    penalty: float = 1e-4,
+    grid: list[float] | None = None,
+) -> tuple[list[Fitted], np.ndarray | None]:
+    """Class-weighted logistic regressions by full-batch gradient descent, all models in the same passes over the rows.
+
+    Model k leaves out rows whose column leave_out is groups[k] (None: no row) and uses the features used[k] (by default
+    all). Each standardises on its own rows, which weigh n / (2 * rows of their class). A round is one aggregation over
+    the cached table for all models; only sums of the models' size reach the driver. Null features count as 0.
 
-    Each round is one aggregation over the cached table; rows weigh n / (2 * rows of their class). Returns the model
-    table (feature, mean, deviation, weight) and the bias.
+    Returns, of each model, its table (feature, mean, deviation, weight) and bias, and with a grid of thresholds the
+    one that gives each model's best F1 on its own rows, the first of equals.
     """
-    scale = standardiser(df, names)
-    z = df.select(F.array(*[(F.col(n) - m) / s for n, m, s in scale]).alias("z"), F.col(label).cast("double").alias("y")).cache()
-    per_class = {r["y"]: r["n"] for r in z.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(per_class.values())
-    w, b = [0.0] * len(names), 0.0
-    for _ in range(rounds if len(per_class) > 1 else 0):
-        weight = F.when(F.col("y") == 1, total / (2 * per_class[1.0])).otherwise(total / (2 * per_class[0.0]))
-        dot = F.aggregate(F.zip_with("z", F.array(*map(F.lit, w)), lambda x, c: x * c), F.lit(b), lambda a, x: a + x)
-        err = z.select("z", (weight * (1 / (1 + F.exp(-dot)) - F.col("y"))).alias("e"), weight.alias("k"))
-        g = err.agg(F.sum("k").alias("k"), F.sum("e").alias("e"), *[F.sum(F.col("e") * F.col("z")[j]).alias(f"g{j}") for j in range(len(w))]).first()
-        w = [x - rate * (g[f"g{j}"] / g["k"] + penalty * x) for j, x in enumerate(w)]
-        b -= rate * g["e"] / g["k"]
-    z.unpersist()
-    return [(n, m, s, x) for (n, m, s), x in zip(scale, w, strict=True)], b
+    groups = groups if groups is not None else [None]
+    n_models, n = len(groups), len(names)
+    known = list(dict.fromkeys(map(str, groups)))
+    which = np.array([known.index(str(g)) for g in groups])
+    place = F.array_position(F.array(*map(F.lit, known)), F.col(leave_out).cast("string")) - 1 if leave_out else F.lit(-1)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+    rows = df.select(x.alias("x"), F.col(label).cast("double").alias("y"), F.coalesce(place, F.lit(-1)).cast("int").alias("g"))
+    rows = rows.hint("rebalance").cache()  # as few balanced tasks as the size asks for: each round is a job
+    mask = np.array([[c in (u if used else names) for c in names] for u in (used or [names] * n_models)], float)
+    own = lambda g: (g[:, None] != which).astype(float)
+    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -700, 700)))
+
+    tasks = rows.rdd.getNumPartitions()
+    first = summed(rows, lambda x, y, g: np.column_stack([own(g).T @ x, own(g).sum(0), own(g).T @ y]), (n_models, n + 2), tasks)
+    total, positive = first[:, n], first[:, n + 1]
+    mean = first[:, :n] / np.maximum(total, 1)[:, None]
+    squares = summed(rows, lambda x, y, g: np.stack([own(g)[:, k] @ (x - mean[k]) ** 2 for k in range(n_models)]), (n_models, n), tasks)
+    std = np.sqrt(squares / np.maximum(total, 1)[:, None])
+    std[std == 0] = 1.0
+    heavy, light = total / (2 * np.maximum(positive, 1)), total / (2 * np.maximum(total - positive, 1))
+    w, b = np.zeros((n_models, n)), np.zeros(n_models)
+    weight = np.maximum(positive * heavy + (total - positive) * light, 1e-300)
+
+    def logits(x: np.ndarray) -> np.ndarray:
+        return x @ (w / std).T + (b - (w * mean / std).sum(1))
+
+    def gradient(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> np.ndarray:
+        error = (sigmoid(logits(x)) - y[:, None]) * np.where(y[:, None] > 0, heavy, light) * own(g)
+        return np.column_stack([error.T @ x, error.sum(0)])
+
+    both = (positive > 0) & (positive < total)
+    for _ in range(rounds if both.any() else 0):
+        found = summed(rows, gradient, (n_models, n + 1), tasks)
+        slope = (found[:, :n] - mean * found[:, n:]) / std / weight[:, None]
+        w = (w - rate * (slope + penalty * w)) * mask * both[:, None]
+        b = (b - rate * found[:, n] / weight) * both
+    best = None
+    if grid is not None:
+        steps = np.array(grid)
+
+        def reached(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> np.ndarray:
+            p, mine = sigmoid(logits(x)), own(g) > 0
+            hits = [[((p[:, k] >= t) & mine[:, k] & (y == c)).sum() for c in (1, 0) for t in steps] for k in range(n_models)]
+            return np.array(hits, float)
+
+        hits = summed(rows, reached, (n_models, 2 * len(steps)), tasks)
+        tp, fp = hits[:, : len(steps)], hits[:, len(steps) :]
+        best = steps[(2 * tp / np.maximum(positive[:, None] + tp + fp, 1)).argmax(1)]
+    rows.unpersist()
+    tables = [[(c, *map(float, v)) for c, *v in zip(names, mean[k], std[k], w[k], strict=True) if mask[k][names.index(c)]] for k in range(n_models)]
+    return [(t, float(x)) for t, x in zip(tables, b, strict=True)], best
+
+
+def train_logistic(df: DataFrame, names: list[str], label: str = "y", *, rounds: int = 300, rate: float = 0.5, penalty: float = 1e-4) -> Fitted:
+    """One model of train_models, over all rows: the model table (feature, mean, deviation, weight) and the bias."""
+    return train_models(df, names, label, rounds=rounds, rate=rate, penalty=penalty)[0][0]
+
+
+def probability(weights: list[tuple[str, float, float, float]], bias: float) -> Column:
+    """The probability that a model gives to rows with its feature columns."""
+    logit = F.lit(bias)
+    for name, mean, std, weight in weights:
+        logit = logit + F.lit(weight) * ((F.col(name) - F.lit(mean)) / F.lit(std or 1.0))
+    return 1 / (1 + F.exp(-logit))
+
+
+def compared(df: DataFrame, models: dict[str, tuple[Fitted, float]], by: str) -> DataFrame:
+    """Rows of each value of a column, and how many of them each model (with its threshold) finds."""
+    hits = {name: F.count_if(probability(*model) >= at) for name, (model, at) in models.items()}
+    return df.groupBy(by).agg(*[h.alias(n) for n, h in hits.items()], F.count(F.lit(1)).alias("n"))
 
 
 def fit_pipeline(df: DataFrame, names: list[str], label: str = "y"):

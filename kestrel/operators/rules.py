@@ -24,7 +24,7 @@ def _signal(when: Column, label: str, detail: Column, weight: Column) -> Column:
 
 
 def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
-    """Matched hosts plus impersonated (a brand's place), signals, score and level.
+    """Matched hosts plus impersonated (a brand's place), attached (whether only by a disguise), signals, score and level.
 
     Tests of the label are tried in a fixed order, and the first whose outer condition holds ends the search, even
     when it then lacks corroboration. Weights are added in the order of the signals.
@@ -69,7 +69,8 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
     out = settle(settle(df, arm=arm), stands=F.coalesce(stands, F.lit(False)))
     sub = F.col("in_subdomain").isNotNull() & free
     attached = F.when(hidden & (near["similarity"] >= 0.7) & (near["ord"] >= 0), near["ord"])
-    out = settle(out, impersonated=F.coalesce(pinned, F.when(sub, F.col("in_subdomain")), attached))
+    pinned = F.coalesce(pinned, F.when(sub, F.col("in_subdomain")))
+    out = settle(out, impersonated=F.coalesce(pinned, attached), attached=pinned.isNull() & attached.isNotNull())
     named = F.col("impersonated").isNotNull()
     took = lambda a: F.col("stands") & (F.col("arm") == a)
     seen = F.array_join(F.transform("folds", lambda f: F.concat_ws("", f["orig"], F.lit("="), f["canon"])), " ")
@@ -192,8 +193,11 @@ def register(spark) -> None:
 
     @F.pandas_udf("double")
     def weighted_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = zip(a, b, strict=True)
-        return pd.Series([float(distance.tables([p], [q])[0, 0, len(p), len(q)]) if p is not None and q is not None else None for p, q in pairs])
+        out = pd.Series(float("nan"), a.index)
+        known = a.notna() & b.notna()
+        if known.any():
+            out[known] = distance.alignments(list(a[known]), list(b[known]))[0]
+        return out
 
     spark.udf.register("skeleton", skeleton)
     spark.udf.register("weighted_distance", weighted_distance)

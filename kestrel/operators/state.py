@@ -9,8 +9,11 @@ MOST_VISITS, MOST_SITES, MOST_RECENT = 999, 300, 8
 
 
 def visits(events: DataFrame) -> DataFrame:
-    """(device, registrable, sld, count, last_seen) of safe visits to labels of 4 letters or more; counts stop at 999."""
-    kept = events.where((F.col("level") == "safe") & (F.length("sld") >= 4))
+    """(device, registrable, sld, count, last_seen) of safe completed loads of labels of 4 letters or more; counts stop at 999.
+
+    Loads under way, addresses that change inside a page, activated tabs and blocks are no visits.
+    """
+    kept = events.where((F.col("kind") == "complete") & (F.col("level") == "safe") & (F.length("sld") >= 4))
     return kept.groupBy("device", "registrable").agg(
         F.max("sld").alias("sld"), F.least(F.count(F.lit(1)), F.lit(MOST_VISITS)).alias("count"), F.max("ts").alias("last_seen")
     )
@@ -61,8 +64,8 @@ def clean_message(df: DataFrame) -> DataFrame:
 
 
 def block_latch(events: DataFrame) -> DataFrame:
-    """events plus latched: whether the tab's last block or load start, this event included, was a block."""
-    w = Window.partitionBy("device").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """events plus latched: whether the last block or load start of the device's tab, this event included, was a block."""
+    w = Window.partitionBy("device", "tab").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("kind").isin("block", "loading"), F.col("kind")), ignorenulls=True).over(w)
     return events.withColumn("latched", F.coalesce(last == "block", F.lit(False)))
 

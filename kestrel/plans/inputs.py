@@ -10,7 +10,7 @@ from kestrel.functions import hosts
 from kestrel.operators.match import attribute
 
 CORES = [b for b in dims.brands() if len(b.core) >= 4]
-FAMILIES = ["official", "hyphen", "lure-tld", "bad-tld", "subdomain", "digit", "swap", "glyph"]
+FAMILIES = ["official", "hyphen", "lure-tld", "bad-tld", "subdomain", "digit", "swap", "glyph", "far-glyph", "token"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derived_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, host, family, brand): look-alikes from customers, benign hosts from parts, and page hosts."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    c = c.withColumn("b", F.expr(f"cast(id % {len(CORES)} as int)")).withColumn("f", F.expr(f"cast((id div {len(CORES)}) % 8 as int)"))
-    c = c.withColumn("l", F.expr(f"cast((id div {8 * len(CORES)}) % {len(dims.LURE_WORDS)} as int)"))
+    c = c.withColumn("b", F.expr(f"cast(id % {len(CORES)} as int)")).withColumn("f", F.expr(f"cast((id div {len(CORES)}) % {len(FAMILIES)} as int)"))
+    c = c.withColumn("l", F.expr(f"cast((id div {len(FAMILIES) * len(CORES)}) % {len(dims.LURE_WORDS)} as int)"))
     core, lure = attribute(F.col("b"), [b.core for b in CORES]), attribute(F.col("l"), dims.LURE_WORDS)
     c = c.withColumn("core", core).withColumn("lure", lure)
     core, lure, f = F.col("core"), F.col("lure"), F.col("f")
@@ -35,9 +35,11 @@ def derived_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.replace(core, F.lit("o"), F.lit("0")), F.lit(".com")),
         F.concat(swapped, F.lit(".in")),
         F.concat(F.translate(core, "aeo", "аео"), F.lit(".com")),
+        F.concat(F.translate(F.substring(core, 1, 2), "aeo", "аео"), F.lit("zz"), F.substring(core, 3, 100), F.lit(".com")),
+        F.concat(F.lit("sbi-"), lure, F.lit(".tk")),
     ]
     host = F.coalesce(*[F.when(f == k, m) for k, m in enumerate(made)])
-    c = c.select("id", host.alias("host"), attribute(f, FAMILIES).alias("family"), core.alias("brand"))
+    c = c.select("id", host.alias("host"), attribute(f, FAMILIES).alias("family"), F.when(f == 9, "sbi").otherwise(core).alias("brand"))
     p = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
         F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.lit(".org")).alias("host"),
@@ -59,23 +61,28 @@ hosts AS (
   SELECT id, CASE f WHEN 0 THEN {_list([b.domain for b in CORES])}[b + 1] WHEN 1 THEN core || '-' || lure || '.com'
     WHEN 2 THEN lure || '-' || core || '.xyz' WHEN 3 THEN core || '.tk' WHEN 4 THEN core || '.account-verify.com'
     WHEN 5 THEN replace(core, 'o', '0') || '.com' WHEN 6 THEN substr(core, 2, 1) || substr(core, 1, 1) || substr(core, 3) || '.in'
-    ELSE translate(core, 'aeo', 'аео') || '.com' END AS host,
-    {_list(FAMILIES)}[f + 1] AS family, core AS brand
-  FROM (SELECT c_custkey AS id, c_custkey % {len(CORES)} AS b, (c_custkey // {len(CORES)}) % 8 AS f,
+    WHEN 7 THEN translate(core, 'aeo', 'аео') || '.com' WHEN 8 THEN translate(substr(core, 1, 2), 'aeo', 'аео') || 'zz' || substr(core, 3) || '.com'
+    ELSE 'sbi-' || lure || '.tk' END AS host, {_list(FAMILIES)}[f + 1] AS family, CASE f WHEN 9 THEN 'sbi' ELSE core END AS brand
+  FROM (SELECT c_custkey AS id, c_custkey % {len(CORES)} AS b, (c_custkey // {len(CORES)}) % {len(FAMILIES)} AS f,
     {_list([b.core for b in CORES])}[c_custkey % {len(CORES)} + 1] AS core,
-    {_list(dims.LURE_WORDS)}[(c_custkey // {8 * len(CORES)}) % {len(dims.LURE_WORDS)} + 1] AS lure FROM customer)
+    {_list(dims.LURE_WORDS)}[(c_custkey // {len(FAMILIES) * len(CORES)}) % {len(dims.LURE_WORDS)} + 1] AS lure FROM customer)
   UNION ALL SELECT p_partkey, replace(lower(p_name), ' ', '-') || '.org', 'benign', '' FROM part
   UNION ALL SELECT page_id, regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\\-]*://', ''),
     '^[^/?#]*'), ':[0-9]+$', ''), 'page', '' FROM pages
 )"""
 
-BRANDS_SQL = "brands AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({k}, '{b.name}', '{b.core}', '{b.domain}', '{b.category}', {str(b.owns_name).lower()})" for k, b in enumerate(dims.brands())
-) + ") t(ord, name, core, domain, category, owns))"
 
-OFFICIAL_SQL = "official AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({k}, '{d}')" for k, b in enumerate(dims.brands()) for d in b.official
-) + ") t(ord, domain))"
+def brands_sql(brands: list[dims.Brand]) -> str:
+    """The tables brands and official."""
+    rows = ", ".join(f"({k}, '{b.name}', '{b.core}', '{b.domain}', '{b.category}', {str(b.owns_name).lower()})" for k, b in enumerate(brands))
+    owned = ", ".join(f"({k}, '{d}')" for k, b in enumerate(brands) for d in b.official)
+    return (
+        f"brands AS (SELECT * FROM (VALUES {rows}) t(ord, name, core, domain, category, owns)), "
+        f"official AS (SELECT * FROM (VALUES {owned}) t(ord, domain))"
+    )
+
+
+BRANDS_SQL = brands_sql(dims.brands())
 
 LURES_SQL = "lure_words AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{w}')" for k, w in enumerate(dims.LURE_WORDS)) + ") t(ord, word))"
 
@@ -109,7 +116,7 @@ split AS (
   SELECT *, CASE WHEN sld <> '' THEN sld || '.' ELSE '' END || suffix AS registrable FROM named
 )"""
 
-ALL_SQL = f"{HOSTS_SQL}, {PARSED_SQL}, {BRANDS_SQL}, {OFFICIAL_SQL}, {LURES_SQL}"
+ALL_SQL = f"{HOSTS_SQL}, {PARSED_SQL}, {BRANDS_SQL}, {LURES_SQL}"
 
 
 def scored_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +139,24 @@ SCORED_SQL = f"""{HOSTS_SQL}, {BRANDS_SQL}, slds AS (
 
 
 def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, ts, device, kind, level, host, registrable, sld, brand, score) from events."""
+    """(event_id, ts, device, tab, kind, level, host, registrable, sld, brand, score) from events.
+
+    Kinds: complete (a load is done), loading, block (the block screen was shown), url (the address changed inside a
+    page), activated (a tab came to the front).
+    """
     e = table(spark, sf_dir, "events")
     b = F.expr(f"cast(event_id % {len(CORES)} as int)")
     return e.select(
         "event_id",
         "ts",
         F.col("user_id").alias("device"),
-        F.when(F.col("event_type") == "error", "block").when(F.col("event_type") == "click", "loading").otherwise("complete").alias("kind"),
+        F.expr("cast(event_id div 7 % 3 as int)").alias("tab"),
+        F.when(F.col("event_type") == "error", "block")
+        .when(F.col("event_type") == "click", "loading")
+        .when(F.col("event_type") == "signup", "url")
+        .when(F.expr("event_id % 5 = 0"), "activated")
+        .otherwise("complete")
+        .alias("kind"),
         F.when(F.col("value") < 60, "safe").when(F.col("value") < 120, "suspicious").otherwise("dangerous").alias("level"),
         attribute(b, [x.domain for x in CORES]).alias("host"),
         attribute(b, [x.domain for x in CORES]).alias("registrable"),
@@ -152,7 +169,9 @@ def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAVIGATION_SQL = f"""
 nav AS (
   SELECT event_id, ts, user_id AS device,
-    CASE event_type WHEN 'error' THEN 'block' WHEN 'click' THEN 'loading' ELSE 'complete' END AS kind,
+    (event_id // 7 % 3)::INT AS tab,
+    CASE WHEN event_type = 'error' THEN 'block' WHEN event_type = 'click' THEN 'loading' WHEN event_type = 'signup' THEN 'url'
+      WHEN event_id % 5 = 0 THEN 'activated' ELSE 'complete' END AS kind,
     CASE WHEN value < 60 THEN 'safe' WHEN value < 120 THEN 'suspicious' ELSE 'dangerous' END AS level,
     {_list([b.domain for b in CORES])}[event_id % {len(CORES)} + 1] AS host,
     {_list([b.core for b in CORES])}[event_id % {len(CORES)} + 1] AS sld,

@@ -14,6 +14,7 @@ from kestrel.operators import evaluate as ev
 from kestrel.operators import features as ft
 from kestrel.operators import generate, match, pages, rules, state
 from kestrel.operators.parse import parse_hosts
+from kestrel.plans import verdicts
 from kestrel.plans.inputs import (
     ALL_SQL,
     BAD_TLDS_SQL,
@@ -270,13 +271,6 @@ def m3(spark, sf_dir):
     return pairs.withColumn("distance", F.round(distance.weighted_distance(F.col("label"), F.col("core")), 6))
 
 
-@query("M4_alignment")
-def m4(spark, sf_dir):
-    h = derived_hosts(spark, sf_dir).where("family in ('digit', 'swap')")
-    pairs = h.select(F.split("host", r"\.")[0].alias("label"), F.col("brand").alias("core")).distinct()
-    return pairs.select("label", "core", F.posexplode(distance.align(F.col("label"), F.col("core"))["trace"]).alias("step", "op")).select("label", "core", "step", "op.*")
-
-
 @query("M5_cells", f"WITH {ALL_SQL} SELECT host, (length(sld) * (SELECT sum(length(core)) FROM brands WHERE length(core) >= 4))::BIGINT AS ops FROM parsed")
 def m5(spark, sf_dir):
     return ascii_matched(spark, sf_dir).select("host", match.compared_cells(dims.brands(), F.col("skeleton")).cast("long").alias("ops"))
@@ -289,12 +283,6 @@ def m6(spark, sf_dir):
     return parsed(spark, sf_dir).select("host", core.alias("core"), hosts.similarity(F.levenshtein("sld", core), F.col("sld"), core).alias("similarity"))
 
 
-@query("M7_nearest_brand")
-def m7(spark, sf_dir):
-    near = match.with_glyphs(parsed(spark, sf_dir)).withColumn("n", distance.nearest_brand(F.col("skeleton"), dims.brands()))
-    return near.select("host", match.attribute(F.when(F.col("n.ord") >= 0, F.col("n.ord")), [b.core for b in dims.brands()]).alias("core"), "n.distance", "n.similarity", "n.visual", "n.swapped")
-
-
 @query("M8_levenshtein", f"WITH {ALL_SQL} SELECT host, core, levenshtein(translate(sld, 'аео', 'AEO'), core) AS d FROM parsed, brands")
 def m8(spark, sf_dir):
     cores = F.array(*[F.lit(b.core) for b in dims.brands()])
@@ -400,26 +388,6 @@ def m20(spark, sf_dir):
 # ---- verdicts and models -------------------------------------------------------------------------------------------
 
 
-@query("R_verdicts")
-def r_verdicts(spark, sf_dir):
-    out = rules.analyze(derived_hosts(spark, sf_dir), "host")
-    v = F.col("verdict")
-    return out.select("id", "host", "family", v["level"].alias("level"), v["score"].alias("score"), v["brand"].alias("impersonated"),
-                      F.round(v["similarity"], 6).alias("similarity"), F.transform(v["signals"], lambda s: s["label"]).alias("signals"), v["ops"].alias("ops"))
-
-
-@query("R16_levels")
-def r16(spark, sf_dir):
-    out = rules.analyze(derived_hosts(spark, sf_dir), "host")
-    return out.groupBy("family", F.col("verdict.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("F1_features")
-def f1(spark, sf_dir):
-    grid = ft.bigram_map(spark, _part_bigrams(spark, sf_dir))
-    return ft.extract_features(derived_hosts(spark, sf_dir).select("host").distinct(), "host", grid)
-
-
 @query("F1b_label_counts", f"WITH {ALL_SQL} SELECT host, length(sld) AS sld_len, CASE WHEN sld = '' THEN 0 ELSE len(regexp_extract_all(sld, '[0-9]')) / length(sld)::DOUBLE END AS digit_ratio, "
        "len(regexp_extract_all(sld, '-')) AS hyphens FROM parsed")
 def f1b(spark, sf_dir):
@@ -428,48 +396,12 @@ def f1b(spark, sf_dir):
                                         F.regexp_count("sld", F.lit("-")).cast("long").alias("hyphens"))
 
 
-_MODEL = [("score", 0.37, 0.112, 1.2), ("len", 9.0, 3.5, -0.25), ("y", 0.1, 0.3, 0.5)]
-_CONTRIB_SQL = f"{SCORED_SQL}, x AS (SELECT id, family, score, length(sld)::DOUBLE AS len, y::DOUBLE AS y, 1.2 * ((score - 0.37) / 0.112) AS c0, -0.25 * ((length(sld) - 9.0) / 3.5) AS c1, 0.5 * ((y - 0.1) / 0.3) AS c2 FROM scored), " \
-    "l AS (SELECT *, 1 / (1 + exp(-(-1.5 + c0 + c1 + c2))) AS p FROM x)"
-
-
-def _predicted(spark, sf_dir):
-    s = scored_hosts(spark, sf_dir).select("id", "family", "score", F.length("sld").cast("double").alias("len"), F.col("y").cast("double").alias("y"))
-    return ft.predict(s, _MODEL, -1.5, 0.8, 0.95)
-
-
-@query("F2_probability", f"WITH {_CONTRIB_SQL} SELECT id, family, round(p, 9) AS probability, CASE WHEN p >= 0.95 THEN 'dangerous' WHEN p >= 0.8 THEN 'suspicious' ELSE 'safe' END AS level FROM l")
-def f2(spark, sf_dir):
-    return _predicted(spark, sf_dir).select("id", "family", F.round("probability", 9).alias("probability"), "level")
-
-
-@query("F3_contributions", f"WITH {_CONTRIB_SQL}, u AS (SELECT id, family, unnest([{{'k': 0, 'f': 'score', 'c': c0}}, {{'k': 1, 'f': 'len', 'c': c1}}, {{'k': 2, 'f': 'y', 'c': c2}}]) AS u FROM l) "
-       "SELECT id, family, list(u.f ORDER BY -abs(u.c), u.k) AS features FROM u GROUP BY id, family")
-def f3(spark, sf_dir):
-    return _predicted(spark, sf_dir).groupBy("id", "family").agg(F.first(F.transform("contributions", lambda t: t["feature"])).alias("features"))
-
-
-@query("F4_top_contributions", f"WITH {_CONTRIB_SQL} SELECT id, family, least(2, (abs(c0) > 0.05)::INT + (abs(c1) > 0.05)::INT + (abs(c2) > 0.05)::INT)::BIGINT AS shown FROM l")
-def f4(spark, sf_dir):
-    return _predicted(spark, sf_dir).select("id", "family", F.size(ft.top_contributions(2)).cast("long").alias("shown"))
-
-
 @query("F5_standardise", f"WITH {SCORED_SQL} SELECT family, round(avg(score), 9) AS mean, round(coalesce(nullif(stddev_pop(score), 0), 1), 9) AS std FROM scored GROUP BY family")
 def f5(spark, sf_dir):
     s = F.stddev_pop("score")
     return scored_hosts(spark, sf_dir).groupBy("family").agg(F.round(F.avg("score"), 9).alias("mean"), F.round(F.when(s != 0, s).otherwise(1.0), 9).alias("std"))
 
 
-def _labelled(spark, sf_dir):
-    return scored_hosts(spark, sf_dir).withColumn("len", F.length("sld").cast("double"))
-
-
-@query("F6_train_logistic")
-def f6(spark, sf_dir):
-    weights, bias = ft.train_logistic(_labelled(spark, sf_dir), ["score", "len"], rounds=20)
-    return spark.createDataFrame([(n, w) for n, _, _, w in weights] + [("bias", bias)], "feature string, weight double")
-
-
 _GRID = ev.threshold_grid(0.05, 0.95)
 _SWEEP_SQL = f"{SCORED_SQL}, s AS (SELECT t, count(*) FILTER (score >= t AND y = 1) AS tp, count(*) FILTER (score >= t AND y = 0) AS fp, count(*) FILTER (score < t AND y = 1) AS fn " \
     f"FROM scored, (SELECT unnest({_GRID}::DOUBLE[]) AS t) GROUP BY t)"
@@ -491,12 +423,6 @@ def f8(spark, sf_dir):
     return ev.block_threshold(scored_hosts(spark, sf_dir), "score", F.col("y") == 1, 0.5).select(F.round("block", 9).alias("block"))
 
 
-@query("F10_models_compared", f"WITH {SCORED_SQL} SELECT family, count(*) FILTER (score >= 0.8) AS old_hits, count(*) FILTER (score >= 0.6) AS new_hits, count(*) AS n FROM scored WHERE y = 1 GROUP BY family")
-def f10(spark, sf_dir):
-    s = scored_hosts(spark, sf_dir).where("y = 1")
-    return s.groupBy("family").agg(F.count_if(F.col("score") >= 0.8).alias("old_hits"), F.count_if(F.col("score") >= 0.6).alias("new_hits"), F.count(F.lit(1)).alias("n"))
-
-
 # ---- generator -----------------------------------------------------------------------------------------------------
 
 
@@ -565,17 +491,6 @@ def s2(spark, sf_dir):
     return ev.folds(_keyed(spark, sf_dir), "y", "key").select("key", F.col("fold").cast("long").alias("fold"))
 
 
-@query("S3_out_of_fold")
-def s3(spark, sf_dir):
-    labelled = ev.folds(_keyed(spark, sf_dir).withColumn("len", F.length("sld").cast("double")), "y", "key", 3)
-    return ev.out_of_fold(labelled, ["score", "len"], 3, rounds=5).select("key", "fold", "probability")
-
-
-@query("S4_leave_one_out")
-def s4(spark, sf_dir):
-    return ev.leave_one_out(_labelled(spark, sf_dir), ["score", "len"], "family", rounds=5)
-
-
 @query("S5_slices", "SELECT c_custkey FROM customer WHERE c_custkey < 300 OR c_custkey BETWEEN 1000 AND 1199")
 def s5(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_custkey < 300 or c_custkey between 1000 and 1199").select("c_custkey")
@@ -677,22 +592,6 @@ def a8(spark, sf_dir):
     return c.agg(F.round(F.avg("f1"), 9).alias("mean"), F.round(F.stddev_pop("f1"), 9).alias("sd"))
 
 
-@query("A9_ablation")
-def a9(spark, sf_dir):
-    df = _labelled(spark, sf_dir)
-    out = None
-    for name, names in (("all", ["score", "len"]), ("without len", ["score"])):
-        weights, bias = ft.train_logistic(df, names, rounds=10)
-        part = ev.roc_auc(ft.predict(df, weights, bias), "probability", F.col("y") == 1).withColumn("features", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("A10_signal_tally")
-def a10(spark, sf_dir):
-    return ev.signal_tally(rules.analyze(derived_hosts(spark, sf_dir).where("family in ('benign', 'page')"), "host").select("verdict.*"))
-
-
 @query("A11_missed", f"WITH {SCORED_SQL} SELECT id, host, family FROM scored WHERE y = 1 AND score < 0.6 ORDER BY family, id LIMIT 40")
 def a11(spark, sf_dir):
     return scored_hosts(spark, sf_dir).where("y = 1 and score < 0.6").orderBy("family", "id").limit(40).select("id", "host", "family")
@@ -730,7 +629,7 @@ def a15(spark, sf_dir):
 
 # ---- state ---------------------------------------------------------------------------------------------------------
 
-_VISITS_SQL = f"{NAVIGATION_SQL}, visits AS (SELECT device, host AS registrable, max(sld) AS sld, least(count(*), 999) AS count, max(ts) AS last_seen FROM nav WHERE level = 'safe' AND length(sld) >= 4 GROUP BY device, host)"
+_VISITS_SQL = f"{NAVIGATION_SQL}, visits AS (SELECT device, host AS registrable, max(sld) AS sld, least(count(*), 999) AS count, max(ts) AS last_seen FROM nav WHERE kind = 'complete' AND level = 'safe' AND length(sld) >= 4 GROUP BY device, host)"
 
 
 @query("T1_visits", f"WITH {_VISITS_SQL} SELECT * FROM visits")
@@ -770,7 +669,7 @@ def t7(spark, sf_dir):
     return state.clean_message(navigation(spark, sf_dir).where("kind = 'block'")).select("event_id", "host", "brand", "score")
 
 
-_LATCH_SQL = f"{NAVIGATION_SQL}, l AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('block', 'loading') THEN kind END IGNORE NULLS) OVER (PARTITION BY device ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 'block', false) AS latched FROM nav)"
+_LATCH_SQL = f"{NAVIGATION_SQL}, l AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('block', 'loading') THEN kind END IGNORE NULLS) OVER (PARTITION BY device, tab ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 'block', false) AS latched FROM nav)"
 
 
 @query("T8_block_latch", f"WITH {_LATCH_SQL} SELECT event_id, latched, CASE WHEN latched OR level = 'dangerous' THEN '!' WHEN level = 'suspicious' THEN '?' ELSE '' END AS badge FROM l")
@@ -798,14 +697,5 @@ def t11(spark, sf_dir):
     return navigation(spark, sf_dir).select("device", "host").dropDuplicates()
 
 
-@query("T12_engines")
-def t12(spark, sf_dir):
-    h = derived_hosts(spark, sf_dir).select("host").distinct()
-    ruled = rules.analyze(h, "host").select("host", F.col("verdict.level").alias("rules_level"))
-    ml = ft.predict(ft.extract_features(h, "host", dims.bigram_grid())).select("host", F.col("level").alias("ml_level"))
-    return ruled.join(ml, "host").groupBy("rules_level", "ml_level").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("pages_flagged", "SELECT page_id, 0::BIGINT AS links, 0::BIGINT AS danger, 0::BIGINT AS warn FROM pages WHERE false")
-def pages_flagged(spark, sf_dir):
-    return pages.page_report(pages.flag_links(pages.page_links(table(spark, sf_dir, "pages"))))
+QUERIES |= verdicts.QUERIES
+SQL |= verdicts.SQL
