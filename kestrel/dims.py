@@ -180,18 +180,6 @@ def substitution_kinds() -> dict[str, str]:
     return kinds
 
 
-def learned_brands(visits: DataFrame, least: int = 3, most: int = 300) -> list[Brand]:
-    """Brands from a trusted-sites table (registrable, sld, count), the most visited first.
-
-    A device remembers at most `most` sites, so the table's size is bounded; more rows are an error.
-    """
-    rows = visits.where((F.col("count") >= least) & (F.length("sld") >= 4)).orderBy(F.desc("count"), "registrable")
-    found = rows.select("registrable", "sld").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} trusted sites")
-    return [Brand(r["sld"], r["sld"], r["registrable"], LEARNED) for r in found]
-
-
 def suffix_rules(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
     """Rules, by default all of the list, as rows (suffix, exact, wild, except): a suffix may carry several kinds."""
     kinds: dict[str, list[bool]] = {}

@@ -23,7 +23,7 @@ TYPES = np.array(["transpose", "match", "sub", "del", "ins"])
 KINDS = np.array(["different", "visual", "keyboard", "same"])
 SWAP, PAIR, GONE, MORE = range(4)
 #: Word-core cells filled at once.
-CELLS = 100_000
+CELLS = 200_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +48,8 @@ def _by_length(words: list[str], most: int) -> list[np.ndarray]:
     """Places of words in runs of equal length, of at most `most` words."""
     lens = np.array([len(w) for w in words])
     order = np.argsort(lens, kind="stable")
+    if not words:
+        return []
     cuts = np.flatnonzero(np.diff(lens[order], prepend=-1)).tolist()
     return [order[k : min(k + most, end)] for at, end in zip(cuts, [*cuts[1:], len(order)], strict=True) for k in range(at, end, most)]
 
@@ -57,7 +59,7 @@ class Aligned:
 
     Cell i, j is the distance of the first i and j characters: insertions and deletions cost 1, substitutions by
     likeness, a swap of neighbours 1. `op` is the last of the cheapest edits to it: a swap comes first, then a pair, a
-    deletion, an insertion; visual and swapped say what is among the edits.
+    deletion, an insertion.
     """
 
     def __init__(self, a: list[str], b: list[str]) -> None:
@@ -70,7 +72,6 @@ class Aligned:
         cost = np.where(same, 0.0, _COST[p, q])
         shape = (self.n + 1, m + 1, len(a))
         d, self.op = np.zeros(shape), np.full(shape, MORE, np.uint8)
-        visual, swapped = np.zeros(shape, bool), np.zeros(shape, bool)
         d[:, 0] = np.arange(self.n + 1)[:, None]
         d[0] = np.arange(m + 1)[:, None]
         self.op[1:, 0] = GONE
@@ -86,15 +87,28 @@ class Aligned:
                         swaps &= best == d[i - 2, j - 2] + 1
                     else:
                         swaps = None
-                paired, gone = best == pair, best == up
-                op = np.where(paired, PAIR, np.where(gone, GONE, MORE))
-                v = np.where(paired, visual[i - 1, j - 1] | (self.kind[:, i - 1, j - 1] == 1), np.where(gone, visual[i - 1, j], visual[i, j - 1]))
-                s = np.where(paired, swapped[i - 1, j - 1], np.where(gone, swapped[i - 1, j], swapped[i, j - 1]))
+                op = np.where(best == up, np.uint8(GONE), np.uint8(MORE))
+                op[best == pair] = PAIR
                 if swaps is not None:
-                    op, v, s = np.where(swaps, SWAP, op), np.where(swaps, visual[i - 2, j - 2], v), s | swaps
-                d[i, j], self.op[i, j], visual[i, j], swapped[i, j] = best, op, v, s
-        rows = np.arange(len(a))
-        self.distance, self.visual, self.swapped = (t[self.n, self.last, rows] for t in (d, visual, swapped))
+                    op[swaps] = SWAP
+                d[i, j], self.op[i, j] = best, op
+        self.distance = d[self.n, self.last, np.arange(len(a))]
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs have a look-alike, and which a swap, among their edits."""
+        visual, swapped = np.zeros(len(self.last), bool), np.zeros(len(self.last), bool)
+        live, i, j = np.arange(len(self.last)), np.full(len(self.last), self.n), self.last
+        while (more := i + j > 0).any():
+            live, i, j = live[more], i[more], j[more]
+            op = self.op[i, j, live]
+            swap, pair = op == SWAP, op == PAIR
+            swapped[live[swap]] = True
+            k = np.flatnonzero(pair)
+            like = self.kind[live[k], i[k] - 1, j[k] - 1] == 1
+            visual[live[k[like]]] = True
+            i = i - (op != MORE) - swap
+            j = j - (op != GONE) - swap
+        return visual, swapped
 
     def edits(self) -> tuple[np.ndarray, ...]:
         """Of all edits, first to last for each pair: pair, type, code points of a and of b (two columns), kind (-1: none)."""
@@ -127,32 +141,51 @@ class Aligned:
         return live[o], place[o], a[o], b[o], kind[o]
 
 
-def _whole_costs(words: np.ndarray, cores: list[str]) -> np.ndarray:
-    """Distances, in 1/SCALE, of words of one length (code points in rows) to all cores: exact, whole rows of cells at once."""
-    width = max(map(len, cores))
-    spelt = _spell(cores, width).T  # (width, cores)
-    letters, x = np.unique(words, return_inverse=True)
-    x = x.reshape(words.shape)
-    low = np.minimum(letters, 128)
-    cost = np.rint(_COST[low[None, :, None], np.minimum(spelt, 128)[:, None, :]] * SCALE).astype(np.int32)
-    same = letters[None, :, None] == spelt[:, None, :]
-    cost[same] = 0
-    steps = np.arange(width + 1, dtype=np.int32)[:, None, None] * SCALE
-    before = None
-    row = np.broadcast_to(steps, (width + 1, len(words), len(cores))).copy()
-    for i in range(words.shape[1]):
-        new = row + SCALE
-        np.minimum(new[1:], row[:-1] + cost[:, x[:, i]], out=new[1:])
-        if i and width > 1:
-            swaps = same[:-1, x[:, i]] & same[1:, x[:, i - 1]]
-            if swaps.any():
-                new[2:] = np.where(swaps, np.minimum(new[2:], before[:-2] + SCALE), new[2:])
-        # an insertion after any cell of the row
-        new -= steps
-        np.minimum.accumulate(new, axis=0, out=new)
-        new += steps
-        before, row = row, new
-    return row[[len(c) for c in cores], :, np.arange(len(cores))].T
+class Cores:
+    """Words that others are compared with, laid out for whole rows of cells."""
+
+    def __init__(self, cores: list[str]) -> None:
+        self.cores, self.sizes = cores, np.array([len(c) for c in cores])
+        self.spelt = _spell(cores, int(self.sizes.max())).T  # (place, core)
+        # neighbours in all cores, by the two letters turned round: where a swap ends
+        j, c = np.nonzero(self.spelt[1:])
+        turned = (self.spelt[1:][j, c] << 32) | self.spelt[:-1][j, c]
+        o = np.argsort(turned, kind="stable")
+        self.turned, self.place, self.core = turned[o], j[o] + 2, c[o]
+
+    def distances(self, words: np.ndarray) -> np.ndarray:
+        """Distances, in 1/SCALE, of words of one length (code points in rows) to all cores, exactly.
+
+        The cell of j letters of a core is kept less j insertions, so that a running minimum makes all insertions of a row.
+        """
+        width, n = len(self.spelt), words.shape[1]
+        kind = np.int16 if (n + width) * SCALE < 30_000 else np.int32
+        letters, x = np.unique(words, return_inverse=True)
+        x = x.reshape(words.shape)
+        low = np.minimum(letters, 128)[None, :, None]
+        cost = np.rint(_COST[low, np.minimum(self.spelt, 128)[:, None, :]] * SCALE).astype(kind)
+        cost[letters[None, :, None] == self.spelt[:, None, :]] = 0
+        cost -= SCALE
+        row = np.zeros((width + 1, len(words), len(self.cores)), kind)
+        before = row
+        for i in range(n):
+            new = row + kind(SCALE)
+            pair = np.take(cost, x[:, i], axis=1)
+            pair += row[:-1]
+            np.minimum(new[1:], pair, out=new[1:])
+            if i:
+                met = (words[:, i - 1] << 32) | words[:, i]
+                first = np.searchsorted(self.turned, met)
+                count = np.searchsorted(self.turned, met, "right") - first
+                if count.any():
+                    w = np.repeat(np.arange(len(words)), count)
+                    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(w))
+                    j, c = self.place[at], self.core[at]
+                    new[j, w, c] = np.minimum(new[j, w, c], before[j - 2, w, c] - SCALE)
+            np.minimum.accumulate(new, axis=0, out=new)
+            before, row = row, new
+        cores = np.arange(len(self.cores))
+        return row[self.sizes, :, cores].T.astype(np.int32) + self.sizes * SCALE
 
 
 def nearest(words: list[str], cores: list[str]) -> dict[str, np.ndarray]:
@@ -167,23 +200,29 @@ def nearest(words: list[str], cores: list[str]) -> dict[str, np.ndarray]:
     }
     if not cores:
         return out
+    laid = Cores(cores)
+    word, core = [], []
     for run in _by_length(words, max(1, CELLS // (len(cores) * (int(sizes.max()) + 1)))):
         some = [words[k] for k in run]
-        n = len(some[0])
-        if not n:
-            continue
-        likely = 1 - _whole_costs(_spell(some, n), cores) / SCALE / np.maximum(n, sizes)
-        # whole numbers leave ties as they are: those are settled by the same sums as single pairs have
-        row, core = np.nonzero((likely >= likely.max(1)[:, None] - 1e-9) & (likely > 0))
-        if not len(row):
-            continue
-        pairs = Aligned([some[r] for r in row], [cores[c] for c in core])
-        sim = np.maximum(0.0, 1 - pairs.distance / np.maximum(n, sizes[core]))
-        o = np.lexsort((core, -sim, row))
-        first = o[np.flatnonzero(np.diff(row[o], prepend=-1))]
-        at = run[row[first]]
-        for name, x in zip(out, (core, pairs.distance, sim, pairs.visual, pairs.swapped), strict=True):
-            out[name][at] = x[first]
+        if n := len(some[0]):
+            likely = 1 - laid.distances(_spell(some, n)) / SCALE / np.maximum(n, sizes)
+            # whole numbers leave ties as they are: those are settled by the same sums as single pairs have
+            at, c = np.nonzero((likely >= likely.max(1)[:, None] - 1e-9) & (likely > 0))
+            word.append(run[at])
+            core.append(c)
+    if not word:
+        return out
+    word, core = np.concatenate(word), np.concatenate(core)
+    spelt = [words[k] for k in word]
+    for run in _by_length(spelt, 4000):
+        pairs = Aligned([spelt[k] for k in run], [cores[c] for c in core[run]])
+        visual, swapped = pairs.marks()
+        w, c = word[run], core[run]
+        sim = np.maximum(0.0, 1 - pairs.distance / np.maximum(pairs.n, sizes[c]))
+        o = np.lexsort((c, -sim, w))
+        first = o[np.flatnonzero(np.diff(w[o], prepend=-1))]
+        for name, x in zip(out, (c, pairs.distance, sim, visual, swapped), strict=True):
+            out[name][w[first]] = x[first]
     return out
 
 

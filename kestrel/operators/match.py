@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel import dims
-from kestrel.dims import LURE_WORDS, SUSPICIOUS_TLDS, Brand
+from kestrel.dims import LEARNED, LURE_WORDS, SUSPICIOUS_TLDS, Brand
 from kestrel.functions import distance, unicode
 
 
@@ -40,6 +40,29 @@ def attribute(place: Column, values: list) -> Column:
     return F.get(F.array(*map(F.lit, values)), place)
 
 
+def picker(brands: list[Brand], learned: str | None = None):
+    """A function of a column that holds a brand's place and the name of a field, giving that field of the brand.
+
+    Places from len(brands) on stand for entries of the row's own array `learned` (structs of core and domain).
+    """
+    own = {"core": "core", "name": "core", "domain": "domain"}
+
+    def of(place: str, name: str) -> Column:
+        value = attribute(F.col(place), [getattr(b, name) for b in brands] or [""])
+        if learned is None:
+            return value
+        entry = F.get(F.col(learned), F.col(place) - len(brands))
+        return F.when(F.col(place) >= len(brands), F.lit(LEARNED) if name == "category" else entry[own[name]]).otherwise(value)
+
+    return of
+
+
+def learned_place(brands: list[Brand], learned: str, test) -> Column:
+    """The place of the first learned brand of the row that passes, after the places of brands; else null."""
+    at = F.array_position(F.transform(F.col(learned), lambda b: F.coalesce(test(b), F.lit(False))), F.lit(True))
+    return F.when(at > 0, at - 1 + len(brands)).cast("int")
+
+
 def suspicious_tld(label: Column) -> Column:
     return label.isin(SUSPICIOUS_TLDS)
 
@@ -99,8 +122,38 @@ def with_glyphs(df: DataFrame, table: dict[str, str] | None = None) -> DataFrame
     )
 
 
-def match_brands(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
-    """Hosts with glyphs plus the places of brands by each test, tld_suspicious, lures, near_* columns and homoglyph flags."""
+def with_learned(brands: list[Brand], learned: str) -> dict[str, Column]:
+    """What the row's own learned brands add to each test of match_brands: places where no brand of the list came before."""
+    skeleton, sld = F.col("skeleton"), F.col("sld")
+    tokens, joined = F.split(skeleton, "[-_]+"), F.concat_ws("\n", "sub_skeletons")
+    first = lambda column, test: F.coalesce(F.col(column), learned_place(brands, learned, test))
+    inside = F.transform(
+        F.col(learned),
+        lambda b, k: F.when((F.length(b["core"]) >= 4) & skeleton.contains(b["core"]), F.struct(F.length(b["core"]).alias("n"), (-k).alias("k"))),
+    )
+    longest = F.array_max(F.array_compact(inside))
+    held = attribute(F.col("embedded"), [len(b.core) for b in brands])
+    nearer = F.coalesce(F.col("__own.similarity") > F.col("near_similarity"), F.lit(False))
+    letters = F.aggregate(F.col(learned), F.lit(0), lambda n, b: n + F.when(F.length(b["core"]) >= 4, F.length(b["core"])).otherwise(0))
+    near = {k: F.when(nearer, F.col(f"__own.{k}")).otherwise(F.col(f"near_{k}")) for k in NEAR[1:]}
+    near["ord"] = F.when(nearer, F.col("__own.ord") + len(brands)).otherwise(F.col("near_ord"))
+    return {
+        "official": first("official", lambda b: b["domain"] == F.col("registrable")),
+        "exact_core": first("exact_core", lambda b: b["core"] == sld),
+        "skeleton_core": first("skeleton_core", lambda b: b["core"] == skeleton),
+        "embedded": F.when(longest["n"] > F.coalesce(held, F.lit(0)), len(brands) - longest["k"]).otherwise(F.col("embedded")),
+        "token": first("token", lambda b: (F.length(b["core"]) >= 3) & F.array_contains(tokens, b["core"]) & (sld != b["core"])),
+        "in_subdomain": first("in_subdomain", lambda b: (F.length(b["core"]) >= 4) & joined.contains(b["core"])),
+        "ops": F.col("ops") + F.length(skeleton) * F.coalesce(letters, F.lit(0)),
+        **{f"near_{k}": v for k, v in near.items()},
+    }
+
+
+def match_brands(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None) -> DataFrame:
+    """Hosts with glyphs plus the places of brands by each test, tld_suspicious, lures, near_* columns and homoglyph flags.
+
+    `learned` names a column array<struct<core,domain>> of brands that the row's device learned; they come after the list.
+    """
     brands = brands if brands is not None else dims.brands()
     skeleton, subs = F.col("skeleton"), F.col("sub_skeletons")
     near = df.withColumn("__n", distance.nearest_brand(skeleton, brands))
@@ -117,6 +170,9 @@ def match_brands(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
         lures=lures(skeleton, subs),
         ops=compared_cells(brands, skeleton),
     )
+    if learned is not None:
+        own = distance.nearest_learned(skeleton, F.transform(F.col(learned), lambda b: b["core"]))
+        out = settle(out.withColumn("__own", own), **with_learned(brands, learned)).drop("__own")
     close = (
         F.col("skeleton_core").isNotNull() | F.col("embedded").isNotNull() | (F.col("near_similarity") >= 0.85)
     )

@@ -10,7 +10,7 @@ from kestrel import dims
 from kestrel.dims import LEARNED, Brand
 from kestrel.functions import distance, unicode
 from kestrel.functions.hosts import level_of, round_half_up, similarity
-from kestrel.operators.match import attribute, match_brands, nearest_columns, settle, with_glyphs
+from kestrel.operators.match import match_brands, nearest_columns, picker, settle, with_glyphs
 from kestrel.operators.parse import parse_hosts
 
 VERDICT = (
@@ -23,20 +23,19 @@ def _signal(when: Column, label: str, detail: Column, weight: Column) -> Column:
     return F.when(when, F.struct(F.lit(label).alias("label"), detail.alias("detail"), weight.cast("double").alias("weight")))
 
 
-def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
+def judge(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None) -> DataFrame:
     """Matched hosts plus impersonated (a brand's place), attached (whether only by a disguise), signals, score and level.
 
     Tests of the label are tried in a fixed order, and the first whose outer condition holds ends the search, even
     when it then lacks corroboration. Weights are added in the order of the signals.
     """
     brands = brands if brands is not None else dims.brands()
-    of = lambda place, get: attribute(F.col(place), [get(b) for b in brands])
-    core, name, domain = (lambda b: b.core), (lambda b: b.name), (lambda b: b.domain)
+    of, core, name, domain = picker(brands, learned), "core", "name", "domain"
     lured = F.size("lures") > 0
     bad_tld, hidden = F.col("tld_suspicious"), F.col("homoglyph")
     free = F.col("official").isNull()
     near = nearest_columns()
-    near_core = attribute(near["ord"], [b.core for b in brands] or [""])
+    near_core = of("near_ord", core)
 
     # which test ends the search, and whether it stands
     is_skeleton = F.col("skeleton_core").isNotNull() & F.col("exact_core").isNull()
@@ -49,7 +48,7 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
         .when(is_token, "token")
         .when(near["distance"] > 0, "nearest")
     )
-    strict = of("exact_core", lambda b: b.category != LEARNED)
+    strict = of("exact_core", "category") != LEARNED
     short_swap = (F.length(near_core) <= 5) & (near["distance"] <= 1) & near["swapped"]
     typo = F.length("skeleton") - F.length(of("embedded", core)) <= 2
     stands = (
@@ -121,10 +120,10 @@ def judge(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
     )
 
 
-def verdicts(df: DataFrame, brands: list[Brand] | None = None) -> DataFrame:
+def verdicts(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None) -> DataFrame:
     """Judged hosts plus brand (core), similarity, distance and trace, in the verdict's columns."""
     brands = brands if brands is not None else dims.brands()
-    core = attribute(F.col("impersonated"), [b.core for b in brands] or [""])
+    core = picker(brands, learned)("impersonated", "core")
     shown = settle(df, brand=core, __core=F.when(~F.col("is_official"), core))
     shown = shown.withColumn("__a", distance.align(F.col("skeleton"), F.col("__core")))
     none = F.array().cast(distance.OPS)
@@ -162,11 +161,15 @@ def score_hosts(
     extra_brands: list[Brand] | None = None,
     rules: DataFrame | None = None,
     table: dict[str, str] | None = None,
+    learned: str | None = None,
 ) -> DataFrame:
-    """Verdicts of the rows of inputs, each row scored by itself; also for streams."""
+    """Verdicts of the rows of inputs, each row scored by itself; also for streams.
+
+    `learned` names a column array<struct<core,domain>> of brands that each row has for itself, such as its device's sites.
+    """
     brands = dims.brands() + list(extra_brands or [])
     parsed = with_glyphs(parse_hosts(inputs, column, rules), table)
-    return verdicts(judge(match_brands(parsed, brands), brands), brands)
+    return verdicts(judge(match_brands(parsed, brands, learned), brands, learned), brands, learned)
 
 
 def analyze(

@@ -29,6 +29,16 @@ def trusted(visited: DataFrame, least: int = 3) -> DataFrame:
     return visited.where((F.col("count") >= least) & (F.length("sld") >= 4))
 
 
+def learned(visited: DataFrame) -> DataFrame:
+    """(device, learned): the trusted sites of each device as brands, array<struct<core,domain>>, the most visited first.
+
+    A device has at most as many as `remembered` leaves it.
+    """
+    site = F.struct((-F.col("count")).alias("o"), F.col("registrable").alias("domain"), F.col("sld").alias("core"))
+    brand = lambda x: F.struct(x["core"].alias("core"), x["domain"].alias("domain"))
+    return trusted(visited).groupBy("device").agg(F.transform(F.sort_array(F.collect_list(site)), brand).alias("learned"))
+
+
 def trusted_count(visited: DataFrame, least: int = 3) -> DataFrame:
     return visited.groupBy("device").agg(F.count_if(F.col("count") >= least).alias("trusted"))
 

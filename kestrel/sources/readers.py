@@ -107,20 +107,41 @@ def read_model(spark: SparkSession, path: str) -> tuple[list[tuple[str, float, f
     return list(zip(r["features"], r["mean"], r["std"], r["weights"], strict=True)), r["bias"], r["warn"], r["block"]
 
 
-def upsert_state(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace the rows of new's keys in a state table kept as versions `path/v=N`; the highest is current."""
-    spark = new.sparkSession
-    old, version = read_state(spark, path)
-    merged = new if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-    merged.write.parquet(f"{path}/v={version + 1}")
-
+def upsert_state(new: DataFrame, path: str, keys: list[str], buckets: int = 64, versions: int = 2) -> None:
+    """Replace the rows of new's keys in a state table, by buckets of the keys' hash.
 
-def read_state(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    Only buckets that new has keys of are written, each as its next version `bucket=B/v=N`; of a bucket's versions the
+    last few are left, so a reader under way isn't disturbed.
+    """
+    spark = new.sparkSession
+    rows = new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most `buckets`
+    old, version = read_state(spark, path, touched)
+    if old is not None:
+        rows = old.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+    rows.withColumn("v", F.lit(version + 1)).write.mode("append").partitionBy("bucket", "v").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for bucket in touched:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        fs = folder.getFileSystem(conf)
+        found = sorted(int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(folder))
+        for v in found[:-versions]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"v={v}"), True)
+
+
+def read_state(spark: SparkSession, path: str, buckets: list[int] | None = None) -> tuple[DataFrame | None, int]:
+    """The current rows of a state table and its version; with buckets only theirs, with the column bucket. None if there is none."""
     from pyspark.errors import AnalysisException
 
     try:
         known = spark.read.parquet(path)
-        version = known.agg(F.max("v")).first()[0]
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, 0
-    return known.where(F.col("v") == version).drop("v"), version
+    newest = known.groupBy("bucket").agg(F.max("v").alias("v"))  # a row per bucket
+    version = newest.agg(F.max("v")).first()[0]
+    if buckets is not None:
+        known = known.where(F.col("bucket").isin(buckets))
+    rows = known.join(F.broadcast(newest), ["bucket", "v"], "left_semi").drop("v")
+    return (rows if buckets is not None else rows.drop("bucket")), version

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kestrel.dims import learned_brands
 from kestrel.operators.rules import score_hosts
-from kestrel.operators.state import MOST_RECENT, MOST_SITES, MOST_VISITS
+from kestrel.operators.state import MOST_RECENT, MOST_SITES, MOST_VISITS, learned, remembered, visits
 from kestrel.sources.readers import read_state, upsert_state
 
-EVENTS = "device long, event_id long, ts timestamp, kind string, url string"
+#: Kinds are complete, loading, block, url (the address changed inside a page), activated and settings.
+EVENTS = "device long, tab int, event_id long, ts timestamp, kind string, url string"
 _OUT = "device long, event_id long, latched boolean, visits int, trusted int, recent array<string>, scanned long, blocked long"
-_STATE = "hosts array<string>, slds array<string>, counts array<int>, recent array<string>, latched boolean, scanned long, blocked long"
+_STATE = "hosts array<string>, slds array<string>, counts array<int>, recent array<string>, latched array<int>, scanned long, blocked long"
 
 
 def read_events(spark, path: str, files_at_once: int = 1) -> DataFrame:
@@ -31,64 +31,69 @@ def score_events(events: DataFrame, **how) -> DataFrame:
 def scored_batches(events: DataFrame, out: str, checkpoint: str, sites: str | None = None):
     """Start a query that writes verdicts of each batch under out.
 
-    Brands that devices learned are read from the state table `sites` (registrable, sld, count) as the batch before left
-    it, and safe completed loads are added to it after scoring. A batch that is run again after a failure replaces what
-    it wrote. Sites are counted once per batch number.
+    Sites that a device learned are brands for its own events. They are read from the state table `sites` (device,
+    registrable, sld, count, last_seen) as the batch before left it, and safe completed loads are added to it after
+    scoring; a device keeps the 300 most visited. A batch that is run again after a failure replaces what it wrote, and
+    sites are counted once per batch number.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = read_state(spark, sites)[0] if sites else None
-        learned = learned_brands(old) if old is not None else None
         target = f"{out}/batch={number}"
-        score_hosts(batch, "url", learned).write.mode("overwrite").parquet(target)
+        if old is None:
+            scored = score_hosts(batch, "url")
+        else:
+            known = batch.join(learned(old), "device", "left")
+            scored = score_hosts(known, "url", learned="learned").drop("learned")
+        scored.write.mode("overwrite").parquet(target)
         if sites and (old is None or old.where(F.col("batch") >= number).isEmpty()):
-            done = spark.read.parquet(target)
-            safe = done.where((F.col("kind") == "complete") & (F.col("level") == "safe") & (F.length("sld") >= 4))
-            new = safe.groupBy(F.concat_ws(".", "sld", "suffix").alias("registrable"), "sld").agg(F.count(F.lit(1)).alias("more"))
-            known = old.select("registrable", "count") if old is not None else new.select("registrable", F.lit(0).cast("long").alias("count")).limit(0)
-            total = new.join(known, "registrable", "left").select(
-                "registrable", "sld", F.least(F.lit(MOST_VISITS), F.coalesce("count", F.lit(0)) + F.col("more")).cast("long").alias("count"), F.lit(number).cast("long").alias("batch")
+            done = spark.read.parquet(target).withColumn("registrable", F.concat_ws(".", "sld", "suffix"))
+            new = visits(done).withColumn("count", F.col("count").cast("long"))
+            mine = new if old is None else new.unionByName(old.join(new.select("device").distinct(), "device", "left_semi").drop("batch"))
+            total = mine.groupBy("device", "registrable").agg(
+                F.max("sld").alias("sld"), F.least(F.sum("count"), F.lit(MOST_VISITS)).alias("count"), F.max("last_seen").alias("last_seen")
             )
-            upsert_state(total, sites, ["registrable"])
+            upsert_state(remembered(total, MOST_SITES).withColumn("batch", F.lit(number).cast("long")), sites, ["device"])
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One device's events, in order, through its visits, recent threats, latch and counters."""
+    """One device's events, in order, through its visits, recent threats, latches of its tabs and counters."""
     if state.exists:
-        hosts, slds, counts, recent, latched, scanned, blocked = state.get
-        visits = {h: [s, c] for h, s, c in zip(hosts, slds, counts, strict=True)}
-        recent = list(recent)
+        hosts, slds, counts, recent, tabs, scanned, blocked = state.get
+        visited = {h: [s, c] for h, s, c in zip(hosts, slds, counts, strict=True)}
+        recent, latched = list(recent), set(tabs)
     else:
-        visits, recent, latched, scanned, blocked = {}, [], False, 0, 0
+        visited, recent, latched, scanned, blocked = {}, [], set(), 0, 0
     out = []
     for e in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
         if e.kind == "block":
-            latched, blocked = True, blocked + 1
+            latched.add(int(e.tab))
+            blocked += 1
             if not recent or recent[0] != e.host:
                 recent = [e.host, *recent][:MOST_RECENT]
         elif e.kind == "loading":
-            latched = False
+            latched.discard(int(e.tab))
         elif e.kind == "complete":
             scanned += 1
             if e.level == "safe" and len(e.sld) >= 4:
-                seen = visits.setdefault(e.registrable, [e.sld, 0])
+                seen = visited.setdefault(e.registrable, [e.sld, 0])
                 seen[1] = min(MOST_VISITS, seen[1] + 1)
-                if len(visits) > MOST_SITES:  # the oldest of the least visited goes
-                    del visits[min(visits, key=lambda h: visits[h][1])]
-        trusted = sum(c >= 3 for _, c in visits.values())
-        out.append((key[0], e.event_id, latched, len(visits), trusted, list(recent), scanned, blocked))
+                if len(visited) > MOST_SITES:  # the oldest of the least visited goes
+                    del visited[min(visited, key=lambda h: visited[h][1])]
+        trusted = sum(c >= 3 for _, c in visited.values())
+        out.append((key[0], e.event_id, int(e.tab) in latched, len(visited), trusted, list(recent), scanned, blocked))
     state.update(
-        (list(visits), [s for s, _ in visits.values()], [c for _, c in visits.values()], recent, latched, scanned, blocked)
+        (list(visited), [s for s, _ in visited.values()], [c for _, c in visited.values()], recent, sorted(latched), scanned, blocked)
     )
     yield pd.DataFrame(out, columns=["device", "event_id", "latched", "visits", "trusted", "recent", "scanned", "blocked"])
 
 
 def device_states(events: DataFrame) -> DataFrame:
-    """After every event (device, event_id, ts, kind, level, host, registrable, sld): the device's latch, number of
-    sites and of trusted sites, recent threats and counters. Events of a batch are taken in the order of time."""
+    """After every event (device, tab, event_id, ts, kind, level, host, registrable, sld): the tab's latch, the device's
+    number of sites and of trusted sites, recent threats and counters. Events of a batch are taken in the order of time."""
     return events.groupBy("device").applyInPandasWithState(
         _advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
     )

@@ -104,16 +104,19 @@ def test_state(spark):
     t = dt.datetime(2024, 1, 1)
     blocks = spark.createDataFrame([(1, k, t + dt.timedelta(seconds=k), h) for k, h in enumerate("AABAA")], "device int, event_id int, ts timestamp, host string")
     assert [r["host"] for r in state.recent_threats(blocks).orderBy("place").collect()] == ["A", "B", "A"]
-    visit = spark.createDataFrame([(1, "safe", "github.com", "github", t)] * 1005 + [(1, "safe", "x.co", "x", t), (1, "suspicious", "abcd.com", "abcd", t)],
-                                  "device int, level string, registrable string, sld string, ts timestamp")
+    other = [(1, "safe", "x.co", "x", t, "complete"), (1, "suspicious", "abcd.com", "abcd", t, "complete")]
+    other += [(1, "safe", "abcd.com", "abcd", t, k) for k in ("loading", "block", "url", "activated")]
+    visit = spark.createDataFrame([(1, "safe", "github.com", "github", t, "complete")] * 1005 + other,
+                                  "device int, level string, registrable string, sld string, ts timestamp, kind string")
     assert [(r["registrable"], r["count"]) for r in state.visits(visit).collect()] == [("github.com", 999)]
-    assert [b.core for b in dims.learned_brands(state.visits(visit))] == ["github"]
+    assert [(r["device"], [tuple(b) for b in r["learned"]]) for r in state.learned(state.visits(visit)).collect()] == [(1, [("github", "github.com")])]
     message = spark.createDataFrame([("h" * 300, "b", 250.0), ("h", None, float("nan")), ("", "b", 1.0)], "host string, brand string, score double")
     got = state.clean_message(message).collect()
     assert [(len(r["host"]), r["brand"], r["score"]) for r in got] == [(253, "b", 100.0), (1, "a brand", 0.0)]
     tab = [("loading",), ("block",), ("complete",), ("loading",), ("complete",)]
-    events = spark.createDataFrame([(1, k, t + dt.timedelta(seconds=k), x) for k, (x,) in enumerate(tab)], "device int, event_id int, ts timestamp, kind string")
-    assert [r["latched"] for r in state.block_latch(events).orderBy("event_id").collect()] == [False, True, True, False, False]
+    rows = [(1, 0, k, t + dt.timedelta(seconds=k), x) for k, (x,) in enumerate(tab)] + [(1, 1, 9, t + dt.timedelta(seconds=2), "complete")]
+    events = spark.createDataFrame(rows, "device int, tab int, event_id int, ts timestamp, kind string")
+    assert [r["latched"] for r in state.block_latch(events).orderBy("event_id").collect()] == [False, True, True, False, False, False]
 
 
 def test_metrics(spark):
@@ -143,6 +146,45 @@ def test_readers_and_sinks(spark, tmp_path):
     for rows in ([("a", 1)], [("a", 2), ("b", 1)]):
         readers.upsert_state(spark.createDataFrame(rows, "k string, v2 int"), f"{tmp_path}/state", ["k"])
     assert {tuple(r) for r in readers.read_state(spark, f"{tmp_path}/state")[0].collect()} == {("a", 2), ("b", 1)}
+    for n in range(4):
+        readers.upsert_state(spark.createDataFrame([("c", n)], "k string, v2 int"), f"{tmp_path}/state", ["k"])
+    assert {tuple(r) for r in readers.read_state(spark, f"{tmp_path}/state")[0].collect()} == {("a", 2), ("b", 1), ("c", 3)}
+    assert max(len(list(b.iterdir())) for b in (tmp_path / "state").glob("bucket=*")) == 2
+    assert readers.read_state(spark, f"{tmp_path}/none") == (None, 0)
+    readers.write_verdicts(rules.analyze(spark.createDataFrame([("paypal.com",)], "input string")), f"{tmp_path}/verdicts")
+    assert spark.read.parquet(f"{tmp_path}/verdicts").select("verdict.level").first()[0] == "safe"
+    readers.write_json(spark.createDataFrame([(1,)], "k int"), f"{tmp_path}/json")
+    readers.write_hosts(spark.createDataFrame([("a.com",), (" ",)], "host string"), f"{tmp_path}/hosts")
+    assert [r["host"] for r in readers.lines(spark, f"{tmp_path}/hosts").collect()] == ["a.com"]
+
+
+def test_logistic_models_against_a_plain_loop(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(k, k % 3, rng.random(), rng.gauss(0, 2), int(rng.random() < 0.3)) for k in range(90)]
+    df = spark.createDataFrame(rows, "id int, g int, a double, b double, y int").repartition(3)
+
+    def plain(rows, used, rounds):
+        x, y = np.array([[r[2], r[3]] for r in rows])[:, used], np.array([r[4] for r in rows])
+        mean, std = x.mean(0), x.std(0)
+        z, n, p = (x - mean) / std, len(y), y.sum()
+        cw = np.where(y == 1, n / (2 * p), n / (2 * (n - p)))
+        w, b = np.zeros(x.shape[1]), 0.0
+        for _ in range(rounds):
+            e = cw * (1 / (1 + np.exp(-(z @ w + b))) - y)
+            w, b = w - 0.5 * (z.T @ e / cw.sum() + 1e-4 * w), b - 0.5 * e.sum() / cw.sum()
+        return w, b
+
+    fits, best = features.train_models(df, ["a", "b"], leave_out="g", groups=[0, None, 0], used=[["a", "b"], ["a", "b"], ["b"]], rounds=25, grid=[0.2, 0.5])
+    for (table, bias), (out, used) in zip(fits, ((0, [0, 1]), (None, [0, 1]), (0, [1]))):
+        w, b = plain([r for r in rows if r[1] != out], used, 25)
+        assert [t[3] for t in table] == pytest.approx(w.tolist()) and bias == pytest.approx(b)
+    assert len(best) == 3
+    left = evaluate.leave_one_out(df.withColumn("brand", F.concat(F.lit("b"), F.col("g"))), ["a", "b"], rounds=10).collect()
+    assert sum(r["n"] for r in left) == sum(r[4] for r in rows) and {r["brand"] for r in left} == {"b0", "b1", "b2"}
 
 
 def test_full_tables(spark):
