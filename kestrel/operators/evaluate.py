@@ -40,6 +40,30 @@ def by_family(df: DataFrame, hits: dict[str, Column], family: str = "family") ->
     ).withColumn(family, F.coalesce(family, F.lit("ALL")))
 
 
+def recall_by(df: DataFrame, by: str, hit: Column) -> DataFrame:
+    """(by, n, recall) of each value of a column, the most frequent first."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("int")).alias("recall"))
+    return counts.orderBy(F.desc("n"), by)
+
+
+def macro_average(df: DataFrame, by: str, hit: Column) -> DataFrame:
+    """macro: the mean over groups of the share of hits."""
+    return recall_by(df, by, hit).agg(F.avg("recall").alias("macro"))
+
+
+def wild_recall(df: DataFrame, hit: Column, resembling: Column) -> DataFrame:
+    """n, flagged, resembling, flagged_resembling: how many rows there are, are hit, resemble a brand, and both."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("flagged"), F.count_if(resembling).alias("resembling"),
+        F.count_if(hit & resembling).alias("flagged_resembling"),
+    )
+
+
+def latency(df: DataFrame, column: str, by: str) -> DataFrame:
+    """(by, mean, worst) of a measure."""
+    return df.groupBy(by).agg(F.avg(column).alias("mean"), F.max(column).alias("worst"))
+
+
 def in_ranges(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     """df plus part: the range of a numeric column, by cuts at its approximate quantiles.
 

@@ -131,6 +131,12 @@ def top_contributions(most: int = 4, least: float = 0.05) -> Column:
     return F.slice(F.filter("contributions", lambda t: F.abs(t["contribution"]) > least), 1, most)
 
 
+def standardised_by(df: DataFrame, column: str, by: str) -> DataFrame:
+    """(by, mean, std): mean and population deviation of a column in each group; a deviation of 0 counts as 1."""
+    s = F.stddev_pop(column)
+    return df.groupBy(by).agg(F.avg(column).alias("mean"), F.when(s != 0, s).otherwise(1.0).alias("std"))
+
+
 def standardiser(df: DataFrame, names: list[str]) -> list[tuple[str, float, float]]:
     """(feature, mean, population deviation) of a table; a deviation of 0 counts as 1."""
     row = df.agg(*[F.avg(n).alias(f"m{k}") for k, n in enumerate(names)], *[F.stddev_pop(n).alias(f"s{k}") for k, n in enumerate(names)]).first()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kestrel import dims
 from kestrel.dims import LEARNED, LURE_WORDS, SUSPICIOUS_TLDS, Brand
 from kestrel.functions import distance, unicode
+from kestrel.functions.hosts import has_non_ascii, similarity
 
 
 #: What is known of the nearest brand, as columns near_ord and so on.
@@ -122,6 +123,38 @@ def with_glyphs(df: DataFrame, table: dict[str, str] | None = None) -> DataFrame
     )
 
 
+def brand_distances(df: DataFrame, label: str, brands: list[Brand] | None = None) -> DataFrame:
+    """A row for each label and brand: df plus core, d (plain Levenshtein distance) and similarity by it."""
+    brands = brands if brands is not None else dims.brands()
+    each = df.withColumn("core", F.explode(F.array(*[F.lit(b.core) for b in brands])))
+    d = F.levenshtein(label, "core")
+    return each.withColumn("d", d.cast("long")).withColumn("similarity", similarity(F.col("d"), F.col(label), F.col("core")))
+
+
+def within_distance(label: Column, host: Column, most: int, brands: list[Brand] | None = None) -> Column:
+    """The plain baseline: whether a label is within a Levenshtein distance of a core of 4 letters or more, official domains aside."""
+    brands = brands if brands is not None else dims.brands()
+    d = F.least(*[F.levenshtein(label, F.lit(b.core)) for b in brands if len(b.core) >= 4])
+    return (d <= most) & ~host.isin([b.domain for b in brands])
+
+
+def brand_patterns(df: DataFrame, label: str, brands: list[Brand] | None = None) -> DataFrame:
+    """A row for each core of 4 letters or more inside a label: df plus core, start and stop of its first place."""
+    brands = brands if brands is not None else dims.brands()
+    found = [F.when(F.col(label).contains(b.core), F.lit(b.core)) for b in brands if len(b.core) >= 4]
+    each = df.withColumn("core", F.explode(F.array_compact(F.array(*found))))
+    start = F.expr(f"locate(core, `{label}`)") - 1
+    return each.withColumn("start", start.cast("long")).withColumn("stop", (F.col("start") + F.length("core")).cast("long"))
+
+
+def resembling(label: Column, host: Column, brands: list[Brand] | None = None) -> Column:
+    """Whether a host has characters beyond ASCII, or its label and a core (4 letters or more) hold each other or are 2 apart."""
+    brands = brands if brands is not None else dims.brands()
+    cores = F.array(*[F.lit(b.core) for b in brands if len(b.core) >= 4])
+    like = lambda c: F.contains(label, c) | ((label != "") & F.contains(c, label)) | (F.levenshtein(label, c) <= 2)
+    return has_non_ascii(host) | F.exists(cores, like)
+
+
 def with_learned(brands: list[Brand], learned: str) -> dict[str, Column]:
     """What the row's own learned brands add to each test of match_brands: places where no brand of the list came before."""
     skeleton, sld = F.col("skeleton"), F.col("sld")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,6 +23,7 @@ from kestrel.plans.inputs import (
     CORES,
     HOSTS_SQL,
     NAVIGATION_SQL,
+    PARSED_SQL,
     SCORED_SQL,
     derived_hosts,
     navigation,
@@ -61,8 +63,8 @@ def ascii_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SRC2_ranked_hosts", "SELECT page_id AS rank, lower(trim(url)) AS host FROM pages ORDER BY page_id LIMIT 100")
 def src2(spark, sf_dir):
-    t = table(spark, sf_dir, "pages").select(F.col("page_id").alias("rank"), F.lower(F.trim("url")).alias("host"))
-    return t.where("host <> ''").orderBy("rank").limit(100)
+    t = table(spark, sf_dir, "pages").select(F.col("page_id").alias("rank"), F.col("url").alias("host"))
+    return readers.clean_ranked(t, 100)
 
 
 _URL_HOST = "nullif(lower(regexp_replace(regexp_replace(regexp_extract(trim(url), '^(?i:https?)://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '')"
@@ -80,6 +82,52 @@ def src3_unreadable(spark, sf_dir):
     return readers.unreadable(names.unionByName(table(spark, sf_dir, "pages").select("url")))
 
 
+@query("SRC1_one_host", "SELECT 'https://Secure-PayPal.xyz/login' AS input")
+def src1(spark, sf_dir):
+    return readers.one(spark, "https://Secure-PayPal.xyz/login")
+
+
+def _written(spark, name: str, write):
+    """What a sink wrote, in a new folder of the session's own."""
+    path = f"{tempfile.mkdtemp(prefix='kestrel-sink-')}/{name}"
+    write(path)
+    return path
+
+
+@query("SRC4_lines", "SELECT lower(trim(url)) AS host FROM pages")
+def src4(spark, sf_dir):
+    hosts_ = table(spark, sf_dir, "pages").select(F.lower(F.concat(F.lit("  "), "url", F.lit(" "))).alias("host"))
+    return readers.lines(spark, _written(spark, "hosts", lambda path: readers.write_hosts(hosts_, path)))
+
+
+@query("SNK1_verdicts", f"{verdicts.VERDICT_SQL} SELECT host, level, score, brand FROM judged")
+def snk1(spark, sf_dir):
+    scored = verdicts.analysed(spark, sf_dir).select("host", "level", "score", "brand")
+    return spark.read.parquet(_written(spark, "verdicts", lambda path: readers.write_verdicts(scored, path)))
+
+
+@query("SNK2_json", f"WITH {SCORED_SQL} SELECT family, count(*) AS n, count(*) FILTER (score >= 0.6) AS hits FROM scored GROUP BY family")
+def snk2(spark, sf_dir):
+    report = ev.by_family(scored_hosts(spark, sf_dir), {"hits": F.col("score") >= 0.6}).where("family <> 'ALL'")
+    path = _written(spark, "report", lambda path: readers.write_json(report, path))
+    return spark.read.schema("family string, n long, hits long").json(path)
+
+
+@query("SNK3_model", "SELECT unnest([" + ", ".join(f"'{n}'" for n in ft.NAMES) + "]) AS feature, unnest([" + ", ".join(str(w) for *_, w in dims.model_table()) + "]::DOUBLE[]) AS weight")
+def snk3(spark, sf_dir):
+    path = _written(spark, "model", lambda path: readers.write_model(spark, dims.model_table(), dims.MODEL_BIAS, dims.WARN_AT, dims.BLOCK_AT, path))
+    weights = readers.read_model(spark, path)[0]
+    return spark.createDataFrame([(n, w) for n, _, _, w in weights], "feature string, weight double")
+
+
+@query("SNK4_state", "SELECT c_custkey AS k, (CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END)::INT AS n FROM customer")
+def snk4(spark, sf_dir):
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("n"))
+    path = _written(spark, "state", lambda path: readers.upsert_state(first, path, ["k"]))
+    readers.upsert_state(first.where("k % 3 = 0").withColumn("n", F.lit(2)), path, ["k"])
+    return readers.read_state(spark, path)[0]
+
+
 @query("SRC5_permutations", f"""WITH {ALL_SQL}, f AS (
   SELECT h.brand || '.com' AS brand, family AS fuzzer, host AS domain, row_number() OVER (PARTITION BY host ORDER BY id) AS k
   FROM hosts h WHERE h.brand <> '' AND host NOT IN (SELECT domain FROM official))
@@ -162,6 +210,22 @@ def p4(spark, sf_dir):
     return parsed(spark, sf_dir).select("host", "suffix", "sld", "subdomains")
 
 
+_FULL_RULES_SQL = """rules AS (
+  SELECT regexp_replace(r, '^(!|\\*\\.)', '') AS suffix, bool_or(left(r, 1) NOT IN ('!', '*')) AS e, bool_or(left(r, 1) = '*') AS w, bool_or(left(r, 1) = '!') AS x
+  FROM (SELECT unnest(string_split('""" + " ".join(dims.public_suffixes()) + """', ' ')) AS r) GROUP BY 1
+), hosts AS (
+  SELECT unnest([suffix, 'shop.' || suffix, 'www.pay.shop.' || suffix]) AS host FROM rules
+)"""
+
+
+@query("P4_public_suffixes", f"WITH {_FULL_RULES_SQL}, {PARSED_SQL[PARSED_SQL.index('split AS ('):]} SELECT host, suffix, sld, subdomains, registrable FROM parsed")
+def p4_full(spark, sf_dir):
+    """Hosts under every rule of the list."""
+    suffixes = dims.suffix_rules(spark).select("suffix")
+    hosts_ = suffixes.select(F.explode(F.array("suffix", F.concat(F.lit("shop."), "suffix"), F.concat(F.lit("www.pay.shop."), "suffix"))).alias("host"))
+    return parse_hosts(hosts_.distinct(), "host").select("host", "suffix", "sld", "subdomains", "registrable")
+
+
 @query("P5_registrable", f"WITH {ALL_SQL} SELECT registrable, count(*) AS hosts, count(DISTINCT family) AS families FROM hosts JOIN parsed USING (host) GROUP BY registrable")
 def p5(spark, sf_dir):
     h = derived_hosts(spark, sf_dir).groupBy("host", "family").agg(F.count(F.lit(1)).alias("n"))
@@ -277,26 +341,21 @@ def m5(spark, sf_dir):
 
 
 @query("M6_similarity", f"WITH {ALL_SQL} SELECT host, core, CASE WHEN greatest(length(sld), length(core)) = 0 THEN 1.0 ELSE greatest(0.0, 1 - levenshtein(translate(sld, 'аео', 'AEO'), core) / greatest(length(sld), length(core))::DOUBLE) END AS similarity "
-       "FROM parsed, brands WHERE core = 'paypal'")
+       "FROM parsed, brands")
 def m6(spark, sf_dir):
-    core = F.lit("paypal")
-    return parsed(spark, sf_dir).select("host", core.alias("core"), hosts.similarity(F.levenshtein("sld", core), F.col("sld"), core).alias("similarity"))
+    return match.brand_distances(parsed(spark, sf_dir), "sld").select("host", "core", "similarity")
 
 
 @query("M8_levenshtein", f"WITH {ALL_SQL} SELECT host, core, levenshtein(translate(sld, 'аео', 'AEO'), core) AS d FROM parsed, brands")
 def m8(spark, sf_dir):
-    cores = F.array(*[F.lit(b.core) for b in dims.brands()])
-    each = parsed(spark, sf_dir).select("host", "sld", F.explode(cores).alias("core"))
-    return each.select("host", "core", F.levenshtein("sld", "core").cast("long").alias("d"))
+    return match.brand_distances(parsed(spark, sf_dir), "sld").select("host", "core", "d")
 
 
 @query("M9_baseline", f"WITH {SCORED_SQL}, d AS (SELECT sld, min(levenshtein(translate(sld, 'аео', 'AEO'), core)) AS d FROM (SELECT DISTINCT sld FROM scored), brands WHERE length(core) >= 4 GROUP BY sld) "
        "SELECT id, family, d <= 1 AND NOT o AS t1, d <= 2 AND NOT o AS t2, d <= 3 AND NOT o AS t3 FROM (SELECT *, host IN (SELECT domain FROM brands) AS o FROM scored) JOIN d USING (sld)")
 def m9(spark, sf_dir):
     h = scored_hosts(spark, sf_dir)
-    d = F.least(*[F.levenshtein("sld", F.lit(b.core)) for b in CORES])
-    known = F.col("host").isin([b.domain for b in dims.brands()])
-    return h.select("id", "family", *[((d <= t) & ~known).alias(f"t{t}") for t in (1, 2, 3)])
+    return h.select("id", "family", *[match.within_distance(F.col("sld"), F.col("host"), t).alias(f"t{t}") for t in (1, 2, 3)])
 
 
 @query("M10_positions", "SELECT p_partkey, list_filter(range(0, length(p_name)), lambda k: substr(p_name, (k + 1)::INT, 2) = 'in') AS places FROM part")
@@ -307,10 +366,7 @@ def m10(spark, sf_dir):
 
 @query("M11_patterns", f"WITH {ALL_SQL} SELECT host, core, instr(sld, core) - 1 AS start, instr(sld, core) - 1 + length(core) AS stop FROM parsed, brands WHERE length(core) >= 4 AND contains(sld, core)")
 def m11(spark, sf_dir):
-    found = [F.when(F.col("sld").contains(b.core), F.lit(b.core)) for b in CORES]
-    each = parsed(spark, sf_dir).select("host", "sld", F.explode(F.array_compact(F.array(*found))).alias("core"))
-    start = F.expr("locate(core, sld)") - 1
-    return each.select("host", "core", start.cast("long").alias("start"), (start + F.length("core")).cast("long").alias("stop"))
+    return match.brand_patterns(parsed(spark, sf_dir), "sld").select("host", "core", "start", "stop")
 
 
 def _first_sql(test: str, extra: str = "") -> str:
@@ -353,11 +409,7 @@ def m18(spark, sf_dir):
 @query("M19_resembling", f"WITH {ALL_SQL} SELECT DISTINCT host FROM parsed, brands WHERE length(core) >= 4 AND (regexp_matches(host, '[^\\x00-\\x7F]') OR contains(sld, core) "
        "OR (sld <> '' AND contains(core, sld)) OR levenshtein(translate(sld, 'аео', 'AEO'), core) <= 2)")
 def m19(spark, sf_dir):
-    s = F.col("sld")
-    near = hosts.has_non_ascii(F.col("host"))
-    for b in CORES:
-        near |= s.contains(b.core) | ((s != "") & F.lit(b.core).contains(s)) | (F.levenshtein(s, F.lit(b.core)) <= 2)
-    return parsed(spark, sf_dir).where(near).select("host")
+    return parsed(spark, sf_dir).where(match.resembling(F.col("sld"), F.col("host"))).select("host")
 
 
 _BIGRAMS_SQL = """t AS (SELECT '^' || lower(replace(p_name, ' ', '')) || '$' AS t FROM part WHERE length(replace(p_name, ' ', '')) >= 2),
@@ -398,8 +450,8 @@ def f1b(spark, sf_dir):
 
 @query("F5_standardise", f"WITH {SCORED_SQL} SELECT family, round(avg(score), 9) AS mean, round(coalesce(nullif(stddev_pop(score), 0), 1), 9) AS std FROM scored GROUP BY family")
 def f5(spark, sf_dir):
-    s = F.stddev_pop("score")
-    return scored_hosts(spark, sf_dir).groupBy("family").agg(F.round(F.avg("score"), 9).alias("mean"), F.round(F.when(s != 0, s).otherwise(1.0), 9).alias("std"))
+    by = ft.standardised_by(scored_hosts(spark, sf_dir), "score", "family")
+    return by.select("family", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 _GRID = ev.threshold_grid(0.05, 0.95)
@@ -426,7 +478,57 @@ def f8(spark, sf_dir):
 # ---- generator -----------------------------------------------------------------------------------------------------
 
 
-@query("G1_lookalikes")
+_LIKES_SQL = "likes AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in generate.look_alikes().items()) + ") t(letter, glyphs))"
+_AT = lambda text, k, n=1: f"substr({text}, ({k})::INT + 1, {n})"
+_PUT = lambda text, k, new, n=1: f"substr({text}, 1, ({k})::INT) || {new} || substr({text}, ({k})::INT + 1 + {n})"
+_Q = lambda word: f"'{word}'"
+
+
+def _made_sql() -> str:
+    """Look-alikes of the families that change letters: made(core, tld, family, kind, made)."""
+    rows = [line for line in dims.KEYBOARD_ROWS]
+    beside = lambda c: "CASE " + " ".join(f"WHEN instr('{r}', {c}) > 0 THEN substr('{r}', greatest(instr('{r}', {c}) - 1, 1), least(instr('{r}', {c}) - 1, 1)) || substr('{r}', instr('{r}', {c}) + 1, 1)" for r in rows) + " END"
+    n = "length(core)"
+    draw = lambda size, *key: _draw_sql(size, "core", *map(_Q, key), "''")
+    like = lambda c: f"(SELECT glyphs FROM likes WHERE letter = {c})"
+
+    def change(text: str, k: str, tag: str) -> str:
+        choice = like(_AT("core", k))
+        return f"CASE WHEN {choice} IS NULL THEN {text} ELSE {_PUT(text, k, _AT(choice, draw(f'length({choice})', tag)))} END"
+
+    return f"""{_LIKES_SQL}, p AS (
+  SELECT *, {draw(n, 'neighbour')} AS slip, {draw(n, 'delete')} AS gone, {draw(n, 'double')} AS twice, {draw(f'({n} - 1)', 'swap')} AS sw, {draw(n, 'glyph')} AS g0, {draw(2, 'glyphs')} + 2 AS several,
+    list_filter(range(0, {n}), lambda k: contains('{generate.DIGITS[0]}', substr(core, k::INT + 1, 1))) AS digits FROM b
+), q AS (SELECT *, {beside(_AT('core', 'slip'))} AS keys FROM p
+), g1 AS (SELECT *, {change('core', 'g0', 'glyph')} AS one, {change('core', f'((g0 + 1) % {n})', 'glyph0')} AS m1 FROM q
+), g2 AS (SELECT *, {change('m1', f'((g0 + 3) % {n})', 'glyph1')} AS m2 FROM g1
+), g3 AS (SELECT *, CASE WHEN several > 2 THEN {change('m2', f'((g0 + 5) % {n})', 'glyph2')} ELSE m2 END AS m3 FROM g2
+), made AS (
+  SELECT core, tld, 'homoglyph' AS family, CASE WHEN one <> core THEN one END AS made FROM g3
+  UNION ALL SELECT core, tld, 'homoglyph', CASE WHEN m3 <> core THEN m3 END FROM g3
+  UNION ALL SELECT core, tld, 'typo', {_PUT('core', 'slip', _AT('keys', draw('length(keys)', 'key')))} FROM q
+  UNION ALL SELECT core, tld, 'typo', CASE WHEN {n} > 4 THEN {_PUT('core', 'gone', _Q(''))} END FROM q
+  UNION ALL SELECT core, tld, 'typo', {_PUT('core', 'twice', _AT('core', 'twice') + ' || ' + _AT('core', 'twice'))} FROM q
+  UNION ALL SELECT core, tld, 'typo', CASE WHEN {_AT('core', 'sw')} <> {_AT('core', 'sw + 1')} THEN {_PUT('core', 'sw', _AT('core', 'sw + 1') + ' || ' + _AT('core', 'sw'), 2)} END FROM q
+  UNION ALL SELECT core, tld, 'digit-swap', CASE WHEN len(digits) > 0 THEN {_PUT('core', f"digits[{draw('greatest(len(digits), 1)', 'digit')} + 1]", f"translate({_AT('core', 'digits[' + draw('greatest(len(digits), 1)', 'digit') + ' + 1]')}, '{generate.DIGITS[0]}', '{generate.DIGITS[1]}')")} END FROM q
+  UNION ALL SELECT core, tld, 'digit-swap', CASE WHEN len(digits) > 0 THEN translate(core, '{generate.DIGITS[0]}', '{generate.DIGITS[1]}') END FROM q
+)"""
+
+
+_GENERATED_SQL = "GENERATED"
+
+
+@query("G2_homoglyph", _GENERATED_SQL)
+def g2(spark, sf_dir):
+    return generate.lookalikes(spark).where("family = 'homoglyph'").select("domain", "brand")
+
+
+@query("G3_typo", _GENERATED_SQL)
+def g3(spark, sf_dir):
+    return generate.lookalikes(spark).where("family = 'typo'").select("domain", "brand")
+
+
+@query("G1_lookalikes", _GENERATED_SQL)
 def g1(spark, sf_dir):
     return generate.lookalikes(spark)
 
@@ -466,6 +568,15 @@ def g7(spark, sf_dir):
     return generate.lookalikes(spark).where("family = 'subdomain'").select("domain", "brand")
 
 
+_LETTERS_SQL = f"{_MAKE_SQL}, {_made_sql()}, letters AS (SELECT DISTINCT family, made || '.' || tld AS domain, core AS brand FROM made WHERE made IS NOT NULL AND made || '.' || tld NOT IN (SELECT domain FROM brands))"
+SQL["G2_homoglyph"] = f"{_LETTERS_SQL} SELECT domain, brand FROM letters WHERE family = 'homoglyph'"
+SQL["G3_typo"] = f"{_LETTERS_SQL} SELECT domain, brand FROM letters WHERE family = 'typo'"
+_WHOLE = {"combosquat": "G5_combosquat", "tld-swap": "G6_tld_swap", "subdomain": "G7_subdomain"}
+SQL["G1_lookalikes"] = f"{_LETTERS_SQL} SELECT domain, family, brand FROM letters" + "".join(
+    f" UNION ALL SELECT domain, '{family}', brand FROM ({SQL[name]})" for family, name in _WHOLE.items()
+)
+
+
 @query("G8_seeded_order", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7' || c_custkey), c_custkey) AS place FROM customer")
 def g8(spark, sf_dir):
     ranked = ev.shuffled_rank(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", "7")
@@ -557,8 +668,7 @@ def a3(spark, sf_dir):
 
 @query("A4_fuzzers", f"WITH {SCORED_SQL} SELECT family, count(*) AS n, round(avg((score >= 0.6)::INT), 9) AS recall FROM scored GROUP BY family ORDER BY n DESC, family")
 def a4(spark, sf_dir):
-    g = scored_hosts(spark, sf_dir).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("score") >= 0.6).cast("int")), 9).alias("recall"))
-    return g.orderBy(F.desc("n"), "family")
+    return _rounded(ev.recall_by(scored_hosts(spark, sf_dir), "family", F.col("score") >= 0.6), "recall")
 
 
 @query("A5_quantiles", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events), p AS (SELECT unnest([0.5, 0.95, 0.99]) AS p) "
@@ -569,7 +679,8 @@ def a5(spark, sf_dir):
 
 @query("A5_latency", "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS worst FROM events GROUP BY event_type")
 def a5_latency(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("worst"))
+    t = ev.latency(table(spark, sf_dir, "events"), "value", "event_type")
+    return t.withColumn("mean", F.round("mean", 6))
 
 
 @query("A6_roc_auc", f"WITH {SCORED_SQL}, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored) "
@@ -597,9 +708,12 @@ def a11(spark, sf_dir):
     return scored_hosts(spark, sf_dir).where("y = 1 and score < 0.6").orderBy("family", "id").limit(40).select("id", "host", "family")
 
 
-@query("A12_wild_recall", f"WITH {SCORED_SQL} SELECT count(*) AS n, count(*) FILTER (score >= 0.6) AS flagged, count(*) FILTER (regexp_matches(host, '[^\\x00-\\x7F]')) AS resembling FROM scored WHERE y = 1")
+@query("A12_wild_recall", f"WITH {SCORED_SQL}, r AS (SELECT *, regexp_matches(host, '[^\\x00-\\x7F]') OR EXISTS (SELECT 1 FROM brands b WHERE length(core) >= 4 AND (contains(p.sld, core) "
+       "OR (p.sld <> '' AND contains(core, p.sld)) OR levenshtein(translate(p.sld, 'аео', 'AEO'), core) <= 2)) AS near FROM scored p) "
+       "SELECT count(*) AS n, count(*) FILTER (score >= 0.6) AS flagged, count(*) FILTER (near) AS resembling, count(*) FILTER (near AND score >= 0.6) AS flagged_resembling FROM r WHERE y = 1")
 def a12(spark, sf_dir):
-    return scored_hosts(spark, sf_dir).where("y = 1").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.6).alias("flagged"), F.count_if(hosts.has_non_ascii(F.col("host"))).alias("resembling"))
+    s = scored_hosts(spark, sf_dir).where("y = 1")
+    return ev.wild_recall(s, F.col("score") >= 0.6, match.resembling(F.col("sld"), F.col("host")))
 
 
 @query("A13_complexity", "SELECT n::INT AS n, (n * 14)::INT AS ops FROM range(4, 25) t(n)")
@@ -623,8 +737,8 @@ def a14(spark, sf_dir):
 
 @query("A15_macro_average", f"WITH {SCORED_SQL} SELECT round(avg(r), 9) AS macro FROM (SELECT brand, avg((score >= 0.6)::INT) AS r FROM scored WHERE y = 1 GROUP BY brand)")
 def a15(spark, sf_dir):
-    g = scored_hosts(spark, sf_dir).where("y = 1").groupBy("brand").agg(F.avg((F.col("score") >= 0.6).cast("int")).alias("r"))
-    return g.agg(F.round(F.avg("r"), 9).alias("macro"))
+    s = scored_hosts(spark, sf_dir).where("y = 1")
+    return _rounded(ev.macro_average(s, "brand", F.col("score") >= 0.6), "macro")
 
 
 # ---- state ---------------------------------------------------------------------------------------------------------
@@ -637,9 +751,9 @@ def t1(spark, sf_dir):
     return state.visits(navigation(spark, sf_dir))
 
 
-@query("T2_remembered", f"WITH {_VISITS_SQL} SELECT device, registrable, sld, count, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY count DESC, last_seen DESC, registrable) AS k FROM visits) WHERE k <= 5")
+@query("T2_remembered", f"WITH {_VISITS_SQL} SELECT device, registrable, sld, count, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY count DESC, last_seen DESC, registrable) AS k FROM visits) WHERE k <= 300")
 def t2(spark, sf_dir):
-    return state.remembered(state.visits(navigation(spark, sf_dir)), 5)
+    return state.remembered(state.visits(navigation(spark, sf_dir)))
 
 
 @query("T3_trusted", f"WITH {_VISITS_SQL} SELECT device, registrable, sld, count FROM visits WHERE count >= 3")
@@ -685,11 +799,17 @@ def t9(spark, sf_dir):
     return state.enabled_only(n, settings).groupBy("device").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T10_rescans", f"WITH {NAVIGATION_SQL}, g AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY device ORDER BY ts) + INTERVAL 6 HOUR, true)::INT AS fresh FROM nav), "
+#: Of every k-th event the page changes again some milliseconds later.
+_AGAIN = ((3, 400), (6, 900))
+
+
+@query("T10_rescans", f"WITH {NAVIGATION_SQL}, c AS (SELECT device, ts FROM nav " + " ".join(f"UNION ALL SELECT device, ts + INTERVAL {ms} MILLISECOND FROM nav WHERE event_id % {k} = 0" for k, ms in _AGAIN) + "), g AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY device ORDER BY ts) + INTERVAL 600 MILLISECOND, true)::INT AS fresh FROM c), "
        "s AS (SELECT *, sum(fresh) OVER (PARTITION BY device ORDER BY ts) AS s FROM g) "
-       "SELECT device, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS changes FROM s GROUP BY device, s")
+       "SELECT device, min(ts) AS started, max(ts) + INTERVAL 600 MILLISECOND AS ended, count(*) AS changes FROM s GROUP BY device, s")
 def t10(spark, sf_dir):
-    return state.rescans(navigation(spark, sf_dir), "6 hours")
+    n = navigation(spark, sf_dir).select("device", "event_id", "ts")
+    again = [n.where(f"event_id % {k} = 0").withColumn("ts", F.col("ts") + F.expr(f"interval {ms} milliseconds")) for k, ms in _AGAIN]
+    return state.rescans(n.unionByName(again[0]).unionByName(again[1]))
 
 
 @query("T11_scanned_once", f"WITH {NAVIGATION_SQL} SELECT DISTINCT device, host FROM nav")

@@ -15,7 +15,10 @@ def one(spark: SparkSession, host: str) -> DataFrame:
 
 def ranked_csv(spark: SparkSession, path: str, most: int) -> DataFrame:
     """(rank, host) of the first `most` lines of a rank,domain file, lower case, blanks left out."""
-    rows = spark.read.csv(path, schema="rank int, host string")
+    return clean_ranked(spark.read.csv(path, schema="rank int, host string"), most)
+
+
+def clean_ranked(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("rank", F.lower(F.trim("host")).alias("host")).where("host <> ''").orderBy("rank").limit(most)
 
 
