@@ -64,22 +64,38 @@ def latency(df: DataFrame, column: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.avg(column).alias("mean"), F.max(column).alias("worst"))
 
 
-def in_ranges(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+#: Rows that a range or slice should hold at most.
+RANGE_ROWS = 1_000_000
+
+
+def in_ranges(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """df plus part: the range of a numeric column, by cuts at its approximate quantiles.
 
+    There are as many ranges as hold RANGE_ROWS rows each (8 at least, 4,096 at most), unless buckets says how many.
+
     The part is a plain function of the value, so a running sum over everything becomes one inside each part after the
     totals of the parts before, and no task has to sort all rows. Equal values share a part.
     """
+    if buckets is None:
+        buckets = min(4096, max(8, -(-df.count() // RANGE_ROWS)))
     wanted = [k / buckets for k in range(1, buckets)]
     cuts = sorted(set(df.agg(F.percentile_approx(column, wanted, 100 * buckets).alias("c")).first()["c"] or []))
 
     def search(low: int, high: int) -> Column:
+        """By halves, so that the condition of a row has as many steps as the logarithm of the ranges."""
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
         return F.when(F.col(column) < cuts[mid], search(low, mid)).otherwise(search(mid + 1, high))
 
-    return df.withColumn("part", search(0, len(cuts)))
+    if len(cuts) <= 256:
+        return df.withColumn("part", search(0, len(cuts)))
+    # more cuts than code should spell: those of the row's own block of 64, found by the blocks' first cuts
+    blocks = [cuts[k : k + 64] for k in range(0, len(cuts), 64)]
+    at = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda c: c <= F.col(column)))
+    mine = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), F.greatest(at - 1, F.lit(0)))
+    inside = F.size(F.filter(mine, lambda c: c <= F.col(column)))
+    return df.withColumn("part", F.greatest(at - 1, F.lit(0)) * 64 + inside)
 
 
 def _before(parts: DataFrame, descending: bool, **sums: str) -> DataFrame:
@@ -89,7 +105,7 @@ def _before(parts: DataFrame, descending: bool, **sums: str) -> DataFrame:
     return F.broadcast(totals.select("part", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums]))
 
 
-def exact_quantiles(df: DataFrame, column: str, at: list[float], buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, at: list[float], buckets: int | None = None) -> DataFrame:
     """(p, value): the value at place min(n - 1, floor(p n)) of the sorted column, counted from 0.
 
     Only the ranges of values that hold a wanted place are sorted. Nulls are left out.
@@ -172,12 +188,14 @@ def block_threshold(df: DataFrame, score: str, positive: Column, warn: float) ->
     return df.agg(F.least(F.lit(0.995), F.greatest(F.lit(warn + 0.02), worst + 0.001)).alias("block"))
 
 
-def shuffled_rank(df: DataFrame, by: str, key: str, seed: str = "", digits: int = 2) -> DataFrame:
+def shuffled_rank(df: DataFrame, by: str, key: str, seed: str = "", digits: int | None = None) -> DataFrame:
     """df plus rank (from 1) in each stratum's order of the key's MD5, and of, the stratum's size.
 
     MD5 is uniform, so its first digits cut every stratum into balanced slices that are ranked apart; the sizes of the
     slices before are added. A stratum may hold most rows.
     """
+    if digits is None:
+        digits = max(1, len(f"{df.count() // RANGE_ROWS:x}"))
     turn = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
     rows = df.withColumn("__turn", turn).withColumn("__slice", F.substring("__turn", 1, digits)).withColumn("__by", F.col(by))
     sizes = rows.groupBy("__by", "__slice").agg(F.count(F.lit(1)).alias("__n"))

@@ -52,6 +52,15 @@ def derived_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(p).unionByName(g)
 
 
+def varied_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host): different hosts, several for each derived one: its label with a few letters put in. For measuring."""
+    h = derived_hosts(spark, sf_dir)
+    tag = F.lower(F.conv((F.col("id") % 46656).cast("string"), 10, 36))
+    label, rest = F.substring_index("host", ".", 1), F.expr("substring(host, instr(host, '.'))")
+    made = [F.concat(F.substring(label, 1, 3), F.lit(x), F.expr("substring(substring_index(host, '.', 1), 4)"), tag, rest) for x in ("", "a", "b", "ce", "do", "xi", "q2", "z")]
+    return h.select(F.explode(F.array(*made)).alias("host")).distinct()
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

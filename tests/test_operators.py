@@ -199,3 +199,11 @@ def test_full_tables(spark):
     assert (got["gøøgle.com"]["level"], got["gøøgle.com"]["score"], got["paypal.com.hk"]["level"]) == ("dangerous", 85, "safe")
     f = {r["input"]: r["ngramImprob"] for r in features.extract_features(spark.createDataFrame([("paypal.com",), ("paypa1.com",)], "input string")).collect()}
     assert f == pytest.approx({"paypal.com": 2.737257, "paypa1.com": 3.237157}, abs=1e-6)
+
+
+def test_ranges_of_any_number(spark):
+    df = spark.range(3000).select((F.col("id") % 997).cast("double").alias("v"))
+    for buckets in (1, 5, 200, 900):
+        parts = evaluate.in_ranges(df, "v", buckets).groupBy("part").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("part").collect()
+        assert all(x["b"] < y["a"] for x, y in zip(parts, parts[1:])) and len(parts) >= buckets // 2
+    assert {r["value"] for r in evaluate.exact_quantiles(df, "v", [0.5], buckets=700).collect()} == {497.0}
