@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.shared import dealt, text_bytes, text_or_empty
 from kestrel.llm.words import Lanes, WordHashes, by_lane, chunks, mix, rows_of, squeeze, unsqueeze
 
-CHUNK_WORDS = 800_000
+CHUNK_WORDS = 500_000
 #: Odd bases of the two polynomial hashes; odd numbers have inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(2**63)
@@ -214,7 +214,7 @@ def remove_repeats(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    bucket_bytes: int = 8 << 20,
+    bucket_bytes: int = 4 << 20,
     most_lanes: int = 4096,
 ) -> DataFrame:
     """Remove each word that a window of `width` words covers whose words also start earlier.
