@@ -120,6 +120,47 @@ def test_cuts():
     assert [(c["first_frame"], c["last_frame"], c["start_s"]) for c in timed] == [(0, 8, 0.0), (9, 17, 0.36), (18, 26, 0.72), (27, 35, 1.08)]
 
 
+def plain_cuts(frames):
+    """First frames of shots, by plain loops over lists of samples."""
+    hists = []
+    for f in frames:
+        h = [0.0] * 16
+        for x in f:
+            h[x >> 4] += 1 / len(f)
+        hists.append(h)
+    diff = [sum(abs(a - b) for a, b in zip(p, q)) / 2 for p, q in zip(hists, hists[1:])]
+    out = [0]
+    for k, d in enumerate(diff):
+        others = diff[max(0, k - 8) : k] + diff[k + 1 : k + 9]
+        limit = 0.15
+        if others:
+            mean = sum(others) / len(others)
+            limit = mean + 3 * (sum((x - mean) ** 2 for x in others) / len(others)) ** 0.5
+        if d > 0.15 and d > limit and d >= max(diff[max(0, k - 1) : k + 2]):
+            out.append(k + 1)
+    return out
+
+
+def test_clips_of_stored_texts_against_plain_loops(spark):
+    parts = ["aaaa bbb " * 2500, "0123 456 " * 3000, "ZZZZ QQQ " * 2000]
+    rows = [(0, "".join(parts)), (1, "short"), (2, None), (3, parts[0] + parts[2]), (4, "é漢字 " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = 0
+    for r in media.read_media(media.store_texts(docs)).collect():
+        payload = bytes(r["payload"])
+        size = min(64 * 64, len(payload))
+        padded = payload + bytes(-len(payload) % size)
+        frames = [padded[k : k + size] for k in range(0, len(padded), size)]
+        assert r["n_frames"] == len(frames)
+        starts = plain_cuts(frames)
+        assert [c["first_frame"] for c in r["clips"]] == starts
+        for c, a, b in zip(r["clips"], starts, [*starts[1:], len(frames)]):
+            assert c["last_frame"] == b - 1 and (c["start_s"], c["end_s"]) == pytest.approx((a / media.RATE, b / media.RATE))
+            assert c["mean_luma"] == pytest.approx(sum(map(sum, frames[a:b])) / (size * (b - a)))
+        cut += len(starts) > 1
+    assert cut >= 2
+
+
 def test_round_trip(made, nothing):
     got = {r["doc_id"]: r for r in media.read_media(media.store_texts(made)).collect()}
     for row in made.collect():
