@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.operators.evaluate import in_ranges
+
 MOST_VISITS, MOST_SITES, MOST_RECENT = 999, 300, 8
 
 
@@ -50,12 +52,34 @@ def counters(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_threats(blocks: DataFrame, most: int = MOST_RECENT) -> DataFrame:
-    """The newest blocked hosts of a device with their place, runs of one host collapsed to its first block."""
-    w = Window.partitionBy("device").orderBy("ts", "event_id")
-    fresh = blocks.withColumn("__last", F.lag("host").over(w)).where(~F.col("host").eqNullSafe(F.col("__last")) | F.col("__last").isNull())
+def in_spans(events: DataFrame, keys: list[str], value: Column, spans: int | None = None) -> DataFrame:
+    """events (ts, event_id, ...) plus part, a span of time, and __before: the last value that is no null in earlier spans of the keys.
+
+    What looks back over a device's events can then run inside spans, whose ends come ahead as one row each, so no task
+    orders all events of a busy device. Events without a time come first.
+    """
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(2**63)))
+    rows = in_ranges(events.withColumn("__at", at), "__at", spans).drop("__at").withColumn("__value", value)
+    when = F.when(F.col("__value").isNotNull(), F.struct("ts", "event_id"))
+    ends = rows.groupBy(*keys, "part").agg(F.max_by("__value", when).alias("__end"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "part", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "part")]
+    return rows.alias("e").join(before.alias("b"), same).select("e.*", "b.__before")
+
+
+def recent_threats(blocks: DataFrame, most: int = MOST_RECENT, spans: int | None = None) -> DataFrame:
+    """The newest blocked hosts of a device with their place, runs of one host collapsed to its first block.
+
+    The newest of a device are ranked among what each task leaves as its own newest.
+    """
+    w = Window.partitionBy("device", "part").orderBy("ts", "event_id")
+    seen = in_spans(blocks, ["device"], F.struct("host"), spans)
+    last = F.coalesce(F.lag("__value").over(w), F.col("__before"))["host"]
+    fresh = seen.withColumn("__last", last).where(~F.col("host").eqNullSafe(F.col("__last")) | F.col("__last").isNull())
     newest = Window.partitionBy("device").orderBy(F.desc("ts"), F.desc("event_id"))
-    return fresh.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most).drop("__last")
+    placed = fresh.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    return placed.select(*blocks.columns, "place")
 
 
 def clean_message(df: DataFrame) -> DataFrame:
@@ -73,11 +97,13 @@ def clean_message(df: DataFrame) -> DataFrame:
     )
 
 
-def block_latch(events: DataFrame) -> DataFrame:
+def block_latch(events: DataFrame, spans: int | None = None) -> DataFrame:
     """events plus latched: whether the last block or load start of the device's tab, this event included, was a block."""
-    w = Window.partitionBy("device", "tab").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind").isin("block", "loading"), F.col("kind")), ignorenulls=True).over(w)
-    return events.withColumn("latched", F.coalesce(last == "block", F.lit(False)))
+    w = Window.partitionBy("device", "tab", "part").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.when(F.col("kind").isin("block", "loading"), F.col("kind"))
+    seen = in_spans(events, ["device", "tab"], turn, spans)
+    last = F.coalesce(F.last("__value", ignorenulls=True).over(w), F.col("__before"))
+    return seen.withColumn("latched", F.coalesce(last == "block", F.lit(False))).select(*events.columns, "latched")
 
 
 def badge(latched: Column, level: Column) -> Column:

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,8 @@ def test_page_scan(spark):
 def test_state(spark):
     t = dt.datetime(2024, 1, 1)
     blocks = spark.createDataFrame([(1, k, t + dt.timedelta(seconds=k), h) for k, h in enumerate("AABAA")], "device int, event_id int, ts timestamp, host string")
-    assert [r["host"] for r in state.recent_threats(blocks).orderBy("place").collect()] == ["A", "B", "A"]
+    for spans in (None, 1, 3):
+        assert [r["host"] for r in state.recent_threats(blocks, spans=spans).orderBy("place").collect()] == ["A", "B", "A"]
     other = [(1, "safe", "x.co", "x", t, "complete"), (1, "suspicious", "abcd.com", "abcd", t, "complete")]
     other += [(1, "safe", "abcd.com", "abcd", t, k) for k in ("loading", "block", "url", "activated")]
     visit = spark.createDataFrame([(1, "safe", "github.com", "github", t, "complete")] * 1005 + other,
@@ -116,7 +118,33 @@ def test_state(spark):
     tab = [("loading",), ("block",), ("complete",), ("loading",), ("complete",)]
     rows = [(1, 0, k, t + dt.timedelta(seconds=k), x) for k, (x,) in enumerate(tab)] + [(1, 1, 9, t + dt.timedelta(seconds=2), "complete")]
     events = spark.createDataFrame(rows, "device int, tab int, event_id int, ts timestamp, kind string")
-    assert [r["latched"] for r in state.block_latch(events).orderBy("event_id").collect()] == [False, True, True, False, False, False]
+    for spans in (None, 1, 3):
+        assert [r["latched"] for r in state.block_latch(events, spans).orderBy("event_id").collect()] == [False, True, True, False, False, False]
+
+
+def test_spans_of_a_busy_device(spark):
+    """Spans change nothing, whatever nulls, ties and gaps there are."""
+    draw = random.Random(5)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(draw.choice([1, 1, 1, 2, None]), draw.choice([0, 1]), k, draw.choice([None] + [t + dt.timedelta(seconds=draw.randrange(90))] * 9),
+             draw.choice(["block", "loading", "complete", "complete", "url"]), draw.choice(["a", "b", None])) for k in range(400)]
+    events = spark.createDataFrame(rows, "device int, tab int, event_id int, ts timestamp, kind string, host string").cache()
+    order = lambda r: (r[3] is not None, r[3] or t, r[2])
+    latched, shown = {}, {}
+    for device, tab, k, _, kind, host in sorted(rows, key=order):
+        if kind in ("block", "loading"):
+            latched[device, tab] = kind == "block"
+        shown[k] = latched.get((device, tab), False)
+    hosts = {}
+    for device, _, k, _, kind, host in sorted(rows, key=order):
+        if kind == "block":
+            run = hosts.setdefault(device, [])
+            run.append((host, k, not run or host is None or run[-1][0] != host))
+    newest = {(d, place + 1): k for d, run in hosts.items() for place, k in enumerate([k for _, k, fresh in run if fresh][::-1][:8])}
+    for spans in (None, 7):
+        assert {r["event_id"]: r["latched"] for r in state.block_latch(events, spans).collect()} == shown
+        got = state.recent_threats(events.where("kind = 'block'"), spans=spans).collect()
+        assert {(r["device"], r["place"]): r["event_id"] for r in got} == newest
 
 
 def test_metrics(spark):
@@ -159,8 +187,6 @@ def test_readers_and_sinks(spark, tmp_path):
 
 
 def test_logistic_models_against_a_plain_loop(spark):
-    import random
-
     import numpy as np
 
     rng = random.Random(5)
