@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,17 +53,26 @@ def bigram_map(spark: SparkSession, model: DataFrame) -> dict[str, float]:
 
 
 def improbability(label: Column, model: dict[str, float], symbols: int = len(ALPHABET)) -> Column:
-    """Mean of -logp over the pairs of ^label$; a pair off the grid counts as log(symbols)."""
-    import math
+    """Mean of -logp over the pairs of ^label$; a pair off the grid counts as log(symbols).
 
-    text = F.concat(F.lit("^"), F.lower(label), F.lit("$"))
-    grid = F.create_map(*[F.lit(x) for item in model.items() for x in item]) if model else None
+    The grid is one array of constants that the two symbols of a pair point into.
+    """
     unseen = F.lit(math.log(symbols))
-    if grid is None:
+    if not model:
         return unseen
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda k: F.substring(text, k, F.lit(2)))
-    costs = F.transform(pairs, lambda p: F.coalesce(-F.try_element_at(grid, p), unseen))
-    return F.aggregate(costs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs)
+    text = F.concat(F.lit("^"), F.lower(label), F.lit("$"))
+    known = "".join(sorted({symbol for pair in model for symbol in pair}))
+    cells = [model.get(a + b) for a in known for b in known]
+    # spelt as one expression: a call for each cell would take seconds
+    grid = F.expr("array(" + ", ".join("double(null)" if x is None else f"{float(x)!r}D" for x in cells) + ")")
+    place = lambda k: F.instr(F.lit(known), F.substring(text, k, F.lit(1)))
+
+    def cost(k: Column) -> Column:
+        a, b = place(k), place(k + 1)
+        return F.coalesce(F.when((a > 0) & (b > 0), -F.get(grid, (a - 1) * len(known) + b - 1)), unseen)
+
+    costs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), cost)
+    return F.aggregate(costs, F.lit(0.0), lambda a, x: a + x) / F.size(costs)
 
 
 def feature_columns(model: dict[str, float] | None = None) -> list[Column]:

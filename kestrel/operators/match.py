@@ -75,9 +75,11 @@ def lures(skeleton: Column, sub_skeletons: Column) -> Column:
 
 
 def official_brand(brands: list[Brand]) -> Column:
+    trusted = ~suspicious_tld(F.col("last_label"))
+
     def test(b: Brand) -> Column:
         listed = F.col("registrable").isin(*b.official)
-        owned = (F.col("sld") == b.core) & ~suspicious_tld(F.col("last_label"))
+        owned = (F.col("sld") == b.core) & trusted
         return listed | owned if b.owns_name else listed
 
     return first_of(brands, test)
