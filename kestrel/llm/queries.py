@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, exact, lm, media, mixing, quality, sharding, simhash, substring
+from kestrel.llm import bpe, chat, divergence, exact, lm, media, mixing, quality, sharding, simhash, substring, vectorcode
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -251,3 +251,102 @@ def bpe_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), o AS (
+  SELECT doc, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM o GROUP BY lang, source, term
+), k AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10
+), v AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), t AS (
+  SELECT lang, source, sum(c.n)::HUGEINT AS total FROM c JOIN k USING (lang, term) GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+), r AS (
+  SELECT * FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@_query("op11_divergence", _DIVERGENCE_SQL)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir), least_docs=10, top=10)
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and improvement, spelt out: b0, b1, b2 are the codebooks, a0, a1, a2 the assignments."""
+    ctes = [
+        """v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), k AS (
+  SELECT r, unnest(range(16)) AS part, x, len(x) // 16 AS w FROM v
+), p AS (
+  SELECT r, part, x[part * w + 1 : part * w + w] AS x, w FROM k
+), firsts AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS entry FROM v ORDER BY vec_id NULLS LAST, x LIMIT 64
+), b0 AS (
+  SELECT part, entry, x AS y FROM p JOIN firsts USING (r)
+)"""
+    ]
+    for k in range(3):
+        ctes.append(f"""d{k} AS (
+  SELECT r, part, entry, list_sum(list_transform(range(1, w + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))::BIGINT AS d FROM p JOIN b{k} USING (part)
+), a{k} AS (
+  SELECT r, part, entry, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1
+)""")
+        if k < 2:
+            ctes.append(f"""e{k} AS (
+  SELECT part, entry, i, sum(x[i])::HUGEINT AS s, count(*) AS n
+  FROM a{k} JOIN p USING (r, part), unnest(range(1, w + 1)) AS u(i) GROUP BY part, entry, i
+), m{k} AS (
+  SELECT part, entry, list((s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END)::BIGINT ORDER BY i) AS y FROM e{k} GROUP BY part, entry
+), b{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    return (
+        "WITH "
+        + ", ".join(ctes)
+        + """, f AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r
+), s AS (
+  SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN v USING (r), s
+"""
+    )
+
+
+@_query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    books = vectorcode.train(vectors, parts=16, entries=64, rounds=2, scale=256)
+    if books is None:
+        none = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
+        return spark.createDataFrame([], none)
+    coded = vectorcode.with_label_errors(vectorcode.encode(vectors, books))
+    digest = F.lit(books.sha256()).alias("codebooks_sha256")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)
