@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from kestrel.llm.shared import dealt, text_bytes, text_or_empty
+from kestrel.llm.shared import dealt, keep, running, text_or_empty
 from kestrel.llm.words import Lanes, WordHashes, by_lane, chunks, mix, rows_of, squeeze, unsqueeze
 
 CHUNK_WORDS = 500_000
@@ -227,17 +228,33 @@ def remove_repeats(
     words aren't compared again. There are at most most_lanes lanes, with as many subs of bucket_bytes of text each as
     the texts need, so what a chunk sends and what an owner holds are bounded at any size.
 
-    Returns id_col long, n_words, n_removed, spans (intervals of word places, end excluded), kept_text (remaining words
-    joined by one space). A null or empty text has no words. A null id sorts first. Rows that repeat an id are the
-    same document: equal texts get equal results and never remove each other. Texts of fewer than `width` words stay
-    whole. An empty table gives no rows. Other columns are not read.
+    Returns id_col, n_words, n_removed, spans (intervals of word places, end excluded), kept_text (remaining words
+    joined by one space). A null or empty text has no words. A null id sorts first. Texts of fewer than `width` words stay
+    whole. An empty table gives no rows. Other columns are not read. Ids may be of any type that can be ordered. Rows that repeat
+    id and text are one document: they get equal results and never remove each other. Rows that repeat an id with different texts are
+    documents of their own, in order of a 64-bit hash of the text. Both such ids and ids that aren't whole numbers cost
+    a shuffle of the texts more, as documents get numbers in their order first.
     """
-    lanes = Lanes.of(text_bytes(docs, text_col), bucket_bytes, most_lanes)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
+    each = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"), F.sum(F.octet_length("text").cast("long")).alias("n"))
+    found = each.agg(F.sum("n").alias("n"), F.max(F.col("a") != F.col("b")).alias("several")).first()
+    lanes = Lanes.of(found["n"] or 0, bucket_bytes, most_lanes)
+    if not found["several"] and isinstance(rows.schema["id"].dataType, IntegralType):
+        out = _removed(rows.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text"), width, lanes)
+        return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(rows.schema["id"].dataType).alias(id_col), "n_words", "n_removed", "spans", F.col("kept").cast("string").alias("kept_text"))
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    different = keyed.select("id", "key").distinct().withColumn("one", F.lit(1))
+    placed = running(different, [F.col("id").asc_nulls_first(), F.col("key")], ["one"], "repeats-order")
+    order = keep(placed.select("key", F.col("id").alias("own"), F.col("before_one").alias("number")), "repeats-numbers")
+    same = F.col("id").eqNullSafe(F.col("own"))
+    numbered = keyed.join(order.withColumnRenamed("key", "own_key"), same & (F.col("key") == F.col("own_key")))
+    out = _removed(numbered.select(F.col("number").alias("id"), "text"), width, lanes)
+    return out.join(order, F.col("doc_id") == F.col("number")).select(F.col("own").alias(id_col), "n_words", "n_removed", "spans", F.col("kept").cast("string").alias("kept_text"))
+
+
+def _removed(rows: DataFrame, width: int, lanes: Lanes) -> DataFrame:
+    """_OUT of rows (id long, text binary) in which no id has two texts."""
     several = lanes.subs > 1
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        text_or_empty(text_col).cast("binary").alias("text"),
-    )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _send(batches, width, lanes)
@@ -259,11 +276,4 @@ def remove_repeats(
         flags = flags.repartition("lane").mapInArrow(split_flags, _ROWS)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("runs", "int"), ("n", "int"), ("places", "binary"))]
     texts = rows.select(*_doc_columns(lanes), F.lit(1).alias("kind"), *none, "id", "text")
-    out = flags.unionByName(texts).repartition("lane").sortWithinPartitions("lane", "sub", "kind").mapInArrow(remove, _OUT)
-    return out.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias(id_col),
-        "n_words",
-        "n_removed",
-        "spans",
-        F.col("kept").cast("string").alias("kept_text"),
-    )
+    return flags.unionByName(texts).repartition("lane").sortWithinPartitions("lane", "sub", "kind").mapInArrow(remove, _OUT)

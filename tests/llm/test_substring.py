@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from kestrel.llm.substring import remove_repeats
 
 
@@ -46,6 +48,25 @@ def test_repeated_rows_keep_each_other(spark):
     assert got == [(False, 1, 40), (False, 1, 40), (False, 2, 40), (True, 0, 0)]
 
 
+def test_an_id_with_different_texts_loses_no_text_that_never_repeats(spark):
+    w, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "wz")
+    docs = spark.createDataFrame([(1, w), (2, w), (2, z), (None, z[:20]), (None, "n " * 30)], "doc_id int, text string")
+    got = remove_repeats(docs)
+    assert got.schema["doc_id"].dataType.simpleString() == "int"
+    rows = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()}
+    short = " ".join(z[:20].split())
+    want = brute([(0, "n " * 30), (1, short), (2, w), (3, w), (4, z)], 20)
+    assert rows == {(i, *want[k]) for i, k in ((None, 0), (None, 1), (1, 2), (2, 3), (2, 4))}
+
+
+def test_ids_of_strings(spark, made):
+    docs = made.select(F.format_string("d%06d", "doc_id").alias("doc_id"), "text")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 20)
+    for most_lanes in (4096, 3):
+        got = remove_repeats(docs, 20, bucket_bytes=300, most_lanes=most_lanes).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
+
+
 def test_a_text_longer_than_a_chunk(spark, monkeypatch):
     from kestrel.llm import substring
 
