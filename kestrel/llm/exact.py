@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import ROW, SPACE, chosen, hand_back, keep, text_or_empty
+from kestrel.llm.shared import ROW, SALTS, SPACE, chosen, hand_back, keep, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -48,11 +48,11 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
 
 
 def route(rows: DataFrame, directory: DataFrame) -> DataFrame:
-    """Rows (key, ...) with the depth and bucket that the directory gives their key."""
+    """Narrow rows (key, ...) with the depth and bucket that the directory gives their key."""
     depths = [r["depth"] for r in directory.select("depth").distinct().collect()]  # 65 at most
     slots = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("bucket")) for d in sorted(depths) or [0]])
     probes = rows.withColumn("slot", F.explode(slots)).select("*", "slot.depth", "slot.bucket").drop("slot")
-    # a row per bucket, so the directory is smaller than the keys by the capacity
+    # MOST_BUCKETS at most
     return probes.join(F.broadcast(directory.select("depth", "bucket")), ["depth", "bucket"], "left_semi")
 
 
@@ -61,35 +61,67 @@ def hashed(norm: Column) -> Column:
     return F.xxhash64(norm)
 
 
+#: A directory has at most about so many buckets, which makes it small enough to send to every task.
+MOST_BUCKETS = 65_536
+#: Keys with more than a share of 1 / HOT_SHARE of all rows are combined before they go to their owner.
+HOT_SHARE = 10_000
+
+
+def chain_of() -> Column:
+    """The place of a text among those of its key, found by comparing them."""
+    return F.dense_rank().over(Window.partitionBy("owner", "key").orderBy("norm"))
+
+
+def owned_texts(keyed: DataFrame, keys: DataFrame, owners: int, hot: int) -> DataFrame:
+    """(key, chain, sha, keep_id, group_size): one row per different text of keyed (id, key, norm), from the owners of key ranges.
+
+    keys: rows (key, n). Each owner takes a range of keys, sorts its texts by key and text, and chains the different texts of a
+    key by comparing them whole. Rows of keys that more than `hot` rows have are combined in tasks and once
+    more by salts, so an owner gets SALTS copies of a text at most; at most HOT_SHARE keys can be that frequent.
+    """
+    rows = keys.agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    busy = keys.where(F.col("n") > max(hot, -(-rows // HOT_SHARE))).select("key", F.lit(True).alias("busy"))
+    marked = keyed.join(F.broadcast(busy), "key", "left")  # HOT_SHARE rows at most
+    plain = marked.where("busy is null").select("key", "norm", F.col("id").alias("first"), F.lit(1).cast("long").alias("n"))
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    copies = marked.where("busy").groupBy("key", "norm", salt.alias("salt")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    texts = plain.unionByName(copies.select("key", "norm", "first", "n"))
+    # ranges of the key's upper half: equal in size, as keys are hashes
+    owner = F.expr(f"cast((shiftrightunsigned(key, 32) * {owners}L) >> 32 as int)")
+    dealt = texts.withColumn("owner", owner).repartition(owners, "owner")
+    chained = dealt.select("owner", "key", chain_of().alias("chain"), F.unhex(F.sha2("norm", 256)).alias("sha"), "first", "n")
+    found = chained.groupBy("owner", "key", "chain").agg(F.min("sha").alias("sha"), F.min("first").alias("keep_id"), F.sum("n").alias("group_size"))
+    return found.drop("owner")
+
+
 def build_index(
-    docs: DataFrame, *, capacity: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, capacity: int = 50_000, hot: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, directory, index) over the normalised texts of docs.
 
     entries: one row per document: id, key (64-bit hash of the normalised text), sha (its SHA-256), ROW (that of docs
     where they are numbered, else a number of its own). directory: the buckets that build_directory makes of the different
-    keys. index: one row per different text: bucket, depth, key, chain (place among the texts of one key), sha, keep_id,
-    group_size, written to the shared folder, files holding ranges of buckets.
+    keys; capacity grows where there would be over MOST_BUCKETS. index: one row per different text: bucket, depth, key,
+    chain (place among the texts of one key), sha, keep_id, group_size, written to the shared folder, files holding ranges of keys.
 
-    The directory gives each text its bucket before any text is compared. A bucket's texts are chained per key by
-    comparing whole texts, which sets keep_id and group_size. Copies are combined before the shuffle, so neither
-    a large group nor two texts of one hash value can mix or pile up in a task.
+    The directory says how many owners there are, and under which bucket an owner files a text. Owners decide: see owned_texts.
     """
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_or_empty(text_col)).alias("norm"), row.alias(ROW))
     keyed = rows.select("id", hashed(F.col("norm")).alias("key"), "norm", ROW)
     sha = F.unhex(F.sha2("norm", 256)).alias("sha")
     entries = keep(keyed.select("id", "key", sha, ROW), "exact-entries")
-    directory = build_directory(entries.select("key").distinct().withColumn("n", F.lit(1).cast("long")), capacity)
-    owned = route(keyed.drop(ROW), directory).groupBy("depth", "bucket", "key", "norm")
-    texts = owned.agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chain = F.row_number().over(Window.partitionBy("depth", "bucket", "key").orderBy("sha"))
-    index = texts.select("depth", "bucket", "key", sha, "keep_id", "group_size").withColumn("chain", chain)
+    keys = keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    capacity = max(capacity, -(-keys.count() // (MOST_BUCKETS // 2)))
+    directory = build_directory(keys.withColumn("n", F.lit(1).cast("long")), capacity)
+    owners = max(directory.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    index = route(owned_texts(keyed.drop(ROW), keys, owners, hot), directory)
+    index = index.select("depth", "bucket", "key", "sha", "keep_id", "group_size", "chain")
     return entries, directory, keep(index.repartitionByRange("key").sortWithinPartitions("key", "chain"), "exact-index")
 
 
 def exact_duplicates(
-    docs: DataFrame, *, capacity: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, capacity: int = 50_000, hot: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Which documents are copies: texts are equal when identical after normalised().
 
@@ -98,13 +130,13 @@ def exact_duplicates(
     group has no other. An empty table gives no rows. Of other columns only ROW is read, and returned, where docs are
     numbered.
     """
-    entries, directory, index = build_index(docs, capacity=capacity, id_col=id_col, text_col=text_col)
+    entries, _, index = build_index(docs, capacity=capacity, hot=hot, id_col=id_col, text_col=text_col)
     ties = Window.partitionBy("key", "sha", "id").orderBy(ROW)
-    # the bucket is looked up; in it, a key's chain tells texts of one hash value apart
+    # a key's texts are chained in the index; the digest says which of them a document has
     found = hand_back(
-        route(entries.withColumn("tie", F.row_number().over(ties)), directory),
-        index.select("depth", "bucket", "key", "sha", "keep_id", "group_size"),
-        ["depth", "bucket", "key", "sha"],
+        entries.withColumn("tie", F.row_number().over(ties)),
+        index.select("key", "sha", "keep_id", "group_size"),
+        ["key", "sha"],
         ROW,
     )
     return found.select(

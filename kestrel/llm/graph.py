@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import keep
+from kestrel.llm.shared import hand_back, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 
     Alternating large-star and small-star rounds hang every node on the smallest neighbour it knows; each round is
-    written to the shared folder. Rounds go on until one changes nothing, however many that takes (about the logarithm
+    written to the shared folder. A node of many neighbours hands its least one to them by salted joins. Rounds go on until one changes nothing, however many that takes (about the logarithm
     of the longest path). Self loops and repeats do no harm; null ends are left out; an empty table gives no rows.
     """
     pairs = keep(
@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            hand_back(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = hand_back(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _signature(pairs)
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

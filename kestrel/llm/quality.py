@@ -19,8 +19,6 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 SPACES, HIGH = b"\t\n\v\f\r ", bytes(range(128, 256))
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-#: Places that names of languages and sources are hashed to.
-NAMES = 64
 #: Token hashes remembered by a task.
 CACHED_TOKENS = 100_000
 
@@ -54,10 +52,10 @@ def content_shape(text: str) -> list[float]:
 
 
 def metadata(raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> tuple[list[int], list[float]]:
-    """What the metadata view sees: hashed names of language and source, length, lines and classes of characters; no words."""
+    """What the metadata view sees: 32-bit hashes of the names of language and source, length, lines and classes of characters; no words."""
     n = max(1, len(raw))
     left = lambda drop: (len(raw) - len(raw.translate(None, drop))) / n
-    names = [xxhash.xxh32_intdigest(f"{kind}={name}") % NAMES for kind, name in (("lang", lang), ("source", source))]
+    names = [xxhash.xxh32_intdigest(f"{kind}={name}") for kind, name in (("lang", lang), ("source", source))]
     lines = raw.count(b"\n") + 1
     measures = [
         np.log1p(max(0, n_chars if n_chars is not None else n)),
@@ -244,8 +242,8 @@ def fit_views(
         return QualityModel(None, None, np.zeros(3), prior)
     rest, held = np.flatnonzero(~part), np.flatnonzero(part)
     views, scores = [], []
-    for rows, told, most in ((text, evidence[0], features), (page, evidence[1], NAMES)):
-        view = fit_view(rows.take(rest), y[rest], told, most=most, least_rows=least_rows)
+    for rows, told in ((text, evidence[0]), (page, evidence[1])):
+        view = fit_view(rows.take(rest), y[rest], told, most=features, least_rows=least_rows)
         kept = rows.take(held)
         view.slope, view.shift = logistic(view.raw(kept)[:, None], y[held])
         views.append(view)
@@ -272,13 +270,13 @@ def featurise(
     return text_rows, Rows(np.array(names, np.uint32), ends, np.array(measures).reshape(-1, MEASURES))
 
 
-_SAMPLE = "id long, label double, n int, places binary, ends binary, shape binary, names binary, measures binary"
+_SAMPLE = "id string, label double, n int, places binary, ends binary, shape binary, names binary, measures binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
     """Features of documents (id, label, text, lang, source, n_chars), packed; at_once of them make a row, which has the first's id."""
     hashes = TokenHashes()
-    schema = [pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 5]
+    schema = [pa.string(), pa.float64(), pa.int32(), *[pa.binary()] * 5]
     for batch in batches:
         for k in range(0, batch.num_rows, at_once):
             ids, labels, *columns = (c.to_pylist() for c in batch.slice(k, at_once).columns)
@@ -343,43 +341,36 @@ def _summed(batches: Iterator[pa.RecordBatch], classes, names: list[str], most_p
         yield sums()
 
 
-def document_counts(pool: DataFrame) -> DataFrame:
-    """view (0 text, 1 page), key, every: in how many packed documents of pool a feature is, and sums of the measures."""
+def teach(pool: DataFrame, model: QualityModel, sure: float, counts: DataFrame | None = None) -> DataFrame:
+    """What both views learn from all packed documents of pool: view (0 text, 1 page), key, every, good, bad.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed(batches, lambda *views: [(np.ones(len(v.ends), bool),) for v in views], ["every"])
-
-    return pool.mapInArrow(run, "view int, key long, every double").groupBy("view", "key").agg(F.sum("every").alias("every"))
-
-
-def teach(pool: DataFrame, counts: DataFrame, model: QualityModel, sure: float) -> DataFrame:
-    """What both views learn from all packed documents of pool: counts (of document_counts) plus good and bad.
-
-    A document that the text view is sure of counts, by the class it is sure of, for the page view's features, and the
-    other way round. Counts are summed in tasks, then by key.
+    every says in how many documents a feature is, or sums a measure. It comes from the same pass, or from an
+    earlier round's counts (view, key, every). A document that the text view is sure of counts, by the class it is sure of,
+    for the page view's features (good, bad), and the other way round. Counts are summed in tasks, then by key.
     """
     held = pool.sparkSession.sparkContext.broadcast(model)  # bounded by the numbers of features
+    names = ["good", "bad"] if counts is not None else ["every", "good", "bad"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def classes(text: Rows, page: Rows) -> list:
             p = [sigmoid(held.value.page.logit(page)), sigmoid(held.value.text.logit(text))]
-            return [(x >= sure, x <= 1 - sure) for x in p]
+            return [(*[np.ones(len(x), bool)] * (len(names) - 2), x >= sure, x <= 1 - sure) for x in p]
 
-        return _summed(batches, classes, ["good", "bad"])
+        return _summed(batches, classes, names)
 
-    learned = pool.mapInArrow(run, "view int, key long, good double, bad double").groupBy("view", "key")
-    sums = learned.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return counts.join(sums, ["view", "key"], "left").fillna(0.0, ["good", "bad"])
+    learned = pool.mapInArrow(run, "view int, key long, " + ", ".join(f"{n} double" for n in names))
+    sums = learned.groupBy("view", "key").agg(*[F.sum(n).alias(n) for n in names])
+    return sums if counts is None else counts.join(sums, ["view", "key"], "left").fillna(0.0, names)
 
 
-def gather(taught: DataFrame, most: tuple[int, int], least_rows: int, least_chi: float = 10.0) -> tuple[Evidence, Evidence]:
+def gather(taught: DataFrame, most: int, least_rows: int, least_chi: float = 10.0) -> tuple[Evidence, Evidence]:
     """Evidence from what teach() gave (view, key, every, good, bad): the features that part the classes best, up to `most` for each view.
 
     Chi-square of presence, as in choose(); the best are found by a distributed top-k.
     """
     totals = {(r["view"], r["key"]): r for r in taught.where("key < 0").collect()}  # 1 + 2 per measure and view
     out = []
-    for view, (limit, measures) in enumerate(zip(most, (SHAPES, MEASURES), strict=True)):
+    for view, measures in enumerate((SHAPES, MEASURES)):
         docs = totals.get((view, DOCUMENTS))
         if docs is None or not (docs["good"] or docs["bad"]):
             out.append(Evidence.none(measures))
@@ -390,7 +381,7 @@ def gather(taught: DataFrame, most: tuple[int, int], least_rows: int, least_chi:
         n, p, seen = good + bad, good / (good + bad), g + b
         chi = (g - seen * p) ** 2 / F.greatest(seen * p * (1 - p) * (1 - seen / n), F.lit(1e-9))
         best = taught.where((F.col("view") == view) & (F.col("key") >= 0) & (seen >= least_rows)).withColumn("chi", chi)
-        rows = best.where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "key").limit(limit).collect()
+        rows = best.where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "key").limit(most).collect()
         rows.sort(key=lambda r: r["key"])
         bads, goods = (np.array([r[name] for r in rows], float) for name in of)
         odds = np.log((goods + 1) / (good + 2)) - np.log((bads + 1) / (bad + 2))
@@ -403,7 +394,7 @@ def gather(taught: DataFrame, most: tuple[int, int], least_rows: int, least_chi:
 
 def _inputs(id_col: str, text_col: str) -> list[Column]:
     return [
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).cast("string").alias("id"),
         text_or_empty(text_col).alias("text"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
@@ -418,7 +409,7 @@ def train(
     most_labelled: int = 12_000,
     rounds: int = 3,
     sure: float = 0.98,
-    features: int = 4096,
+    features: int = 16_384,
     least_rows: int = 4,
     calibrate_every: int = 4,
     id_col: str = "doc_id",
@@ -432,14 +423,15 @@ def train(
     both views are fitted once more. Labelled documents count by what the views think of them, like any other, so
     that what a view is fitted on and what it scores are alike.
 
-    Only the labelled rows of the fit are bounded: by hash order of the ids, at most most_labelled documents give packed
-    features to the driver. All documents are packed to a table once. A label without quality is left out, one without
+    Two things are bounded. By hash order of the ids, at most most_labelled documents give packed features to the driver. And
+    a view knows at most `features` features, those of highest chi-square, so that a model has a bounded size wherever it is
+    sent; features with a chi-square under 10 are taken for chance and are left out before that. All documents are packed to a table once. A label without quality is left out, one without
     toxic counts as not toxic; of several labels of an id the worst counts, and of several documents of a labelled id the
     least text. Where labels show fewer than two classes, the model gives every document the share of good ones (1
-    without labels).
+    without labels). Ids may be of any type; labels are found by their text. Null ids have no label.
     """
     named = (
-        labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic")
+        labels.select(F.col("doc_id").cast("string").alias("id"), "quality", "toxic")
         .where(F.col("id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("id")
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
@@ -461,10 +453,11 @@ def train(
         return model
     everyone = rows.select("id", F.lit(None).cast("double").alias("label"), *columns)
     pool = keep(everyone.mapInArrow(lambda batches: _pack(batches, 256), _SAMPLE), "quality-pool")
-    counts = keep(document_counts(pool), "quality-counts")
-    added = []
+    added, counts = [], None
     for _ in range(rounds):
-        told_views = gather(keep(teach(pool, counts, model, sure), "quality-taught"), (features, NAMES), least_rows)
+        taught = keep(teach(pool, model, sure, counts), "quality-taught")
+        counts = taught.select("view", "key", "every") if counts is None else counts
+        told_views = gather(taught, features, least_rows)
         added.append(tuple(e.taught for e in told_views))
         model = fit_views(text, page, y, told_views, **how)
     model.added = added

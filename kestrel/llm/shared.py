@@ -110,14 +110,22 @@ def running(df: DataFrame, order: list[Column], sums: list[str], name: str) -> D
     return out.drop(part, *[f"__kestrel_{c}" for c in sums])
 
 
-def dealt(rows: DataFrame, again=None) -> DataFrame:
-    """Rows (lane, sub, ...): those of a lane in one task, in the order of subs. `again` splits lanes into subs first."""
-    out = rows.repartition("lane")
+def dealt(rows: DataFrame, again=None, tasks: int | None = None) -> DataFrame:
+    """Rows (lane, sub, ...): those of a lane in one task, in the order of subs. `again` splits lanes into subs first.
+
+    Lanes go to `tasks` tasks, or to as many as the session shuffles to.
+    """
+    out = rows.repartition(tasks, "lane") if tasks else rows.repartition("lane")
     if again is not None:
         out = out.mapInArrow(again, rows.schema)
     return out.sortWithinPartitions("lane", "sub")
 
 
+def lane_tasks(spark: SparkSession, lanes: int) -> int:
+    """Tasks for so many lanes, a few lanes each: they grow with the lanes whatever the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), lanes // 4)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -49,9 +49,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *, id_col: s
     """
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"), row.alias(ROW)
+        F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"), row.alias(ROW)
     )
-    return rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), f"id long, {ROW} long, fp long")
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle, seed=seed), f"id {kind}, {ROW} long, fp long")
 
 
 def _half(k: int):
@@ -151,7 +152,7 @@ def near_duplicates(
     kept (true for one row of the group, of those with that id).
     Documents of equal fingerprints are linked; texts without words have fingerprint 0 and are linked like any
     other. Shorter texts than a shingle are one shingle. Null ids are passed over for component_id unless the group
-    has no other. Rows may repeat. An empty table gives no rows. Of other columns only ROW is read, and returned, where docs
+    has no other. Ids may be of any type that can be ordered. Rows may repeat. An empty table gives no rows. Of other columns only ROW is read, and returned, where docs
     are numbered.
     """
     marked = keep(fingerprints(docs, shingle, seed, id_col=id_col, text_col=text_col), "simhash")

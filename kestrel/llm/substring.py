@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from kestrel.llm.shared import dealt, keep, running, text_or_empty
+from kestrel.llm.shared import dealt, keep, lane_tasks, running, text_or_empty
 from kestrel.llm.words import Lanes, WordHashes, by_lane, chunks, mix, rows_of, squeeze, unsqueeze
 
 CHUNK_WORDS = 500_000
@@ -254,7 +254,7 @@ def remove_repeats(
 
 def _removed(rows: DataFrame, width: int, lanes: Lanes) -> DataFrame:
     """_OUT of rows (id long, text binary) in which no id has two texts."""
-    several = lanes.subs > 1
+    several, tasks = lanes.subs > 1, lane_tasks(rows.sparkSession, lanes.lanes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _send(batches, width, lanes)
@@ -271,9 +271,9 @@ def _removed(rows: DataFrame, width: int, lanes: Lanes) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _remove(batches, width)
 
-    flags = dealt(rows.mapInArrow(send, _WINDOWS), split_windows if several else None).mapInArrow(own, _ROWS)
+    flags = dealt(rows.mapInArrow(send, _WINDOWS), split_windows if several else None, tasks).mapInArrow(own, _ROWS)
     if several:
-        flags = flags.repartition("lane").mapInArrow(split_flags, _ROWS)
+        flags = flags.repartition(tasks, "lane").mapInArrow(split_flags, _ROWS)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("runs", "int"), ("n", "int"), ("places", "binary"))]
     texts = rows.select(*_doc_columns(lanes), F.lit(1).alias("kind"), *none, "id", "text")
-    return flags.unionByName(texts).repartition("lane").sortWithinPartitions("lane", "sub", "kind").mapInArrow(remove, _OUT)
+    return flags.unionByName(texts).repartition(tasks, "lane").sortWithinPartitions("lane", "sub", "kind").mapInArrow(remove, _OUT)

@@ -80,7 +80,7 @@ def test_a_round_against_brute_force(corpus):
                     for f in set(rows.places.tolist()):
                         learned[view][f][c] += 1
     assert model.added == [tuple(g + b for g, b, _ in taught)] and all(model.added[0])
-    for view, (v, limit) in enumerate(((model.text, 4096), (model.page, quality.NAMES))):
+    for view, (v, limit) in enumerate(((model.text, 16_384), (model.page, 16_384))):
         e = v.evidence
         x, y = (k if taught[view][k] else 2 for k in (0, 1))  # all documents stand for a class without sure ones
         good, bad = taught[view][x], taught[view][y]

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kestrel.llm import chat, exact, sharding
@@ -115,9 +116,33 @@ def test_buckets_decide_copies(made, monkeypatch):
     assert 0 < exact.exact_duplicates(made, capacity=4).count() < len(whole)
 
 
-def test_texts_of_one_hash_value_are_chained(made, monkeypatch):
+def few_keys(norm):
+    return F.shiftleft((F.length(norm) % 3).cast("long"), 62)
+
+
+@pytest.mark.parametrize("hot", [0, 5, 1000])
+def test_texts_of_one_hash_value_are_chained(made, monkeypatch, hot):
     want = Counter(map(tuple, exact.exact_duplicates(made, capacity=4).collect()))
-    monkeypatch.setattr(exact, "hashed", lambda norm: F.shiftleft((F.length(norm) % 3).cast("long"), 62))
-    _, _, index = exact.build_index(made, capacity=4)
+    monkeypatch.setattr(exact, "hashed", few_keys)
+    _, _, index = exact.build_index(made, capacity=4, hot=hot)
     assert max(r["chain"] for r in index.collect()) > 10
-    assert Counter(map(tuple, exact.exact_duplicates(made, capacity=4).collect())) == want
+    assert Counter(map(tuple, exact.exact_duplicates(made, capacity=4, hot=hot).collect())) == want
+
+
+def test_owners_compare_texts(made, monkeypatch):
+    """The key decides nothing: owners that take a key's texts for one give fewer, larger groups."""
+    monkeypatch.setattr(exact, "hashed", few_keys)
+    whole = exact.build_index(made, capacity=4)[2].count()
+    rank = Window.partitionBy("owner", "key").orderBy(F.lit(1))
+    monkeypatch.setattr(exact, "chain_of", lambda: F.dense_rank().over(rank))
+    assert exact.build_index(made, capacity=4)[2].count() == 3 < whole
+
+
+def test_hot_texts_reach_their_owner_combined(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same  text").otherwise(F.col("id").cast("string")).alias("text"))
+    keyed = docs.repartition(40).select(F.col("doc_id").alias("id"), exact.hashed(F.col("text")).alias("key"), F.col("text").alias("norm"))
+    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    got = exact.owned_texts(keyed, keys, 8, 100)
+    assert sorted(r["group_size"] for r in got.collect()) == [1] * 1000 + [2000]
+    assert [r["keep_id"] for r in got.where("group_size > 1").collect()] == [1]
+
