@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.graph import components
@@ -68,11 +68,9 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], batch["text_key"], *arrays], ["id", "row", "text_key", "n", "s1", "s2", "sig"])
 
 
-def _orders(sets: DataFrame, depth: int) -> DataFrame:
-    """(node, n, o, region, parent) of each set in each order: its prefix of `depth` minhashes and the one before."""
-    rows = sets.select("node", "n", F.concat("sig", "sig").alias("sig"), F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("o"))
-    prefix = lambda d: F.xxhash64("o", F.expr(f"substring(sig, o * {2 * STEP} + 1, {2 * d})"))
-    return rows.select("node", "n", "o", prefix(depth).alias("region"), prefix(depth - 1).alias("parent"))
+def _region(depth: int) -> Column:
+    """The region of a set in order o: what its first `depth` minhashes there hash to."""
+    return F.xxhash64("o", F.expr(f"substring(concat(sig, sig), o * {2 * STEP} + 1, {2 * depth})")).alias("region")
 
 
 def regions(sets: DataFrame, region: int, region_shingles: int) -> DataFrame:
@@ -80,24 +78,25 @@ def regions(sets: DataFrame, region: int, region_shingles: int) -> DataFrame:
 
     sets: rows (node, n, sig). In each order, those whose first LEAST_DEPTH minhashes agree make up a region. One of more
     than `region` sets or region_shingles shingles is parted by one minhash more, and so on until its parts are small enough
-    or MOST_DEPTH is reached; there, blocks says in how many blocks it is to be dealt.
+    or MOST_DEPTH is reached; there, blocks says in how many blocks it is to be dealt. Only crowded regions go deeper.
     """
-    closed, crowded = [], None
+    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("o")
+    at = sets.select("node", "n", "sig", orders).select("node", "n", "o", _region(LEAST_DEPTH))
+    closed = []
     for depth in range(LEAST_DEPTH, MOST_DEPTH + 1):
-        at = _orders(sets, depth)
-        if crowded is not None:
-            at = at.join(crowded, "parent", "left_semi")
         sizes = at.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
         need = F.greatest(F.ceil(F.col("docs") / region), F.ceil(F.col("shingles") / region_shingles))
         sizes = keep(sizes.select("region", "docs", F.least(need, "docs").cast("int").alias("blocks")), f"minhash-regions-{depth}")
-        closed.append(at.join(sizes if depth == MOST_DEPTH else sizes.where("blocks = 1"), "region"))
-        crowded = sizes.where("blocks > 1").select(F.col("region").alias("parent"))
+        found = keep(at.join(sizes, "region"), f"minhash-members-{depth}")
+        closed.append(found if depth == MOST_DEPTH else found.where("blocks = 1"))
+        crowded = found.where("blocks > 1")
         if crowded.isEmpty():
             break
+        at = crowded.select("node", "n", "o").join(sets.select("node", "sig"), "node").select("node", "n", "o", _region(depth + 1))
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
-    return keep(out.select("region", "o", "node", "docs", "blocks"), "minhash-members")
+    return out.select("region", "o", "node", "docs", "blocks")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
