@@ -12,13 +12,6 @@ def clean_host(text: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*", 0), r":[0-9]+$", "")
 
 
-def url_host(url: Column) -> Column:
-    """The host of an http or https URL, lower case and without user and port; null for anything else."""
-    authority = F.regexp_extract(F.trim(url), r"(?i)^https?://([^/?#\\]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
-    return F.when((host != "") & ~host.contains(" "), host)
-
-
 def labels(host: Column) -> Column:
     return F.filter(F.split(host, r"\."), lambda x: x != "")
 

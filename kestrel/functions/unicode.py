@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kestrel.dims import confusables
+from kestrel.functions import punycode
 
 GLYPHS = "struct<skeleton:string,mixed:boolean,scripts:array<string>,folds:array<struct<orig:string,canon:string,script:string>>>"
 
@@ -68,12 +69,7 @@ def label_glyphs(label: Column, table: dict[str, str] | None = None) -> Column:
 
 def decode_label(label: str) -> str:
     """A Punycode label as Unicode; the label itself if it isn't valid."""
-    if not label[:4].lower() == "xn--":
-        return label
-    try:
-        return label[4:].encode("ascii").decode("punycode") or label
-    except (UnicodeError, ValueError, OverflowError):
-        return label
+    return label if label[:4].lower() != "xn--" else punycode.decode(label[4:]) or label
 
 
 def decode_host(host: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kestrel import dims
 from kestrel.dims import LEARNED, LURE_WORDS, SUSPICIOUS_TLDS, Brand
 from kestrel.functions import distance, unicode
-from kestrel.functions.hosts import has_non_ascii, similarity
+from kestrel.functions.hosts import has_non_ascii, positions, similarity
 
 
 #: What is known of the nearest brand, as columns near_ord and so on.
@@ -141,12 +141,15 @@ def within_distance(label: Column, host: Column, most: int, brands: list[Brand]
 
 
 def brand_patterns(df: DataFrame, label: str, brands: list[Brand] | None = None) -> DataFrame:
-    """A row for each core of 4 letters or more inside a label: df plus core, start and stop of its first place."""
+    """A row for each place of each core of 4 letters or more in a label, overlapping ones too: df plus core, start and stop.
+
+    For a handful of brands; patterns.find_patterns takes any number.
+    """
     brands = brands if brands is not None else dims.brands()
     found = [F.when(F.col(label).contains(b.core), F.lit(b.core)) for b in brands if len(b.core) >= 4]
     each = df.withColumn("core", F.explode(F.array_compact(F.array(*found))))
-    start = F.expr(f"locate(core, `{label}`)") - 1
-    return each.withColumn("start", start.cast("long")).withColumn("stop", (F.col("start") + F.length("core")).cast("long"))
+    each = each.withColumn("start", F.explode(positions(F.col(label), F.col("core"))))
+    return each.withColumn("start", F.col("start").cast("long")).withColumn("stop", F.col("start") + F.length("core"))
 
 
 def resembling(label: Column, host: Column, brands: list[Brand] | None = None) -> Column:

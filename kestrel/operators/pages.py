@@ -2,42 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions import hosts
+from kestrel.functions import hosts, html, urls
 from kestrel.operators.rules import analyze
 
-HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
-
-
-def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
-
-
-def absolute(href: Column, base: Column) -> Column:
-    """A link as an http or https URL, against its page's; null for other schemes and bare fragments."""
-    scheme = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
-    return (
-        F.when(href.rlike(r"(?i)^https?://"), href)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("#"), None)
-        .otherwise(F.concat(F.regexp_replace(folder, "/$", ""), F.lit("/"), href))
-    )
-
-
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, place, href, url, host, page_host, other): every anchor of pages (page_id, url, html).
 
-    `other` marks links to http(s) hosts other than the page's own. A null page has no anchors.
+    Anchors are those of the markup: none in comments, scripts, styles and templates, attributes read by the rules of HTML. A
+    link is resolved against the page's first <base>, or its URL, and is null if it isn't http or https. `other` marks links to
+    hosts other than the page's own. A null page has no anchors.
     """
-    out = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(hrefs("html")).alias("place", "href"))
-    out = out.withColumn("url", absolute(F.col("href"), F.col("page_url")))
-    out = out.withColumn("host", hosts.url_host(F.col("url"))).withColumn("page_host", hosts.url_host(F.col("page_url")))
+    found = pages.select("page_id", F.col("url").alias("page_url"), html.anchors(F.col("html")).alias("found"))
+    base = F.coalesce(F.when(F.col("found.base").isNotNull(), urls.resolve(F.col("found.base"), F.col("page_url"))), F.col("page_url"))
+    based = found.withColumn("base", base).withColumn("page_host", urls.url_host(F.col("page_url")))
+    out = based.select("page_id", "page_host", "base", F.posexplode("found.hrefs").alias("place", "href"))
+    out = out.withColumn("url", urls.resolve(F.col("href"), F.col("base")))
+    out = out.withColumn("host", urls.url_host(F.col("url")))
     other = F.coalesce(F.col("host") != F.col("page_host"), F.lit(False))
     return out.select("page_id", "place", "href", "url", "host", "page_host", other.alias("other"))
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel import dims
-from kestrel.functions import distance, hosts, unicode
+from kestrel.functions import distance, hosts, unicode, urls
 from kestrel.operators import evaluate as ev
 from kestrel.operators import features as ft
-from kestrel.operators import generate, match, pages, rules, state
+from kestrel.operators import generate, match, pages, patterns, rules, state
 from kestrel.operators.parse import parse_hosts
 from kestrel.plans import verdicts
 from kestrel.plans.inputs import (
@@ -67,19 +65,21 @@ def src2(spark, sf_dir):
     return readers.clean_ranked(t, 100)
 
 
-_URL_HOST = "nullif(lower(regexp_replace(regexp_replace(regexp_extract(trim(url), '^(?i:https?)://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '')"
+#: Page URLs are plain: scheme, host, path. The host is what stands between the slashes and the next mark.
+_URL_HOST = "lower(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1))"
 
 
-@query("SRC3_feed_hosts", f"SELECT DISTINCT regexp_replace({_URL_HOST}, '^www\\.', '') AS host FROM pages WHERE {_URL_HOST} LIKE '%.%'")
+@query("SRC3_feed_hosts", f"SELECT DISTINCT CASE WHEN {_URL_HOST} LIKE 'www.%' THEN substr({_URL_HOST}, 5) ELSE {_URL_HOST} END AS host FROM pages")
 def src3(spark, sf_dir):
     return readers.feed_hosts(table(spark, sf_dir, "pages"))
 
 
-@query("SRC3_unreadable", "SELECT count(*) AS unreadable FROM (SELECT p_name AS url FROM part UNION ALL SELECT url FROM pages) WHERE "
-       f"{_URL_HOST} IS NULL")
+@query("SRC3_unreadable", "SELECT count(*) AS unreadable FROM (SELECT p_name AS url FROM part UNION ALL SELECT url FROM pages UNION ALL SELECT url || ':x' FROM pages) "
+       "WHERE NOT contains(url, '://') OR regexp_matches(url, '^[^/]*//[^/?#]*:x')")
 def src3_unreadable(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("url"))
-    return readers.unreadable(names.unionByName(table(spark, sf_dir, "pages").select("url")))
+    urls_ = table(spark, sf_dir, "pages").select("url")
+    return readers.unreadable(names.unionByName(urls_).unionByName(urls_.select(F.concat("url", F.lit(":x")).alias("url"))))
 
 
 @query("SRC1_one_host", "SELECT 'https://Secure-PayPal.xyz/login' AS input")
@@ -88,8 +88,8 @@ def src1(spark, sf_dir):
 
 
 def _written(spark, name: str, write):
-    """What a sink wrote, in a new folder of the session's own."""
-    path = f"{tempfile.mkdtemp(prefix='kestrel-sink-')}/{name}"
+    """What a sink wrote, in a new folder that driver and executors share."""
+    path = readers.shared_path(spark, name)
     write(path)
     return path
 
@@ -148,17 +148,14 @@ def src7(spark, sf_dir):
     return dims.classify_rules(p.select(F.concat(kind, F.replace("p_name", F.lit(" "), F.lit(".")), F.col("p_partkey").cast("string")).alias("rule")))
 
 
+#: Characters of a path that a URL shows in percent form.
+_PATH_SQL = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x20-\\x7E]') OR contains(' \"<>`{{}}^', c) THEN url_encode(c) ELSE c END), '')"
+
+#: Pages hold plain anchors of absolute paths outside of scripts and comments.
 _LINKS_SQL = f"""WITH a AS (
-  SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS href FROM pages
-), b AS (
-  SELECT page_id, href, page_url, CASE WHEN regexp_matches(href, '^(?i:https?)://') THEN href
-    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN NULL
-    WHEN href LIKE '//%' THEN lower(regexp_extract(page_url, '^([A-Za-z]+):', 1)) || ':' || href
-    WHEN href LIKE '/%' THEN regexp_extract(page_url, '^([A-Za-z]+://[^/?#]*)', 1) || href
-    WHEN href LIKE '#%' THEN NULL
-    ELSE regexp_replace(regexp_extract(page_url, '^([A-Za-z]+://[^/?#]*(?:/[^?#]*/)?)', 1), '/$', '') || '/' || href END AS url FROM a
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages
 )
-SELECT page_id, href, url, {_URL_HOST} AS host, coalesce({_URL_HOST} <> {_URL_HOST.replace('(url)', '(page_url)')}, false) AS other FROM b"""
+SELECT page_id, href, regexp_extract(url, '^[a-z]+://') || {_URL_HOST} || {_PATH_SQL.format('href')} AS url, {_URL_HOST} AS host, false AS other FROM a"""
 
 
 @query("SRC8_page_links", _LINKS_SQL)
@@ -166,9 +163,68 @@ def src8(spark, sf_dir):
     return pages.page_links(table(spark, sf_dir, "pages")).select("page_id", "href", "url", "host", "other")
 
 
+#: Markup put before each page, with one anchor for each number; what they lead to is known by their making.
+_ODD_MARKUP = (
+    "<!-- <a href='/no'> --><script>var s = \"<a href='/no'>\";<!-- <script> </script><a href='/no'> --></script><template><a href='/no'></template>"
+    "<style><a href='/no'></style><base href='/b/c/d?e'><base href='/no'><A class='x>y'\tHREF = '../p?q=1&amp;r=2&copy=3#f'>"
+    "<a href=./x/%2e%2e/y/../z>0</a><a href='?only'><a href=#part><a href=''><a href='\\\\Other.Example\\up\\..\\down'>"
+    "<a href='https://ex%61mple.com:443'><a href='javascript:void(0)'><a href='http://[::FFFF:0:1]:80/'><a href='//0x7f.1/a b'><a name=no>"
+)
+_ODD_LINKS = [
+    "{o}/b/p?q=1&r=2&copy=3#f", "{o}/b/c/z", "{o}/b/c/d?only", "{o}/b/c/d?e#part", "{o}/b/c/d?e", "{s}other.example/down", "https://example.com/", None,
+    "http://[::ffff:0:1]/", "{s}127.0.0.1/a%20b",
+]
+_ODD_SQL = "UNION ALL ".join(
+    f"SELECT page_id, {k}::BIGINT AS place, " + ("NULL" if x is None else "'" + x.replace("{o}", f"' || regexp_extract(url, '^[a-z]+://') || {_URL_HOST} || '").replace("{s}", "' || regexp_extract(url, '^[a-z]+://') || '") + "'")
+    + f" AS url, {str(k in (5, 6, 8, 9)).lower()} AS other FROM pages "
+    for k, x in enumerate(_ODD_LINKS)
+)
+
+
+@query("SRC8_odd_markup", _ODD_SQL)
+def src8_odd(spark, sf_dir):
+    t = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(_ODD_MARKUP), F.replace("html", F.lit("<a "), F.lit("<b "))).alias("html"))
+    return pages.page_links(t).select("page_id", F.col("place").cast("long").alias("place"), "url", "other")
+
+
 @query("SRC10_url_host", f"SELECT page_id, {_URL_HOST} AS host FROM pages")
 def src10(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", hosts.url_host(F.col("url")).alias("host"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_host(F.col("url")).alias("host"))
+
+
+#: Spellings of a URL of host h and number n, and the host that a browser has, as SQL that Spark and DuckDB share.
+_SPELT = {
+    "upper": ("upper(url)", "h"),
+    "backslashes": ("concat('http:', chr(92), chr(92), h, chr(92), 'x')", "h"),
+    "no slashes": ("concat('https:', h)", "h"),
+    "many slashes": ("concat('https:////', h, '//x')", "h"),
+    "spaces and tabs": ("concat('  ht', chr(9), 'tp://', h, chr(10), '/ ')", "h"),
+    "user and port": ("concat('https://u:p@ss@', h, ':8080')", "h"),
+    "port out of range": ("concat('https://', h, ':', cast(65536 + n as varchar(20)))", "null"),
+    "port of letters": ("concat('https://', h, ':8o80')", "null"),
+    "escapes": ("concat('https://', replace(h, 'e', '%65'), '/')", "h"),
+    "bad escapes": ("concat('https://', h, '%2/')", "null"),
+    "wide letters": ("concat('https://', h, '．ｃｏｍ')", "concat(h, '.com')"),
+    "umlaut": ("concat('https://Bücher.', h)", "concat('xn--bcher-kva.', h)"),
+    "punycode": ("concat('https://XN--BCHER-KVA.', h)", "concat('xn--bcher-kva.', h)"),
+    "bad punycode": ("concat('https://xn--a.', h)", "null"),
+    "address as a number": ("concat('http://', cast(n as varchar(20)))", "concat('0.0.', cast(cast(floor(n / 256) as int) as varchar(20)), '.', cast(n % 256 as varchar(20)))"),
+    "address in hexadecimal": ("concat('http://0x7f.0x', hex(n), '/')", "concat('127.0.', cast(cast(floor(n / 256) as int) as varchar(20)), '.', cast(n % 256 as varchar(20)))"),
+    "five numbers": ("concat('http://1.2.3.4.', cast(n as varchar(20)))", "null"),
+    "long address": ("concat('http://[2001:0DB8:0:0::', hex(n), ']:80/')", "concat('[2001:db8::', lower(hex(n)), ']')"),
+    "open bracket": ("concat('http://[::', hex(n), '/')", "null"),
+    "forbidden mark": ("concat('http://', h, '|x/')", "null"),
+    "mail": ("concat('mailto:', h)", "null"),
+    "no scheme": ("h", "null"),
+}
+
+
+@query("SRC10_spelt_hosts", "WITH p AS (SELECT page_id, url, 1 + page_id % 60000 AS n, " + _URL_HOST + " AS h FROM pages) "
+       + " UNION ALL ".join(f"SELECT page_id, '{k}' AS spelling, {want.replace('null', 'NULL::VARCHAR')} AS host FROM p" for k, (_, want) in _SPELT.items()))
+def src10_spelt(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("1 + page_id % 60000").alias("n"), F.lower(F.regexp_extract("url", "//([^/?#]*)", 1)).alias("h"))
+    made = F.array(*[F.struct(F.lit(k).alias("spelling"), F.expr(sql).alias("url")) for k, (sql, _) in _SPELT.items()])
+    return p.select("page_id", F.inline(made)).select("page_id", "spelling", urls.url_host(F.col("url")).alias("host"))
 
 
 @query("SNK5_actions", f"WITH {NAVIGATION_SQL} SELECT event_id, CASE level WHEN 'dangerous' THEN 'block' WHEN 'suspicious' THEN 'warn_bar' ELSE 'none' END "
@@ -197,12 +253,7 @@ def p2(spark, sf_dir):
 @query("P3_punycode")
 def p3(spark, sf_dir):
     h = derived_hosts(spark, sf_dir).select("host").distinct()
-
-    @F.pandas_udf("string")
-    def to_ascii(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: ".".join(p if p.isascii() else "xn--" + p.encode("punycode").decode() for p in x.split(".")))
-
-    return h.withColumn("ascii", to_ascii("host")).withColumn("decoded", unicode.decode_host(F.col("ascii")))
+    return h.withColumn("ascii", urls.to_ascii(F.col("host"))).withColumn("decoded", unicode.decode_host(F.col("ascii")))
 
 
 @query("P4_suffix", f"WITH {ALL_SQL} SELECT host, suffix, sld, subdomains FROM parsed")
@@ -364,9 +415,23 @@ def m10(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", places.cast("array<long>").alias("places"))
 
 
-@query("M11_patterns", f"WITH {ALL_SQL} SELECT host, core, instr(sld, core) - 1 AS start, instr(sld, core) - 1 + length(core) AS stop FROM parsed, brands WHERE length(core) >= 4 AND contains(sld, core)")
+@query("M11_patterns", f"""WITH {ALL_SQL}, t AS (SELECT host, sld || '-' || sld AS label FROM parsed), c AS (SELECT host, label, unnest(range(1, length(label) + 1)) AS k FROM t)
+SELECT host, core, k - 1 AS start, k - 1 + length(core) AS stop FROM c, brands WHERE length(core) >= 4 AND substr(label, k, length(core)) = core""")
 def m11(spark, sf_dir):
-    return match.brand_patterns(parsed(spark, sf_dir), "sld").select("host", "core", "start", "stop")
+    twice = parsed(spark, sf_dir).withColumn("label", F.concat_ws("-", "sld", "sld"))
+    return match.brand_patterns(twice, "label").select("host", "core", "start", "stop")
+
+
+_PIECES_SQL = "substr(p_name, 1 + p_partkey % 5, 4 + p_partkey % 2)"
+
+
+@query("M11_many_patterns", f"""WITH p AS (SELECT DISTINCT {_PIECES_SQL} AS pattern FROM part), k AS (SELECT DISTINCT length(pattern) AS m FROM p),
+c AS (SELECT doc_id, text, m, unnest(range(1, length(text) - m + 2)) AS i FROM documents, k)
+SELECT doc_id, pattern, i - 1 AS start, i - 1 + m AS stop FROM c JOIN p ON substr(text, i, m) = pattern""")
+def m11_many(spark, sf_dir):
+    """Pieces of all part names in all documents."""
+    pieces = table(spark, sf_dir, "part").select(F.expr(_PIECES_SQL).alias("pattern"))
+    return patterns.find_patterns(table(spark, sf_dir, "documents"), pieces, id_col="doc_id", text_col="text")
 
 
 def _first_sql(test: str, extra: str = "") -> str:

@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel import dims
-from kestrel.functions import hosts
+from kestrel.functions import urls
+
+
+_own: dict[str, str] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster it is an error.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _own:
+            _own[key] = "file://" + tempfile.mkdtemp(prefix="kestrel-")
+        told = _own[key]
+    return f"{told.rstrip('/')}/kestrel-engine/{name}-{uuid.uuid4().hex}"
 
 
 def one(spark: SparkSession, host: str) -> DataFrame:
@@ -26,14 +48,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("host")).where("host <> ''")
 
 
-def feed_hosts(urls: DataFrame, column: str = "url") -> DataFrame:
-    """(host): different hosts of a URL feed, without a leading www., that have a dot."""
-    host = F.regexp_replace(hosts.url_host(F.col(column)), r"^www\.", "")
-    return urls.select(host.alias("host")).where(F.col("host").contains(".")).distinct()
+def feed_hosts(feed: DataFrame, column: str = "url") -> DataFrame:
+    """(host): different hosts of a URL feed, of any scheme, without a leading www., that have a dot."""
+    host = F.regexp_replace(urls.url_hostname(F.trim(column)), r"^www\.", "")
+    return feed.select(F.lower(host).alias("host")).where(F.col("host").contains(".")).distinct()
 
 
-def unreadable(urls: DataFrame, column: str = "url") -> DataFrame:
-    return urls.agg(F.count_if(hosts.url_host(F.col(column)).isNull()).alias("unreadable"))
+def unreadable(feed: DataFrame, column: str = "url") -> DataFrame:
+    """How many lines of a feed, empty ones left out, aren't URLs."""
+    url = F.trim(column)
+    return feed.where(url != "").agg(F.count_if(urls.url_hostname(url).isNull()).alias("unreadable"))
 
 
 def permutations(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +145,9 @@ def upsert_state(new: DataFrame, path: str, keys: list[str], buckets: int = 64,
     touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most `buckets`
     old, version = read_state(spark, path, touched)
     if old is not None:
-        rows = old.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+        mine = rows.select(*[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)])
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)]  # a null key is a key
+        rows = old.join(mine, same, "left_anti").unionByName(rows)
     rows.withColumn("v", F.lit(version + 1)).write.mode("append").partitionBy("bucket", "v").parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for bucket in touched:

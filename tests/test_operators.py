@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel import dims
-from kestrel.functions import hosts, unicode
+from kestrel.functions import hosts, unicode, urls
 from kestrel.operators import evaluate, features, generate, pages, rules, state
 from kestrel.operators.parse import parse_hosts
 from kestrel.sources import readers
@@ -27,8 +27,8 @@ def test_suffixes(spark, host, sld, suffix, registrable):
 
 def test_host_functions(spark):
     assert one(spark, hosts.clean_host(F.lit("HTTPS://WWW.PayPal.com:443/a?b#c"))) == "www.paypal.com"
-    assert one(spark, hosts.url_host(F.lit("http://u:p@Ex.com:80/x"))) == "ex.com"
-    assert one(spark, hosts.url_host(F.lit("ftp://ex.com"))) is None
+    assert one(spark, urls.url_host(F.lit("http://u:p@Ex.com:80/x"))) == "ex.com"
+    assert one(spark, urls.url_host(F.lit("ftp://ex.com"))) is None
     assert one(spark, hosts.positions(F.lit("aaaa"), F.lit("aa"))) == [0, 1, 2]
     assert one(spark, hosts.positions(F.lit("aaaa"), F.lit(""))) == []
     assert one(spark, hosts.escape_html(F.lit("<a href='x'>&\"</a>"))) == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;&lt;/a&gt;"
