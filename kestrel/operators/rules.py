@@ -23,14 +23,14 @@ def _signal(when: Column, label: str, detail: Column, weight: Column) -> Column:
     return F.when(when, F.struct(F.lit(label).alias("label"), detail.alias("detail"), weight.cast("double").alias("weight")))
 
 
-def judge(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None) -> DataFrame:
+def judge(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None, of=None) -> DataFrame:
     """Matched hosts plus impersonated (a brand's place), attached (whether only by a disguise), signals, score and level.
 
     Tests of the label are tried in a fixed order, and the first whose outer condition holds ends the search, even
-    when it then lacks corroboration. Weights are added in the order of the signals.
+    when it then lacks corroboration. Weights are added in the order of the signals. `of` looks up a brand's field by its place.
     """
-    brands = brands if brands is not None else dims.brands()
-    of, core, name, domain = picker(brands, learned), "core", "name", "domain"
+    of = of or picker(brands if brands is not None else dims.brands(), learned)
+    core, name, domain = "core", "name", "domain"
     lured = F.size("lures") > 0
     bad_tld, hidden = F.col("tld_suspicious"), F.col("homoglyph")
     free = F.col("official").isNull()
@@ -120,10 +120,10 @@ def judge(df: DataFrame, brands: list[Brand] | None = None, learned: str | None
     )
 
 
-def verdicts(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None) -> DataFrame:
+def verdicts(df: DataFrame, brands: list[Brand] | None = None, learned: str | None = None, of=None) -> DataFrame:
     """Judged hosts plus brand (core), similarity, distance and trace, in the verdict's columns."""
-    brands = brands if brands is not None else dims.brands()
-    core = picker(brands, learned)("impersonated", "core")
+    of = of or picker(brands if brands is not None else dims.brands(), learned)
+    core = of("impersonated", "core")
     shown = settle(df, brand=core, __core=F.when(~F.col("is_official"), core))
     shown = shown.withColumn("__a", distance.align(F.col("skeleton"), F.col("__core")))
     none = F.array().cast(distance.OPS)

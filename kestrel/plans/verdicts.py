@@ -9,9 +9,9 @@ from kestrel import dims
 from kestrel.functions import distance
 from kestrel.operators import evaluate as ev
 from kestrel.operators import features as ft
-from kestrel.operators import match, pages, rules
+from kestrel.operators import brandtable, match, pages, rules
 from kestrel.operators.parse import parse_hosts
-from kestrel.plans.inputs import BAD_TLDS_SQL, HOSTS_SQL, LURES_SQL, PARSED_SQL, brands_sql, derived_hosts
+from kestrel.plans.inputs import BAD_TLDS_SQL, HOSTS_SQL, LURES_SQL, PARSED_SQL, brands_sql, derived_hosts, table
 
 #: Sites that a user visits, as brands that were learned.
 LEARNED = [dims.Brand(s, s, d, dims.LEARNED) for s, d in (("blue-anvil", "blue-anvil.com"), ("example", "example.com"), ("small-widget", "small-widget.org"))]
@@ -264,6 +264,58 @@ def r15(spark, sf_dir):
     return analysed(spark, sf_dir, LEARNED).select("host", "level", "score", "brand", F.col("ops").cast("long").alias("ops"))
 
 
+@query("R15_brand_table", f"{VERDICT_SQL} SELECT host, level, score, brand, array_to_string(list_transform(signals, lambda s: s.label), '|') AS labels FROM judged")
+def r15_table(spark, sf_dir):
+    """The listed brands as a table that is joined."""
+    hosts_ = derived_hosts(spark, sf_dir).select("host").distinct()
+    out = brandtable.score_with_table(hosts_, brandtable.brand_table(spark, dims.brands()), "host")
+    return out.select("host", "level", "score", "brand", F.array_join(F.transform("signals", lambda s: s["label"]), "|").alias("labels"))
+
+
+#: A brand for every customer: syllables that spell its number, of which some are a part of others.
+_SYLLABLES = "'ba', 'ko', 'mi', 'ne', 'ru', 'sa', 'te', 'vo', 'zi', 'lu'"
+_MADE_SQL = f"""made AS (
+  SELECT k::INT AS ord, list_reduce(list_transform(string_split(k::VARCHAR, ''), lambda d: [{_SYLLABLES}][d::INT + 1]), lambda a, b: a || b) || 'ly' AS core
+  FROM (SELECT DISTINCT c_custkey AS k FROM customer)
+)"""
+_TOUCH_SQL = f"""WITH {_MADE_SQL}, h AS (
+  SELECT ord, core || '.com' AS host, core AS sld, [] AS subs FROM made UNION ALL SELECT ord, core || '-x' || ord || '.net', core || '-x' || ord, [] FROM made WHERE ord % 2 = 0
+  UNION ALL SELECT ord, 'my' || core || '.org', 'my' || core, [] FROM made WHERE ord % 3 = 0 UNION ALL SELECT ord, core || 's.x' || ord || '.dev', 'x' || ord, [core || 's'] FROM made WHERE ord % 5 = 0
+), t AS (
+  SELECT host, 'exact_core' AS kind, m.ord, 0 AS size FROM h JOIN made m ON m.core = h.sld UNION ALL SELECT host, 'skeleton_core', m.ord, 0 FROM h JOIN made m ON m.core = h.sld
+  UNION ALL SELECT host, 'official', m.ord, 0 FROM h JOIN made m ON m.core || '.com' = host
+  UNION ALL SELECT host, 'token', m.ord, 0 FROM h JOIN made m ON list_contains(string_split(h.sld, '-'), m.core) AND m.core <> h.sld
+  UNION ALL SELECT host, 'embedded', m.ord, -length(m.core) FROM h JOIN made m ON contains(h.sld, m.core)
+  UNION ALL SELECT host, 'in_subdomain', m.ord, 0 FROM h JOIN made m ON contains(array_to_string(h.subs, ' '), m.core)
+)
+SELECT host, kind, arg_min(ord, (size, ord)) AS ord FROM t GROUP BY host, kind"""
+
+
+def made_brands(spark, sf_dir):
+    """As many brands as customers, in the columns of brandtable.SCHEMA."""
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).distinct()
+    spelt = F.expr(f"array_join(transform(filter(split(cast(k as string), ''), d -> d <> ''), d -> array({_SYLLABLES})[cast(d as int)]), '')")
+    k = k.select(F.col("k").cast("int").alias("ord"), F.concat(spelt, F.lit("ly")).alias("core"))
+    domain = F.concat("core", F.lit(".com"))
+    return k.select("ord", F.col("core").alias("name"), "core", domain.alias("domain"), F.lit("Shopping").alias("category"), F.lit(False).alias("owns_name"), F.array(domain).alias("official"))
+
+
+@query("M15_brand_touches", _TOUCH_SQL)
+def m15_touches(spark, sf_dir):
+    """Hosts made of all customers' brands against all of these brands."""
+    brands = made_brands(spark, sf_dir)
+    core, k = F.col("core"), F.col("ord").cast("string")
+    made = F.array_compact(F.array(
+        F.concat(core, F.lit(".com")),
+        F.when(F.col("ord") % 2 == 0, F.concat(core, F.lit("-x"), k, F.lit(".net"))),
+        F.when(F.col("ord") % 3 == 0, F.concat(F.lit("my"), core, F.lit(".org"))),
+        F.when(F.col("ord") % 5 == 0, F.concat(core, F.lit("s.x"), k, F.lit(".dev"))),
+    ))
+    hosts_ = brands.select(F.explode(made).alias("host")).distinct()
+    labels = parse_hosts(hosts_, "host").withColumn("skeleton", F.lower("sld")).withColumn("sub_skeletons", F.col("subdomains"))
+    return brandtable.touches(labels, brands)
+
+
 @query("R16_levels", f"{VERDICT_SQL} SELECT family, level, count(*) AS n FROM (SELECT host, family FROM hosts) h JOIN (SELECT host, level FROM judged) j ON h.host = j.host GROUP BY family, level")
 def r16(spark, sf_dir):
     out = rules.analyze(derived_hosts(spark, sf_dir), "host")

@@ -31,6 +31,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{told.rstrip('/')}/kestrel-engine/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that what reads it several times doesn't work it out again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def one(spark: SparkSession, host: str) -> DataFrame:
     return spark.createDataFrame([(host,)], "input string")
 
