@@ -227,11 +227,21 @@ def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return least.select(*keys, "__x.*").select(*df.columns)
 
 
-def signal_tally(verdicts: DataFrame) -> DataFrame:
-    """How many verdicts carry each first signal, with and without a brand."""
-    return verdicts.groupBy(F.get("signals", F.lit(0))["label"].alias("label")).agg(
+def signal_tally(verdicts: DataFrame, examples: int = 25) -> DataFrame:
+    """How many verdicts carry each first signal, with and without a brand, and the first hosts without one as examples.
+
+    Examples are `examples` different hosts at most, in order, with their level. The first of each task are found before the shuffle, so a
+    label that most verdicts carry is no burden.
+    """
+    label = F.get("signals", F.lit(0))["label"].alias("label")
+    counts = verdicts.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("brand").isNotNull()).alias("pinned"), F.count_if(F.col("brand").isNull()).alias("unpinned")
     )
+    free = verdicts.where(F.col("brand").isNull()).select(label, F.concat("host", F.lit(" ["), "level", F.lit("]")).alias("example")).distinct()
+    first = free.withColumn("__k", F.row_number().over(Window.partitionBy("label").orderBy("example"))).where(F.col("__k") <= examples)
+    some = first.groupBy(F.col("label").alias("__label")).agg(F.sort_array(F.collect_list("example")).alias("examples"))
+    joined = counts.join(some, F.col("label").eqNullSafe(F.col("__label")), "left").drop("__label")
+    return joined.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def complexity(spark: SparkSession, brand_length: int = 14) -> DataFrame:
@@ -269,6 +279,26 @@ def ablation(df: DataFrame, names: list[str], sets: dict[str, list[str]], k: int
     return out
 
 
+def overfitting(df: DataFrame, names: list[str], k: int = 5, rounds: int = 300, grid: list[float] | None = None) -> DataFrame:
+    """(threshold, resubstitution_f1, out_of_fold_f1, gap) of df (with y and fold): how much better a model is on rows that it was fitted on.
+
+    The threshold is that of the best F1 of out-of-fold probabilities. The models of the folds and that of all rows are fitted in the
+    same passes.
+    """
+    from kestrel.operators.features import probability, train_models
+
+    fits, _ = train_models(df, names, leave_out="fold", groups=[*range(k), None], rounds=rounds)
+    mine = F.coalesce(*[F.when(F.col("fold") == f, probability(*fits[f])) for f in range(k)])
+    scored = df.select("y", F.round(mine, 9).alias("out"), F.round(probability(*fits[k]), 9).alias("all"))
+    at = best_threshold(sweep(scored, "out", F.col("y") == 1, grid or threshold_grid(0.05, 0.95))).select(F.col("t").alias("threshold"))
+    held = scored.join(F.broadcast(at))  # one row
+    f1 = lambda c: 2 * F.count_if((F.col("y") == 1) & (F.col(c) >= F.col("threshold"))) / (
+        F.count_if(F.col("y") == 1) + F.count_if(F.col(c) >= F.col("threshold"))
+    )
+    out = held.groupBy("threshold").agg(f1("all").alias("resubstitution_f1"), f1("out").alias("out_of_fold_f1"))
+    return out.withColumn("gap", F.col("resubstitution_f1") - F.col("out_of_fold_f1"))
+
+
 def leave_one_out(
     df: DataFrame, names: list[str], group: str = "brand", threshold: float | None = None, rounds: int = 400
 ) -> DataFrame:

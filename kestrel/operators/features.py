@@ -155,10 +155,17 @@ def standardiser(df: DataFrame, names: list[str]) -> list[tuple[str, float, floa
 
 #: So many partial sums go straight to the driver; those of more tasks are added up first.
 FEW_TASKS = 256
+#: Numbers of different rows that a fit takes to the driver, to go through its rounds there; larger tables stay where they are.
+LOCAL_VALUES = 4_000_000
+
+
+def _values(batch) -> tuple[np.ndarray, ...]:
+    x = batch.column(0).combine_chunks() if isinstance(batch, pa.Table) else batch.column(0)
+    return (x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), *(batch.column(k).to_numpy() for k in (1, 2, 3)))
 
 
 def summed(rows: DataFrame, values, shape: tuple[int, int], tasks: int) -> np.ndarray:
-    """Sums over rows (x array, y, group) of what values(x, y, group) gives for each batch: an array of that shape.
+    """Sums over rows (x array, y, group, times) of what values(x, y, group, times) gives for each batch: an array of that shape.
 
     Batches are summed in their tasks, which are `tasks` in number, then by place in the array, whose size the models fix.
     """
@@ -167,8 +174,7 @@ def summed(rows: DataFrame, values, shape: tuple[int, int], tasks: int) -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            total += values(x, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            total += values(*_values(batch))
         if few:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
         else:
@@ -204,8 +210,9 @@ def train_models(
     """Class-weighted logistic regressions by full-batch gradient descent, all models in the same passes over the rows.
 
     Model k leaves out rows whose column leave_out is groups[k] (None: no row) and uses the features used[k] (by default
-    all). Each standardises on its own rows, which weigh n / (2 * rows of their class). A round is one aggregation over
-    the cached table for all models; only sums of the models' size reach the driver. Null features count as 0.
+    all). Each standardises on its own rows, which weigh n / (2 * rows of their class). Equal rows are counted and go as one. Where the
+    different ones are few (LOCAL_VALUES numbers in all), they are taken to the driver once, and rounds are array products there; else a round is one
+    aggregation over the cached table for all models, and only sums of the models' size reach the driver. Null features count as 0.
 
     Returns, of each model, its table (feature, mean, deviation, weight) and bias, and with a grid of thresholds the
     one that gives each model's best F1 on its own rows, the first of equals.
@@ -217,16 +224,19 @@ def train_models(
     place = F.array_position(F.array(*map(F.lit, known)), F.col(leave_out).cast("string")) - 1 if leave_out else F.lit(-1)
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
     rows = df.select(x.alias("x"), F.col(label).cast("double").alias("y"), F.coalesce(place, F.lit(-1)).cast("int").alias("g"))
+    rows = rows.groupBy("x", "y", "g").agg(F.count(F.lit(1)).cast("double").alias("times"))
     rows = rows.hint("rebalance").cache()  # as few balanced tasks as the size asks for: each round is a job
     mask = np.array([[c in (u if used else names) for c in names] for u in (used or [names] * n_models)], float)
-    own = lambda g: (g[:, None] != which).astype(float)
+    own = lambda g, times: (g[:, None] != which) * times[:, None]
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -700, 700)))
 
-    tasks = rows.rdd.getNumPartitions()
-    first = summed(rows, lambda x, y, g: np.column_stack([own(g).T @ x, own(g).sum(0), own(g).T @ y]), (n_models, n + 2), tasks)
+    held = _values(rows.toArrow()) if 0 < rows.count() * (n + 3) <= LOCAL_VALUES else None
+    tasks = rows.rdd.getNumPartitions() if held is None else 0
+    sums = lambda values, shape: summed(rows, values, shape, tasks) if held is None else values(*held)
+    first = sums(lambda x, y, g, c: np.column_stack([own(g, c).T @ x, own(g, c).sum(0), own(g, c).T @ y]), (n_models, n + 2))
     total, positive = first[:, n], first[:, n + 1]
     mean = first[:, :n] / np.maximum(total, 1)[:, None]
-    squares = summed(rows, lambda x, y, g: np.stack([own(g)[:, k] @ (x - mean[k]) ** 2 for k in range(n_models)]), (n_models, n), tasks)
+    squares = sums(lambda x, y, g, c: np.stack([own(g, c)[:, k] @ (x - mean[k]) ** 2 for k in range(n_models)]), (n_models, n))
     std = np.sqrt(squares / np.maximum(total, 1)[:, None])
     std[std == 0] = 1.0
     heavy, light = total / (2 * np.maximum(positive, 1)), total / (2 * np.maximum(total - positive, 1))
@@ -236,13 +246,13 @@ def train_models(
     def logits(x: np.ndarray) -> np.ndarray:
         return x @ (w / std).T + (b - (w * mean / std).sum(1))
 
-    def gradient(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> np.ndarray:
-        error = (sigmoid(logits(x)) - y[:, None]) * np.where(y[:, None] > 0, heavy, light) * own(g)
+    def gradient(x: np.ndarray, y: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+        error = (sigmoid(logits(x)) - y[:, None]) * np.where(y[:, None] > 0, heavy, light) * own(g, c)
         return np.column_stack([error.T @ x, error.sum(0)])
 
     both = (positive > 0) & (positive < total)
     for _ in range(rounds if both.any() else 0):
-        found = summed(rows, gradient, (n_models, n + 1), tasks)
+        found = sums(gradient, (n_models, n + 1))
         slope = (found[:, :n] - mean * found[:, n:]) / std / weight[:, None]
         w = (w - rate * (slope + penalty * w)) * mask * both[:, None]
         b = (b - rate * found[:, n] / weight) * both
@@ -250,12 +260,12 @@ def train_models(
     if grid is not None:
         steps = np.array(grid)
 
-        def reached(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> np.ndarray:
-            p, mine = sigmoid(logits(x)), own(g) > 0
-            hits = [[((p[:, k] >= t) & mine[:, k] & (y == c)).sum() for c in (1, 0) for t in steps] for k in range(n_models)]
+        def reached(x: np.ndarray, y: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+            p, mine = sigmoid(logits(x)), own(g, c)
+            hits = [[((p[:, k] >= t) & (y == good)) @ mine[:, k] for good in (1, 0) for t in steps] for k in range(n_models)]
             return np.array(hits, float)
 
-        hits = summed(rows, reached, (n_models, 2 * len(steps)), tasks)
+        hits = sums(reached, (n_models, 2 * len(steps)))
         tp, fp = hits[:, : len(steps)], hits[:, len(steps) :]
         best = steps[(2 * tp / np.maximum(positive[:, None] + tp + fp, 1)).argmax(1)]
     rows.unpersist()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +158,25 @@ def verdicts(df: DataFrame, brands: list[Brand] | None = None, learned: str | No
     )
 
 
+# What a level is called, and its colour.
+TITLES = {"safe": ("Looks Safe", "#34d399"), "suspicious": ("Suspicious", "#f59e0b"), "dangerous": ("Likely Phishing", "#f43f5e")}
+
+
+def display(verdicts: DataFrame, most: int = 3) -> DataFrame:
+    """What people are shown of verdicts: host, level, score, title, color, reasons, distance, similarity, ops.
+
+    reasons are the first `most` signals as structs of label, detail and points (their weight in hundredths); distance has two decimals,
+    similarity is a whole percentage, ops have separators of thousands. The distance of a host that is like no brand is null.
+    """
+    reason = lambda s: F.struct(s["label"].alias("label"), s["detail"].alias("detail"), round_half_up(s["weight"] * 100).cast("int").alias("points"))
+    named = [F.create_map(*[F.lit(x) for level, shown in TITLES.items() for x in (level, shown[k])])[F.col("level")] for k in (0, 1)]
+    near = F.when(F.col("distance") < float("inf"), F.format_number("distance", 2))
+    return verdicts.select(
+        "host", "level", "score", named[0].alias("title"), named[1].alias("color"), F.transform(F.slice("signals", 1, most), reason).alias("reasons"),
+        near.alias("distance"), F.concat(round_half_up(F.col("similarity") * 100).cast("string"), F.lit("%")).alias("similarity"), F.format_number("ops", 0).alias("ops"),
+    )
+
+
 def score_hosts(
     inputs: DataFrame,
     column: str = "input",
@@ -186,6 +208,40 @@ def analyze(
     return df.join(packed, F.col(column).eqNullSafe(F.col("__input")), "left").drop("__input")
 
 
+def fingerprint(brands: list[Brand] | None = None, version: str = "1") -> str:
+    """What verdicts depend on besides the host: brands, word lists, thresholds of the rules, as a digest."""
+    told = (version, brands if brands is not None else dims.brands(), dims.LURE_WORDS, dims.SUSPICIOUS_TLDS, sorted(dims.confusables().items()))
+    return hashlib.sha256(repr(told).encode()).hexdigest()[:16]
+
+
+def analyze_new(df: DataFrame, path: str, column: str = "input", extra_brands: list[Brand] | None = None) -> DataFrame:
+    """analyze, with verdicts kept in a table under path: only inputs that the table doesn't know are scored, and added to it.
+
+    The table holds a verdict for each input under the fingerprint of brands and rules, so others start anew. New inputs are
+    found by an anti join on the input and are appended in one write; two runs at once may score an input twice, which
+    gives equal rows, of which one is read. Null inputs are kept like any other.
+    """
+    spark = df.sparkSession
+    at = f"{path}/rules={fingerprint(dims.brands() + list(extra_brands or []))}"
+    inputs = df.select(F.col(column).alias("__input")).distinct()
+    known = _read_or_none(spark, at)
+    if known is not None:
+        inputs = inputs.join(known.select(F.col("__input").alias("__known")), F.col("__input").eqNullSafe(F.col("__known")), "left_anti")
+    scored = score_hosts(inputs, "__input", extra_brands).select("__input", F.struct(*VERDICT).alias("verdict"))
+    scored.write.mode("append").parquet(at)
+    every = spark.read.schema(scored.schema).parquet(at).dropDuplicates(["__input"])
+    return df.join(every, F.col(column).eqNullSafe(F.col("__input")), "left").drop("__input")
+
+
+def _read_or_none(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def register(spark) -> None:
     """SQL functions skeleton(text) and weighted_distance(a, b)."""
     folds = dims.confusables()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,65 @@ def remembered(visited: DataFrame, most: int = MOST_SITES) -> DataFrame:
     return visited.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
 
 
+class Sites:
+    """The sites that a device keeps: registrable -> [sld, count], in the order in which they came."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.kept = most, {}
+
+    def visit(self, registrable: str, sld: str) -> None:
+        """One visit more; then, if there are too many sites, the oldest of the least visited goes, be it the new one."""
+        site = self.kept.setdefault(registrable, [sld, 0])
+        site[0], site[1] = sld, min(MOST_VISITS, site[1] + 1)
+        if len(self.kept) > self.most:
+            del self.kept[min(self.kept, key=lambda r: self.kept[r][1])]
+
+
+def _forgetful(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (device, registrable, sld) in order of device and time: the sites that each device has kept in the end."""
+    out, now, sites = [], None, Sites(most)
+
+    def rows() -> pa.RecordBatch:
+        names = ["device", "registrable", "sld", "count"]
+        kinds = [device, pa.string(), pa.string(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(4)], names)
+
+    device = None
+    for batch in batches:
+        device = batch.schema.field("device").type
+        for who, registrable, sld in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if who != now:
+                out += [(now, r, *v) for r, v in sites.kept.items()]
+                now, sites = who, Sites(most)
+                if len(out) > 50_000:
+                    yield rows()
+                    out = []
+            sites.visit(registrable, sld)
+    if device is not None:
+        out += [(now, r, *v) for r, v in sites.kept.items()]
+        yield rows()
+
+
+def kept_sites(events: DataFrame, most: int = MOST_SITES) -> DataFrame:
+    """(device, registrable, sld, count): the sites that each device keeps of its visits, forgetting as it goes.
+
+    Visits are those of visits(), in the order of time. A device that has never had over `most` sites has forgotten none: its counts
+    are sums. The visits of others are gone through one by one in their order, on which it depends what they keep; of a device, one task
+    holds `most` sites and reads visits as they come.
+    """
+    kept = events.where((F.col("kind") == "complete") & (F.col("level") == "safe") & (F.length("sld") >= 4) & F.col("device").isNotNull())
+    sums = kept.groupBy("device", "registrable").agg(
+        F.max_by("sld", F.struct("ts", "event_id")).alias("sld"), F.least(F.count(F.lit(1)), F.lit(MOST_VISITS)).cast("int").alias("count")
+    )
+    sizes = sums.groupBy("device").agg(F.count(F.lit(1)).alias("__sites"))
+    full = sizes.where(F.col("__sites") > most).select("device")
+    few = sums.join(full, "device", "left_anti")
+    ordered = kept.join(full, "device", "left_semi").repartition("device").sortWithinPartitions("device", "ts", "event_id")
+    kind = dict(events.dtypes)["device"]
+    many = ordered.select("device", "registrable", "sld").mapInArrow(partial(_forgetful, most=most), f"device {kind}, registrable string, sld string, count int")
+    return few.unionByName(many)
+
+
 def trusted(visited: DataFrame, least: int = 3) -> DataFrame:
     return visited.where((F.col("count") >= least) & (F.length("sld") >= 4))
 
@@ -110,11 +173,27 @@ def badge(latched: Column, level: Column) -> Column:
     return F.when(latched | (level == "dangerous"), "!").when(level == "suspicious", "?").otherwise("")
 
 
-def rescans(changes: DataFrame, quiet: str = "600 milliseconds") -> DataFrame:
-    """(device, started, ended, changes): bursts of page changes, each rescanned once after a quiet time."""
-    return changes.groupBy("device", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("changes")).select(
-        "device", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "changes"
-    )
+def rescans(changes: DataFrame, quiet: str = "600 milliseconds", spans: int | None = None) -> DataFrame:
+    """(device, started, ended, changes): bursts of page changes, each rescanned once after a quiet time.
+
+    A change begins a burst if the one before is at least `quiet` earlier. Devices are cut into spans of time: each span is told the last
+    change and the number of bursts before it, so no task orders all changes of a busy device. Changes without a time are left out.
+    """
+    wait = F.expr(f"interval {quiet}")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = in_ranges(changes.where(F.col("ts").isNotNull()).withColumn("__at", at), "__at", spans).drop("__at").select("device", "part", "ts")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("device", "part")]
+    earlier = Window.partitionBy("device").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per span
+    ends = rows.groupBy("device", "part").agg(F.max("ts").alias("__end")).withColumn("__before", F.max("__end").over(earlier))
+    told = rows.alias("a").join(ends.alias("b"), same).select("a.*", "b.__before")
+    inside = Window.partitionBy("device", "part").orderBy("ts")
+    begins = F.coalesce(F.col("ts") >= F.coalesce(F.lag("ts").over(inside), F.col("__before")) + wait, F.lit(True)).cast("long")
+    counted = told.withColumn("__new", begins)
+    news = counted.groupBy("device", "part").agg(F.sum("__new").alias("__news")).withColumn("__nth", F.coalesce(F.sum("__news").over(earlier), F.lit(0)))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.alias("a").join(news.alias("b"), same).select("a.*", "b.__nth")
+    burst = placed.withColumn("__burst", F.col("__nth") + F.sum("__new").over(upto)).groupBy("device", "__burst")
+    return burst.agg(F.min("ts").alias("started"), (F.max("ts") + wait).alias("ended"), F.count(F.lit(1)).alias("changes")).drop("__burst")
 
 
 def enabled_only(events: DataFrame, settings: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel import dims
-from kestrel.functions import distance, hosts, unicode, urls
+from kestrel.functions import distance, hosts, tables, unicode, urls
 from kestrel.operators import evaluate as ev
 from kestrel.operators import features as ft
 from kestrel.operators import generate, match, pages, patterns, rules, state
@@ -28,7 +28,9 @@ from kestrel.plans.inputs import (
     scored_hosts,
     table,
 )
+from kestrel.sources import navigation as sources
 from kestrel.sources import readers
+from kestrel.streaming import navigation as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +229,45 @@ def src10_spelt(spark, sf_dir):
     return p.select("page_id", F.inline(made)).select("page_id", "spelling", urls.url_host(F.col("url")).alias("host"))
 
 
+def navigation_log(spark, sf_dir) -> DataFrame:
+    """Navigation events in the columns of the navigation source."""
+    n = navigation(spark, sf_dir)
+    url = F.concat(F.lit("https://"), "host", F.lit("/"))
+    return n.select("device", "tab", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "kind", url.alias("url"))
+
+
+@query("SRC9_events", f"WITH {NAVIGATION_SQL} SELECT device, tab, event_id, epoch_us(ts) AS us, kind, 'https://' || host || '/' AS url FROM nav")
+def src9(spark, sf_dir):
+    """Events written as logs of JSON lines and read through the source."""
+    path = _written(spark, "events", lambda path: navigation_log(spark, sf_dir).write.json(path))
+    sources.register(spark)
+    return spark.read.format("navigation").load(path).withColumn("us", F.unix_micros("ts")).drop("ts")
+
+
+@query("SRC8_sql_links", _LINKS_SQL)
+def src8_sql(spark, sf_dir):
+    """Links by the table function, in SQL text."""
+    tables.register(spark)
+    return spark.sql("SELECT page_id, l.href, l.url, l.host, l.other FROM {pages}, LATERAL page_links(url, html) AS l", pages=table(spark, sf_dir, "pages"))
+
+
+@query("R13_sql_signals", f"{verdicts.VERDICT_SQL}, u AS (SELECT host, unnest(signals) AS s FROM judged) SELECT host, s.label, round(s.weight, 6) AS weight FROM u")
+def r13_sql(spark, sf_dir):
+    """Signals by the table function, in SQL text."""
+    tables.register(spark)
+    judged = verdicts.analysed(spark, sf_dir).select("host", "signals")
+    return spark.sql("SELECT host, s.label, round(s.weight, 6) AS weight FROM {v} v, LATERAL verdict_signals(v.signals) AS s", v=judged)
+
+
+@query("T6_sql_runs", f"WITH {NAVIGATION_SQL}, b AS (SELECT *, lag(host) OVER (PARTITION BY device ORDER BY ts, event_id) AS last FROM nav WHERE kind = 'block') "
+       "SELECT device, event_id, host, (row_number() OVER (PARTITION BY device ORDER BY ts, event_id))::INT AS run FROM b WHERE last IS DISTINCT FROM host")
+def t6_sql(spark, sf_dir):
+    """Runs of blocked hosts by the table function over a partitioned table, in SQL text."""
+    tables.register(spark)
+    blocks = navigation(spark, sf_dir).where("kind = 'block'").select("device", "event_id", "ts", "host")
+    return spark.sql("SELECT device, event_id, host, run FROM first_visits(TABLE(SELECT * FROM {b}) PARTITION BY device ORDER BY (ts, event_id))", b=blocks)
+
+
 @query("SNK5_actions", f"WITH {NAVIGATION_SQL} SELECT event_id, CASE level WHEN 'dangerous' THEN 'block' WHEN 'suspicious' THEN 'warn_bar' ELSE 'none' END "
        "AS action, CASE level WHEN 'dangerous' THEN 'danger' WHEN 'suspicious' THEN 'warn' END AS flag FROM nav")
 def snk5(spark, sf_dir):
@@ -320,13 +361,25 @@ def p11(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hosts.valid_candidate(s).alias("valid"))
 
 
-@query("P12_display", f"WITH {SCORED_SQL} SELECT id, family, floor(score * 100 + 0.5)::BIGINT AS percent, "
+@query("P12_percent", f"WITH {SCORED_SQL} SELECT id, family, floor(score * 100 + 0.5)::BIGINT AS percent, "
        "CASE WHEN score >= 0.65 THEN 'dangerous' WHEN score >= 0.3 THEN 'suspicious' ELSE 'safe' END AS level FROM scored")
 def p12(spark, sf_dir):
     s = scored_hosts(spark, sf_dir)
     return s.select("id", "family", hosts.round_half_up(F.col("score") * 100).alias("percent"), hosts.level_of(F.col("score") * 100).alias("level"))
 
 
+@query("P12_display", f"""{verdicts.VERDICT_SQL}, shown AS (
+  SELECT host, level, score, CASE level WHEN 'safe' THEN 'Looks Safe' WHEN 'suspicious' THEN 'Suspicious' ELSE 'Likely Phishing' END AS title,
+    CASE level WHEN 'safe' THEN '#34d399' WHEN 'suspicious' THEN '#f59e0b' ELSE '#f43f5e' END AS color,
+    list_transform(signals[1:3], lambda s: s.label || ': ' || s.detail || CASE WHEN s.weight > 0 THEN ' +' || floor(s.weight * 100 + 0.5)::INT ELSE '' END) AS reasons FROM judged
+)
+SELECT s.host, s.level, s.score, title, color, reasons, floor(v.similarity * 100 + 0.5)::BIGINT || '%' AS similarity FROM shown s JOIN verdicts v ON v.host = s.host""")
+def p12_display(spark, sf_dir):
+    shown = rules.display(verdicts.analysed(spark, sf_dir))
+    reasons = F.transform("reasons", lambda r: F.concat(r["label"], F.lit(": "), r["detail"], F.when(r["points"] > 0, F.concat(F.lit(" +"), r["points"].cast("string"))).otherwise("")))
+    return shown.select("host", "level", "score", "title", "color", reasons.alias("reasons"), "similarity")
+
+
 # ---- Unicode -------------------------------------------------------------------------------------------------------
 
 
@@ -335,6 +388,17 @@ def u1(spark, sf_dir):
     return derived_hosts(spark, sf_dir).select("id", "family", unicode.skeleton(F.col("host")).alias("skeleton"))
 
 
+@query("U7_chains", """WITH RECURSIVE e AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey * 13 + 7) % (SELECT max(c_custkey) FROM customer) END AS next FROM customer),
+t AS (SELECT node, coalesce(next, node) AS target, 1 AS step FROM e UNION ALL SELECT t.node, e.next, step + 1 FROM t JOIN e ON e.node = t.target WHERE step < 13 AND e.next IS NOT NULL AND e.next <> t.target)
+SELECT node, arg_max(target, step) AS target FROM t GROUP BY node""")
+def u7_chains(spark, sf_dir):
+    """Customers that point on to customers, up to 13 steps, cycles among them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    most = c.agg(F.max("node").alias("most"))
+    following = F.when(F.expr("node % 5 > 0"), (F.col("node") * 13 + 7) % F.col("most"))
+    return readers.follow(c.join(F.broadcast(most)).select("node", following.alias("target")), 13)
+
+
 @query("U3_scripts", f"WITH {HOSTS_SQL}, g AS (SELECT id, family, unnest(string_split(host, '')) AS c FROM hosts) SELECT family, CASE WHEN ord(c) BETWEEN 1024 AND 1279 THEN 'Cyrillic' "
        "WHEN ord(c) BETWEEN 880 AND 1023 THEN 'Greek' WHEN ord(c) BETWEEN 65280 AND 65519 THEN 'Full-width' WHEN ord(c) > 127 THEN 'Unicode' ELSE 'Latin' END AS script, "
        "count(*) AS n FROM g WHERE c <> '' GROUP BY ALL")
@@ -563,7 +627,7 @@ def _made_sql() -> str:
 
     return f"""{_LIKES_SQL}, p AS (
   SELECT *, {draw(n, 'neighbour')} AS slip, {draw(n, 'delete')} AS gone, {draw(n, 'double')} AS twice, {draw(f'({n} - 1)', 'swap')} AS sw, {draw(n, 'glyph')} AS g0, {draw(2, 'glyphs')} + 2 AS several,
-    list_filter(range(0, {n}), lambda k: contains('{generate.DIGITS[0]}', substr(core, k::INT + 1, 1))) AS digits FROM b
+    list_filter(range(0, {n}), lambda k: contains('{generate.digits()[0]}', substr(core, k::INT + 1, 1))) AS digits FROM b
 ), q AS (SELECT *, {beside(_AT('core', 'slip'))} AS keys FROM p
 ), g1 AS (SELECT *, {change('core', 'g0', 'glyph')} AS one, {change('core', f'((g0 + 1) % {n})', 'glyph0')} AS m1 FROM q
 ), g2 AS (SELECT *, {change('m1', f'((g0 + 3) % {n})', 'glyph1')} AS m2 FROM g1
@@ -575,8 +639,8 @@ def _made_sql() -> str:
   UNION ALL SELECT core, tld, 'typo', CASE WHEN {n} > 4 THEN {_PUT('core', 'gone', _Q(''))} END FROM q
   UNION ALL SELECT core, tld, 'typo', {_PUT('core', 'twice', _AT('core', 'twice') + ' || ' + _AT('core', 'twice'))} FROM q
   UNION ALL SELECT core, tld, 'typo', CASE WHEN {_AT('core', 'sw')} <> {_AT('core', 'sw + 1')} THEN {_PUT('core', 'sw', _AT('core', 'sw + 1') + ' || ' + _AT('core', 'sw'), 2)} END FROM q
-  UNION ALL SELECT core, tld, 'digit-swap', CASE WHEN len(digits) > 0 THEN {_PUT('core', f"digits[{draw('greatest(len(digits), 1)', 'digit')} + 1]", f"translate({_AT('core', 'digits[' + draw('greatest(len(digits), 1)', 'digit') + ' + 1]')}, '{generate.DIGITS[0]}', '{generate.DIGITS[1]}')")} END FROM q
-  UNION ALL SELECT core, tld, 'digit-swap', CASE WHEN len(digits) > 0 THEN translate(core, '{generate.DIGITS[0]}', '{generate.DIGITS[1]}') END FROM q
+  UNION ALL SELECT core, tld, 'digit-swap', CASE WHEN len(digits) > 0 THEN {_PUT('core', f"digits[{draw('greatest(len(digits), 1)', 'digit')} + 1]", f"translate({_AT('core', 'digits[' + draw('greatest(len(digits), 1)', 'digit') + ' + 1]')}, '{generate.digits()[0]}', '{generate.digits()[1]}')")} END FROM q
+  UNION ALL SELECT core, tld, 'digit-swap', CASE WHEN len(digits) > 0 THEN translate(core, '{generate.digits()[0]}', '{generate.digits()[1]}') END FROM q
 )"""
 
 
@@ -609,7 +673,7 @@ def _pick_sql(values: list[str], *key: str) -> str:
 _MAKE_SQL = f"""WITH {BRANDS_SQL}, b AS (SELECT core, substr(domain, instr(domain, '.') + 1) AS tld FROM brands WHERE length(core) >= 4)"""
 
 
-@query("G4_digit_swap_all", f"{_MAKE_SQL} SELECT translate(core, 'olieasgbtz', '0113459872') || '.' || tld AS domain, core AS brand FROM b WHERE regexp_matches(core, '[olieasgbtz]')")
+@query("G4_digit_swap_all", f"{_MAKE_SQL} SELECT translate(core, '{generate.digits()[0]}', '{generate.digits()[1]}') || '.' || tld AS domain, core AS brand FROM b WHERE regexp_matches(core, '[{generate.digits()[0]}]')")
 def g4(spark, sf_dir):
     rows = spark.createDataFrame([(b.core, b.domain.partition(".")[2]) for b in CORES], "brand string, tld string")
     made = rows.select(generate.digit_swap(F.col("brand"))["all"].alias("d"), "tld", "brand").where("d is not null")
@@ -622,8 +686,8 @@ def g5(spark, sf_dir):
     return generate.lookalikes(spark).where("family = 'combosquat'").select("domain", "brand")
 
 
-@query("G6_tld_swap", f"{_MAKE_SQL}, d AS (SELECT *, {_draw_sql(10, 'core', chr(39) + 'tld' + chr(39), chr(39) * 2)} AS k, {generate.TLDS} AS l FROM b) "
-       "SELECT core || '.' || CASE WHEN l[k + 1] = tld THEN l[(k + 1) % 10 + 1] ELSE l[k + 1] END AS domain, core AS brand FROM d")
+@query("G6_tld_swap", f"{_MAKE_SQL}, d AS (SELECT *, {_draw_sql(len(generate.TLDS), 'core', chr(39) + 'tld' + chr(39), chr(39) * 2)} AS k, {generate.TLDS} AS l FROM b) "
+       "SELECT core || '.' || CASE WHEN l[k + 1] = tld THEN l[(k + 1) % len(l) + 1] ELSE l[k + 1] END AS domain, core AS brand FROM d")
 def g6(spark, sf_dir):
     return generate.lookalikes(spark).where("family = 'tld-swap'").select("domain", "brand")
 
@@ -857,6 +921,14 @@ def t8(spark, sf_dir):
     return latched.select("event_id", "latched", state.badge(F.col("latched"), F.col("level")).alias("badge"))
 
 
+@query("T8_histories", f"{'WITH ' if not _LATCH_SQL.startswith('WITH') else ''}{_LATCH_SQL} SELECT event_id, latched, count(*) FILTER (kind = 'complete') OVER w AS scanned, count(*) FILTER (kind = 'block') OVER w AS blocked FROM l "
+       "WINDOW w AS (PARTITION BY device ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def t8_histories(spark, sf_dir):
+    """Latches and counters after every event, by the stateful processor over the table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return streams.device_histories(navigation(spark, sf_dir)).select("event_id", "latched", "scanned", "blocked")
+
+
 @query("T9_enabled", f"WITH {NAVIGATION_SQL} SELECT device, count(*) AS n FROM nav WHERE device % 3 <> 0 GROUP BY device")
 def t9(spark, sf_dir):
     n = navigation(spark, sf_dir)
@@ -877,6 +949,30 @@ def t10(spark, sf_dir):
     return state.rescans(n.unionByName(again[0]).unionByName(again[1]))
 
 
+#: The site that a visit of an event goes to, of 40 by its number, so that devices with room for 5 forget some.
+_SITE = "event_id * 7919 % 40"
+
+
+@query("T2_forgotten", f"""WITH RECURSIVE {NAVIGATION_SQL}, v AS (
+  SELECT device, 'site' || ({_SITE}) || '.com' AS site, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) AS n FROM nav WHERE kind = 'complete' AND level = 'safe'
+), s AS (
+  SELECT DISTINCT device, 0::BIGINT AS n, []::STRUCT(site VARCHAR, c INT)[] AS kept FROM v
+  UNION ALL
+  SELECT device, n, CASE WHEN len(l) > 5 THEN list_filter(l, lambda x, i: i <> list_position(list_transform(l, lambda y: y.c), list_min(list_transform(l, lambda y: y.c)))) ELSE l END
+  FROM (SELECT s.device, v.n, CASE WHEN list_contains(list_transform(kept, lambda x: x.site), v.site)
+    THEN list_transform(kept, lambda x: {{'site': x.site, 'c': CASE WHEN x.site = v.site THEN least(x.c + 1, 999) ELSE x.c END}})
+    ELSE list_append(kept, {{'site': v.site, 'c': 1}}) END AS l FROM s JOIN v ON v.device = s.device AND v.n = s.n + 1)
+), f AS (
+  SELECT device, arg_max(kept, n) AS kept FROM s GROUP BY device
+), u AS (SELECT device, unnest(kept) AS x FROM f)
+SELECT device, x.site AS registrable, x.c AS count FROM u""")
+def t2_forgotten(spark, sf_dir):
+    """Devices that keep 5 sites forget the oldest of the least visited, visit by visit."""
+    site = F.concat(F.lit("site"), F.expr(_SITE).cast("string"))
+    n = navigation(spark, sf_dir).withColumn("sld", site).withColumn("registrable", F.concat(site, F.lit(".com")))
+    return state.kept_sites(n, most=5).select("device", "registrable", "count")
+
+
 @query("T11_scanned_once", f"WITH {NAVIGATION_SQL} SELECT DISTINCT device, host FROM nav")
 def t11(spark, sf_dir):
     return navigation(spark, sf_dir).select("device", "host").dropDuplicates()

@@ -11,6 +11,7 @@ from kestrel.operators import evaluate as ev
 from kestrel.operators import features as ft
 from kestrel.operators import brandtable, match, pages, rules
 from kestrel.operators.parse import parse_hosts
+from kestrel.sources import readers
 from kestrel.plans.inputs import BAD_TLDS_SQL, HOSTS_SQL, LURES_SQL, PARSED_SQL, brands_sql, derived_hosts, table
 
 #: Sites that a user visits, as brands that were learned.
@@ -322,8 +323,18 @@ def r16(spark, sf_dir):
     return out.groupBy("family", F.col("verdict.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A10_signal_tally", f"{VERDICT_SQL} SELECT signals[1].label AS label, count(*) AS n, count(brand) AS pinned, count(*) - count(brand) AS unpinned "
-       "FROM (SELECT host FROM hosts WHERE family IN ('benign', 'page')) h JOIN (SELECT host, signals, brand FROM judged) j ON h.host = j.host GROUP BY 1")
+@query("R16_kept_verdicts", f"{VERDICT_SQL} SELECT id, family, h.host, level, score FROM hosts h JOIN (SELECT host, level, score FROM judged) j ON h.host = j.host WHERE id % 2 = 0")
+def r16_kept(spark, sf_dir):
+    """Hosts of even numbers, after those divisible by 3 were scored in an earlier run: only the rest of them is scored."""
+    path = readers.shared_path(spark, "kept-verdicts")
+    h = derived_hosts(spark, sf_dir)
+    rules.analyze_new(h.where("id % 3 = 0"), path, "host")
+    out = rules.analyze_new(h.where("id % 2 = 0"), path, "host")
+    return out.select("id", "family", "host", F.col("verdict.level").alias("level"), F.col("verdict.score").alias("score"))
+
+
+@query("A10_signal_tally", f"{VERDICT_SQL} SELECT signals[1].label AS label, count(*) AS n, count(brand) AS pinned, count(*) - count(brand) AS unpinned, "
+       "list_sort(coalesce(list_distinct(list(h.host || ' [' || level || ']') FILTER (brand IS NULL)), []))[1:25] AS examples FROM (SELECT host FROM hosts WHERE family IN ('benign', 'page')) h JOIN (SELECT host, signals, brand, level FROM judged) j ON h.host = j.host GROUP BY 1")
 def a10(spark, sf_dir):
     return ev.signal_tally(rules.analyze(derived_hosts(spark, sf_dir).where("family in ('benign', 'page')"), "host").select("verdict.*"))
 
@@ -509,6 +520,22 @@ def a9(spark, sf_dir):
     return ev.ablation(folded(spark, sf_dir), ft.NAMES, {"all": ft.NAMES, "base": BASE}, 5, rounds=300)
 
 
+_GRID = [round(0.05 + 0.01 * k, 2) for k in range(91)]
+
+
+@query("A9_gap", f"""{_LABELLED_SQL}, {_FOLDS_SQL}, {_fit_sql("member AS (SELECT m::INT AS m, x, y FROM folded_hosts, range(6) t(m) WHERE fold <> m)", 300)}, scored_all AS (
+  SELECT y, round({_p_sql()}, 9) AS p, m FROM folded_hosts h JOIN fitted f ON h.fold = f.m OR f.m = 5
+), f1 AS (
+  SELECT t, m, 2.0 * count(*) FILTER (y = 1 AND p >= t) / (count(*) FILTER (y = 1) + count(*) FILTER (p >= t)) AS f1
+  FROM (SELECT y, p, CASE WHEN m = 5 THEN 'all' ELSE 'out' END AS m FROM scored_all), (SELECT unnest({_GRID}) AS t) GROUP BY t, m
+), best AS (SELECT t FROM f1 WHERE m = 'out' ORDER BY f1 DESC, t LIMIT 1)
+SELECT round(t, 6) AS threshold, round(max(f1) FILTER (m = 'all'), 6) AS resubstitution_f1, round(max(f1) FILTER (m = 'out'), 6) AS out_of_fold_f1,
+  round(max(f1) FILTER (m = 'all') - max(f1) FILTER (m = 'out'), 6) AS gap FROM f1 WHERE t = (SELECT t FROM best) GROUP BY t""")
+def a9_gap(spark, sf_dir):
+    out = ev.overfitting(folded(spark, sf_dir), ft.NAMES, 5, rounds=300, grid=_GRID)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("threshold", "resubstitution_f1", "out_of_fold_f1", "gap")])
+
+
 @query("F10_models_compared", f"{MODEL_SQL}, {_LABELLED_SQL[len(FEATURES_SQL) + 2:]}, {_fit_sql('member AS (SELECT 0 AS m, x, y FROM data)', 300)}, fresh AS (SELECT host, brand, y, {_p_sql()} AS q FROM data, fitted) "
        "SELECT brand, count(*) FILTER (p >= 0.94) AS old_hits, count(*) FILTER (q >= 0.5) AS new_hits, count(*) AS n FROM (SELECT host, p FROM ranked) r JOIN (SELECT host AS h2, brand, q, y FROM fresh) f ON r.host = f.h2 WHERE y = 1 GROUP BY brand")
 def f10(spark, sf_dir):

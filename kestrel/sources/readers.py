@@ -105,15 +105,34 @@ def read_confusables(spark: SparkSession, path: str, rounds: int = 12) -> DataFr
     return chase(parts.select(spelt(0).alias("ch"), spelt(1).alias("target")), rounds)
 
 
+def follow(table: DataFrame, steps: int) -> DataFrame:
+    """(node, target): where each node of table (node, target) comes to in up to `steps` steps.
+
+    A step replaces a node by its target; one without a row or with a null target stays. Steps are doubled: tables of 1, 2, 4, ... steps
+    are joined for the bits of `steps`, so joins grow with its logarithm. In a cycle, the place after just that many steps counts. Of
+    rows that repeat a node the least target counts.
+    """
+    once = table.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("target").alias("target"))
+    once = stored(once.select("node", F.coalesce("target", "node").alias("target")), "chain")
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        on = second.select(F.col("node").alias("__node"), F.col("target").alias("__target"))
+        return first.join(on, F.col("target") == F.col("__node"), "left").select("node", F.coalesce("__target", "target").alias("target"))
+
+    out, power, left = None, once, steps
+    while left:
+        if left & 1:
+            out = power if out is None else then(out, power)
+        left >>= 1
+        if left:
+            power = stored(then(power, power), "chain")
+    return out if out is not None else once.select("node", F.col("node").alias("target"))
+
+
 def chase(table: DataFrame, rounds: int = 12) -> DataFrame:
-    """(ch, target) with targets replaced by their own targets, step by step; each step is one lookup in the table."""
-    table = table.where(F.length("ch") == 1).dropDuplicates(["ch"])
-    step = F.broadcast(table.select(F.col("ch").alias("__ch"), F.col("target").alias("__next")))  # a few thousand rows
-    for _ in range(rounds):
-        table = table.join(step, (F.col("target") == F.col("__ch")) & (F.col("__next") != F.col("ch")), "left").select(
-            "ch", F.coalesce("__next", "target").alias("target")
-        )
-    final = table.select("ch", F.lower("target").alias("target"))
+    """(ch, target) with targets replaced by their own targets, `rounds` times at most, that are one ASCII letter or digit."""
+    ends = follow(table.where(F.length("ch") == 1).select(F.col("ch").alias("node"), "target"), rounds + 1)
+    final = ends.select(F.col("node").alias("ch"), F.lower("target").alias("target"))
     return final.where(F.col("target").rlike("^[a-z0-9]$") & (F.col("target") != F.lower("ch")))
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from kestrel.operators.rules import score_hosts
 from kestrel.operators.state import MOST_RECENT, MOST_SITES, MOST_VISITS, learned, remembered, visits
@@ -99,6 +100,81 @@ def device_states(events: DataFrame) -> DataFrame:
     )
 
 
+class Device(StatefulProcessor):
+    """One device's sites, threats, latches and counters, each in a state of its own.
+
+    Sites are a map, so a visit rewrites one entry; threats a list of MOST_RECENT at most; latches a map by tab. Sites that no visit has touched
+    for the time to live of the state, where one is given, are forgotten.
+    """
+
+    def __init__(self, most_sites: int = MOST_SITES, site_days: int | None = None) -> None:
+        self.most_sites, self.ttl = most_sites, site_days and site_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sites = handle.getMapState("sites", "registrable string", "sld string, n int, came long", ttlDurationMs=self.ttl)
+        self.recent = handle.getListState("recent", "host string")
+        self.latched = handle.getMapState("latched", "tab int", "yes boolean")
+        self.sums = handle.getValueState("sums", "scanned long, blocked long, came long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 - the names are Spark's
+        scanned, blocked, came = self.sums.get() if self.sums.exists() else (0, 0, 0)
+        visited = {r[0]: tuple(v) for r, v in self.sites.iterator()}
+        recent = [h for (h,) in self.recent.get()] if self.recent.exists() else []
+        tabs = {t for (t,), _ in self.latched.iterator()}
+        out, touched = [], set()
+        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            if e.kind == "block":
+                tabs.add(int(e.tab))
+                blocked += 1
+                if not recent or recent[0] != e.host:
+                    recent = [e.host, *recent][:MOST_RECENT]
+            elif e.kind == "loading":
+                tabs.discard(int(e.tab))
+            elif e.kind == "complete":
+                scanned += 1
+                if e.level == "safe" and len(e.sld) >= 4:
+                    came += 1
+                    _, n, since = visited.get(e.registrable, (e.sld, 0, came))
+                    visited[e.registrable] = (e.sld, min(MOST_VISITS, n + 1), since)
+                    touched.add(e.registrable)
+                    if len(visited) > self.most_sites:  # the oldest of the least visited goes
+                        gone = min(visited, key=lambda r: visited[r][1:])
+                        del visited[gone]
+                        touched.add(gone)
+            trusted = sum(n >= 3 for _, n, _ in visited.values())
+            out.append((key[0], e.event_id, int(e.tab) in tabs, len(visited), trusted, list(recent), scanned, blocked))
+        for site in touched:
+            if site in visited:
+                self.sites.updateValue((site,), visited[site])
+            elif self.sites.containsKey((site,)):
+                self.sites.removeKey((site,))
+        known = {t for (t,), _ in self.latched.iterator()}
+        for tab in tabs - known:
+            self.latched.updateValue((tab,), (True,))
+        for tab in known - tabs:
+            self.latched.removeKey((tab,))
+        if recent:
+            self.recent.put([(h,) for h in recent])
+        self.sums.update((scanned, blocked, came))
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+_COLUMNS = ["device", "event_id", "latched", "visits", "trusted", "recent", "scanned", "blocked"]
+
+
+def device_histories(events: DataFrame, most_sites: int = MOST_SITES, site_days: int | None = None) -> DataFrame:
+    """device_states with states of their own for sites, threats and latches, so a batch rewrites what it touches only.
+
+    For streams, whose state store must be RocksDB (spark.sql.streaming.stateStore.providerClass), and for tables, which are one batch. A
+    device keeps most_sites sites by the rule of state.Sites. Null devices are one device.
+    """
+    _ = events.sparkSession.streams.active  # the coordinator of state stores, which tables need too, starts with the first look at streams
+    return events.groupBy("device").transformWithStateInPandas(Device(most_sites, site_days), _OUT, "Append", "ProcessingTime" if site_days else "None")
+
+
 def rescan_windows(changes: DataFrame, quiet: str = "600 milliseconds", late: str = "10 minutes") -> DataFrame:
     """Bursts of page changes by session windows; changes later than the watermark are dropped."""
     return (
