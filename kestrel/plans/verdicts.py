@@ -499,9 +499,21 @@ def s3(spark, sf_dir):
     return out.select("host", "fold", F.round("probability", 6).alias("probability"))
 
 
-@query("S4_leave_one_out")
+#: Thresholds as the operator steps through them.
+_STEPS = ev.threshold_grid(0.05, 0.95)
+
+
+@query("S4_leave_one_out", f"""{_LABELLED_SQL}, held AS (SELECT DISTINCT brand AS g FROM data WHERE y = 1),
+{_fit_sql("member AS (SELECT g AS m, x, y FROM data, held WHERE brand IS DISTINCT FROM g)", 400)}, own AS (
+  SELECT f.m, y, {_p_sql()} AS p FROM data d JOIN fitted f ON d.brand IS DISTINCT FROM f.m
+), f1 AS (
+  SELECT m, t, 2.0 * count(*) FILTER (y = 1 AND p >= t) / (count(*) FILTER (y = 1) + count(*) FILTER (p >= t)) AS f1 FROM own, (SELECT unnest({_STEPS}) AS t) GROUP BY m, t
+), warn AS (SELECT m, t AS warn FROM f1 QUALIFY row_number() OVER (PARTITION BY m ORDER BY f1 DESC, t) = 1)
+SELECT brand, round(warn, 6) AS warn, count(*) AS n, round(avg(CASE WHEN {_p_sql()} >= warn THEN 1.0 ELSE 0.0 END), 6) AS recall
+FROM data d JOIN fitted f ON d.brand = f.m JOIN warn w ON w.m = f.m WHERE y = 1 GROUP BY brand, warn""")
 def s4(spark, sf_dir):
-    return ev.leave_one_out(labelled(spark, sf_dir), ft.NAMES, "brand", rounds=400)
+    out = ev.leave_one_out(labelled(spark, sf_dir), ft.NAMES, "brand", rounds=400)
+    return out.select("brand", F.round("warn", 6).alias("warn"), "n", F.round("recall", 6).alias("recall"))
 
 
 def _auc_sql(table_: str) -> str:
