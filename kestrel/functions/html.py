@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is text, up to their own end tag. Scripts of pages run, so noscript is one of them.
 RAW_TEXT = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes", "noscript", "textarea", "title"))
-SPACE = "\t\n\f\r "
+#: Elements that anchors of a page depend on.
+SHOWN = frozenset(("a", "base", "template"))
 
-TAG_NAME = re.compile(r"[^\t\n\f\r />]*")
 BETWEEN = re.compile(r"[\t\n\f\r /]*")
 SPACES = re.compile(r"[\t\n\f\r ]*")
 NAME = re.compile(r"=?[^\t\n\f\r />=]*")
@@ -98,42 +98,49 @@ def _after_raw(html: str, at: int, name: str) -> int:
     return found.start() if found else len(html)
 
 
-def tags(html: str) -> Iterator[tuple[str, bool, dict[str, str]]]:
-    """(name, whether it is an end tag, attributes as spelt) of the tags of a page, in order.
+NEXT_TAG = re.compile(r"<(?:(!--)|(?=[!?]|/[^A-Za-z])|(/?)([A-Za-z][^\t\n\f\r />]*))")
+
+
+def tags(html: str, wanted: frozenset[str]) -> Iterator[tuple[str, bool, dict[str, str]]]:
+    """(name, whether it is an end tag, attributes as spelt) of the tags of a page that have one of the wanted names, in order.
 
     What stands in comments, declarations, scripts, styles and other raw text is no tag, nor is a tag that the page ends in.
     """
-    at = html.find("<")
-    while at >= 0:
-        if html.startswith("<!--", at):
-            if html.startswith(">", at + 4) or html.startswith("->", at + 4):
+    at = 0
+    while found := NEXT_TAG.search(html, at):
+        at = found.end()
+        if found[1]:
+            if html.startswith(">", at) or html.startswith("->", at):
                 at = html.index(">", at) + 1
             else:
-                end = COMMENT_END.search(html, at + 4)
+                end = COMMENT_END.search(html, at)
                 at = end.end() if end else len(html)
-        elif re.match(r"<(?:[!?]|/[^A-Za-z])", html[at : at + 3]):
+            continue
+        if found[3] is None:
             at = html.find(">", at) + 1 or len(html)
-        elif found := re.match(r"<(/?)(?=[A-Za-z])", html[at : at + 3]):
-            name = TAG_NAME.match(html, at + len(found[0]))
-            read = _attributes(html, name.end())
+            continue
+        kind, ends, close = found[3].lower(), bool(found[2]), html.find(">", at)
+        if close < 0:
+            return
+        if kind not in wanted and html.find('"', at, close) < 0 and html.find("'", at, close) < 0:
+            at = close + 1  # without quotes a tag ends at the next >
+        else:
+            read = _attributes(html, at)
             if read is None:
                 return
             attributes, at = read
-            kind = name[0].lower()
-            yield kind, bool(found[1]), attributes
-            if not found[1] and kind == "plaintext":
-                return
-            if not found[1] and kind in RAW_TEXT:
-                at = _after_raw(html, at, kind)
-        else:
-            at += 1
-        at = html.find("<", at)
+            if kind in wanted:
+                yield kind, ends, attributes
+        if not ends and kind == "plaintext":
+            return
+        if not ends and kind in RAW_TEXT:
+            at = _after_raw(html, at, kind)
 
 
 def page_anchors(html: str) -> tuple[str | None, list[str]]:
     """The href of a page's first base element that has one, and those of its anchors in order; templates aren't shown."""
     base, out, hidden = None, [], 0
-    for name, ends, attributes in tags(html):
+    for name, ends, attributes in tags(html, SHOWN):
         if name == "template":
             hidden = max(0, hidden + (-1 if ends else 1))
         elif not ends and not hidden and "href" in attributes:

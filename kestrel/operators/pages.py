@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import hosts, html, urls
+from kestrel.operators.match import settle
 from kestrel.operators.rules import analyze
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -15,12 +16,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     link is resolved against the page's first <base>, or its URL, and is null if it isn't http or https. `other` marks links to
     hosts other than the page's own. A null page has no anchors.
     """
-    found = pages.select("page_id", F.col("url").alias("page_url"), html.anchors(F.col("html")).alias("found"))
+    # settled, so that a page goes through the tokenizer once, whatever reads of it
+    found = settle(pages.select("page_id", F.col("url").alias("page_url"), "html"), found=html.anchors(F.col("html"))).drop("html")
     base = F.coalesce(F.when(F.col("found.base").isNotNull(), urls.resolve(F.col("found.base"), F.col("page_url"))), F.col("page_url"))
-    based = found.withColumn("base", base).withColumn("page_host", urls.url_host(F.col("page_url")))
+    based = settle(found, base=base, page_host=urls.url_host(F.col("page_url")))
     out = based.select("page_id", "page_host", "base", F.posexplode("found.hrefs").alias("place", "href"))
-    out = out.withColumn("url", urls.resolve(F.col("href"), F.col("base")))
-    out = out.withColumn("host", urls.url_host(F.col("url")))
+    out = settle(out, url=urls.resolve(F.col("href"), F.col("base")))
+    out = settle(out, host=urls.url_host(F.col("url")))
     other = F.coalesce(F.col("host") != F.col("page_host"), F.lit(False))
     return out.select("page_id", "place", "href", "url", "host", "page_host", other.alias("other"))
 

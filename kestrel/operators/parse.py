@@ -16,11 +16,12 @@ PARSED = ("host", "labels", "suffix", "sld", "subdomains", "last_label", "regist
 def split_suffix(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """df (with column host) plus labels, suffix, sld, subdomains, last_label, registrable.
 
-    One broadcast lookup for each number of labels that a rule can have, so nothing is shuffled and streams work. An
+    One lookup for each number of labels that a rule can have, broadcast for the published list, so nothing is shuffled and streams work. An
     exception wins and ends before its first label; else the longest exact or wildcard rule wins; else the last
     label is the suffix.
     """
-    rules = rules if rules is not None else dims.suffix_rules(df.sparkSession)
+    given = rules is not None
+    rules = rules if given else dims.suffix_rules(df.sparkSession)
     out = df.withColumn("labels", hosts.labels(F.col("host")))
     n = F.size("labels")
     for k in range(1, LONGEST + 1):
@@ -31,8 +32,8 @@ def split_suffix(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
             F.col("is_wild").alias(f"__w{k}"),
             F.col("is_exception").alias(f"__x{k}"),
         )
-        # the rule list is published at about 7,000 rows
-        out = out.withColumn("__tail", tail).join(F.broadcast(side), F.col("__tail") == F.col(f"__s{k}"), "left")
+        # the published list has about 7,000 rows; of a list that was given Spark knows the size
+        out = out.withColumn("__tail", tail).join(side if given else F.broadcast(side), F.col("__tail") == F.col(f"__s{k}"), "left")
     kinds = range(LONGEST, 0, -1)
     exception = F.coalesce(*[F.when(F.col(f"__x{k}"), F.lit(k - 1)) for k in kinds])
     longest = F.greatest(

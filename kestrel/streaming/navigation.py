@@ -169,7 +169,8 @@ def device_histories(events: DataFrame, most_sites: int = MOST_SITES, site_days:
     """device_states with states of their own for sites, threats and latches, so a batch rewrites what it touches only.
 
     For streams, whose state store must be RocksDB (spark.sql.streaming.stateStore.providerClass), and for tables, which are one batch. A
-    device keeps most_sites sites by the rule of state.Sites. Null devices are one device.
+    device keeps most_sites sites by the rule of state.Sites. Null devices are one device. A device's events of one batch are held at once to be
+    put in order: of large tables, state.block_latch, counters, kept_sites and recent_threats give the same by spans of time.
     """
     _ = events.sparkSession.streams.active  # the coordinator of state stores, which tables need too, starts with the first look at streams
     return events.groupBy("device").transformWithStateInPandas(Device(most_sites, site_days), _OUT, "Append", "ProcessingTime" if site_days else "None")
