@@ -6,14 +6,14 @@ import re
 from collections.abc import Iterator
 from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
 
 #: Elements whose content is text, up to their own end tag. Scripts of pages run, so noscript is one of them.
 RAW_TEXT = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes", "noscript", "textarea", "title"))
 #: Elements that anchors of a page depend on.
 SHOWN = frozenset(("a", "base", "template"))
+#: Letters of the longest name of a character reference.
+LONGEST_NAME = max(map(len, html5))
 
 BETWEEN = re.compile(r"[\t\n\f\r /]*")
 SPACES = re.compile(r"[\t\n\f\r ]*")
@@ -38,11 +38,12 @@ def attribute_text(value: str) -> str:
 
     def read(m: re.Match) -> str:
         if m[1] or m[2]:
-            return _character(int(m[1], 16) if m[1] else int(m[2]) if len(m[2]) < 9 else 0x110000)
+            digits = (m[1] or m[2]).lstrip("0") or "0"
+            return _character(int(digits, 16 if m[1] else 10) if len(digits) < 8 else 0x110000)
         name = m[3]
         if name in html5 and (name.endswith(";") or value[m.end() : m.end() + 1] != "="):
             return html5[name]
-        for k in range(len(name) - 1, 1, -1):  # a name known without semicolon that this one begins with
+        for k in range(min(len(name) - 1, LONGEST_NAME), 1, -1):  # a name known without semicolon that this one begins with
             if name[:k] in html5:
                 return m[0] if name[k].isalnum() else html5[name[:k]] + name[k:]
         return m[0]
@@ -151,14 +152,26 @@ def page_anchors(html: str) -> tuple[str | None, list[str]]:
     return base, out
 
 
-def anchors(html: Column) -> Column:
-    """struct(base, hrefs) of a page; null for a null page. Pages without a tag <a or <base don't reach Python."""
+#: Pages without such a tag have no anchors.
+ANCHOR = r"(?i)<a[\t\n\f\r /]"
 
-    @F.pandas_udf("base string, hrefs array<string>")
-    def run(pages: pd.Series) -> pd.DataFrame:
-        found = [page_anchors(x) if isinstance(x, str) else (None, None) for x in pages]
-        return pd.DataFrame(found, columns=["base", "hrefs"])
 
-    some = html.rlike(r"(?i)<(?:a|base)[\t\n\f\r /]")
-    none = F.struct(F.lit(None).cast("string").alias("base"), F.array().cast("array<string>").alias("hrefs"))
-    return F.when(some, run(F.when(some, html))).when(html.isNotNull(), none)
+def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, page_url, html) to a row (page_id, page_url, base, place, href) for each anchor."""
+    names = ["page_id", "page_url", "base", "place", "href"]
+    for batch in batches:
+        at, found = [], []
+
+        def rows() -> pa.RecordBatch:
+            of = [batch[c].take(pa.array(at, pa.int32())) for c in names[:2]]
+            base, place, href = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([*of, pa.array(base, pa.string()), pa.array(place, pa.int32()), pa.array(href, pa.string())], names)
+
+        for k, page in enumerate(batch["html"]):
+            base, hrefs = page_anchors(page.as_py())
+            at += [k] * len(hrefs)
+            found += [(base, place, href) for place, href in enumerate(hrefs)]
+            if len(found) > 50_000:
+                yield rows()
+                at, found = [], []
+        yield rows()

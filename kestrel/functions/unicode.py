@@ -39,6 +39,12 @@ def describe(label: str, table: dict[str, str]) -> dict:
     return {"skeleton": fold(label, table), "mixed": len(scripts) > 1, "scripts": scripts, "folds": folds}
 
 
+def each_once(texts: pd.Series, function) -> pd.Series:
+    """function over the different texts of a batch, each worked out once; null stays null."""
+    known = {x: function(x) for x in texts.dropna().unique()}
+    return pd.Series([known.get(x) for x in texts], texts.index, dtype=object)
+
+
 def _only_non_ascii(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), text)
 
@@ -49,7 +55,7 @@ def skeleton(text: Column, table: dict[str, str] | None = None) -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: fold(x, folds), na_action="ignore")
+        return each_once(s, lambda x: fold(x, folds))
 
     return F.coalesce(run(_only_non_ascii(text)), F.lower(text))
 
@@ -60,13 +66,19 @@ def label_glyphs(label: Column, table: dict[str, str] | None = None) -> Column:
 
     @F.pandas_udf(GLYPHS)
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = [describe(x, folds) if isinstance(x, str) else None for x in s]
+        rows = each_once(s, lambda x: describe(x, folds))
         empty = dict.fromkeys(("skeleton", "mixed", "scripts", "folds"))
-        return pd.DataFrame([r or empty for r in rows], columns=list(empty))
+        return pd.DataFrame([r if isinstance(r, dict) else empty for r in rows], columns=list(empty))
 
     return run(_only_non_ascii(label))
 
 
+def letter_scripts(label: Column, table: dict[str, str] | None = None) -> Column:
+    """The different scripts of a label's letters, in the order in which they come; ASCII labels don't reach Python."""
+    plain = F.when(label.rlike("[A-Za-z]"), F.array(F.lit("Latin"))).otherwise(F.array().cast("array<string>"))
+    return F.when(label.isNotNull(), F.coalesce(label_glyphs(label, table)["scripts"], plain))
+
+
 def decode_label(label: str) -> str:
     """A Punycode label as Unicode; the label itself if it isn't valid."""
     return label if label[:4].lower() != "xn--" else punycode.decode(label[4:]) or label
@@ -77,6 +89,6 @@ def decode_host(host: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda h: ".".join(map(decode_label, h.split("."))), na_action="ignore")
+        return each_once(s, lambda h: ".".join(map(decode_label, h.split("."))))
 
     return F.coalesce(run(F.when(host.rlike(r"(?i)xn--"), host)), host)

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from kestrel.functions import hosts, html, urls
 from kestrel.operators.rules import analyze
 
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, place, href, url, host, page_host, other): every anchor of pages (page_id, url, html).
 
     Anchors are those of the markup: none in comments, scripts, styles and templates, attributes read by the rules of HTML. A
     link is resolved against the page's first <base>, or its URL, and is null if it isn't http or https. `other` marks links to
-    hosts other than the page's own. A null page has no anchors.
+    hosts other than the page's own. A null page has no anchors. Pages without a tag <a don't reach Python, others go through
+    the tokenizer once.
     """
-    found = pages.select("page_id", F.col("url").alias("page_url"), html.anchors(F.col("html")).alias("found"))
-    base = F.coalesce(F.when(F.col("found.base").isNotNull(), urls.resolve(F.col("found.base"), F.col("page_url"))), F.col("page_url"))
-    based = found.withColumn("base", base).withColumn("page_host", urls.url_host(F.col("page_url")))
-    out = based.select("page_id", "page_host", "base", F.posexplode("found.hrefs").alias("place", "href"))
+    some = pages.where(F.col("html").rlike(html.ANCHOR)).select("page_id", F.col("url").alias("page_url"), "html")
+    kind = dict(some.dtypes)["page_id"]
+    found = some.mapInArrow(html.anchor_rows, f"page_id {kind}, page_url string, base string, place int, href string")
+    base = F.coalesce(F.when(F.col("base").isNotNull(), urls.resolve(F.col("base"), F.col("page_url"))), F.col("page_url"))
+    out = found.withColumn("base", base).withColumn("page_host", urls.url_host(F.col("page_url")))
     out = out.withColumn("url", urls.resolve(F.col("href"), F.col("base")))
     out = out.withColumn("host", urls.url_host(F.col("url")))
     other = F.coalesce(F.col("host") != F.col("page_host"), F.lit(False))

@@ -248,7 +248,7 @@ def register(spark) -> None:
 
     @F.pandas_udf("string")
     def skeleton(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicode.fold(x, folds), na_action="ignore")
+        return unicode.each_once(s, lambda x: unicode.fold(x, folds))
 
     @F.pandas_udf("double")
     def weighted_distance(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -407,6 +407,24 @@ def u3(spark, sf_dir):
     return chars.groupBy("family", hosts.script_of(F.col("c")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Letters that stand for a, e, o and p in labels of several scripts.
+_SPELLINGS = ["aeop", "аеор", "αeορ", "ａｅｏｐ", "áéóp"]
+_SPELT_LABELS = "SELECT id, k, translate(split_part(host, '.', 1), 'aeop', s) AS label FROM hosts, (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(_SPELLINGS)) + ") AS v(k, s)"
+
+
+@query("U4_letter_scripts", f"""WITH {HOSTS_SQL}, spelt AS ({_SPELT_LABELS}), scripts AS (SELECT id, k, label, list_sort(list_distinct(list_filter(list_transform(string_split(label, ''), lambda c:
+  CASE WHEN regexp_matches(c, '[a-záéó]') THEN 'Latin' WHEN c <> '' AND contains('аеор', c) THEN 'Cyrillic' WHEN c <> '' AND contains('αορ', c) THEN 'Greek'
+  WHEN c <> '' AND contains('ａｅｏｐ', c) THEN 'Full-width' END), lambda x: x IS NOT NULL))) AS found FROM spelt)
+SELECT id, k, label, array_to_string(found, ' ') AS scripts, len(found) > 1 AS mixed, translate(label, 'аеорαορａｅｏｐáéó', 'aeopaopaeopaeo') AS skeleton FROM scripts""")
+def u4(spark, sf_dir):
+    """Labels spelt in Latin, Cyrillic, Greek, full-width and accented letters: their scripts, and what they look like."""
+    out = derived_hosts(spark, sf_dir).select("id", "host", F.explode(F.sequence(F.lit(0), F.lit(len(_SPELLINGS) - 1))).alias("k"))
+    spelt = F.coalesce(*[F.when(F.col("k") == k, F.translate(F.substring_index("host", ".", 1), "aeop", x)) for k, x in enumerate(_SPELLINGS)])
+    out = out.select("id", "k", spelt.alias("label"))
+    scripts = unicode.letter_scripts(F.col("label"))
+    return out.select("id", "k", "label", F.array_join(F.sort_array(scripts), " ").alias("scripts"), (F.size(scripts) > 1).alias("mixed"), unicode.skeleton(F.col("label")).alias("skeleton"))
+
+
 @query("U6_folds", f"WITH {ALL_SQL} SELECT host, regexp_matches(sld, '[аео]') AND regexp_matches(sld, '[a-z]') AS mixed, "
        "len(regexp_extract_all(sld, '[аео]')) AS folds FROM parsed")
 def u6(spark, sf_dir):

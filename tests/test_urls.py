@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel.functions import html, punycode, urls
+from kestrel.functions import html, punycode, unicode, urls
 from kestrel.operators.pages import page_links
 
 #: Spelling and the host a browser has; None where it has none.
@@ -167,6 +167,26 @@ def test_links_of_pages(spark):
     assert len(got) == 4
 
 
+def test_references_of_any_length():
+    assert html.attribute_text("&#0000000065;&#x00000000000041;&#99999999999;&#0;") == "AA\ufffd\ufffd"
+    long = "a" * 400_000
+    assert html.attribute_text(f"?x&{long}&ampz") == f"?x&{long}&ampz"
+    assert html.attribute_text("&notin;&notit;&not") == "\u2209&notit;\u00ac"
+
+
+def test_links_of_any_id_and_many_anchors(spark):
+    rows = [("p", "https://a.com/", "<A HREF=/x>" * 60_000), ("q", "https://a.com/", "<a>"), (None, "https://a.com/", "<a href=y>")]
+    got = page_links(spark.createDataFrame(rows, "page_id string, url string, html string")).groupBy("page_id").count()
+    assert {r["page_id"]: r["count"] for r in got.collect()} == {"p": 60_000, None: 1}
+    assert page_links(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_scripts_of_letters(spark):
+    rows = [("pay-1",), ("pаy",), ("αβ",), ("é1",), ("12-",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "s string").select("s", unicode.letter_scripts(F.col("s")).alias("x")).collect()
+    assert [r["x"] for r in got] == [["Latin"], ["Latin", "Cyrillic"], ["Greek"], ["Latin"], [], [], None]
+
+
 def test_punycode_against_the_codec():
     rng = random.Random(1)
     for _ in range(3000):
