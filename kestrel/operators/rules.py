@@ -194,18 +194,48 @@ def score_hosts(
     return verdicts(judge(match_brands(parsed, brands, learned), brands, learned), brands, learned)
 
 
+#: An input with more than one in SHARE rows, and more than BUSY rows, is busy: less than SHARE inputs are.
+SHARE, BUSY = 10_000, 1_000_000
+
+
+def hand_back(df: DataFrame, column: str, told: DataFrame, sizes: DataFrame, busy: int = BUSY) -> DataFrame:
+    """df plus the columns of told (a row for each __input), of the input that each row has; null is an input of its own.
+
+    sizes: rows (__input, __rows) of all inputs. Rows of a busy input are dealt to a task for each SHARE-th of all rows that it has, and
+    its row of told is copied to them. Rows are dealt by their partition and their values, so a task that runs again deals alike.
+    """
+    total = sizes.agg(F.sum("__rows")).scalar()
+    often = sizes.where((F.col("__rows") > busy) & (F.col("__rows") * SHARE > total))
+    often = often.select(F.col("__input").alias("__often"), F.ceil(F.col("__rows") * SHARE / total).cast("int").alias("__tasks"))
+    often = F.broadcast(often)  # less than SHARE rows
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = F.when(F.col("__tasks") > 1, F.pmod(F.xxhash64(F.spark_partition_id(), *hashed), F.col("__tasks")).cast("int"))
+    rows = df.join(often, F.col(column).eqNullSafe(F.col("__often")), "left").withColumn("__salt", F.coalesce(dealt, F.lit(0))).drop("__often", "__tasks")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__tasks", F.lit(1)) - 1))
+    spread = told.join(often, F.col("__input").eqNullSafe(F.col("__often")), "left").withColumn("__copy", copies).drop("__often", "__tasks")
+    same = F.col(column).eqNullSafe(F.col("__input")) & (F.col("__salt") == F.col("__copy"))
+    return rows.join(spread, same, "left").drop("__input", "__salt", "__copy")
+
+
+def _inputs(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(F.col(column).alias("__input")).agg(F.count(F.lit(1)).alias("__rows"))
+
+
 def analyze(
     df: DataFrame,
     column: str = "input",
     extra_brands: list[Brand] | None = None,
     rules: DataFrame | None = None,
     table: dict[str, str] | None = None,
+    busy: int = BUSY,
 ) -> DataFrame:
-    """df joined with the verdict of its column, as a struct column verdict. Each different input is scored once."""
-    distinct = df.select(F.col(column).alias("__input")).distinct()
-    scored = score_hosts(distinct, "__input", extra_brands, rules, table)
-    packed = scored.select("__input", F.struct(*VERDICT).alias("verdict"))
-    return df.join(packed, F.col(column).eqNullSafe(F.col("__input")), "left").drop("__input")
+    """df joined with the verdict of its column, as a struct column verdict. Each different input is scored once.
+
+    An input of more than `busy` rows that makes up a large share of them gets its verdicts in several tasks.
+    """
+    sizes = _inputs(df, column)
+    scored = score_hosts(sizes.select("__input"), "__input", extra_brands, rules, table)
+    return hand_back(df, column, scored.select("__input", F.struct(*VERDICT).alias("verdict")), sizes, busy)
 
 
 def fingerprint(brands: list[Brand] | None = None, version: str = "1") -> str:
@@ -223,14 +253,15 @@ def analyze_new(df: DataFrame, path: str, column: str = "input", extra_brands: l
     """
     spark = df.sparkSession
     at = f"{path}/rules={fingerprint(dims.brands() + list(extra_brands or []))}"
-    inputs = df.select(F.col(column).alias("__input")).distinct()
+    sizes = _inputs(df, column)
+    inputs = sizes.select("__input")
     known = _read_or_none(spark, at)
     if known is not None:
         inputs = inputs.join(known.select(F.col("__input").alias("__known")), F.col("__input").eqNullSafe(F.col("__known")), "left_anti")
     scored = score_hosts(inputs, "__input", extra_brands).select("__input", F.struct(*VERDICT).alias("verdict"))
     scored.write.mode("append").parquet(at)
     every = spark.read.schema(scored.schema).parquet(at).dropDuplicates(["__input"])
-    return df.join(every, F.col(column).eqNullSafe(F.col("__input")), "left").drop("__input")
+    return hand_back(df, column, every, sizes)
 
 
 def _read_or_none(spark, path: str) -> DataFrame | None:

@@ -66,3 +66,28 @@ def test_sql_functions(spark):
     row = spark.sql("select skeleton('Pаypal') a, weighted_distance('g00gle', 'google') b").first()
     assert (row["a"], row["b"]) == ("paypal", 0.5)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_busy_hosts_get_verdicts_in_many_tasks(spark):
+    """One host has a third of all rows, null another; both are spread, and nothing is lost or doubled."""
+    hosts = F.expr("CASE id % 3 WHEN 0 THEN 'paypa1.com' WHEN 1 THEN NULL ELSE concat('h', id % 50, '.org') END")
+    df = spark.range(0, 6000, numPartitions=6).select("id", hosts.alias("input"), F.create_map(F.lit("k"), "id").alias("m"))
+    got = rules.analyze(df, busy=100)
+    assert df.columns + ["verdict"] == got.columns
+    want = {r["input"]: r["verdict"] for r in rules.analyze(df.select("input").distinct()).collect()}
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["id"] for r in rows) == list(range(6000)) and all(r["verdict"] == want[r["input"]] for r in rows)
+    sizes = df.groupBy(F.col("input").alias("__input")).agg(F.count(F.lit(1)).alias("__rows"))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = rules.hand_back(df, "input", sizes.select("__input", F.lit(1).alias("told")), sizes, 100)
+        dealt = told.select("input", "told", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    for busy in (None, "paypa1.com"):
+        tasks = [r["task"] for r in dealt if r["input"] == busy and r["told"] == 1]
+        assert len(tasks) == 2000 and max(map(tasks.count, set(tasks))) < 1000
+    assert rules.analyze(df.limit(0)).count() == 0
