@@ -1,9 +1,10 @@
+import hashlib
 import zlib
 
 import numpy as np
 import pytest
 
-from kestrel.llm import jpeg, media
+from kestrel.llm import jpeg, media, queries
 
 
 def test_samples_survive_and_blocks_are_flat():
@@ -174,6 +175,18 @@ def test_round_trip(made, nothing):
     assert media.clip_rows(media.read_media(media.store_texts(made))).count() >= len(got)
 
 
+def test_query_counts_bytes_of_texts_beyond_ascii(spark, tmp_path):
+    texts = [None, "", "a" * 64, "a" * 4097, "é" * 40, "ÿ" * 70, "x" * 70 + "😀", "漢字 é " * 5000, "\0" * 65]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        want[k] = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    got = queries.op4_media(spark, str(tmp_path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want
+
+
 def test_broken_files(spark):
     rows = spark.createDataFrame([(1, None), (2, b"abc"), (3, bytearray(b"RIFF\0\0\0\0AVI "))], "k int, media binary")
     assert {r["n_frames"] for r in media.read_media(rows).collect()} == {None}
