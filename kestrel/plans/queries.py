@@ -942,8 +942,7 @@ def t8(spark, sf_dir):
 @query("T8_histories", f"{'WITH ' if not _LATCH_SQL.startswith('WITH') else ''}{_LATCH_SQL} SELECT event_id, latched, count(*) FILTER (kind = 'complete') OVER w AS scanned, count(*) FILTER (kind = 'block') OVER w AS blocked FROM l "
        "WINDOW w AS (PARTITION BY device ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def t8_histories(spark, sf_dir):
-    """Latches and counters after every event, by the stateful processor over the table."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Latches and counters after every event, by the steps of the stateful processor over the table."""
     return streams.device_histories(navigation(spark, sf_dir)).select("event_id", "latched", "scanned", "blocked")
 
 

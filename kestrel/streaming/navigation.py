@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -100,6 +102,42 @@ def device_states(events: DataFrame) -> DataFrame:
     )
 
 
+class History:
+    """What is known of one device while its events go by in the order of time: sites by the rule of state.Sites, threats, latches, counters."""
+
+    def __init__(self, most_sites: int, sites: dict | None = None, recent: list | None = None, tabs: set | None = None, sums: tuple = (0, 0, 0)) -> None:
+        self.most_sites, self.sites, self.recent, self.tabs = most_sites, sites or {}, recent or [], tabs or set()
+        self.scanned, self.blocked, self.came = sums
+        self.trusted = sum(n >= 3 for _, n, _ in self.sites.values())
+        self.touched: set = set()
+
+    def take(self, tab: int, kind: str, level: str, host: str, registrable: str, sld: str | None) -> tuple:
+        """One event more; what _COLUMNS say after it, from latched on."""
+        if kind == "block":
+            self.tabs.add(tab)
+            self.blocked += 1
+            if not self.recent or self.recent[0] != host:
+                self.recent = [host, *self.recent][:MOST_RECENT]
+        elif kind == "loading":
+            self.tabs.discard(tab)
+        elif kind == "complete":
+            self.scanned += 1
+            if level == "safe" and sld is not None and len(sld) >= 4:
+                self.visit(registrable, sld)
+        return tab in self.tabs, len(self.sites), self.trusted, self.recent, self.scanned, self.blocked
+
+    def visit(self, registrable: str, sld: str) -> None:
+        self.came += 1
+        _, n, since = self.sites.get(registrable, (sld, 0, self.came))
+        self.sites[registrable] = (sld, min(MOST_VISITS, n + 1), since)
+        self.trusted += n == 2
+        self.touched.add(registrable)
+        if len(self.sites) > self.most_sites:  # the oldest of the least visited goes
+            gone = min(self.sites, key=lambda r: self.sites[r][1:])
+            self.trusted -= self.sites.pop(gone)[1] >= 3
+            self.touched.add(gone)
+
+
 class Device(StatefulProcessor):
     """One device's sites, threats, latches and counters, each in a state of its own.
 
@@ -117,45 +155,25 @@ class Device(StatefulProcessor):
         self.sums = handle.getValueState("sums", "scanned long, blocked long, came long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 - the names are Spark's
-        scanned, blocked, came = self.sums.get() if self.sums.exists() else (0, 0, 0)
-        visited = {r[0]: tuple(v) for r, v in self.sites.iterator()}
+        sums = self.sums.get() if self.sums.exists() else (0, 0, 0)
+        sites = {r[0]: tuple(v) for r, v in self.sites.iterator()}
         recent = [h for (h,) in self.recent.get()] if self.recent.exists() else []
-        tabs = {t for (t,), _ in self.latched.iterator()}
-        out, touched = [], set()
-        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            if e.kind == "block":
-                tabs.add(int(e.tab))
-                blocked += 1
-                if not recent or recent[0] != e.host:
-                    recent = [e.host, *recent][:MOST_RECENT]
-            elif e.kind == "loading":
-                tabs.discard(int(e.tab))
-            elif e.kind == "complete":
-                scanned += 1
-                if e.level == "safe" and len(e.sld) >= 4:
-                    came += 1
-                    _, n, since = visited.get(e.registrable, (e.sld, 0, came))
-                    visited[e.registrable] = (e.sld, min(MOST_VISITS, n + 1), since)
-                    touched.add(e.registrable)
-                    if len(visited) > self.most_sites:  # the oldest of the least visited goes
-                        gone = min(visited, key=lambda r: visited[r][1:])
-                        del visited[gone]
-                        touched.add(gone)
-            trusted = sum(n >= 3 for _, n, _ in visited.values())
-            out.append((key[0], e.event_id, int(e.tab) in tabs, len(visited), trusted, list(recent), scanned, blocked))
-        for site in touched:
-            if site in visited:
-                self.sites.updateValue((site,), visited[site])
+        known = {t for (t,), _ in self.latched.iterator()}
+        now = History(self.most_sites, sites, recent, set(known), sums)
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out = [(key[0], e.event_id, *now.take(int(e.tab), e.kind, e.level, e.host, e.registrable, e.sld)) for e in events.itertuples()]
+        for site in now.touched:
+            if site in now.sites:
+                self.sites.updateValue((site,), now.sites[site])
             elif self.sites.containsKey((site,)):
                 self.sites.removeKey((site,))
-        known = {t for (t,), _ in self.latched.iterator()}
-        for tab in tabs - known:
+        for tab in now.tabs - known:
             self.latched.updateValue((tab,), (True,))
-        for tab in known - tabs:
+        for tab in known - now.tabs:
             self.latched.removeKey((tab,))
-        if recent:
-            self.recent.put([(h,) for h in recent])
-        self.sums.update((scanned, blocked, came))
+        if now.recent:
+            self.recent.put([(h,) for h in now.recent])
+        self.sums.update((now.scanned, now.blocked, now.came))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
@@ -165,14 +183,35 @@ class Device(StatefulProcessor):
 _COLUMNS = ["device", "event_id", "latched", "visits", "trusted", "recent", "scanned", "blocked"]
 
 
+_TAKEN = ["tab", "kind", "level", "host", "registrable", "sld"]
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], most_sites: int) -> Iterator[pa.RecordBatch]:
+    """Of events in order of device and time: what is known after each of them. One device is held at a time, and none of its events."""
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+    who = now = None
+    for batch in batches:
+        out = []
+        for device, event_id, *event in zip(*(batch[c].to_pylist() for c in ("device", "event_id", *_TAKEN)), strict=True):
+            if now is None or device != who:
+                who, now = device, History(most_sites)
+            out.append((device, event_id, *now.take(*event)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], _COLUMNS)
+
+
 def device_histories(events: DataFrame, most_sites: int = MOST_SITES, site_days: int | None = None) -> DataFrame:
     """device_states with states of their own for sites, threats and latches, so a batch rewrites what it touches only.
 
-    For streams, whose state store must be RocksDB (spark.sql.streaming.stateStore.providerClass), and for tables, which are one batch. A
-    device keeps most_sites sites by the rule of state.Sites. Null devices are one device. A device's events of one batch are held at once to be
-    put in order: of large tables, state.block_latch, counters, kept_sites and recent_threats give the same by spans of time.
+    The state store of streams must be RocksDB (spark.sql.streaming.stateStore.providerClass); of one batch, a device's events are held at once to
+    be put in order. Tables, after which no state is needed, have their events sorted by device and time and go through the same steps without
+    a store; a device's events are one task's, which reads them as they come. A device keeps most_sites sites by the rule of state.Sites.
+    Null devices are one device; events without a time come last.
     """
-    _ = events.sparkSession.streams.active  # the coordinator of state stores, which tables need too, starts with the first look at streams
+    if not events.isStreaming:
+        order = ["device", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")]
+        ordered = events.select("device", "ts", "event_id", *_TAKEN).repartition("device").sortWithinPartitions(*order)
+        return ordered.drop("ts").mapInArrow(partial(_in_order, most_sites=most_sites), _OUT)
     return events.groupBy("device").transformWithStateInPandas(Device(most_sites, site_days), _OUT, "Append", "ProcessingTime" if site_days else "None")
 
 

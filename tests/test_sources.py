@@ -127,6 +127,17 @@ def test_histories_equal_the_states_in_one(spark, visits, tmp_path):
     assert key(spark.read.parquet(f"{tmp_path}/out").collect()) == whole
 
 
+def test_histories_of_a_table_need_no_state_store(spark, visits):
+    """Rows of a table go by in the order of time; null devices are one device, events without a time come last."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(None, 0, 1, t, "complete"), (None, 0, 2, None, "block"), (None, 0, 3, t, "complete"), (7, 0, 4, t, "block"), (7, 0, 5, t, "loading"), (7, 1, 6, t, "complete")]
+    events = spark.createDataFrame([(*r, "safe", "h.com", "h.com", None) for r in rows], as_events(spark, visits).schema)
+    histories = nav.device_histories(events.repartition(3))
+    assert "TransformWithState" not in histories._jdf.queryExecution().toString()
+    got = {r["event_id"]: (r["latched"], r["visits"], r["scanned"], r["blocked"]) for r in histories.collect()}
+    assert got == {1: (False, 0, 1, 0), 3: (False, 0, 2, 0), 2: (True, 0, 2, 1), 4: (True, 0, 0, 1), 5: (False, 0, 0, 1), 6: (False, 0, 1, 1)}
+
+
 def test_following_chains(spark):
     rows = [(k, k + 1) for k in range(20)] + [(100, 101), (101, 102), (102, 100), (200, 200), (300, None), (400, 5), (400, 9), (None, 1)]
     table = spark.createDataFrame(rows, "node int, target int")
