@@ -97,3 +97,27 @@ def test_no_brands_and_no_hosts(spark, hosts):
     none = spark.createDataFrame([], brandtable.SCHEMA)
     assert {r["brand"] for r in brandtable.score_with_table(hosts, none).collect()} == {None}
     assert brandtable.score_with_table(hosts.limit(0), brandtable.brand_table(spark, dims.brands())).collect() == []
+
+
+@pytest.mark.parametrize("bits", [6, 28])
+def test_cores_held_by_labels_against_plain_loops(spark, monkeypatch, bits):
+    """With a filter that all pieces pass too; equal cores of other letters' numbers, beyond the basic plane and at the ends of labels."""
+    monkeypatch.setattr(brandtable, "MOST_BITS", bits)
+    cores = sorted({b.core for b in dims.brands() if len(b.core) >= 4} | {"аррӏе", "😀pay", "paypaypal", "xx" * 40})
+    rng = random.Random(3)
+    texts = [None, "", "pay", "paypaypal", "😀paypal\napple", "xx" * 41] + [rng.choice(["", "my", "😀"]) + w + rng.choice(cores)[: rng.randrange(12)] for w in spelt(4, 150)]
+    rows = [(f"h{k}", ("embedded", "in_subdomain")[k % 2], t) for k, t in enumerate(texts)]
+    table = spark.createDataFrame([(c, k) for k, c in enumerate(cores)], "core string, ord int")
+    got = brandtable.held_cores(spark.createDataFrame(rows, "host string, kind string, text string").repartition(3), table).collect()
+    want = [(h, kind, c, k) for h, kind, t in rows if t for k, c in enumerate(cores) for at in range(len(t)) if t.startswith(c, at)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+    assert brandtable.held_cores(spark.createDataFrame(rows, "host string, kind string, text string"), table.limit(0)).collect() == []
+
+
+def test_touches_send_no_list_of_cores(spark, monkeypatch):
+    """No automata of all cores are built, whose number grows with the brands and which all labels go through."""
+    from kestrel.operators import patterns
+    from kestrel.plans import verdicts
+
+    monkeypatch.setattr(patterns, "build", lambda *_: pytest.fail("an automaton"))
+    assert verdicts.m15_touches(spark, "/root/testdata/sf0.001").count() > 0
