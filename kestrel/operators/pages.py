@@ -20,10 +20,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     some = pages.where(F.col("html").rlike(html.ANCHOR)).select("page_id", F.col("url").alias("page_url"), "html")
     kind = dict(some.dtypes)["page_id"]
     found = some.mapInArrow(html.anchor_rows, f"page_id {kind}, page_url string, base string, place int, href string")
-    base = F.coalesce(F.when(F.col("base").isNotNull(), urls.resolve(F.col("base"), F.col("page_url"))), F.col("page_url"))
-    out = found.withColumn("base", base).withColumn("page_host", urls.url_host(F.col("page_url")))
-    out = out.withColumn("url", urls.resolve(F.col("href"), F.col("base")))
-    out = out.withColumn("host", urls.url_host(F.col("url")))
+    out = found.withColumn("__link", urls.link(F.col("href"), F.col("base"), F.col("page_url"))).select("page_id", "place", "href", "__link.*")
     other = F.coalesce(F.col("host") != F.col("page_host"), F.lit(False))
     return out.select("page_id", "place", "href", "url", "host", "page_host", other.alias("other"))
 

@@ -194,3 +194,10 @@ def test_punycode_against_the_codec():
         spelt = label.encode("punycode").decode()
         assert punycode.encode(label) == spelt and punycode.decode(spelt) == label
     assert punycode.decode("a-é") is None and punycode.decode("99999999") is None and punycode.decode("b!") is None
+
+
+def test_links_go_through_python_once(spark):
+    """A task has a process for each Python step of its plan: the tokenizer, and one for links that aren't plain."""
+    df = spark.createDataFrame([(1, "https://a.com/", "<a href=x>")], "page_id int, url string, html string")
+    plan = page_links(df)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1
