@@ -1,4 +1,6 @@
 import math
+import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -6,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from kestrel.llm import lm, queries
+from kestrel.llm.shared import shared_dir
 
 
 def tokens(text):
@@ -73,6 +76,29 @@ def test_query_scores_by_three_words(spark, made, tmp_path):
     assert got == pytest.approx({k: v[3] for k, v in want.items()})
 
 
+def test_three_words_take_few_bytes(spark):
+    def left():
+        top = shared_dir(spark).removeprefix("file://")
+        return sum(os.path.getsize(f"{at}/{f}") for at, _, files in os.walk(top) for f in files)
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = left()
+    model = lm.train(docs, order=3)
+    assert left() - before < 50 * model.types[3]  # 119 with tables of hashes and of all contexts, 33 with tries
+
+
+def test_words_hashed_together():
+    from kestrel.llm.words import word_hashes
+
+    rng = random.Random(3)
+    pool = [bytes(rng.choice(b"ab\x00\x1c\xff") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(300)]
+    for text in [b"", b" ", b"a", b" a\t", b"".join(w + rng.choice([b" ", b"\n", b"\x0b \r"]) for w in pool * 3)]:
+        start, got = word_hashes(text)
+        words = text.split()
+        assert all(text[k : k + len(w)] == w for k, w in zip(start, words, strict=True))
+        assert len(set(zip(words, got.tolist(), strict=True))) == len(set(words)) == len(set(got.tolist()))
+
+
 def test_few_files_stay_mapped(made, monkeypatch):
     monkeypatch.setattr(lm, "MOST_MAPPED", 3)
     model = lm.train(made, bucket_bytes=500)
